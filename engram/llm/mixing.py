@@ -11,7 +11,8 @@ moves the inclusion probabilities of three units at a time along the null space
 of the balancing constraints (number of documents, number of words) until one
 of them is 0 or 1.  It runs in blocks of a source, then on what the blocks
 leave over, level by level, until at most two fractional units of a source
-remain; the landing then takes the subset that misses the source's words least.
+remain; the landing then takes the subset that misses the source's words least,
+and settles the rest of the error within the last block.
 So a hot source is split over many blocks, and reruns agree: blocks depend on
 a hash of the rows, not on how the table is stored.
 
@@ -105,8 +106,13 @@ def flight(chances: list[float], sizes: list[float], seed: int) -> list[float]:
     return chances
 
 
-def landing(chances: list[float], sizes: list[float]) -> list[float]:
-    """Decide the few open units by the subset with the least error in words, then in documents."""
+def landing(chances: list[float], sizes: list[float], start: list[float]) -> list[float]:
+    """Decide the few open units by the subset with the least error in words, then in documents.
+
+    What error is left (an open unit may be large) is settled by flipping units
+    of this block, largest first, as long as a flip lessens it.  ``start`` holds
+    the probabilities before the flight; units that were sure then stay.
+    """
     at = [n for n, c in enumerate(chances) if 0 < c < 1]
     words, count = sum(chances[n] * sizes[n] for n in at), sum(chances[n] for n in at)
     chosen = min(
@@ -116,6 +122,11 @@ def landing(chances: list[float], sizes: list[float]) -> list[float]:
     out = list(chances)
     for value, n in zip(chosen, at, strict=True):
         out[n] = value
+    error = sum(v * sizes[n] for v, n in zip(chosen, at, strict=True)) - words
+    for n in sorted(range(len(out)), key=lambda n: (-sizes[n], n)):
+        change = sizes[n] * (1 - 2 * out[n])
+        if TINY < start[n] < 1 - TINY and abs(error + change) < abs(error):
+            out[n], error = 1 - out[n], error + change
     return out
 
 
@@ -151,8 +162,9 @@ def mix(
             # large documents are decided first, so what is left open is small
             frame = frame.sort_values(["size", "place", "doc_id"], ascending=[False, True, True], kind="stable")
             sizes_, start = frame["size"].astype(float).tolist(), zlib.crc32(repr((seed, level, key)).encode())
-            moved = flight(frame["chance"].tolist(), sizes_, start)
-            frame["chance"] = landing(moved, sizes_) if last else moved
+            before = frame["chance"].tolist()
+            moved = flight(before, sizes_, start)
+            frame["chance"] = landing(moved, sizes_, before) if last else moved
             return frame.drop(columns="block")
 
         return block
