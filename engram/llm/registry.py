@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from engram.llm import chatformat, media, mixing, neardup, packing, topk, toxicity, urlfilter
+from engram.llm import chatformat, lmscore, media, mixing, neardup, packing, topk, toxicity, urlfilter
 
 QUERIES = {
     "op2_minhash_neardup": neardup.query,
     "op3_best_fit_packing": packing.query,
     "op4_url_rules": urlfilter.query,
     "op5_media_columns": media.query,
+    "op6_gru_lm": lmscore.query,
     "op7_toxicity_crf": toxicity.query,
     "op8_cube_mixing": mixing.query,
     "op9_chat_format": chatformat.query,
