@@ -38,7 +38,7 @@ from engram.llm.common import table
 
 PATH_BUCKETS, WORD_BUCKETS = 2048, 1024
 PATH_SIZE, WORD_SIZE, SHAPE_SIZE, HIDDEN = 24, 6, 6, 20
-TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 1200, 4, 32, 0.01, 1
+TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 2000, 4, 32, 0.01, 1
 PAGE_GROUP = 128
 
 # Elements of HTML that do not end a block, that hold no text, and that have no end tag.
@@ -152,7 +152,7 @@ def _shape(block: Block, place: int, n: int) -> tuple[float, ...]:
     text, _, linked = block
     size = len(text)
     return (
-        np.log1p(size) / 5, linked / size, sum(map(text.count, ".,;:!?")) * 10 / size, place / n, np.log1p(n) / 5, min(1.0, 20 / size),
+        np.log1p(size) / 5, linked / size, min(1.0, sum(map(text.count, ".,;:!?")) * 10 / size), place / n, np.log1p(n) / 5, min(1.0, 20 / size),
     )
 
 
@@ -189,9 +189,9 @@ class Labeller:
         if len(paths):
             full = path_n > 0
             x[full, :PATH_SIZE] = np.add.reduceat(self.w["path"][paths], (np.cumsum(path_n) - path_n)[full], 0) * scale[full]
-        x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.add.reduceat(self.w["word"][hashed], np.cumsum(word_n) - word_n, 0) / np.sqrt(word_n)[:, None]
+        x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.add.reduceat(self.w["word"][hashed], np.cumsum(word_n) - word_n, 0) * (2 / word_n)[:, None]
         x[:, PATH_SIZE + WORD_SIZE :] = [_shape(*b) for b in blocks]
-        return x, (paths, path_at, scale[:, 0], hashed, word_at, 1 / np.sqrt(word_n))
+        return x, (paths, path_at, scale[:, 0], hashed, word_at, 2 / word_n)
 
     def run(self, way: str, x: np.ndarray, active: np.ndarray, tape: list | None = None) -> np.ndarray:
         """Hidden states of a padded (time, page, feature) array; pages by falling length."""
@@ -269,6 +269,7 @@ class Labeller:
     def fit(self, pages: list[list[Block]], labels: list[list[bool]], epochs: int = EPOCHS, rate: float = RATE) -> Labeller:
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         order, updates, shuffle = list(range(len(pages))), 0, random.Random(SEED)
+        all_updates = epochs * -(-len(order) // BATCH)
         for _ in range(epochs):
             shuffle.shuffle(order)
             for at in range(0, len(order), BATCH):
@@ -280,7 +281,7 @@ class Labeller:
                 for k, slope in self.slopes(p, gold, tape).items():
                     first[k] += 0.1 * (slope - first[k])
                     second[k] += 0.01 * (slope**2 - second[k])
-                    self.w[k] -= rate * first[k] / (1 - 0.9**updates) / (np.sqrt(second[k] / (1 - 0.99**updates)) + 1e-6)
+                    self.w[k] -= rate * (1.02 - updates / all_updates) * first[k] / (1 - 0.9**updates) / (np.sqrt(second[k] / (1 - 0.99**updates)) + 1e-6)
         return self
 
 
@@ -309,6 +310,11 @@ _STOCK = {
     "footer": "© copyright all rights reserved · terms privacy contact", "comments": "reply says posted ago like report", "advert": "advertisement sponsored buy now sale offer",
     "menu": "home about contact news products blog", "share": "share tweet print email", "sidebar": "related popular recent archives tags", "header": "logo skip to content site",
 }
+#: Common words, which tell nothing about a block.
+_COMMON = (
+    "the of and to in a is that for it as was with be by on not he are this at from but have an they or which one you all "
+    "der die das und mit von le la les et des un une que el los las de en con por para"
+).split()
 
 
 class PageGrammar:
@@ -319,8 +325,25 @@ class PageGrammar:
 
     def words(self, n: int, kind: str = "") -> str:
         r, stock = self.r, _STOCK.get(kind, "").split()
-        out = [r.choice(stock) if stock and r.random() < 0.35 else "".join(r.choices(_SYLLABLES, k=r.randint(1, 5))) for _ in range(n)]
-        text = " ".join(w + (r.choice(".,") if r.random() < 0.12 else "") for w in out)
+        out = []
+        for _ in range(n):
+            x = r.random()
+            if x < 0.25:
+                out.append(r.choice(_COMMON))
+            elif x < 0.28:
+                out.append(r.choice(_STOCK[r.choice(list(_STOCK))].split()))
+            elif stock and x < 0.6:
+                out.append(r.choice(stock))
+            else:
+                out.append("".join(r.choices(_SYLLABLES, k=r.randint(1, 5))))
+        style = r.random() if not kind else 1.0
+        if style < 0.05:  # odd prose: one word over and over, shouting, or decorated words
+            out = [out[0]] * r.randint(1, 60)
+        elif style < 0.1:
+            out = [w.upper() + "!!" for w in out]
+        elif style < 0.15:
+            out = [w + r.choice(("***", "###", "%%%", "$$$", "&amp;&amp;")) for w in out]
+        text = (" | " if 0.15 <= style < 0.22 else " ").join(w + (r.choice(".,") if r.random() < 0.12 else "") for w in out)
         return text[:1].upper() + text[1:] + r.choice(("", ".", "."))
 
     def tag(self, wrapper: str, inner: str) -> str:

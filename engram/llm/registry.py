@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from engram.llm import chatformat, lmscore, media, mixing, neardup, packing, topk, toxicity, urlfilter
+from engram.llm import chatformat, htmltext, lmscore, media, mixing, neardup, packing, topk, toxicity, urlfilter
 
 QUERIES = {
+    "op1_html_lstm": htmltext.query,
     "op2_minhash_neardup": neardup.query,
     "op3_best_fit_packing": packing.query,
     "op4_url_rules": urlfilter.query,

@@ -254,15 +254,29 @@ _odds_of_words: dict[int, dict[bytes, float]] = {}
 
 def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, spans) of every row of ``docs``."""
+    return _scored(docs.select(F.col(id_col).cast("long"), F.col(text_col)), chain, text_col, keep=[id_col])
+
+
+def clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the chain does not reject, with the columns they had."""
+    scored = _scored(docs, chain, text_col, keep=docs.columns)
+    return scored.where("__predicted = 0").select(docs.columns)
+
+
+def _scored(docs: DataFrame, chain: Chain, text_col: str, keep: list[str]) -> DataFrame:
     mark = zlib.crc32(chain.weights.tobytes())
+    bare = keep == docs.columns
+    names = ["__score", "__predicted"] if bare else ["score", "predicted", "spans"]
+    kinds = ["double", "int", "array<struct<start:long,length:long,chance:double>>"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("chance", pa.float64())]))
+    text_at, kept_at = docs.columns.index(text_col), [docs.columns.index(c) for c in keep]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _odds_of_words.setdefault(mark, {})
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                texts = [t or b"" for t in part.column(1).to_pylist()]
+                texts = [t or b"" for t in part.column(text_at).cast(pa.binary()).to_pylist()]
                 words, odds = [t.lower().split() for t in texts], []
                 if len(known) > CACHE_WORDS:
                     kept = dict(islice(known.items(), CACHE_WORDS // 3))
@@ -275,19 +289,18 @@ def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
                 lengths = np.array([len(w) for w in words])
                 marginals = chain.marginals(np.concatenate(odds), lengths)
                 scores = chain.scores(marginals, lengths)
-                ends = np.cumsum(lengths)
-                spans = [
-                    spans_of(t, m) if (m := marginals[e - n : e]).size and m.max() >= 0.5 else []
-                    for t, n, e in zip(texts, lengths, ends, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(scores), pa.array((scores >= 0.5).astype("i4")), pa.array(spans, span)],
-                    names=[id_col, "score", "predicted", "spans"],
-                )
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
-        score, f"{id_col} long, score double, predicted int, spans array<struct<start:long,length:long,chance:double>>"
-    )
+                made = [pa.array(scores), pa.array((scores >= 0.5).astype("i4"))]
+                if not bare:
+                    ends = np.cumsum(lengths)
+                    spans = [
+                        spans_of(t, m) if (m := marginals[e - n : e]).size and m.max() >= 0.5 else []
+                        for t, n, e in zip(texts, lengths, ends, strict=True)
+                    ]
+                    made.append(pa.array(spans, span))
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in kept_at] + made, names=keep + names)
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {k}" for n, k in zip(names, kinds, strict=False)]
+    return docs.mapInArrow(score, ", ".join(fields))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS) -> Chain:
