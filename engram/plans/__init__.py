@@ -1 +1,9 @@
+"""The registered queries and their oracle SQL."""
 
+from __future__ import annotations
+
+from engram.plans import text
+
+FAMILIES = (text.PLANS,)
+QUERIES = {name: f for plans in FAMILIES for name, f in plans.queries.items()}
+ORACLES = {name: sql for plans in FAMILIES for name, sql in plans.oracles.items()}
