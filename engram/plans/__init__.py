@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from engram.plans import text
+from engram.plans import retrieve, text
 
-FAMILIES = (text.PLANS,)
+FAMILIES = (text.PLANS, retrieve.PLANS)
 QUERIES = {name: f for plans in FAMILIES for name, f in plans.queries.items()}
 ORACLES = {name: sql for plans in FAMILIES for name, sql in plans.oracles.items()}

@@ -138,9 +138,9 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@add(f"WITH {DENSITY_SQL} SELECT doc_id, n_words, round(density, 3) AS density FROM dens")
+@add(f"WITH {DENSITY_SQL} SELECT doc_id, n_words, density FROM dens")
 def density_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(spark, sf_dir).select("doc_id", "n_words", F.round("density", 3).alias("density"))
+    return _dense(spark, sf_dir).select("doc_id", "n_words", "density")
 
 
 @add(f"""WITH {DENSITY_SQL} SELECT doc_id, CASE WHEN n_words <= 350 THEN 'short' WHEN code THEN 'code' WHEN doc_id % 5 = 0 THEN 'creative_continuity'
