@@ -51,10 +51,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", micros("o_orderdate").alias("valid_from"), "o_orderpriority")
     lines = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", micros("l_shipdate").alias("shipped")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", micros("l_shipdate").alias("shipped")
     )
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("edge_id"), F.col("o_custkey").alias("source"), F.col("l_partkey").alias("target"),
+        ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("edge_id"), F.col("o_custkey").alias("source"), F.col("l_partkey").alias("target"),
         F.col("o_orderpriority").alias("relation"), (F.col("l_quantity") / 10).alias("strength"),
         F.when(F.col("l_discount") > 0, 1 - F.col("l_discount")).alias("confidence"), (F.col("l_returnflag") == "R").alias("negated"),
         "valid_from", F.when(F.col("l_linestatus") == "F", F.col("shipped")).alias("valid_until"), (F.col("l_orderkey") % 97).alias("batch"),
@@ -62,7 +62,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EDGES_SQL = """edges AS (
-  SELECT l_orderkey * 100 + l_linenumber AS edge_id, o_custkey AS source, l_partkey AS target, o_orderpriority AS relation,
+  SELECT (l_orderkey * 100 + l_linenumber) * 10000000 + l_partkey * 100 + l_suppkey % 100 AS edge_id, o_custkey AS source, l_partkey AS target, o_orderpriority AS relation,
          l_quantity / 10 AS strength, CASE WHEN l_discount > 0 THEN 1 - l_discount END AS confidence, l_returnflag = 'R' AS negated,
          epoch_us(o_orderdate) AS valid_from, CASE WHEN l_linestatus = 'F' THEN epoch_us(l_shipdate) END AS valid_until,
          l_orderkey % 97 AS batch
