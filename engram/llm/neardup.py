@@ -13,11 +13,12 @@ Skew
 * A collection value held by one representative only cannot be part of a shared
   key and is dropped before the keys are formed.
 * A bucket never emits all its pairs: first each member is compared with the
-  bucket's smallest id only (a star), and the links found are closed to
-  components.  Only buckets that still hold several components are looked at
-  again, and only for pairs across components: small ones pair by pair, large
-  ones in blocks whose 64-byte sketches are compared as matrices, which emit
-  the few pairs that may be similar.  So no link is lost to a cap.
+  bucket's most central member only (a star), and the links found are closed to
+  components.  Only stars that still hold several components are looked at again,
+  and only for pairs across components: small ones pair by pair; in large ones the
+  members outside the largest component are compared with all others in blocks,
+  on full sets, and a block emits only the links that join components.  So no
+  link is lost to a cap, and no step emits the pairs of a large group.
 * Buckets, stars and components are joins and aggregations that Spark can split.
 
 Defined results
@@ -52,8 +53,9 @@ COLLECTIONS, ROWS = 16, 2
 SKETCH = 64
 #: Least share of equal sketch bytes: 4.6 standard deviations below 0.75.
 SKETCH_SHARE = 0.5
-SMALL_BUCKET = 32
-BLOCK_ROWS = 512
+SMALL_GROUP = 16
+#: A block of a large group: rows at most, and bytes of the longest sets at most.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 64 << 20
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 1_000_000
 _MULTIPLIERS = np.random.default_rng(2).integers(1, 1 << 32, (2, SKETCH), dtype=np.uint64).astype(np.uint32)
@@ -142,21 +144,25 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep) of every table key that may be shared; ``reps`` has rep and bands."""
+    """(key, rep, score) of every table key that may be shared; ``reps`` has rep and bands.
+
+    The score tells how common a representative's collection values are: the
+    centre of a group of near copies has the commonest.
+    """
     values = reps.select("rep", F.posexplode("bands").alias("nth", "value"))
-    shared = values.groupBy("nth", "value").agg(F.count("*").alias("n")).where("n > 1").select("nth", "value")
+    shared = values.groupBy("nth", "value").agg(F.count("*").alias("n")).where("n > 1")
     held = (
         values.join(shared, ["nth", "value"])
         .groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("held"))
+        .agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("held"), F.sum("n").alias("score"))
         .where(F.size("held") > 1)
     )
-    left = held.select("rep", "held", F.posexplode("held").alias("at", "x"))
+    left = held.select("rep", "score", "held", F.posexplode("held").alias("at", "x"))
     pairs = F.transform(
         F.slice("held", F.col("at") + 2, F.size("held")),
         lambda y: F.xxhash64(F.col("x.nth"), F.col("x.value"), y["nth"], y["value"]),
     )
-    return left.select("rep", F.explode(pairs).alias("key"))
+    return left.select("rep", "score", F.explode(pairs).alias("key"))
 
 
 def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -175,10 +181,10 @@ def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return near.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def candidate_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents ``ids`` (doc_id): their full sets as sorted 64-bit values."""
     # the ids of candidates are broadcast only while they are few; beyond that both sides are shuffled
+    ids = cut(ids)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +194,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 made = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
 
-    full = (
+    return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
         .join(wanted, "doc_id")
         .mapInArrow(sets, "doc_id long, shingles binary")
     )
-    # rows of one doc_id: their sets may differ; each is compared
+
+
+def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets (doc_id, shingles) are similar enough.
+
+    Rows of one id may have several sets; each is compared.
+    """
     a = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
 
@@ -231,46 +243,80 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def across(keys: DataFrame, sketch: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components, for the buckets that hold several."""
-    labelled = keys.join(roots, keys["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    labelled = cut(labelled)
-    open_ = (
-        labelled.groupBy("key")
-        .agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n"))
-        .where("first <> last")
-        .select("key", "n")
-    )
-    rows = cut(labelled.join(open_, "key"))
-    few = rows.where(F.col("n") <= SMALL_BUCKET)
+def linked_across(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between components in one block of a large group: exact, and no more than it takes to join them.
+
+    One pass over the block's shingles counts the intersections of a minor member with
+    all others, so a block costs (minor members) x (shingles) and emits a forest.
+    """
+    minor, others = frame[frame["is_minor"]], frame[~frame["is_minor"]]
+    out: list[tuple[int, int]] = []
+    if len(minor) and len(others):
+        sets = [np.frombuffer(x, np.uint64) for x in others["shingles"]]
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.array([len(x) for x in sets])
+        first = np.cumsum(sizes) - sizes
+        roots, ids = others["root"].to_numpy(), others["rep"].to_numpy()
+        joined: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while joined.get(root, root) != root:
+                root = joined[root]
+            return root
+
+        for rep, root, shingles in zip(minor["rep"], minor["root"], minor["shingles"], strict=True):
+            own = np.frombuffer(shingles, np.uint64)
+            held = np.zeros(len(values), np.int64)
+            at = np.searchsorted(values, own)
+            inside = at < len(values)
+            held[at[inside][values[at[inside]] == own[inside]]] = 1
+            same = np.add.reduceat(held[place], first)
+            near = np.flatnonzero((same * 100 >= PERCENT * (sizes + len(own) - same)) & (roots != root))
+            for n in near[np.unique(roots[near], return_index=True)[1]].tolist():
+                x, y = top(int(root)), top(int(roots[n]))
+                if x != y:
+                    joined[max(x, y)] = min(x, y)
+                    out.append((min(rep, ids[n]), max(rep, ids[n])))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def across(star: DataFrame, sketch: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between components that meet in a bucket.
+
+    Buckets with the same hub are one group, so a pair that meets in many tables is
+    looked at once; ``star`` has (a, b): hub and member.
+    """
+    members = star.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(star.select(F.col("a").alias("hub"), F.col("a").alias("rep")).distinct())
+    labelled = members.join(roots, F.col("rep") == F.col("node"), "left").select("hub", "rep", F.coalesce("root", "rep").alias("root"))
+    several = labelled.groupBy("hub").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n"))
+    rows = cut(labelled.join(several.where("first <> last").select("hub", "n"), "hub"))
+    few, many = rows.where(F.col("n") <= SMALL_GROUP), rows.where(F.col("n") > SMALL_GROUP)
     l, r = few.alias("l"), few.alias("r")
-    small = l.join(r, F.col("l.key") == F.col("r.key")).where("l.rep < r.rep and l.root <> r.root").select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-
-    many = rows.where(F.col("n") > SMALL_BUCKET)
+    pairs = l.join(r, F.col("l.hub") == F.col("r.hub")).where("l.rep < r.rep and l.root <> r.root").select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+    small = confirmed(likely(pairs, sketch), full)
     if many.isEmpty():
         return small
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    placed = many.join(sketch.select("rep", "sketch"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    # every block meets every other one once: as the lower block of a pair or as the upper one
-    sides = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "key", "rep", "root", "sketch",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
-    )
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = frame["low"].iloc[0], frame["high"].iloc[0]
-        one, two = frame[frame["block"] == low], frame[frame["block"] == high]
-        out = []
-        if len(one) and len(two):
-            x = np.frombuffer(b"".join(one["sketch"]), np.uint8).reshape(-1, SKETCH)
-            y = np.frombuffer(b"".join(two["sketch"]), np.uint8).reshape(-1, SKETCH)
-            roots_, ids = two["root"].to_numpy(), two["rep"].to_numpy()
-            for n, (rep, root) in enumerate(zip(one["rep"], one["root"], strict=True)):
-                near = ids[((x[n] == y).mean(1) >= SKETCH_SHARE) & (roots_ != root) & ((ids > rep) | (low != high))]
-                out += [(min(rep, i), max(rep, i)) for i in near.tolist()]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    large = sides.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    by_root = many.groupBy("hub", "root").agg(F.count("*").alias("m"))
+    largest = by_root.groupBy("hub").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all"))
+    sizes = many.join(sketch.select("rep", "n_shingles"), "rep").groupBy("hub").agg(F.max("n_shingles").alias("longest"))
+    shape = largest.join(sizes, "hub").select(
+        "hub", F.col("x.root").alias("major"),
+        F.greatest(F.lit(64), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / 8 / F.col("longest")))).alias("size"),
+    )
+    # a block holds "size" minor members and "size" others; both meet in every pair of their blocks
+    sided = many.join(shape, "hub").withColumn("minor", F.col("root") != F.col("major"))
+    n_blocks = F.ceil(F.col("n") / F.col("size")).cast("int")
+    sided = sided.withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    # minor members also stand among the others, so that two of them meet
+    as_other = sided.select("hub", "rep", "root", F.col("own").alias("ob"), F.col("each").alias("mb"), F.lit(False).alias("is_minor"))
+    as_minor = sided.where("minor").select("hub", "rep", "root", F.col("each").alias("ob"), F.col("own").alias("mb"), F.lit(True).alias("is_minor"))
+    placed = as_other.unionByName(as_minor).join(full.withColumnRenamed("doc_id", "rep"), "rep")
+    large = (
+        placed.select("hub", "mb", "ob", "rep", "root", "is_minor", "shingles")
+        .groupBy("hub", "mb", "ob")
+        .applyInPandas(linked_across, "a long, b long")
+    )
     return small.unionByName(large).distinct()
 
 
@@ -288,12 +334,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
     keys = cut(table_keys(reps.select("rep", "bands")).distinct())
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    star = keys.join(hubs, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    hubs = keys.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.rep").alias("a"))
+    star = cut(keys.join(hubs, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    full_sets = cut(candidate_sets(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs))
     sketch = reps.select("rep", "n_shingles", "sketch")
-    first = cut(confirmed(cut(likely(star, sketch)), docs))
+    first = cut(confirmed(likely(star, sketch), full_sets))
     roots = components(first)
-    rest = cut(confirmed(cut(likely(across(keys, sketch, roots), sketch)), docs))
+    rest = cut(across(star, sketch, roots, full_sets))
     roots = cut(components(first.unionByName(rest).unionByName(own)))
 
     named = (
