@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from engram.plans import evaluate, graph, lifecycle, retrieve, text
+from engram.plans import evaluate, graph, lifecycle, retrieve, sequential, text
 
-FAMILIES = (text.PLANS, retrieve.PLANS, graph.PLANS, lifecycle.PLANS, evaluate.PLANS)
+FAMILIES = (text.PLANS, retrieve.PLANS, graph.PLANS, lifecycle.PLANS, evaluate.PLANS, sequential.PLANS)
 QUERIES = {name: f for plans in FAMILIES for name, f in plans.queries.items()}
 ORACLES = {name: sql for plans in FAMILIES for name, sql in plans.oracles.items()}
