@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -50,8 +49,9 @@ SUFFIXES = (3, 4)
 N_FEATURES = 2 + len(PREFIXES) + len(SUFFIXES)
 MIN_DOCS, MIN_LOG_ODDS = 4, 2.5
 EPOCHS, RATE, RIDGE = 30, 0.3, 1e-3
-GROUP = 512
-CACHE_WORDS = 1_000_000
+GROUP, CELLS = 512, 1 << 19
+#: Words whose odds a task keeps.
+CACHE_WORDS = 250_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LETTERS = re.compile(r"[\W\d_]+")
 
@@ -107,12 +107,15 @@ def pair_sums(odds, forward, back, lengths, moves) -> np.ndarray:
     return np.array([np.where(inside, p / total, 0).sum() for p in parts]).reshape(2, 2)
 
 
-def grouped(lengths: np.ndarray, size: int = GROUP) -> Iterator[np.ndarray]:
-    """Indices of non-empty sequences, by falling length, in groups."""
+def grouped(lengths: np.ndarray, size: int = GROUP, cells: int = CELLS) -> Iterator[np.ndarray]:
+    """Indices of non-empty sequences, by falling length, in groups of a bounded area."""
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
-    for at in range(0, len(order), size):
-        yield order[at : at + size]
+    at = 0
+    while at < len(order):
+        n = int(max(1, min(size, cells // lengths[order[at]])))
+        yield order[at : at + n]
+        at += n
 
 
 def padded(values: np.ndarray, first: np.ndarray, lengths: np.ndarray, fill) -> np.ndarray:
@@ -132,8 +135,10 @@ class Chain:
     document: np.ndarray
     constant: float | None = None
 
-    def emission(self, word: bytes) -> float:
-        return float(np.exp(np.clip(self.weights[features(stem(word))].sum(), -18, 18)))
+    def emissions(self, words: list[bytes]) -> list[float]:
+        """Emission odds of words."""
+        table_ = np.array([features(stem(w)) for w in words], np.int32).reshape(-1, N_FEATURES)
+        return np.exp(np.clip(emission_sums(self.weights, table_), -18, 18)).tolist()
 
     def marginals(self, odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         first, out = np.cumsum(lengths) - lengths, np.zeros(len(odds))
@@ -161,25 +166,35 @@ def document_inputs(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(lengths)), np.log(most / (1 - most)), np.log(total + 1e-2)], 1)
 
 
-def token_labels(words: list[list[bytes]], toxic: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Word numbers of all tokens, the distinct words, and which of them are toxic where they stand in toxic documents."""
+def read_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(word numbers of all tokens, words of each text, distinct words)."""
     number: dict[bytes, int] = {}
-    tokens = np.array([number.setdefault(w, len(number)) for doc in words for w in doc], np.int64)
-    distinct = list(number)
-    stems = [stem(w) for w in distinct]
-    forms = [{s, *(s[:k] + "*" for k in PREFIXES if len(s) >= k)} if s else set() for s in stems]
-    counts = (Counter(), Counter())
-    at = 0
-    for doc, label in zip(words, toxic, strict=True):
-        seen = {f for w in np.unique(tokens[at : at + len(doc)]).tolist() for f in forms[w]}
-        counts[int(label)].update(seen)
-        at += len(doc)
-    n = (int((toxic == 0).sum()), int((toxic == 1).sum()))
-    marked = {
-        form for form, k in counts[1].items()
-        if k >= MIN_DOCS and np.log((k + 0.5) / (n[1] + 1)) - np.log((counts[0][form] + 0.5) / (n[0] + 1)) >= MIN_LOG_ODDS
-    }
-    return tokens, distinct, np.array([bool(f & marked) for f in forms], bool)
+    parts = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
+    return np.concatenate(parts), np.array([len(p) for p in parts]), list(number)
+
+
+def toxic_words(tokens: np.ndarray, lengths: np.ndarray, stems: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Which distinct words are toxic where they stand in toxic documents: those with a form far commoner there.
+
+    Forms are a word and its beginnings, as 32-bit hashes in flat arrays.
+    """
+    none = zlib.crc32(b"")
+    hashes = (zlib.crc32(f"{s[:k]}*".encode() if k else s.encode()) if len(s) >= k else none for s in stems for k in (0, *PREFIXES))
+    forms = np.fromiter(hashes, np.uint32, len(stems) * (1 + len(PREFIXES))).reshape(-1, 1 + len(PREFIXES))
+    values, place = np.unique(forms, return_inverse=True)
+    place = place.reshape(forms.shape)
+    counts, at = np.zeros((2, len(values))), 0
+    for size, label in zip(lengths.tolist(), toxic.tolist(), strict=True):
+        counts[int(label), np.unique(place[np.unique(tokens[at : at + size])])] += 1
+        at += size
+    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
+    odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
+    marked = (counts[1] >= MIN_DOCS) & (odds >= MIN_LOG_ODDS) & (values != none)
+    return marked[place].any(1)
+
+
+def emission_sums(theta: np.ndarray, table_: np.ndarray) -> np.ndarray:
+    return sum(theta[column] for column in table_.T)
 
 
 def train(texts: list[bytes], toxic: np.ndarray, toxic_share: float, epochs: int = EPOCHS) -> Chain:
@@ -187,31 +202,34 @@ def train(texts: list[bytes], toxic: np.ndarray, toxic_share: float, epochs: int
     flat = Chain(np.zeros(FEATURES), np.ones((2, 2)), 1.0, np.zeros(3), toxic_share)
     if not len(texts) or toxic.min() == toxic.max():
         return flat
-    words = [WORD.findall(t.lower()) for t in texts]
-    lengths = np.array([len(w) for w in words])
-    tokens, distinct, marked = token_labels(words, toxic)
-    gold = marked[tokens] & np.repeat(toxic == 1, lengths)
-    table_ = np.array([features(stem(w)) for w in distinct], np.int64).reshape(-1, N_FEATURES)
+    tokens, lengths, distinct = read_tokens(texts)
+    stems = [stem(w) for w in distinct]
+    gold = toxic_words(tokens, lengths, stems, toxic)[tokens] & np.repeat(toxic == 1, lengths)
+    table_ = np.fromiter((x for s in stems for x in features(s)), np.int32, len(stems) * N_FEATURES).reshape(-1, N_FEATURES)
+    n_words = len(distinct)
+    del stems, distinct
     first = np.cumsum(lengths) - lengths
-    groups = [(g, lengths[g], padded(tokens, first[g], lengths[g], 0), padded(gold, first[g], lengths[g], False)) for g in grouped(lengths)]
+    groups = list(grouped(lengths))
 
     theta, pair, start = np.zeros(FEATURES), np.zeros((2, 2)), 0.0
     theta[0] = np.log((gold.sum() + 1) / (len(gold) + 2)) / N_FEATURES
     state = [[np.zeros(FEATURES), np.zeros(FEATURES)], [np.zeros((2, 2)), np.zeros((2, 2))], [0.0, 0.0]]
     for epoch in range(1, epochs + 1):
-        emissions = np.exp(np.clip(theta[table_].sum(1), -18, 18))
+        emissions = np.exp(np.clip(emission_sums(theta, table_), -18, 18))
         moves, starts = np.exp(pair), float(np.exp(start))
-        by_word, d_pair, d_start = np.zeros(len(distinct)), np.zeros((2, 2)), 0.0
-        for _, long, ids, truth in groups:
+        by_word, d_pair, d_start = np.zeros(n_words), np.zeros((2, 2)), 0.0
+        for group in groups:
+            long = lengths[group]
+            ids, truth = padded(tokens, first[group], long, 0), padded(gold, first[group], long, False)
             inside = np.arange(long[0])[:, None] < long[None, :]
             odds = np.where(inside, emissions[ids], 0.0)
             made, forward, back = chain_marginals(odds, long, moves, starts)
-            by_word += np.bincount(ids[inside], (truth - made)[inside], len(distinct))
+            by_word += np.bincount(ids[inside], (truth - made)[inside], n_words)
             d_start += float((truth[0] - made[0]).sum())
             both, (a, b) = inside[1:], (truth[:-1], truth[1:])
             seen = np.array([(~a & ~b & both).sum(), (~a & b & both).sum(), (a & ~b & both).sum(), (a & b & both).sum()])
             d_pair += seen.reshape(2, 2) - pair_sums(odds, forward, back, long, moves)
-        d_theta = np.bincount(table_.ravel(), np.repeat(by_word, table_.shape[1]), FEATURES) - RIDGE * theta * len(texts)
+        d_theta = sum(np.bincount(column, by_word, FEATURES) for column in table_.T) - RIDGE * theta * len(texts)
         for n, (value, slope) in enumerate(((theta, d_theta), (pair, d_pair - RIDGE * pair), (start, d_start - RIDGE * start))):
             state[n][0] = 0.8 * state[n][0] + 0.2 * slope
             state[n][1] = 0.95 * state[n][1] + 0.05 * slope**2
@@ -223,7 +241,7 @@ def train(texts: list[bytes], toxic: np.ndarray, toxic_share: float, epochs: int
             else:
                 start = value + step
     made = Chain(theta, np.exp(np.clip(pair, -9, 9)), float(np.exp(np.clip(start, -9, 9))), np.zeros(3))
-    odds = np.exp(np.clip(theta[table_].sum(1), -18, 18))[tokens]
+    odds = np.exp(np.clip(emission_sums(theta, table_), -18, 18))[tokens]
     inputs = document_inputs(made.marginals(odds, lengths), lengths)
     share = toxic.mean()
     weight = np.where(toxic == 1, toxic_share / share, (1 - toxic_share) / (1 - share))
@@ -249,9 +267,6 @@ def spans_of(text: bytes, marginals: np.ndarray) -> list[dict]:
     return out
 
 
-_odds_of_words: dict[int, dict[bytes, float]] = {}
-
-
 def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, spans) of every row of ``docs``."""
     return _scored(docs.select(F.col(id_col).cast("long"), F.col(text_col)), chain, text_col, keep=[id_col])
@@ -264,7 +279,6 @@ def clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
 
 
 def _scored(docs: DataFrame, chain: Chain, text_col: str, keep: list[str]) -> DataFrame:
-    mark = zlib.crc32(chain.weights.tobytes())
     bare = keep == docs.columns
     names = ["__score", "__predicted"] if bare else ["score", "predicted", "spans"]
     kinds = ["double", "int", "array<struct<start:long,length:long,chance:double>>"]
@@ -272,20 +286,17 @@ def _scored(docs: DataFrame, chain: Chain, text_col: str, keep: list[str]) -> Da
     text_at, kept_at = docs.columns.index(text_col), [docs.columns.index(c) for c in keep]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _odds_of_words.setdefault(mark, {})
+        known: dict[bytes, float] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = [t or b"" for t in part.column(text_at).cast(pa.binary()).to_pylist()]
-                words, odds = [t.lower().split() for t in texts], []
+                words = [t.lower().split() for t in texts]
                 if len(known) > CACHE_WORDS:
-                    kept = dict(islice(known.items(), CACHE_WORDS // 3))
-                    known.clear()
-                    known.update(kept)
-                for doc in words:
-                    for w in set(doc).difference(known):
-                        known[w] = chain.emission(w)
-                    odds.append(np.fromiter(map(known.__getitem__, doc), np.float64, len(doc)))
+                    known = dict(islice(known.items(), CACHE_WORDS // 3))
+                new = list(set().union(*words).difference(known))
+                known.update(zip(new, chain.emissions(new), strict=True))
+                odds = [np.fromiter(map(known.__getitem__, doc), np.float64, len(doc)) for doc in words]
                 lengths = np.array([len(w) for w in words])
                 marginals = chain.marginals(np.concatenate(odds), lengths)
                 scores = chain.scores(marginals, lengths)
