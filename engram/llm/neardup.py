@@ -57,7 +57,8 @@ SMALL_GROUP = 16
 #: A block of a large group: rows at most, and bytes of the longest sets at most.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 64 << 20
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 1_000_000
+#: Words whose hashes a task keeps; they go when the task ends, so that idle workers hold nothing.
+CACHE_WORDS = 250_000
 _MULTIPLIERS = np.random.default_rng(2).integers(1, 1 << 32, (2, SKETCH), dtype=np.uint64).astype(np.uint32)
 _MULTIPLIERS[0] |= 1
 _known_words: dict[bytes, int] = {}
@@ -139,6 +140,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()),
                 )
                 yield pa.RecordBatch.from_arrays(list(columns), names=[c.split()[0] for c in SKETCH_SCHEMA.split(", ")])
+        _known_words.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(made, SKETCH_SCHEMA)
 
@@ -193,6 +195,7 @@ def candidate_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 made = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
+        _known_words.clear()
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
@@ -302,7 +305,7 @@ def across(star: DataFrame, sketch: DataFrame, roots: DataFrame, full: DataFrame
     sizes = many.join(sketch.select("rep", "n_shingles"), "rep").groupBy("hub").agg(F.max("n_shingles").alias("longest"))
     shape = largest.join(sizes, "hub").select(
         "hub", F.col("x.root").alias("major"),
-        F.greatest(F.lit(64), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / 8 / F.col("longest")))).alias("size"),
+        F.greatest(F.lit(4), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / 8 / F.col("longest")))).alias("size"),
     )
     # a block holds "size" minor members and "size" others; both meet in every pair of their blocks
     sided = many.join(shape, "hub").withColumn("minor", F.col("root") != F.col("major"))
