@@ -45,8 +45,8 @@ from engram.llm.common import cut, parallelism, table
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-#: Words kept in a worker's cache; when full, the earliest third (mostly frequent words) stays.
-CACHE_WORDS = 1_000_000
+#: Words kept by a task; when full, the earliest third (mostly frequent words) stays.
+CACHE_WORDS = 600_000
 #: The pre-tokenizer for which words and pieces may be encoded one by one.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -119,6 +119,11 @@ class Encoder:
                 found = (core, text[len(core) :]) if core.isalpha() else self.split.findall(text)
             words[word] = b"".join([known.get(piece) or piece_of(piece) for piece in found])
 
+    def forget(self) -> None:
+        """Empty the caches: a task's end, so that idle workers hold nothing."""
+        if self.by_word:
+            self.words, self.pieces = {}, {}
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.by_word:
             yield from (self._ids(text.decode()) for text in texts)
@@ -166,6 +171,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                 [pa.array(c, t) for c, t in zip(rows, types, strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        made.forget()
+        gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(pieces, PIECES_SCHEMA)
 
@@ -263,8 +270,8 @@ def pack(
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     local = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    # counts has at most capacity * salts rows: a proven bound for the broadcast
-    ranked = pieces.withColumn("at", F.row_number().over(local)).join(F.broadcast(firsts), ["length", "salt"])
+    # the window has dealt the pieces by these keys already, so the join moves the few counts only
+    ranked = pieces.withColumn("at", F.row_number().over(local)).join(firsts, ["length", "salt"])
 
     keys = moves[:, 0] * (1 << 42) + moves[:, 1]
 
