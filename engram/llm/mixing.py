@@ -12,7 +12,9 @@ of the balancing constraints (number of documents, number of words) until one
 of them is 0 or 1.  It runs in blocks of a source, then on what the blocks
 leave over, level by level, until at most two fractional units of a source
 remain; the landing then takes the subset that misses the source's words least,
-and settles the rest of the error within the last block.
+and settles the rest of the error within the last block.  A source of several
+blocks settles what is left (an open unit may be very long) over all its units:
+in one block that can take it up easily, or else by shares over all its blocks.
 So a hot source is split over many blocks, and reruns agree: blocks depend on
 a hash of the rows, not on how the table is stored.
 
@@ -44,6 +46,8 @@ BLOCK_ROWS = 4096
 #: Blocks whose leftovers meet in one block of the next level (at most two rows each).
 FAN_IN = 1024
 BROADCAST_SOURCES = 10_000
+#: Passes that settle the error of sources of several blocks; the second is needed where the first spreads it.
+ROUNDS = 3
 TINY = 1e-9
 
 
@@ -130,6 +134,17 @@ def landing(chances: list[float], sizes: list[float], start: list[float]) -> lis
     return out
 
 
+def settle(values: list[float], sizes: list[float], error: float) -> list[float]:
+    """Flip units as long as a flip lessens ``error`` (words taken too many): as they come, then largest first for the rest."""
+    out = list(values)
+    for order in (range(len(out)), sorted(range(len(out)), key=lambda n: (-sizes[n], n))):
+        for n in order:
+            change = sizes[n] * (1 - 2 * out[n])
+            if abs(error + change) < abs(error):
+                out[n], error = 1 - out[n], error + change
+    return out
+
+
 UNIT_COLUMNS = "doc_id long, source string, size long, source_size long, target double, blocks long, place long, chance double"
 
 
@@ -157,14 +172,15 @@ def mix(
         .drop("rate")
     )
 
-    def fly(level: int, last: bool):
+    def fly(level: int):
         def block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             # large documents are decided first, so what is left open is small
             frame = frame.sort_values(["size", "place", "doc_id"], ascending=[False, True, True], kind="stable")
             sizes_, start = frame["size"].astype(float).tolist(), zlib.crc32(repr((seed, level, key)).encode())
             before = frame["chance"].tolist()
             moved = flight(before, sizes_, start)
-            frame["chance"] = landing(moved, sizes_, before) if last else moved
+            # a source lands where it meets in one block, however many the others have
+            frame["chance"] = landing(moved, sizes_, before) if frame["blocks"].iloc[0] <= FAN_IN**level else moved
             return frame.drop(columns="block")
 
         return block
@@ -179,7 +195,7 @@ def mix(
         flown = (
             left.withColumn("block", block)
             .groupBy("source", "block")
-            .applyInPandas(fly(level, last), schema)
+            .applyInPandas(fly(level), schema)
             .select(names)
         )
         flown = flown if last else cut(flown)
@@ -189,11 +205,63 @@ def mix(
             break
         left = flown.where("chance > 0 and chance < 1")
         level, most = level + 1, math.ceil(most / FAN_IN)
+    if level:
+        done = settled(done, schema)
     return done.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("chance").cast("long")).alias("copies")
     )
 
 
+def settled(units: DataFrame, schema: str) -> DataFrame:
+    """``units`` (all decided) with the error in words of every source of several blocks settled over its blocks."""
+    block = F.pmod(F.col("place"), F.col("blocks"))
+    names = units.columns
+    own = Window.partitionBy("source")
+
+    def flip(frame: pd.DataFrame) -> pd.DataFrame:
+        quota = float(frame["quota"].iloc[0])
+        frame = frame.drop(columns=["block", "quota"])
+        if quota:
+            frame = frame.sort_values(["place", "size", "doc_id"], kind="stable")
+            free = frame["size"].to_numpy() > 0
+            frame.loc[free, "chance"] = settle(frame.loc[free, "chance"].tolist(), frame.loc[free, "size"].astype(float).tolist(), quota)
+        return frame
+
+    # shares leave less than a unit in each block, which one block then takes up
+    for _ in range(ROUNDS):
+        units = cut(units)
+        rate = F.col("target") / F.col("source_size")
+        free = (F.col("blocks") > 1) & (F.col("size") > 0) & (rate - F.floor(rate)).between(TINY, 1 - TINY)
+        size = lambda on: F.sum(F.when(free & on, F.col("size")).otherwise(0))
+        quotas = (
+            units.groupBy("source", block.alias("block"))
+            .agg(
+                F.max(F.when(free, F.col("target") - F.floor(rate) * F.col("source_size"))).alias("extra"),
+                size(F.col("chance") < 0.5).alias("up"), size(F.col("chance") > 0.5).alias("down"),
+            )
+            .withColumn("error", F.sum("down").over(own) - F.max("extra").over(own))
+            .withColumn("room", F.when(F.col("error") > 0, F.col("down")).otherwise(F.col("up")))
+            .withColumn("best", F.max(F.struct("room", "block")).over(own))
+            .withColumn("spread", F.abs("error") * 4 > F.col("best")["room"])
+            .withColumn("part", F.when(F.col("spread"), F.try_divide("room", F.sum("room").over(own))).otherwise((F.col("block") == F.col("best")["block"]).cast("double")))
+            .select("source", "block", F.coalesce(F.col("error") * F.col("part"), F.lit(0.0)).alias("quota"), "spread")
+        )
+        quotas = cut(quotas)
+        again = quotas.agg(F.max("spread")).first()[0]
+        q = quotas.select(F.col("source").alias("of"), F.col("block").alias("in"), "quota")
+        units = (
+            units.withColumn("block", block)
+            .join(q, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in")))
+            .select(*names, "block", "quota")
+            .groupBy("source", "block")
+            .applyInPandas(flip, schema)
+            .select(names)
+        )
+        if not again:
+            break
+    return units
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")

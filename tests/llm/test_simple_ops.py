@@ -180,6 +180,23 @@ def test_mix_targets_and_words(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_settles_long_documents_beside_a_hot_source(spark):
+    r = random.Random(5)
+    rows = [(n, "w " * r.randint(1, 40), "hot") for n in range(3000)]
+    rows += [(10_000 + n, "w " * r.randint(50, 400), s) for s in ("small", None) for n in range(600)]
+    rows += [(20_000, "w " * 30_000, "hot"), (20_001, "w " * 60_000, "small"), (20_002, "w " * 60_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((1, 2, 3), (3, 2, 1), (5, 4, 4)):
+        got = mixing.mix(docs, weights=weights, block_rows=700).collect()
+        assert sorted(g.doc_id for g in got) == sorted(n for n, *_ in rows)
+        for name in ("hot", "small", None):
+            own = [g for g in got if g.source == name]
+            low = min(g.size for g in own)
+            assert abs(sum(g.size * g.copies for g in own) - own[0].target) <= max(2, low), (weights, name)
+        again = mixing.mix(docs.repartition(5), weights=weights, block_rows=700).collect()
+        assert sorted((g.doc_id, g.copies) for g in got) == sorted((g.doc_id, g.copies) for g in again)
+
+
 def test_cube_flight_keeps_the_constraints():
     r = random.Random(1)
     sizes, chances = [float(r.randint(1, 500)) for _ in range(400)], [0.3] * 400
