@@ -176,6 +176,29 @@ def test_window_borders_do_not_change_scores(monkeypatch):
     assert np.allclose(lmscore.log_likelihoods(net, docs, 0), whole, atol=1e-3)
 
 
+def test_network_learns_from_long_texts_in_many_tasks(spark, monkeypatch):
+    r, words = random.Random(8), [f"w{n}" for n in range(40)]
+
+    def text():
+        at = r.randrange(40)
+        return " ".join(words[(at + n) % 40] for n in range(6000))  # each word tells the next
+
+    df = frame(spark, [(n, text()) for n in range(40)])
+    model, counts = lmscore.fit(df)
+    rows = df.selectExpr("doc_id AS place", "text")
+    parts = {}
+    for p in sorted(lmscore.pieces(rows, model).collect(), key=lambda p: (p.place, p.n)):
+        ids = np.frombuffer(p.ids, "<i4")
+        assert p.preceding == (-2 - parts[p.place][-1] if p.n else -1) and len(ids) <= lmscore.PIECE_WORDS
+        parts.setdefault(p.place, []).extend(ids.tolist())
+    read = lmscore.reader(model)
+    assert all(parts[n] == read(t.encode())[0].tolist() for n, t in rows.collect())
+    monkeypatch.setattr(lmscore, "TASK_WORDS", 20_000)
+    for made in (model, lmscore.fit(df)[0]):
+        held = [g for g in lmscore.score(df, made, counts).collect() if g.held_out]
+        assert held and sum(g.score - g.base_score for g in held) > 0.1 * sum(g.n_tokens for g in held)
+
+
 def test_network_gradient():
     net = lmscore.Network.start(np.arange(20, 0, -1).astype(float), np.ones(4), seed=1)
     for k in net.weights:
