@@ -226,6 +226,11 @@ def test_lm_without_training_rows(spark):
 
 # --- HTML
 
+def test_custom_and_self_closed_elements_are_not_raw():
+    page = "<p>a<svg-icon>b</svg-icon><svg width=1 /></p><title-bar>c</title-bar><p>d</p><svg><text>no</text></svg><title>no</title><svg/><p>e</p>"
+    assert "".join(text for text, *_ in htmltext.leaf_blocks(page)) == "abcde"
+
+
 def test_labeller_on_unseen_layouts():
     labeller = htmltext.trained()
     grammar = htmltext.PageGrammar(77)
