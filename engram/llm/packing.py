@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import cut, parallelism, table
+from engram.llm.common import cut, give_back, parallelism, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -173,6 +173,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
             )
         made.forget()
         gc.enable()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(pieces, PIECES_SCHEMA)
 

@@ -22,6 +22,7 @@ Defined results
   gives no rows.
 * ``sample_rows`` bounds the training rows of each label (chosen by a hash of
   the id) and ``sample_chars`` the length of a training text; scoring has no bounds.
+  One task trains on this sample and returns the weights; the driver holds no texts.
 """
 
 from __future__ import annotations
@@ -33,12 +34,11 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import id_remainder, table
+from engram.llm.common import fresh, give_back, id_remainder, table
 
 HELD_OUT_MODULUS = 5
 SAMPLE_ROWS = 1500
@@ -135,6 +135,15 @@ class Chain:
     document: np.ndarray
     constant: float | None = None
 
+    def dumps(self) -> bytes:
+        constant = np.nan if self.constant is None else self.constant
+        return np.concatenate((self.moves.ravel(), [self.starts], self.document, [constant], self.weights)).astype("<f8").tobytes()
+
+    @classmethod
+    def loads(cls, data: bytes) -> Chain:
+        x = np.frombuffer(data, "<f8")
+        return cls(x[9:], x[:4].reshape(2, 2), float(x[4]), x[5:8], None if np.isnan(x[8]) else float(x[8]))
+
     def emissions(self, words: list[bytes]) -> list[float]:
         """Emission odds of words."""
         table_ = np.array([features(stem(w)) for w in words], np.int32).reshape(-1, N_FEATURES)
@@ -275,12 +284,12 @@ def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
 def clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the chain does not reject, with the columns they had."""
     scored = _scored(docs, chain, text_col, keep=docs.columns)
-    return scored.where("__predicted = 0").select(docs.columns)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _scored(docs: DataFrame, chain: Chain, text_col: str, keep: list[str]) -> DataFrame:
     bare = keep == docs.columns
-    names = ["__score", "__predicted"] if bare else ["score", "predicted", "spans"]
+    names = [fresh(docs, "score"), fresh(docs, "predicted")] if bare else ["score", "predicted", "spans"]
     kinds = ["double", "int", "array<struct<start:long,length:long,chance:double>>"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("chance", pa.float64())]))
     text_at, kept_at = docs.columns.index(text_col), [docs.columns.index(c) for c in keep]
@@ -309,6 +318,8 @@ def _scored(docs: DataFrame, chain: Chain, text_col: str, keep: list[str]) -> Da
                     ]
                     made.append(pa.array(spans, span))
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in kept_at] + made, names=keep + names)
+        del known
+        give_back()
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {k}" for n, k in zip(names, kinds, strict=False)]
     return docs.mapInArrow(score, ", ".join(fields))
@@ -331,13 +342,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
         .where(F.length("text") <= sample_chars)
         .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "toxic", F.col("text").cast("binary").alias("text"))
-        .toPandas()
     )
-    if rows.empty:
-        return train([], np.zeros(0), share)
-    rows["order"] = [zlib.crc32(t) for t in rows["text"]]
-    rows = rows.sort_values(["doc_id", "toxic", "order"], kind="stable")
-    return train([bytes(t) for t in rows["text"]], rows["toxic"].to_numpy(), share, epochs)
+
+    # one task sees the bounded sample and returns weights, so the driver never holds texts
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int, int, bytes]] = []
+        for batch in batches:
+            for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.append((doc_id, label, zlib.crc32(text), text))
+        found.sort(key=lambda r: r[:3])
+        chain = train([r[3] for r in found], np.array([r[1] for r in found], np.int64), share, epochs)
+        del found
+        yield pa.RecordBatch.from_arrays([pa.array([chain.dumps()], pa.binary())], names=["chain"])
+        give_back()
+
+    made = rows.repartition(1).mapInArrow(fitted, "chain binary").collect()
+    return Chain.loads(made[0]["chain"]) if made else train([], np.zeros(0), share)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
