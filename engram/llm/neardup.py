@@ -14,12 +14,12 @@ Skew
   key and is dropped before the keys are formed.
 * A bucket never emits all its pairs: first each member is compared with the
   bucket's most central member only (a star), and the links found are closed to
-  components.  Only stars that still hold several components are looked at again,
-  and only for pairs across components: small ones pair by pair; in large ones the
-  members outside the largest component are compared with all others in blocks,
-  on full sets, and a block emits only the links that join components.  So no
-  link is lost to a cap, and no step emits the pairs of a large group.
-* Buckets, stars and components are joins and aggregations that Spark can split.
+  components.  Only stars whose members lie in several components are looked at
+  again, all by one rule: members outside the star's largest component are compared
+  with all others in blocks, on full sets, and a block emits only the links that join
+  components.  So no link is lost to a cap, and no step emits the pairs of a large group.
+* Joins by the centre of a star split large stars into parts (``split_join``); all
+  else are joins and aggregations that Spark can split.
 
 Defined results
 ---------------
@@ -28,8 +28,9 @@ Defined results
   Null, empty and wordless texts have an empty set and are linked with nothing.
 * Shingles are 64-bit hashes of their word sequence.
 * Repeated rows get a row each.  Rows of one doc_id are one document: their links
-  are joined.  A null id links through its text but is never a component's name,
-  so its component is null if no other document is in it.
+  are joined.  A null id links through an equal set but is never a component's name,
+  so its component is null if no document with an id has that set; callers that need
+  more number such rows first (``common.numbered_ids``).
 * Extra columns are ignored.  An empty table gives no rows.
 """
 
@@ -45,21 +46,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import cut, table
+from engram.llm.common import cut, give_back, table
 
 SHINGLE_WORDS = 5
 PERCENT = 75
 COLLECTIONS, ROWS = 16, 2
-SKETCH = 64
-#: Least share of equal sketch bytes: 4.6 standard deviations below 0.75.
-SKETCH_SHARE = 0.5
-SMALL_GROUP = 16
-#: A block of a large group: rows at most, and bytes of the longest sets at most.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 64 << 20
+#: A block of a star: rows at most, and bytes of the longest sets at most.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 BROADCAST_IDS = 1_000_000
+#: A key of more rows than this, and than one in SPLIT_KEYS of all rows, is split in joins.
+SPLIT_ROWS, SPLIT_KEYS = 512, 1000
 #: Words whose hashes a task keeps; they go when the task ends, so that idle workers hold nothing.
 CACHE_WORDS = 250_000
-_MULTIPLIERS = np.random.default_rng(2).integers(1, 1 << 32, (2, SKETCH), dtype=np.uint64).astype(np.uint32)
+_MULTIPLIERS = np.random.default_rng(2).integers(1, 1 << 32, (2, COLLECTIONS * ROWS), dtype=np.uint64).astype(np.uint32)
 _MULTIPLIERS[0] |= 1
 _known_words: dict[bytes, int] = {}
 
@@ -101,17 +100,17 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     """(set, function) minhashes of non-empty sets."""
     values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     first = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((SKETCH, len(sets)), np.uint32)
-    for n in range(SKETCH):
+    out = np.empty((COLLECTIONS * ROWS, len(sets)), np.uint32)
+    for n in range(COLLECTIONS * ROWS):
         out[n] = np.minimum.reduceat(values * _MULTIPLIERS[0, n] + _MULTIPLIERS[1, n], first)
     return out.T
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """Set size, 128-bit set identity, collections and byte sketch of every row; the last two null for empty sets."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """Set size, 128-bit set identity and collection values of every row; the last null for empty sets."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,67 +119,66 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column(1).to_pylist())
                 full = [n for n, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
-                sketch: list = [None] * len(sets)
                 ids = np.zeros((2, len(sets)), np.int64)
-                for n, s in enumerate(sets):
-                    ids[0, n] = s.sum(dtype=np.uint64).view(np.int64) if len(s) else 0
-                    ids[1, n] = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)
+                for n in full:
+                    ids[0, n] = sets[n].sum(dtype=np.uint64).view(np.int64)
+                    ids[1, n] = np.uint64(xxhash.xxh3_64_intdigest(sets[n].tobytes())).view(np.int64)
                 if full:
-                    low = minhashes([sets[n] for n in full])
-                    pairs = low[:, : COLLECTIONS * ROWS].astype(np.uint64).reshape(len(full), COLLECTIONS, ROWS)
+                    pairs = minhashes([sets[n] for n in full]).astype(np.uint64).reshape(len(full), COLLECTIONS, ROWS)
                     keys = pairs[:, :, 0]
                     for k in range(1, ROWS):
                         keys = _mixed(keys) + pairs[:, :, k]
                     keys = _mixed(keys + np.arange(COLLECTIONS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                    small = _mixed(low.astype(np.uint64)).astype(np.uint8)
                     for row, n in enumerate(full):
-                        bands[n], sketch[n] = keys[row].tolist(), small[row].tobytes()
+                        bands[n] = keys[row].tolist()
                 columns = (
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[0]), pa.array(ids[1]),
-                    pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()),
+                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[0]), pa.array(ids[1]), pa.array(bands, pa.list_(pa.int64())),
                 )
-                yield pa.RecordBatch.from_arrays(list(columns), names=[c.split()[0] for c in SKETCH_SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays(list(columns), names=[c.split()[0] for c in SIGNATURE_SCHEMA.split(", ")])
         _known_words.clear()
+        give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(made, SKETCH_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(made, SIGNATURE_SCHEMA)
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep, score) of every table key that may be shared; ``reps`` has rep and bands.
+    """(key, rep, n, score) of every table key that may be shared; ``reps`` has rep, n_shingles and bands.
 
     The score tells how common a representative's collection values are: the
     centre of a group of near copies has the commonest.
     """
-    values = reps.select("rep", F.posexplode("bands").alias("nth", "value"))
+    values = reps.select("rep", "n_shingles", F.posexplode("bands").alias("nth", "value"))
     shared = values.groupBy("nth", "value").agg(F.count("*").alias("n")).where("n > 1")
     held = (
         values.join(shared, ["nth", "value"])
-        .groupBy("rep")
+        .groupBy("rep", "n_shingles")
         .agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("held"), F.sum("n").alias("score"))
         .where(F.size("held") > 1)
     )
-    left = held.select("rep", "score", "held", F.posexplode("held").alias("at", "x"))
+    left = held.select("rep", F.col("n_shingles").alias("n"), "score", "held", F.posexplode("held").alias("at", "x"))
     pairs = F.transform(
         F.slice("held", F.col("at") + 2, F.size("held")),
         lambda y: F.xxhash64(F.col("x.nth"), F.col("x.value"), y["nth"], y["value"]),
     )
-    return left.select("rep", "score", F.explode(pairs).alias("key"))
+    return left.select("rep", "n", "score", F.explode(pairs).alias("key"))
 
 
-def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose set sizes allow a link and whose sketches do not rule it out."""
-    near = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a").join(
-        sketch.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b"
-    )
-    near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, SKETCH) for n in (2, 3))
-            keep = (a == b).mean(1) >= SKETCH_SHARE
-            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep)) for n in (0, 1)], names=["a", "b"])
+def split_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` (read several times: cut it first) with ``few`` on ``key``; hot keys of ``rows`` meet in parts.
 
-    return near.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+    A key with more rows than ``SPLIT_ROWS``, and than one in ``SPLIT_KEYS`` of all, is hot: there are
+    no more than ``SPLIT_KEYS`` of them, so their list is broadcast, and what ``few`` holds of them
+    is repeated once a part.
+    """
+    most = max(SPLIT_ROWS, -(-rows.count() // SPLIT_KEYS))
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    hot = cut(hot.select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return rows.join(few, key)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("__parts")
+    right = few.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
 
 
 def candidate_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -196,6 +194,7 @@ def candidate_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 made = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
         _known_words.clear()
+        give_back()
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
@@ -205,7 +204,7 @@ def candidate_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets (doc_id, shingles) are similar enough.
+    """The pairs (a, b) whose full sets (doc_id, shingles) are similar enough; one ``a`` may have very many ``b``.
 
     Rows of one id may have several sets; each is compared.
     """
@@ -223,31 +222,32 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 keep.append(same * 100 >= PERCENT * (len(both) - same) and same > 0)
             yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep, pa.bool_())) for n in (0, 1)], names=["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long").distinct()
+    return split_join(pairs, a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b): alternating large and small stars until nothing changes."""
+    """(node, root) of every node of ``links`` (a, b) but the roots: alternating large and small stars until nothing changes."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
 
     before = state(edges)
-    while True:
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
         if (now := state(edges)) == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def linked_across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between components in one block of a large group: exact, and no more than it takes to join them.
+    """Links between components in one block of a star, as pairs of roots: exact, and no more than it takes to join them.
 
     One pass over the block's shingles counts the intersections of a minor member with
     all others, so a block costs (minor members) x (shingles) and emits a forest.
@@ -259,7 +259,7 @@ def linked_across(frame: pd.DataFrame) -> pd.DataFrame:
         values, place = np.unique(np.concatenate(sets), return_inverse=True)
         sizes = np.array([len(x) for x in sets])
         first = np.cumsum(sizes) - sizes
-        roots, ids = others["root"].to_numpy(), others["rep"].to_numpy()
+        roots = others["root"].to_numpy()
         joined: dict[int, int] = {}
 
         def top(root: int) -> int:
@@ -267,7 +267,7 @@ def linked_across(frame: pd.DataFrame) -> pd.DataFrame:
                 root = joined[root]
             return root
 
-        for rep, root, shingles in zip(minor["rep"], minor["root"], minor["shingles"], strict=True):
+        for root, shingles in zip(minor["root"], minor["shingles"], strict=True):
             own = np.frombuffer(shingles, np.uint64)
             held = np.zeros(len(values), np.int64)
             at = np.searchsorted(values, own)
@@ -275,83 +275,81 @@ def linked_across(frame: pd.DataFrame) -> pd.DataFrame:
             held[at[inside][values[at[inside]] == own[inside]]] = 1
             same = np.add.reduceat(held[place], first)
             near = np.flatnonzero((same * 100 >= PERCENT * (sizes + len(own) - same)) & (roots != root))
-            for n in near[np.unique(roots[near], return_index=True)[1]].tolist():
-                x, y = top(int(root)), top(int(roots[n]))
+            for other in np.unique(roots[near]).tolist():
+                x, y = top(int(root)), top(other)
                 if x != y:
                     joined[max(x, y)] = min(x, y)
-                    out.append((min(rep, ids[n]), max(rep, ids[n])))
+                    out.append((min(x, y), max(x, y)))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def across(star: DataFrame, sketch: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between components that meet in a bucket.
+def across(star: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between components that meet in a star, as pairs (a, b) of their roots.
 
-    Buckets with the same hub are one group, so a pair that meets in many tables is
-    looked at once; ``star`` has (a, b): hub and member.
+    ``star`` has (a, b, nb): centre, member and the member's set size.  Centres have been compared with
+    all their members, so what is left are pairs of members.  Buckets with the same centre
+    are one star, so a pair that meets in many tables is looked at once.
     """
-    members = star.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(star.select(F.col("a").alias("hub"), F.col("a").alias("rep")).distinct())
-    labelled = members.join(roots, F.col("rep") == F.col("node"), "left").select("hub", "rep", F.coalesce("root", "rep").alias("root"))
-    several = labelled.groupBy("hub").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n"))
-    rows = cut(labelled.join(several.where("first <> last").select("hub", "n"), "hub"))
-    few, many = rows.where(F.col("n") <= SMALL_GROUP), rows.where(F.col("n") > SMALL_GROUP)
-    l, r = few.alias("l"), few.alias("r")
-    pairs = l.join(r, F.col("l.hub") == F.col("r.hub")).where("l.rep < r.rep and l.root <> r.root").select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    small = confirmed(likely(pairs, sketch), full)
-    if many.isEmpty():
-        return small
-
-    by_root = many.groupBy("hub", "root").agg(F.count("*").alias("m"))
-    largest = by_root.groupBy("hub").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all"))
-    sizes = many.join(sketch.select("rep", "n_shingles"), "rep").groupBy("hub").agg(F.max("n_shingles").alias("longest"))
-    shape = largest.join(sizes, "hub").select(
-        "hub", F.col("x.root").alias("major"),
-        F.greatest(F.lit(4), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / 8 / F.col("longest")))).alias("size"),
+    members = star.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("nb").alias("n"))
+    labelled = cut(members.join(roots, F.col("rep") == F.col("node"), "left").select("hub", "rep", "n", F.coalesce("root", "rep").alias("root")))
+    by_root = labelled.groupBy("hub", "root").agg(F.count("*").alias("m"), F.max("n").alias("longest"))
+    shape = (
+        by_root.groupBy("hub")
+        .agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all"), F.count("*").alias("roots"), F.max("longest").alias("longest"))
+        .where("roots > 1")
+        .withColumn("size", F.greatest(F.lit(4), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / 8 / F.col("longest")))))
+        .select(
+            "hub", F.col("x.root").alias("major"), F.ceil(F.col("all") / F.col("size")).cast("int").alias("blocks"),
+            F.ceil((F.col("all") - F.col("x.m")) / F.col("size")).cast("int").alias("minor_blocks"),
+        )
     )
-    # a block holds "size" minor members and "size" others; both meet in every pair of their blocks
-    sided = many.join(shape, "hub").withColumn("minor", F.col("root") != F.col("major"))
-    n_blocks = F.ceil(F.col("n") / F.col("size")).cast("int")
-    sided = sided.withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    rows = cut(split_join(labelled, cut(shape), "hub").select("hub", "rep", "root", "blocks", "minor_blocks", (F.col("root") != F.col("major")).alias("minor")))
+    # a block holds about "size" minor members and "size" others; both sides of a pair meet in one block, and
     # minor members also stand among the others, so that two of them meet
-    as_other = sided.select("hub", "rep", "root", F.col("own").alias("ob"), F.col("each").alias("mb"), F.lit(False).alias("is_minor"))
-    as_minor = sided.where("minor").select("hub", "rep", "root", F.col("each").alias("ob"), F.col("own").alias("mb"), F.lit(True).alias("is_minor"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_other = rows.select("hub", "rep", "root", own(F.col("blocks")).alias("ob"), each("minor_blocks").alias("mb"), F.lit(False).alias("is_minor"))
+    as_minor = rows.where("minor").select("hub", "rep", "root", each("blocks").alias("ob"), own(F.col("minor_blocks")).alias("mb"), F.lit(True).alias("is_minor"))
     placed = as_other.unionByName(as_minor).join(full.withColumnRenamed("doc_id", "rep"), "rep")
-    large = (
-        placed.select("hub", "mb", "ob", "rep", "root", "is_minor", "shingles")
-        .groupBy("hub", "mb", "ob")
-        .applyInPandas(linked_across, "a long, b long")
-    )
-    return small.unionByName(large).distinct()
+    found = placed.select("hub", "mb", "ob", "root", "is_minor", "shingles").groupBy("hub", "mb", "ob").applyInPandas(linked_across, "a long, b long")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    rows = cut(sketches(docs))
+    rows = cut(signatures(docs))
     full = rows.where("n_shingles > 0")
     identity = ["n_shingles", "set_a", "set_b"]
-    classes = cut(full.groupBy(identity).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = cut(full.groupBy(identity).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     reps = classes.where("rep is not null")
-    # rows of one id with several sets are one node
-    mixed = full.groupBy("doc_id").agg(F.min(F.struct(*identity)).alias("x"), F.max(F.struct(*identity)).alias("y"))
-    mixed = mixed.where("doc_id is not null and x <> y").select("doc_id")
-    own = full.join(mixed, "doc_id").join(reps.select(*identity, "rep"), identity).where("rep <> doc_id")
-    own = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
-    keys = cut(table_keys(reps.select("rep", "bands")).distinct())
-    hubs = keys.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.rep").alias("a"))
-    star = cut(keys.join(hubs, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    keys = cut(table_keys(reps.select("rep", "n_shingles", "bands")).distinct())
+    hubs = keys.groupBy("key").agg(F.max(F.struct("score", "rep", "n")).alias("hub"), F.count("*").alias("held")).where("held > 1")
+    pairs = keys.join(hubs, "key").where("hub.rep <> rep").select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    star = cut(pairs.distinct())
     full_sets = cut(candidate_sets(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs))
-    sketch = reps.select("rep", "n_shingles", "sketch")
-    first = cut(confirmed(likely(star, sketch), full_sets))
-    roots = components(first)
-    rest = cut(across(star, sketch, roots, full_sets))
-    roots = cut(components(first.unionByName(rest).unionByName(own)))
+    # sets whose sizes differ too much cannot be linked
+    possible = star.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b")
+    links = confirmed(possible, full_sets)
 
+    # rows of one id with several sets are one node
+    mixed = full.groupBy("doc_id").agg(F.min(F.struct(*identity)).alias("x"), F.max(F.struct(*identity)).alias("y"))
+    mixed = cut(mixed.where("doc_id is not null and x <> y").select("doc_id"))
+    if not mixed.isEmpty():
+        own = full.join(mixed, "doc_id").join(reps.select(*identity, "rep"), identity)
+        links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+
+    roots = components(links)
+    joined = components(across(star, roots, full_sets))
+    top = joined.select(F.col("node").alias("low"), F.col("root").alias("top"))
     named = (
         classes.select(*identity, "rep")
         .join(roots, F.col("rep") == F.col("node"), "left")
-        .select(*identity, F.coalesce("root", "rep").alias("component"))
+        .withColumn("low", F.coalesce("root", "rep"))
+        .join(top, "low", "left")
+        .select(*identity, F.coalesce("top", "low").alias("component_id"))
     )
-    linked = full.select("doc_id", *identity).join(named, identity).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    linked = full.select("doc_id", *identity).join(named, identity).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

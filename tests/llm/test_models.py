@@ -81,7 +81,7 @@ def test_null_ids_and_empty_table(spark):
 
 
 def test_large_group_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL_GROUP", 3)
+    monkeypatch.setattr(neardup, "SPLIT_ROWS", 8)
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 64)
     rows = made_documents(5)
     want, _ = exact_components(rows)
