@@ -7,15 +7,21 @@ is target / size: each of its documents is taken ``floor(rate)`` times, and once
 more with the fractional part as inclusion probability.
 
 Which documents get the extra copy is decided by the cube method.  The flight
-moves the inclusion probabilities of three units at a time along the null space
-of the balancing constraints (number of documents, number of words) until one
-of them is 0 or 1.  It runs in blocks of a source, then on what the blocks
-leave over, level by level, until at most two fractional units of a source
-remain; the landing then takes the subset that misses the source's words least,
-and settles the rest of the error within the last block.  A source of several
-blocks settles what is left (an open unit may be very long) over all its units:
-in one block that can take it up easily, or else by shares over all its blocks.
-So a hot source is split over many blocks, and reruns agree: blocks depend on
+moves the inclusion probabilities of open units along the null space of the
+balancing constraints (number of documents, number of words): the largest open
+unit moves by one, all others together make up for its words and its place, and
+the step goes, by a fair draw, until one of them is 0 or 1.  So larger documents are
+decided first, while there are others to make up for them, and probabilities keep
+their expectation.  The flight runs in blocks of a source, then on what the blocks
+leave over, level by level, until at most two small units of a source remain open.
+The landing takes the subset of these two with the least error in words; no unit that
+the flight has decided is decided again, so all others keep their probabilities.
+
+Very long documents (a share of a block's words each) fly and land before all others:
+the words that they take too many or too few are shared by all other documents of the
+source, whose probabilities move by one amount, so that no block makes up for them alone.
+
+A hot source is split over many blocks, and reruns agree: blocks depend on
 a hash of the rows, not on how the table is stored.
 
 Defined results
@@ -34,6 +40,7 @@ import random
 import zlib
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,8 +53,8 @@ BLOCK_ROWS = 4096
 #: Blocks whose leftovers meet in one block of the next level (at most two rows each).
 FAN_IN = 1024
 BROADCAST_SOURCES = 10_000
-#: Passes that settle the error of sources of several blocks; the second is needed where the first spreads it.
-ROUNDS = 3
+#: A document of more than one in LONG_SHARE of the words of a block is decided before all others.
+LONG_SHARE = 16
 TINY = 1e-9
 
 
@@ -81,67 +88,49 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def flight(chances: list[float], sizes: list[float], seed: int) -> list[float]:
-    """Cube flight: probabilities with all but at most two of them moved to 0 or 1."""
+    """Cube flight: probabilities with all but at most two of them moved to 0 or 1, their sum and that of words kept."""
     draw = random.Random(seed).random
-    chances, open_units = list(chances), []
-    for unit in range(len(chances)):
-        if not TINY < chances[unit] < 1 - TINY:
-            chances[unit] = float(round(chances[unit]))
+    c, s = np.array(chances, float), np.array(sizes, float)
+    s /= max(1.0, s.max(initial=0.0))
+    c[c < TINY], c[c > 1 - TINY] = 0.0, 1.0
+    live = np.argsort(-s, kind="stable")
+    live = live[(c[live] > 0) & (c[live] < 1)]
+    while len(live) > 1:
+        lead, rest = live[0], live[1:]
+        p, z = c[rest], s[rest]
+        w = p * (1 - p)
+        n = w.sum()
+        middle = w @ z / n
+        spread = w @ (z - middle) ** 2
+        if spread > n * 1e-15:
+            way = w * ((middle - s[lead]) / spread * (z - middle) - 1 / n)
+        elif abs(s[lead] - middle) < 1e-9:
+            way = w * (-1 / n)
+        else:  # units of one size cannot make up for another size: the lead stays open
+            live = rest
             continue
-        open_units.append(unit)
-        if len(open_units) < 3:
-            continue
-        z = [sizes[u] for u in open_units]
-        way = [z[2] - z[1], z[0] - z[2], z[1] - z[0]]
-        if not any(way):
-            way = [1.0, -1.0, 0.0]
-        up = down = math.inf
-        for u, d in zip(open_units, way, strict=True):
-            if d > 0:
-                up, down = min(up, (1 - chances[u]) / d), min(down, chances[u] / d)
-            elif d < 0:
-                up, down = min(up, -chances[u] / d), min(down, (chances[u] - 1) / d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            to_one, to_zero = (1 - p) / np.abs(way), p / np.abs(way)
+        up = min(1 - c[lead], np.where(way > 0, to_one, to_zero).min())
+        down = min(c[lead], np.where(way > 0, to_zero, to_one).min())
         step = up if draw() * (up + down) < down else -down
-        for u, d in zip(open_units, way, strict=True):
-            chances[u] += step * d
-            if chances[u] < TINY or chances[u] > 1 - TINY:
-                chances[u] = float(round(chances[u]))
-        open_units = [u for u in open_units if 0 < chances[u] < 1]
-    return chances
-
+        c[lead] += step
+        c[rest] += step * way
+        moved = c[live]
+        moved[moved < TINY], moved[moved > 1 - TINY] = 0.0, 1.0
+        c[live] = moved
+        live = live[(moved > 0) & (moved < 1)]
+    return c.tolist()
 
-def landing(chances: list[float], sizes: list[float], start: list[float]) -> list[float]:
-    """Decide the few open units by the subset with the least error in words, then in documents.
 
-    What error is left (an open unit may be large) is settled by flipping units
-    of this block, largest first, as long as a flip lessens it.  ``start`` holds
-    the probabilities before the flight; units that were sure then stay.
-    """
+def landing(chances: list[float], sizes: list[float]) -> list[float]:
+    """Decide the at most two units that a flight leaves open: the subset with the least error in words, then in documents."""
+    out = list(chances)
     at = [n for n, c in enumerate(chances) if 0 < c < 1]
     words, count = sum(chances[n] * sizes[n] for n in at), sum(chances[n] for n in at)
-    chosen = min(
-        product((0.0, 1.0), repeat=len(at)),
-        key=lambda x: (abs(sum(v * sizes[n] for v, n in zip(x, at, strict=True)) - words), abs(sum(x) - count), x),
-    )
-    out = list(chances)
-    for value, n in zip(chosen, at, strict=True):
+    error = {x: (abs(sum(v * sizes[n] for v, n in zip(x, at, strict=True)) - words), abs(sum(x) - count), x) for x in product((0.0, 1.0), repeat=len(at))}
+    for value, n in zip(min(error, key=error.get), at, strict=True):
         out[n] = value
-    error = sum(v * sizes[n] for v, n in zip(chosen, at, strict=True)) - words
-    for n in sorted(range(len(out)), key=lambda n: (-sizes[n], n)):
-        change = sizes[n] * (1 - 2 * out[n])
-        if TINY < start[n] < 1 - TINY and abs(error + change) < abs(error):
-            out[n], error = 1 - out[n], error + change
-    return out
-
-
-def settle(values: list[float], sizes: list[float], error: float) -> list[float]:
-    """Flip units as long as a flip lessens ``error`` (words taken too many): as they come, then largest first for the rest."""
-    out = list(values)
-    for order in (range(len(out)), sorted(range(len(out)), key=lambda n: (-sizes[n], n))):
-        for n in order:
-            change = sizes[n] * (1 - 2 * out[n])
-            if abs(error + change) < abs(error):
-                out[n], error = 1 - out[n], error + change
     return out
 
 
@@ -149,7 +138,7 @@ UNIT_COLUMNS = "doc_id long, source string, size long, source_size long, target
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = REPEAT_CAP, block_rows: int = BLOCK_ROWS, seed: int = 8,
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = REPEAT_CAP, block_rows: int = BLOCK_ROWS, seed: int = 8, fan_in: int = FAN_IN,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row of ``docs`` (doc_id, text, source)."""
     sizes = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")))
@@ -172,96 +161,59 @@ def mix(
         .drop("rate")
     )
 
-    def fly(level: int):
+    schema = UNIT_COLUMNS.replace("chance", "whole long, chance")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def fly(level: int, stage: str):
         def block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            # large documents are decided first, so what is left open is small
             frame = frame.sort_values(["size", "place", "doc_id"], ascending=[False, True, True], kind="stable")
-            sizes_, start = frame["size"].astype(float).tolist(), zlib.crc32(repr((seed, level, key)).encode())
-            before = frame["chance"].tolist()
-            moved = flight(before, sizes_, start)
+            sizes_, start = frame["size"].astype(float).tolist(), zlib.crc32(repr((seed, level, stage, key)).encode())
+            moved = flight(frame["chance"].tolist(), sizes_, start)
             # a source lands where it meets in one block, however many the others have
-            frame["chance"] = landing(moved, sizes_, before) if frame["blocks"].iloc[0] <= FAN_IN**level else moved
+            lands = frame["blocks"].iloc[0] <= fan_in**level
+            frame["chance"] = landing(moved, sizes_) if lands else moved
             return frame.drop(columns="block")
 
         return block
 
-    schema = UNIT_COLUMNS.replace("chance", "whole long, chance")
-    names = [c.split()[0] for c in schema.split(", ")]
-    done, level, left, most = None, 0, units, max(1, math.ceil((shape[1] or 0) / block_rows))
-    while True:
-        last = most == 1
-        stride = FAN_IN**level
-        block = F.floor(F.pmod(F.col("place"), F.col("blocks")) / stride).cast("long")
-        flown = (
-            left.withColumn("block", block)
-            .groupBy("source", "block")
-            .applyInPandas(fly(level), schema)
-            .select(names)
+    def flown(left: DataFrame, stage: str) -> DataFrame:
+        done, level, most = None, 0, max(1, math.ceil((shape[1] or 0) / block_rows))
+        while True:
+            block = F.floor(F.pmod(F.col("place"), F.col("blocks")) / fan_in**level).cast("long")
+            moved = left.select(*names, block.alias("block")).groupBy("source", "block").applyInPandas(fly(level, stage), schema).select(names)
+            if most == 1:
+                return moved if done is None else done.unionByName(moved)
+            moved = cut(moved)
+            decided = moved.where("chance <= 0 or chance >= 1")
+            done = decided if done is None else done.unionByName(decided)
+            left, level, most = moved.where("chance > 0 and chance < 1"), level + 1, math.ceil(most / fan_in)
+
+    is_long = F.col("size") * F.col("blocks") * LONG_SHARE > F.col("source_size")
+    is_open = (F.col("chance") > TINY) & (F.col("chance") < 1 - TINY)
+    rest, first = units, units.where(is_long & is_open)
+    if not first.isEmpty():
+        first = cut(flown(first, "long"))
+        rest = units.where(~(is_long & is_open))
+        rate_ = F.col("target") / F.col("source_size")
+        excess = (
+            first.groupBy("source")
+            .agg(F.sum(F.col("size") * (F.col("chance") - (rate_ - F.floor(rate_)))).alias("words"))
+            .join(rest.where(is_open).groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("others")), F.col("source").eqNullSafe(F.col("of")))
+            .select("of", (F.col("words") / F.col("others")).alias("shift"))
         )
-        flown = flown if last else cut(flown)
-        decided = flown if last else flown.where("chance <= 0 or chance >= 1")
-        done = decided if done is None else done.unionByName(decided)
-        if last:
-            break
-        left = flown.where("chance > 0 and chance < 1")
-        level, most = level + 1, math.ceil(most / FAN_IN)
-    if level:
-        done = settled(done, schema)
+        excess = cut(excess)
+        excess = F.broadcast(excess) if shape[0] <= BROADCAST_SOURCES else excess
+        moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("chance") - F.coalesce("shift", F.lit(0.0))))
+        rest = rest.join(excess, F.col("source").eqNullSafe(F.col("of")), "left")
+        rest = rest.select(*[c for c in names if c != "chance"], F.when(is_open, moved).otherwise(F.col("chance")).alias("chance"))
+    done = flown(rest, "all")
+    if rest is not units:
+        done = done.unionByName(first)
     return done.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("chance").cast("long")).alias("copies")
     )
 
 
-def settled(units: DataFrame, schema: str) -> DataFrame:
-    """``units`` (all decided) with the error in words of every source of several blocks settled over its blocks."""
-    block = F.pmod(F.col("place"), F.col("blocks"))
-    names = units.columns
-    own = Window.partitionBy("source")
-
-    def flip(frame: pd.DataFrame) -> pd.DataFrame:
-        quota = float(frame["quota"].iloc[0])
-        frame = frame.drop(columns=["block", "quota"])
-        if quota:
-            frame = frame.sort_values(["place", "size", "doc_id"], kind="stable")
-            free = frame["size"].to_numpy() > 0
-            frame.loc[free, "chance"] = settle(frame.loc[free, "chance"].tolist(), frame.loc[free, "size"].astype(float).tolist(), quota)
-        return frame
-
-    # shares leave less than a unit in each block, which one block then takes up
-    for _ in range(ROUNDS):
-        units = cut(units)
-        rate = F.col("target") / F.col("source_size")
-        free = (F.col("blocks") > 1) & (F.col("size") > 0) & (rate - F.floor(rate)).between(TINY, 1 - TINY)
-        size = lambda on: F.sum(F.when(free & on, F.col("size")).otherwise(0))
-        quotas = (
-            units.groupBy("source", block.alias("block"))
-            .agg(
-                F.max(F.when(free, F.col("target") - F.floor(rate) * F.col("source_size"))).alias("extra"),
-                size(F.col("chance") < 0.5).alias("up"), size(F.col("chance") > 0.5).alias("down"),
-            )
-            .withColumn("error", F.sum("down").over(own) - F.max("extra").over(own))
-            .withColumn("room", F.when(F.col("error") > 0, F.col("down")).otherwise(F.col("up")))
-            .withColumn("best", F.max(F.struct("room", "block")).over(own))
-            .withColumn("spread", F.abs("error") * 4 > F.col("best")["room"])
-            .withColumn("part", F.when(F.col("spread"), F.try_divide("room", F.sum("room").over(own))).otherwise((F.col("block") == F.col("best")["block"]).cast("double")))
-            .select("source", "block", F.coalesce(F.col("error") * F.col("part"), F.lit(0.0)).alias("quota"), "spread")
-        )
-        quotas = cut(quotas)
-        again = quotas.agg(F.max("spread")).first()[0]
-        q = quotas.select(F.col("source").alias("of"), F.col("block").alias("in"), "quota")
-        units = (
-            units.withColumn("block", block)
-            .join(q, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in")))
-            .select(*names, "block", "quota")
-            .groupBy("source", "block")
-            .applyInPandas(flip, schema)
-            .select(names)
-        )
-        if not again:
-            break
-    return units
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
