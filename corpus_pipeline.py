@@ -11,10 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from engram.llm import mixing, neardup, packing, toxicity
-from engram.llm.common import cut, ensure_checkpoint_dir, parallelism, table
+from engram.llm.common import cut, ensure_checkpoint_dir, fresh, numbered_ids, parallelism, remove, table
 
 #: Ids are broadcast up to this many rows; beyond that both sides are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -27,43 +26,39 @@ def _sized(ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain rejects go; nulls and empty texts are clean."""
+    """Documents that the chain rejects go; nulls and empty texts are clean; repeated rows are judged each."""
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _own_ids(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, columns) of all rows of ``docs``, each with an id of its own, and (own_id, row) to find the rows by it."""
+    single, odd = numbered_ids(docs, name=(name := fresh(docs, "row_id")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = single.select(F.col("doc_id").cast("long").alias("own_id"), whole).unionByName(odd.select(F.col(name).alias("own_id"), whole))
+    return rows.select(F.col("own_id").alias("doc_id"), *[F.col(f"row.{c}").alias(c) for c in columns]), rows
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the row of its smallest id (of repeated rows of it, any one).
+    """One document of each group stays: the row of its smallest id.
 
-    Rows without an id cannot name a group; equal texts among them stay once.
+    Rows without an id and rows of a repeated id are documents of their own, after all others: a
+    repeated row leaves one, and a row without an id stays if no other document is a near copy.
     """
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = cut(kept)
-    single = docs.join(_sized(kept.where("n = 1").select("doc_id")), "doc_id", "left_semi")
-    repeated = kept.where("n > 1").select("doc_id")
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    out = single.unionByName(nameless)
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(_sized(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(docs.columns)
+    texts, rows = _own_ids(docs, "text")
+    kept = neardup.near_duplicates(texts).where("kept").select(F.col("doc_id").alias("own_id"))
+    return rows.join(_sized(kept), "own_id").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
-    taken = mixing.mix(docs).select("doc_id", "copies")
-    taken = cut(taken.groupBy("doc_id").agg(F.array_sort(F.collect_list("copies")).alias("copies")))
-    several = not taken.where(F.size("copies") > 1).isEmpty()
-    wanted = _sized(taken.where(F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x) > 0).withColumnRenamed("doc_id", "taken_id"))
-    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    if several:  # rows of one id share its copies in the order of their sizes
-        order = Window.partitionBy("doc_id").orderBy(mixing.word_count(F.col("text")), F.xxhash64(*docs.columns))
-        joined = joined.withColumn("copies", F.element_at("copies", F.row_number().over(order)))
-    else:
-        joined = joined.withColumn("copies", F.element_at("copies", 1))
-    return joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """Each document as often as the mix takes it: not at all, or up to three times; every row is a document of its own."""
+    sizes, rows = _own_ids(docs, "text", "source")
+    taken = mixing.mix(sizes).where("copies > 0").select(F.col("doc_id").alias("own_id"), F.col("copies").cast("int"))
+    found = rows.join(_sized(taken), "own_id")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens; repeated rows (copies of the mix) are packed each."""
     return packing.pack(docs, salts=max(packing.SALTS, parallelism(spark)))
 
 
@@ -85,6 +80,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if n:
+                remove(spark, f"{folder}/{STAGES[n - 1][0]}")
     return docs
 
 
