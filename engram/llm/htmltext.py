@@ -26,6 +26,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import table
+from engram.llm.common import give_back, table
 
 PATH_BUCKETS, WORD_BUCKETS = 2048, 1024
 PATH_SIZE, WORD_SIZE, SHAPE_SIZE, HIDDEN = 24, 6, 6, 20
 TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 2000, 4, 32, 0.01, 1
-PAGE_GROUP = 128
+#: Pages that are labelled together: so many at most, and so many steps x pages (one page may have more steps).
+PAGE_GROUP, CELLS = 128, 1 << 16
 
 # Elements of HTML that do not end a block, that hold no text, and that have no end tag.
 INLINE = frozenset(
@@ -51,7 +53,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -87,13 +89,26 @@ def _path_tokens(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(_crc(n) % PATH_BUCKETS for n in names)
 
 
-Block = tuple[str, tuple[int, ...], int]
+class Path:
+    """A tag path: the hashed tokens of one element, and the path around it; blocks share what their paths share."""
+
+    __slots__ = ("around", "tokens", "size", "depth")
+
+    def __init__(self, around: Path | None, tokens: tuple[int, ...]):
+        self.around, self.tokens = around, tokens
+        self.size = len(tokens) + (around.size if around else 0)
+        self.depth = around.depth + 1 if around else 0
+
+
+Block = tuple[str, Path, int]
+ROOT = Path(None, ())
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """(text, hashed path tokens, characters inside links) of every leaf block, in page order."""
+    """(text, tag path, characters inside links) of every leaf block, in page order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, Path]] = [("", ROOT)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, link_start = 0, -1
     seen = 0
@@ -104,7 +119,7 @@ def leaf_blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 inside = linked + (seen - link_start if link_start >= 0 else 0)
-                blocks.append((text, tuple(t for _, path in stack for t in path), min(inside, len(text))))
+                blocks.append((text, stack[-1][1], min(inside, len(text))))
             parts.clear()
         linked, seen = 0, 0
         link_start = 0 if link_start >= 0 else -1
@@ -133,15 +148,16 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         flush()
         if found[2]:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    del stack[n:]
-                    break
+            inner = "" if opened[tag] else tag  # an end without a start ends nothing
+            while inner != tag:
+                inner = stack.pop()[0]
+                opened[inner] -= 1
         else:
-            while stack and stack[-1][0] in _CLOSES.get(tag, ()):
-                stack.pop()
+            while stack[-1][0] in _CLOSES.get(tag, ()):
+                opened[stack.pop()[0]] -= 1
             if tag not in VOID and not found[4].endswith("/"):
-                stack.append((tag, _path_tokens(tag, found[4])))
+                stack.append((tag, Path(stack[-1][1], _path_tokens(tag, found[4]))))
+                opened[tag] += 1
     if at < len(page):
         parts.append(html.unescape(page[at:]))
     flush()
@@ -159,7 +175,51 @@ def _shape(block: Block, place: int, n: int) -> tuple[float, ...]:
 # --- the network ---------------------------------------------------------------------------------
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 1 / (1 + np.exp(-np.maximum(x, -60)))
+
+
+class PathTree:
+    """The distinct elements of many tag paths: vectors are summed once an element, not once a block and element."""
+
+    def __init__(self, paths: list[Path]):
+        at: dict[int, int] = {}
+        nodes: list[Path] = []
+        for path in paths:
+            new = []
+            while path is not None and id(path) not in at:
+                new.append(path)
+                at[id(path)] = -1
+                path = path.around
+            for path in reversed(new):
+                at[id(path)] = len(nodes)
+                nodes.append(path)
+        self.leaf = np.array([at[id(p)] for p in paths])
+        self.around = np.array([at[id(p.around)] if p.around else -1 for p in nodes])
+        sizes = np.array([len(p.tokens) for p in nodes])
+        self.tokens = np.array([t for p in nodes for t in p.tokens], np.int32)
+        self.node_of = np.repeat(np.arange(len(nodes)), sizes)
+        self.full, self.first = sizes > 0, (np.cumsum(sizes) - sizes)[sizes > 0]
+        depth = np.array([p.depth for p in nodes])
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1)))
+
+    def sums(self, vectors: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of all tokens of each path."""
+        out = np.zeros((len(self.around), vectors.shape[1]), vectors.dtype)
+        if len(self.tokens):
+            out[self.full] = np.add.reduceat(vectors[self.tokens], self.first, 0)
+        for level in self.levels[1:]:
+            out[level] += out[self.around[level]]
+        return out[self.leaf]
+
+    def slopes(self, d: np.ndarray) -> np.ndarray:
+        """Gradients of the token vectors from those of the paths' sums."""
+        nodes, out = np.zeros((len(self.around), d.shape[1]), d.dtype), np.zeros((PATH_BUCKETS, d.shape[1]), d.dtype)
+        np.add.at(nodes, self.leaf, d)
+        for level in self.levels[:0:-1]:
+            np.add.at(nodes, self.around[level], nodes[level])
+        np.add.at(out, self.tokens, nodes[self.node_of])
+        return out
 
 
 class Labeller:
@@ -178,20 +238,18 @@ class Labeller:
     def inputs(self, pages: list[list[Block]]) -> tuple[np.ndarray, tuple]:
         """(blocks, features) over all blocks of non-empty pages, and what the gradients of the vectors need."""
         blocks = [(b, n, len(page)) for page in pages for n, b in enumerate(page)]
-        path_n = np.array([len(b[1]) for b, _, _ in blocks])
-        paths = np.array([t for b, _, _ in blocks for t in b[1]], np.int32)
+        tree = PathTree([b[1] for b, _, _ in blocks])
+        path_n = np.array([b[1].size for b, _, _ in blocks])
         words = [b[0].split() for b, _, _ in blocks]
         word_n = np.array([len(w) for w in words])
         hashed = np.fromiter((_buckets[w] for line in words for w in line), np.int32, int(word_n.sum()))
-        path_at, word_at = np.repeat(np.arange(len(blocks)), path_n), np.repeat(np.arange(len(blocks)), word_n)
+        word_at = np.repeat(np.arange(len(blocks)), word_n)
         x = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + SHAPE_SIZE), "f4")
         scale = 1 / np.sqrt(np.maximum(1, path_n))[:, None]
-        if len(paths):
-            full = path_n > 0
-            x[full, :PATH_SIZE] = np.add.reduceat(self.w["path"][paths], (np.cumsum(path_n) - path_n)[full], 0) * scale[full]
+        x[:, :PATH_SIZE] = tree.sums(self.w["path"]) * scale
         x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.add.reduceat(self.w["word"][hashed], np.cumsum(word_n) - word_n, 0) * (2 / word_n)[:, None]
         x[:, PATH_SIZE + WORD_SIZE :] = [_shape(*b) for b in blocks]
-        return x, (paths, path_at, scale[:, 0], hashed, word_at, 2 / word_n)
+        return x, (tree, scale, hashed, word_at, 2 / word_n)
 
     def run(self, way: str, x: np.ndarray, active: np.ndarray, tape: list | None = None) -> np.ndarray:
         """Hidden states of a padded (time, page, feature) array; pages by falling length."""
@@ -260,9 +318,8 @@ class Labeller:
                 d_h[:k], d_c[:k] = d_gates @ w[size:].T, dc * f
             out[way], out[way + "0"] = d_w, d_b
         d_x = d_grid[time, column]
-        paths, path_at, path_scale, words, word_at, word_scale = tape["parts"]
-        out["path"], out["word"] = np.zeros_like(self.w["path"]), np.zeros_like(self.w["word"])
-        np.add.at(out["path"], paths, d_x[path_at, :PATH_SIZE] * path_scale[path_at, None])
+        tree, path_scale, words, word_at, word_scale = tape["parts"]
+        out["path"], out["word"] = tree.slopes(d_x[:, :PATH_SIZE] * path_scale), np.zeros_like(self.w["word"])
         np.add.at(out["word"], words, d_x[word_at, PATH_SIZE : PATH_SIZE + WORD_SIZE] * word_scale[word_at, None])
         return out
 
@@ -434,13 +491,18 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[tuple[str, int, int]]:
     """(text, blocks, main blocks) of each page."""
     split = [leaf_blocks(p) if p else [] for p in pages]
-    full = [b for b in split if b]
-    chances = labeller.chances(full) if full else np.zeros(0)
-    out, at = [], 0
-    for blocks in split:
-        main = [b[0] for b, p in zip(blocks, chances[at : at + len(blocks)].tolist(), strict=True) if p >= 0.5]
-        at += len(blocks)
-        out.append(("\n".join(main), len(blocks), len(main)))
+    out = [("", 0, 0)] * len(pages)
+    order = sorted((n for n, blocks in enumerate(split) if blocks), key=lambda n: -len(split[n]))
+    while order:
+        # the longest page of a group sets its steps
+        take = max(1, min(PAGE_GROUP, CELLS // len(split[order[0]])))
+        group, order = order[:take], order[take:]
+        chances, at = labeller.chances([split[n] for n in group]).tolist(), 0
+        for n in group:
+            blocks = split[n]
+            main = [b[0] for b, p in zip(blocks, chances[at : at + len(blocks)], strict=True) if p >= 0.5]
+            at += len(blocks)
+            out[n] = ("\n".join(main), len(blocks), len(main))
     return out
 
 
@@ -461,6 +523,8 @@ def extract(pages: DataFrame, labeller: Labeller | None = None, id_col: str = "p
                     ],
                     names=[id_col, "url", "text", "n_chars", "n_blocks", "n_main"],
                 )
+        _buckets.clear()
+        give_back()
 
     return pages.select(F.col(id_col).cast("long"), "url", html_col).mapInArrow(
         read, f"{id_col} long, url string, text string, n_chars long, n_blocks int, n_main int"
