@@ -1,9 +1,14 @@
 """Exact top-k inner-product search.
 
-Tiled matrix products: candidates are packed into shards and queries into
-tiles, every (tile, shard) pair is one matrix product, ``argpartition`` selects
-the best of each product, and the per-query lists are merged as a tree (product
--> shards of one group -> groups).
+Tiled matrix products: queries are packed into tiles, and the tasks that read the
+vectors pack them into shards; every (tile, shard) pair is one matrix product.  What
+reaches a query's k-th best score so far is selected from the product and merged into
+the task's lists, and the lists of all tasks are merged per query.
+
+Queries travel to the shards, so no vector is ever shuffled: a pass broadcasts tiles
+of ``PASS_BYTES`` at most, whatever the number of queries, and reads the vectors once.
+Tasks are no more than ``TASKS`` times the shuffle partitions, so the lists that meet
+are bounded by queries x tasks x k.
 
 Defined results
 ---------------
@@ -22,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,123 +35,102 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import parallelism, table
+from engram.llm.common import ensure_checkpoint_dir, give_back, parallelism, table
 
 SHARD_ROWS = 2048
 TILE_ROWS = 1024
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by (score descending, id ascending); partial selection before the sort."""
-    if len(ids) > k:
-        bound = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= bound)
-        ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def _blocks(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Pack rows into blocks of at most ``rows`` vectors of one length."""
-    waiting: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-
-    def block(dim: int) -> pd.DataFrame:
-        ids, vectors = waiting.pop(dim)
-        return pd.DataFrame(
-            {"dim": [dim], "ids": [np.array(ids, "<i8").tobytes()], "matrix": [np.array(vectors, "<f8").tobytes()]}
-        )
-
-    for frame in frames:
-        for vec_id, vector in zip(frame["vec_id"], frame["q"], strict=True):
-            ids, vectors = waiting.setdefault(len(vector), ([], []))
-            ids.append(vec_id)
-            vectors.append(np.asarray(vector, "f8"))
-            if len(ids) == rows:
-                yield block(len(vector))
-    for dim in list(waiting):
-        yield block(dim)
-
-
-BLOCK_SCHEMA = "dim int, ids binary, matrix binary"
-
-
-def _matrix(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(matrix, "<f8").reshape(len(i), dim)
+#: Bytes of the queries that a pass broadcasts, and tasks of a pass for each shuffle partition.
+PASS_BYTES, TASKS = 32 << 20, 2
+
+
+class Best:
+    """The k best candidates so far of the queries of a tile, by (score descending, id ascending)."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.rows, self.found, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def merge(self, ids: np.ndarray, shard: np.ndarray) -> None:
+        """Take in a shard: one product, a partial selection, and a sort of what is selected."""
+        product = self.matrix @ shard.T
+        if len(ids) > self.k:  # nothing below the shard's own k-th best can be among the best; one place more for the query itself
+            at = len(ids) - min(len(ids), self.k + int(np.unique(ids, return_counts=True)[1].max()))
+            bound = np.maximum(self.least, np.partition(product, at, axis=1)[:, at])
+        else:
+            bound = self.least
+        row, column = np.nonzero(product >= bound[:, None])
+        own = ids[column] != self.ids[row]
+        row, column = row[own], column[own]
+        rows, found = np.concatenate((self.rows, row)), np.concatenate((self.found, ids[column]))
+        scores = np.concatenate((self.scores, product[row, column]))
+        order = np.lexsort((found, -scores, rows))
+        rows, found, scores = rows[order], found[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < self.k
+        self.rows, self.found, self.scores = rows[keep], found[keep], scores[keep]
+        last = place[keep] == self.k - 1
+        self.least[self.rows[last]] = self.scores[last]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.ids[self.rows], "vec_id": self.found, "score": self.scores.astype("i8")})
+
+
+def _by_length(frame: pd.DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of at most ``rows`` vectors of one length each."""
+    lengths = frame["q"].map(len).to_numpy()
+    for length in np.unique(lengths):
+        part = frame[lengths == length]
+        for at in range(0, len(part), rows):
+            block = part.iloc[at : at + rows]
+            yield block["vec_id"].to_numpy(np.int64), np.array(block["q"].tolist(), "f8").reshape(len(block), length)
 
 
 def exact_topk(
     vectors: DataFrame, k: int = 5, query_modulus: int = 50, scale: int = 256,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    id_col: str = "vec_id", vector_col: str = "embedding", pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query's k best candidates."""
     spark = vectors.sparkSession
+    scaled = lambda x: x * F.lit(float(scale))
+    # doubles from 2**53 on are whole already
+    floor = lambda x: F.when(F.abs(scaled(x)) < F.lit(2.0**53), F.floor(scaled(x)).cast("double")).otherwise(scaled(x))
     quantised = (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf))))
-        .select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("q"))
-    )
-    queries = (
-        quantised.where(F.pmod("vec_id", F.lit(query_modulus)) == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    )
-    tiles_n = max(1, math.ceil(queries.count() / TILE_ROWS))
-    groups_n = max(1, math.ceil(parallelism(spark) / tiles_n))
-
-    shards = (
-        quantised.mapInPandas(lambda frames: _blocks(frames, SHARD_ROWS), BLOCK_SCHEMA)
-        .withColumn("grp", F.pmod(F.xxhash64("ids"), F.lit(groups_n)).cast("int"))
-        .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles_n - 1))))
-    )
-
-    def one_tile(frame: pd.DataFrame) -> pd.DataFrame:
-        made = pd.concat(list(_blocks(iter([frame]), len(frame))))
-        return made.assign(tile=frame["tile"].iloc[0])[["tile", "dim", "ids", "matrix"]]
-
-    tiles = (
-        queries.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles_n)).cast("int"))
-        .groupBy("tile")
-        .applyInPandas(one_tile, "tile int, dim int, ids binary, matrix binary")
-        .select("tile", "dim", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
-        .withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups_n - 1))))
-    )
-
-    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, q_ids, q, found = None, None, None, {}
-
-        def flush() -> pd.DataFrame:
-            sizes = [len(i) for i, _ in found.values()]
-            return pd.DataFrame({
-                "query_id": np.repeat(q_ids[list(found)], sizes),
-                "vec_id": np.concatenate([i for i, _ in found.values()]),
-                "score": np.concatenate([s for _, s in found.values()]).astype("i8"),
-            })
-
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                if key != (here := (row.tile, row.grp, row.dim, hash(row.query_ids))):
-                    if found:
-                        yield flush()
-                    key, found = here, {}
-                    q_ids, q = _matrix(row.query_ids, row.query_matrix, row.dim)
-                ids, matrix = _matrix(row.ids, row.matrix, row.dim)
-                scores = q @ matrix.T
-                for n in range(len(q_ids)):
-                    line, own = scores[n], ids != q_ids[n]
-                    new = best(ids, line, k) if own.all() else best(ids[own], line[own], k)
-                    if n in found:
-                        old = found[n]
-                        new = best(np.concatenate((old[0], new[0])), np.concatenate((old[1], new[1])), k)
-                    if len(new[0]):
-                        found[n] = new
-        if found:
-            yield flush()
-
-    partial = (
-        shards.join(tiles, ["tile", "grp", "dim"])
-        .select("tile", "grp", "dim", "ids", "matrix", "query_ids", "query_matrix")
-        .mapInPandas(products, "query_id long, vec_id long, score long")
+        .select("vec_id", F.transform("v", floor).alias("q"))
     )
+    queries = quantised.where(F.pmod("vec_id", F.lit(query_modulus)) == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
+    size = queries.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    tasks = quantised.coalesce(TASKS * parallelism(spark))
+
+    def searched(turn: int) -> DataFrame:
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == turn).toPandas()
+        shipped = spark.sparkContext.broadcast(list(_by_length(own, TILE_ROWS)))
+
+        def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tiles = [Best(ids, matrix, k) for ids, matrix in shipped.value]
+            for frame in frames:
+                for ids, shard in _by_length(frame, SHARD_ROWS):
+                    for tile in tiles:
+                        if tile.matrix.shape[1] == shard.shape[1]:
+                            tile.merge(ids, shard)
+            for tile in tiles:
+                yield tile.frame()
+            give_back()
+
+        return tasks.mapInPandas(products, "query_id long, vec_id long, score long")
+
+    if passes == 1:
+        partial = searched(0)
+    else:
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/topk-{uuid.uuid4().hex}"
+        for turn in range(passes):
+            searched(turn).write.mode("append").parquet(folder)
+        partial = spark.read.parquet(folder)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (
         partial.withColumn("rank", F.row_number().over(order))
