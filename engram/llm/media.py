@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import table
+from engram.llm.common import give_back, table
 
 BLOCK = 576
 WIDTH = 24
@@ -189,36 +189,69 @@ DIGESTS = (
 )
 
 
+#: Bytes of media that a batch holds at most (one file may be larger).
+BATCH_BYTES = 8 << 20
+
+
+def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str], weight: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded bytes; column ``weight`` holds the bytes that count."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[weight])
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): each text of ``docs`` (doc_id, text) as a PGM file."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def files() -> Iterator[tuple]:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    raw = text.as_py() or b""
+                    yield doc_id, len(raw), encode_pgm(np.frombuffer(payload_of(raw), "u1").reshape(-1, WIDTH))
+
+        yield from _batches(files(), [pa.int64(), pa.int64(), pa.binary()], ["doc_id", "n_bytes", "media"], 2)
+        give_back()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(store, "doc_id long, n_bytes long, media binary")
+
+
 def text_media(docs: DataFrame, with_files: bool = True) -> DataFrame:
-    """Store each text of ``docs`` (doc_id, text) as a PGM raster, read it back and compute its features.
+    """Store each text of ``docs`` (doc_id, text) as a PGM file in a column, read the column back and compute its features.
 
-    With ``with_files`` the PGM file and the NPY tile come as binary columns
-    ``media`` and ``tile``; without it only what is derived from them.
+    With ``with_files`` the PGM file and the NPY tile come as binary columns ``media`` and
+    ``tile``; without it only what is derived from the stored files.
     """
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
         names = [c.split()[0] for c in DIGESTS.split(", ")] + ["media", "tile"]
         n = len(names) if with_files else len(names) - 2
-        for batch in batches:
-            out: list[list] = [[] for _ in range(n)]
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = payload_of(text or b"")
-                media = encode_pgm(np.frombuffer(payload, "u1").reshape(-1, WIDTH))
-                image = decode(media)
-                back = image.tobytes()
-                small = area_resize(image, HASH_ROWS, HASH_COLUMNS)
-                tile = npy_tile(np.rint(small).astype("u1"))
-                row = (
-                    doc_id, len(text or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media),
-                    hashlib.sha256(media).hexdigest(), f"{difference_hash(small):016x}-{zlib.crc32(tile):08x}", media, tile,
-                )
-                for column, value in zip(out, row, strict=False):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=names[:n])
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for doc_id, n_bytes, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    media = stored.as_py()
+                    image = decode(media)
+                    back = image.tobytes()
+                    tile = npy_tile(np.rint(small := area_resize(image, HASH_ROWS, HASH_COLUMNS)).astype("u1"))
+                    row = (
+                        doc_id, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media),
+                        hashlib.sha256(media).hexdigest(), f"{difference_hash(small):016x}-{zlib.crc32(tile):08x}", media, tile,
+                    )
+                    yield row[:n]
+
+        yield from _batches(rows(), types[:n], names[:n], n - 2 if with_files else 3)
+        give_back()
 
     schema = DIGESTS + (", media binary, tile binary" if with_files else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(store, schema)
+    return store_texts(docs).mapInArrow(read, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
