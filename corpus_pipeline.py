@@ -34,7 +34,9 @@ def _own_ids(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, columns) of all rows of ``docs``, each with an id of its own, and (own_id, row) to find the rows by it."""
     single, odd = numbered_ids(docs, name=(name := fresh(docs, "row_id")))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = single.select(F.col("doc_id").cast("long").alias("own_id"), whole).unionByName(odd.select(F.col(name).alias("own_id"), whole))
+    rows = single.select(F.col("doc_id").cast("long").alias("own_id"), whole)
+    if odd is not None:
+        rows = rows.unionByName(odd.select(F.col(name).alias("own_id"), whole))
     return rows.select(F.col("own_id").alias("doc_id"), *[F.col(f"row.{c}").alias(c) for c in columns]), rows
 
 

@@ -88,8 +88,8 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return dealt.select("row.*", (start + inside).alias(name))
 
 
-def numbered_ids(docs: DataFrame, id_col: str = "doc_id", name: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """(rows whose id no other row has, all other rows with an id of their own in column ``name``).
+def numbered_ids(docs: DataFrame, id_col: str = "doc_id", name: str = "row_id") -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose id no other row has, all other rows, if any, with an id of their own in column ``name``).
 
     Rows without an id and rows of a repeated id get ids that no row of ``docs`` has, above all of
     them (below, where there is no room above).
@@ -97,13 +97,13 @@ def numbered_ids(docs: DataFrame, id_col: str = "doc_id", name: str = "row_id")
     ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
     repeated = cut(ids.where("n > 1 and id is not null").select("id"))
     low, high, n, known = docs.agg(F.min(id_col), F.max(id_col), F.count("*"), F.count(id_col)).first()
+    if n == known and repeated.isEmpty():
+        return docs, None
     single, odd = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
     if not repeated.isEmpty():
         of = F.col(id_col) == repeated["id"]
         odd = odd.unionByName(single.join(repeated, of, "left_semi"))
         single = single.join(repeated, of, "left_anti")
-    elif n == known:
-        return single, odd.withColumn(name, F.lit(None).cast("long"))
     # rows without an id come last
     odd = numbered(odd, name)
     number = F.col(name) + F.when(F.col(id_col).isNull(), F.lit(n)).otherwise(F.lit(0))

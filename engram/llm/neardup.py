@@ -52,7 +52,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 COLLECTIONS, ROWS = 16, 2
 #: A block of a star: rows at most, and bytes of the longest sets at most.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 BROADCAST_IDS = 1_000_000
 #: A key of more rows than this, and than one in SPLIT_KEYS of all rows, is split in joins.
 SPLIT_ROWS, SPLIT_KEYS = 512, 1000

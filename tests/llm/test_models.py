@@ -3,12 +3,16 @@
 import collections
 import math
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import htmltext, lmscore, neardup, toxicity
+from engram.llm.common import numbered_ids
 
 DOC = "doc_id long, text string, kept string, score int"
 
@@ -231,6 +235,61 @@ def test_custom_and_self_closed_elements_are_not_raw():
     assert "".join(text for text, *_ in htmltext.leaf_blocks(page)) == "abcde"
 
 
+def test_hostile_pages_stay_small():
+    net = htmltext.Labeller()
+    for page, n in (("<p>some words here" * 20_000, 20_000), ("<" + "a" * 300_000, 0), ('<div class="x y">t' * 20_000, 20_000), ("<div>x" * 5000 + "</p>" * 50_000, 5000)):
+        start = time.time()
+        tracemalloc.start()
+        found = htmltext.main_texts([page] + ["<p>one</p>"] * 127, net)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found[0][1] == n and found[1][1] == 1 and peak < 500 << 20 and time.time() - start < 60
+
+
+def test_lstm_against_a_plain_loop_and_its_gradient():
+    pages = [htmltext.leaf_blocks(p) for p in ("<main><p>a b<p>c</main><div class=x>d e f</div>", "<p>one", "<ul><li>x<li>y</ul>")]
+    net = htmltext.Labeller(3)
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    want = []
+    for page in pages:
+        x = []
+        for n, block in enumerate(page):
+            tokens, path = [], block[1]
+            while path is not None:
+                tokens, path = [*path.tokens, *tokens], path.around
+            words = [htmltext._buckets[t] for t in block[0].split()]
+            vector = sum((w["path"][t] for t in tokens), np.zeros(htmltext.PATH_SIZE)) / max(1, len(tokens)) ** 0.5
+            x.append(np.concatenate((vector, 2 * np.mean([w["word"][t] for t in words], 0), htmltext._shape(block, n, len(page)))))
+        sides = []
+        for way, line in (("f", x), ("b", x[::-1])):
+            h = c = np.zeros(htmltext.HIDDEN)
+            states = []
+            for v in line:
+                i, f, o, g = np.split(np.concatenate((v, h)) @ w[way] + w[way + "0"], 4)
+                c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+                h = sigmoid(o) * np.tanh(c)
+                states.append(h)
+            sides.append(states if way == "f" else states[::-1])
+        want += [float(sigmoid(np.concatenate(s) @ w["out"][:, 0] + w["bias"][0])) for s in zip(*sides)]
+    assert np.allclose(net.chances(pages), want, atol=1e-5)
+
+    gold = np.array([1, 0, 1, 1, 0, 1], "f4")
+    net.w = {k: v.astype("f8") for k, v in net.w.items()}
+    loss = lambda: -np.mean(gold * np.log(p := net.chances(pages).astype(float)) + (1 - gold) * np.log(1 - p))
+    tape: dict = {}
+    slopes = net.slopes(net.chances(pages, tape), gold, tape)
+    token = pages[0][0][1].around.tokens[0]
+    for name, at in (("path", (token, 3)), ("word", (htmltext._buckets["d"], 1)), ("f", (2, 7)), ("b", (htmltext.PATH_SIZE + 3, 41)), ("f", (-3, 65)), ("b0", (25,)), ("out", (5, 0)), ("bias", (0,))):
+        kept = net.w[name][at]
+        ends = []
+        for step in (1e-2, -1e-2):
+            net.w[name][at] = kept + step
+            ends.append(loss())
+        net.w[name][at] = kept
+        assert abs((ends[0] - ends[1]) / 2e-2 - slopes[name][at]) < 2e-4 + 0.03 * abs(slopes[name][at]), name
+
+
 def test_labeller_on_unseen_layouts():
     labeller = htmltext.trained()
     grammar = htmltext.PageGrammar(77)
@@ -277,6 +336,35 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert docs.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
 
 
+def test_pipeline_keeps_rows_apart_by_more_than_their_ids(spark, sf):
+    import corpus_pipeline as cp
+
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3
+    rows = [(n, base + f"only{n} " * 30, "en", "a", 1) for n in range(4)]
+    rows += [(None, base + "only1 " * 30, "en", "a", 1), (None, base + "single " * 30, "en", "a", 1), (None, base + "single " * 29, "en", "a", 1)]
+    rows += [(2, base + "only2 " * 30, "en", "a", 1), (9, base + "first " * 30, "en", "a", 1), (9, base + "second " * 40, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row_id", "own_id", "row", "copies", "score", "predicted", "kept", "size"):
+        docs = docs.withColumn(name, F.lit("x"))
+    kept = cp.drop_near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    want = {0: 1, 1: 1, 2: 1, 3: 1, 9: 2, None: 1}
+    assert dict(collections.Counter(r.doc_id for r in kept.collect())) == want
+    mixed = cp.mix_sources(spark, docs, sf)
+    assert mixed.columns == docs.columns and mixed.count() == len(rows)  # one source takes each of its documents once
+    assert cp.drop_toxic(spark, docs, sf).columns == docs.columns
+
+
+def test_null_keys_are_numbered_apart(spark):
+    docs = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    single, odd = numbered_ids(docs)
+    ids = [r.row_id for r in odd.collect()]
+    assert single.count() == 666 and len(set(ids)) == 334 and min(ids) > 999
+    top = docs.unionByName(spark.sql("select 9223372036854775807L as doc_id, 'x' as text"))
+    assert max(r.row_id for r in numbered_ids(top)[1].collect()) < 0
+    assert numbered_ids(docs.where("doc_id is not null"))[1] is None
+
+
 def test_pipeline_on_odd_rows(spark, sf, tmp_path):
     import corpus_pipeline as cp
 

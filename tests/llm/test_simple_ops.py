@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -110,8 +111,9 @@ def test_mined_rules_block(spark):
 # --- media
 
 def test_text_media_round_trip(spark, odd, none):
-    rows = media.text_media(odd).collect()
+    rows = media.text_media(odd.withColumn("media", F.lit(1)).withColumn("tile", F.lit("x"))).collect()
     assert len(rows) == len(ODD)
+    assert media.text_media(none).count() == 0
     for r in rows:
         texts = [t for d, t, *_ in ODD if d == r.doc_id]
         raw = (texts[0] or "").encode()
@@ -207,6 +209,33 @@ def test_cube_flight_keeps_the_constraints():
     assert abs(sum(equal) - 5) < 1e-6
 
 
+def test_cube_keeps_inclusion_probabilities_and_lands_small():
+    r = random.Random(2)
+    sizes = [float(r.randint(1, 60)) for _ in range(120)]
+    chances = [0.2 + 0.005 * n for n in range(120)]
+    seen = np.zeros(120)
+    for seed in range(1200):
+        moved = mixing.flight(chances, sizes, seed)
+        still = [n for n, c in enumerate(moved) if 0 < c < 1]
+        assert len(still) <= 2 and all(sizes[n] <= 20 for n in still)
+        landed = mixing.landing(moved, sizes)
+        assert [landed[n] for n in range(120) if n not in still] == [moved[n] for n in range(120) if n not in still]
+        assert abs(sum(c * s for c, s in zip(landed, sizes)) - sum(c * s for c, s in zip(chances, sizes))) <= 20
+        seen += moved
+    assert np.abs(seen / 1200 - chances).max() < 5 * 0.5 / 1200**0.5
+
+
+def test_mix_over_several_levels(spark):
+    r = random.Random(8)
+    rows = [(n, "w " * r.randint(1, 9), "hot" if n % 3 else "b") for n in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, block_rows=32, fan_in=4).collect()
+    assert sorted(g.doc_id for g in got) == list(range(4000))
+    for name in ("hot", "b"):
+        own = [g for g in got if g.source == name]
+        assert abs(sum(g.size * g.copies for g in own) - own[0].target) <= 9
+
+
 # --- chat format
 
 def chat(spark, rows):
@@ -267,5 +296,23 @@ def test_topk_brute_force(spark):
             want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(near)}
     got = [tuple(g) for g in topk.exact_topk(df).select("query_id", "rank", "vec_id", "score").collect()]
     assert set(got) == want and len(got) == len(want)
+    # many passes, each of one tile or a few
+    got = [tuple(g) for g in topk.exact_topk(df, pass_bytes=200).select("query_id", "rank", "vec_id", "score").collect()]
+    assert set(got) == want and len(got) == len(want)
     assert topk.exact_topk(df.limit(0)).count() == 0
     assert topk.exact_topk(spark.createDataFrame([Row(vec_id=50, embedding=[1.0])])).count() == 0
+
+
+def test_topk_many_tiles_and_shards(monkeypatch):
+    r = np.random.default_rng(9)
+    ids, vectors = np.arange(700) % 690, r.integers(-2, 3, (700, 6)).astype(float)
+    queries = np.arange(0, 690, 7)
+    tiles = [topk.Best(queries[at : at + 16], vectors[queries[at : at + 16]], 5) for at in range(0, len(queries), 16)]
+    for at in range(0, 700, 64):
+        for tile in tiles:
+            tile.merge(ids[at : at + 64], vectors[at : at + 64])
+    found = pd.concat([t.frame() for t in tiles])
+    for q in queries:
+        want = sorted((-int(vectors[q] @ v), int(i)) for i, v in zip(ids, vectors) if i != q)[:5]
+        own = found[found["query_id"] == q]
+        assert sorted(zip((-own["score"]).tolist(), own["vec_id"].tolist())) == want
