@@ -10,6 +10,11 @@ PROMPT_STOP_WORDS = (
     "the is of and a to in that it for was on are with what when where who how i you me my we our so be do did does get got "
     "very too now this that these those some many each every other more gonna wanna"
 ).split()
+SEARCH_STOP_WORDS = (
+    "the and for you that this with from have are was were will would could should about also just like then than over into only "
+    "more some such each every other many most its our his her they them these those not but can all been had has did does get got "
+    "very too now how"
+).split()
 REFERENTIAL_WORDS = (
     "my our mine ours we us this that these those the it they them their previous last before yesterday earlier again still same"
 ).split()
@@ -38,11 +43,27 @@ BUCKET_CUES = {
 }
 
 
+# What a figure with its unit and what an identifier looks like.
+FIGURE = r"(?i)\b\d+(?:[.,:]\d+)*[ \t\n\r\f]?(?:%|km|kg|mb|gb|ms|min|h|am|pm|usd|eur|inr|\$|€|₹|[kmb]\b|s\b)?"
+IDENTIFIER = r"\b(?:[a-z0-9]+_[a-z0-9_]+|[a-z]+[A-Z][A-Za-z0-9]+|[A-Za-z_][\w-]*\.[a-z]{1,4}|[A-Z]{2,}[0-9]*)\b"
+
+
 def words(text: Column) -> Column:
     """White-space separated words; an empty text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
 
 
+def letters(text: Column) -> Column:
+    """Lower-case runs of letters, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+
+
+def search_terms(text: Column, most: int = 30) -> Column:
+    """What a prompt is searched by: its first ``most`` words of three letters or more, without stop words."""
+    first = F.slice(F.filter(letters(text), lambda w: F.length(w) > 2), 1, most)
+    return F.array_except(first, F.array(*map(F.lit, SEARCH_STOP_WORDS)))
+
+
 def token_estimate(text: Column) -> Column:
     """The deterministic ruler: a quarter of the characters."""
     return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
@@ -109,15 +130,20 @@ def plain_ascii(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", " ")
 
 
+def units_ascii(text: Column) -> Column:
+    """As ``plain_ascii``, but signs of currency stay."""
+    return F.regexp_replace(text, r"[^\x00-\x7F€₹]", " ")
+
+
 def figures(text: Column) -> Column:
-    """Distinct figures of more than one character, at most 15, in order."""
-    found = F.regexp_extract_all(plain_ascii(text), F.lit(r"\b(\d+(?:[.,:]\d+)*)"), F.lit(1))
+    """Distinct figures with their units, of more than one character, at most 15, in order."""
+    found = F.transform(F.regexp_extract_all(units_ascii(text), F.lit(FIGURE), F.lit(0)), lambda x: F.trim(x))
     return F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) > 1)), 1, 15)
 
 
 def identifiers(text: Column) -> Column:
-    """Distinct snake_case, camelCase and capital identifiers, at most 15, in order."""
-    found = F.regexp_extract_all(plain_ascii(text), F.lit(r"\b([a-z0-9]+_[a-z0-9_]+|[a-z]+[A-Z][A-Za-z0-9]+|[A-Z]{2,}[0-9]*)\b"), F.lit(1))
+    """Distinct snake_case, camelCase, file.ext and capital identifiers, at most 15, in order."""
+    found = F.regexp_extract_all(plain_ascii(text), F.lit(IDENTIFIER), F.lit(0))
     return F.slice(F.array_distinct(found), 1, 15)
 
 

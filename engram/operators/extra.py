@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
+from engram.operators.ingest import lowest
+from engram.operators.similar import linked_groups
 
 
 def resolve_scope(mode: Column, manual: Column, attached: Column, project: Column, excluded: Column) -> Column:
@@ -73,9 +75,8 @@ def override_merge(base: DataFrame, manual: DataFrame, key: str) -> DataFrame:
 
 def ratio_compose(rows: DataFrame, flag: Column, share: float, id_col: str) -> DataFrame:
     """All flagged rows, and as many others (lowest hash first) as keep their share."""
-    totals = rows.agg(F.count_if(flag).alias("flagged"))
-    others = rows.where(~flag).withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.md5(F.col(id_col).cast("string")), id_col)))
-    kept = others.join(F.broadcast(totals)).where(F.col("nth") <= F.floor(F.col("flagged") * (1 - share) / share)).drop("nth", "flagged")  # totals is one row
+    flagged = rows.agg(F.count_if(flag)).first()[0]
+    kept = lowest(rows.where(~flag), F.md5(F.col(id_col).cast("string")), id_col, math.floor(flagged * (1 - share) / share))
     return rows.where(flag).unionByName(kept)
 
 
@@ -93,26 +94,6 @@ def tag_sets(models: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def friends(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(group, id, cluster): unassigned turns of one conversation joined where a pair is similar; those alone get null.  A grouped map with union-find."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        m = np.stack(frame["vector"].map(np.asarray)).astype(float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        root = list(range(len(m)))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for i, j in np.argwhere(np.triu(m @ m.T >= threshold, 1)).tolist():
-            a, b = top(i), top(j)
-            root[max(a, b)] = min(a, b)
-        tops = [top(n) for n in range(len(m))]
-        ids = frame["id"].to_numpy()
-        alone = pd.Series(tops).map(pd.Series(tops).value_counts()).to_numpy() == 1
-        cluster = pd.array([None if a else int(ids[t]) for t, a in zip(tops, alone, strict=True)], dtype="Int64")
-        return pd.DataFrame({"group": key[0], "id": ids, "cluster": cluster})
-
-    return rows.groupBy("group").applyInPandas(run, "group long, id long, cluster long")
+    """(group, id, cluster): unassigned turns of one conversation joined where a pair is similar; those alone get null."""
+    found = linked_groups(rows, threshold, normalise=True)
+    return found.select("group", "id", F.when(F.col("links") > 0, F.col("component")).alias("cluster"))

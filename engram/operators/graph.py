@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.lineage import cut
 from engram.config import DEFAULTS, Defaults
 from engram.functions.scalars import edge_trust
 
@@ -41,8 +42,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, now_us: int, depth: int = 3, cf
     """(seed, node, depth): nodes reached over live, positive edges in both directions.
 
     The first hop asks for trust of ``direct_trust``, later ones for strength of
-    ``deep_trust``.  A frontier loop with a visited anti-join: the depth is fixed, so
-    the plan is too, and each hop is an equi-join that AQE may split.
+    ``deep_trust``.  A frontier loop with a visited anti-join; each frontier is cut, so no
+    hop is computed twice, and each hop is an equi-join that AQE may split.
     """
     live = with_trust(edges.where(valid_at(None) & ~F.col("negated")), now_us, cfg)
     kept = live.select("source", "target", "trust", "strength")
@@ -54,7 +55,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, now_us: int, depth: int = 3, cf
     for n in range(1, depth + 1):
         hop = direct if n == 1 else deep
         reached = frontier.select("seed", F.col("node").alias("source")).join(hop, "source").select("seed", F.col("target").alias("node")).distinct()
-        frontier = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(n))
+        frontier = cut(reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(n)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -32,7 +32,7 @@ TOPIC_DELTAS = {"Creative_&_Media": {"codex": 0.3}, "Software_&_Tech": {"procedu
 
 def lexical_overlap(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, hits, rank): distinct query terms a document holds; an equi-join on terms."""
-    terms = docs.select(id_col, F.explode(F.array_distinct(tx.words(F.lower(text_col)))).alias("term"))
+    terms = docs.select(id_col, F.explode(F.array_distinct(tx.letters(F.col(text_col)))).alias("term"))
     hits = terms.join(queries.select("query_id", "term").distinct(), "term").groupBy("query_id", id_col).agg(F.count("*").alias("hits"))
     order = Window.partitionBy("query_id").orderBy(F.desc("hits"), id_col)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -42,10 +42,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     """(query_id, doc_id, score, rank) by BM25.
 
     Term frequencies are counted only for query terms (a semi-join before the
-    shuffle); sizes come from the same pass over the words.
+    shuffle).  Words are runs of letters.
     """
-    split = docs.select(id_col, tx.words(F.lower(text_col)).alias("w")).withColumn("size", F.size("w"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tx.words(F.col(text_col)))).alias("mean"))
+    split = docs.select(id_col, tx.letters(F.col(text_col)).alias("w")).withColumn("size", F.size("w"))
+    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.regexp_count(text_col, F.lit(r"\p{L}+")), F.lit(0))).alias("mean"))
     asked = queries.select("query_id", "term").distinct()
     found = split.select(id_col, "size", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = found.groupBy(id_col, "size", "term").agg(F.count("*").alias("tf"))

@@ -71,12 +71,12 @@ def leg_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.leg_shares(_scores(spark, sf_dir))
 
 
-LABEL_SETS = """sets AS (SELECT event_id, list_distinct(['L' || user_id % 4, 'L' || user_id % 6]) AS a, list_distinct(['L' || event_id % 5, 'L' || user_id % 6]) AS b, ['L' || event_id % 4] AS c FROM events WHERE event_id % 3 > 0)"""
+LABEL_SETS = """sets AS (SELECT event_id, list_distinct(['L' || user_id % 4, 'L' || user_id % 6]) AS a, list_distinct(['L' || event_id % 5, 'L' || user_id % 6]) AS b, ['L' || event_id % 4] AS c FROM events)"""
 
 
 def _sets(spark, sf_dir):
     name = lambda c, n: F.concat(F.lit("L"), F.col(c) % n)
-    e = read(spark, sf_dir, "events").where("event_id % 3 > 0")
+    e = read(spark, sf_dir, "events")
     one = lambda *x: e.select("event_id", F.array_distinct(F.array(*x)).alias("labels"))
     return one(name("user_id", 4), name("user_id", 6)), one(name("event_id", 5), name("user_id", 6)), one(name("event_id", 4))
 

@@ -31,22 +31,22 @@ def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "s.how", F.array_join(F.transform("s.ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
-@add(f"""WITH q AS (SELECT DISTINCT item_id AS query_id, w AS word FROM (SELECT item_id, unnest(string_split_regex(lower(text), '{WS}')) AS w FROM benchmark WHERE item_id < 10) WHERE length(w) >= 4),
+@add(f"""WITH q AS (SELECT DISTINCT item_id AS query_id, w AS word FROM (SELECT item_id, unnest(string_split_regex(lower(text), '{WS}')) AS w FROM benchmark) WHERE length(w) >= 4),
 t AS (SELECT DISTINCT doc_id AS entity_id, unnest(string_split_regex(lower(text), '{WS}')) AS word FROM documents),
 h AS (SELECT query_id, word, entity_id, row_number() OVER (PARTITION BY query_id, word ORDER BY entity_id) AS nth FROM q JOIN t USING (word)), c AS (SELECT query_id, entity_id, count(*) AS hits FROM h WHERE nth <= 20 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, entity_id) AS rank FROM c) SELECT query_id, entity_id, hits FROM r WHERE rank <= 2""")
 def entity_match_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.functions import text as tx
 
-    words = read(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.explode(tx.words(F.lower("text"))).alias("word")).distinct()
+    words = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.words(F.lower("text"))).alias("word")).distinct()
     return x.payload_match(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("text").alias("payload")), words)
 
 
-@add("""WITH m AS (SELECT p_size AS query_id, p_partkey AS place, p_name AS name, [p_brand, p_type] AS aliases FROM part WHERE p_partkey < 400),
+@add("""WITH m AS (SELECT p_size AS query_id, p_partkey AS place, p_name AS name, [p_brand, p_type] AS aliases FROM part),
 t AS (SELECT query_id, place, unnest(list_concat([name], aliases)) AS term, unnest([0, 1, 2]) AS n FROM m), f AS (SELECT query_id, term, min((place, n)) AS at_ FROM t GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at_, term) AS nth FROM f) SELECT query_id, string_agg(term, '|' ORDER BY nth) AS terms FROM r WHERE nth <= 8 GROUP BY 1""")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = read(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("place"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("aliases"))
+    m = read(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("place"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("aliases"))
     return x.expansion(m)
 
 
@@ -109,34 +109,35 @@ def model_tag_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("""WITH s AS (SELECT DISTINCT replace(p_brand, '#', '_') || '.' || p_type || '.f' || p_size AS symbol, replace(p_brand, '#', '_') || '.' || p_type AS module FROM part),
-r AS (SELECT DISTINCT replace(p_brand, '#', '_') || '.' || p_type AS module, 'f' || p_partkey % 60 AS ref FROM part WHERE p_partkey < 300), o AS (SELECT module, ref, module || '.' || ref AS symbol FROM r WHERE module || '.' || ref IN (SELECT symbol FROM s)),
+r AS (SELECT DISTINCT replace(p_brand, '#', '_') || '.' || p_type AS module, 'f' || p_partkey % 60 AS ref FROM part), o AS (SELECT module, ref, module || '.' || ref AS symbol FROM r WHERE module || '.' || ref IN (SELECT symbol FROM s)),
 l AS (SELECT list_last(string_split(symbol, '.')) AS ref, min(symbol) AS symbol FROM s GROUP BY 1 HAVING count(*) = 1)
 SELECT module, ref, symbol, 1.0::DOUBLE AS confidence FROM o UNION ALL SELECT r.module, r.ref, l.symbol, 0.6 FROM r JOIN l USING (ref) WHERE (r.module, r.ref) NOT IN (SELECT module, ref FROM o)""")
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     module = F.concat(F.regexp_replace("p_brand", "#", "_"), F.lit("."), F.col("p_type"))
     p = read(spark, sf_dir, "part")
     symbols = p.select(F.concat(module, F.lit(".f"), F.col("p_size")).alias("symbol"), module.alias("module")).distinct()
-    refs = p.where("p_partkey < 300").select(module.alias("module"), F.concat(F.lit("f"), F.col("p_partkey") % 60).alias("ref")).distinct()
+    refs = p.select(module.alias("module"), F.concat(F.lit("f"), F.col("p_partkey") % 60).alias("ref")).distinct()
     return x.imports_resolved(refs, symbols)
 
 
-@add("""WITH RECURSIVE v AS (SELECT vec_id AS id, label AS grp, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 150),
+@add("""WITH RECURSIVE v AS (SELECT vec_id AS id, label AS grp, embedding::DOUBLE[] AS e FROM embeddings),
 p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.grp = b.grp AND a.id <> b.id AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.25),
 r(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
 SELECT v.grp AS "group", v.id, CASE WHEN count(*) > 1 THEN min(b) END AS cluster FROM v JOIN r ON r.a = v.id GROUP BY 1, 2""")
 def wait_for_a_friend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = read(spark, sf_dir, "embeddings").where("vec_id < 150").select(F.col("label").cast("long").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    v = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return x.friends(v, 0.25)
 
 
-@add(f"""WITH {TURNS_SQL}, t AS (SELECT turn_id, 'fix in src/mod' || k % 9 || '.py now' AS task FROM turns WHERE turn_id < 500), c AS (SELECT p_partkey AS constraint_id, 'src/mod' || p_partkey % 9 || '.py' AS file FROM part WHERE p_partkey < 30),
-h AS (SELECT turn_id, constraint_id, row_number() OVER (PARTITION BY turn_id ORDER BY constraint_id) AS nth FROM t JOIN c ON regexp_extract(task, '(src/[a-z0-9]+\\.py)', 1) = file) SELECT turn_id, constraint_id FROM h WHERE nth <= 3""")
+@add(f"""WITH {TURNS_SQL}, t AS (SELECT turn_id, 'fix in src/mod' || k % 9 || '.py now' AS task FROM turns), c AS (SELECT p_partkey AS constraint_id, 'src/mod' || p_partkey % 9 || '.py' AS file FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 9 ORDER BY p_partkey) <= 5),
+h AS (SELECT turn_id, constraint_id, row_number() OVER (PARTITION BY turn_id ORDER BY constraint_id) AS nth FROM t JOIN c ON regexp_extract(task, '(src/[a-z0-9]+\\.py)', 1) = file) SELECT turn_id, constraint_id FROM h WHERE nth <= 5""")
 def constraint_file_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constraints whose file a task names, three a task: paths are extracted, then an equi-join."""
+    """Constraints whose file a task names, the first five a task: paths are extracted, then an equi-join with the first five of each file."""
     from pyspark.sql import Window
 
-    tasks = turns(spark, sf_dir).where("turn_id < 500").select("turn_id", F.concat(F.lit("fix in src/mod"), F.col("k") % 9, F.lit(".py now")).alias("task"))
+    tasks = turns(spark, sf_dir).select("turn_id", F.concat(F.lit("fix in src/mod"), F.col("k") % 9, F.lit(".py now")).alias("task"))
     named = tasks.select("turn_id", F.explode(F.regexp_extract_all("task", F.lit(r"(src/[a-z0-9]+\.py)"), F.lit(1))).alias("file"))
-    c = read(spark, sf_dir, "part").where("p_partkey < 30").select(F.col("p_partkey").alias("constraint_id"), F.concat(F.lit("src/mod"), F.col("p_partkey") % 9, F.lit(".py")).alias("file"))
+    c = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("constraint_id"), F.concat(F.lit("src/mod"), F.col("p_partkey") % 9, F.lit(".py")).alias("file"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("constraint_id"))
     nth = F.row_number().over(Window.partitionBy("turn_id").orderBy("constraint_id"))
-    return named.join(c, "file").withColumn("nth", nth).where("nth <= 3").select("turn_id", "constraint_id")
+    return named.join(c.withColumn("first", first).where("first <= 5"), "file").withColumn("nth", nth).where("nth <= 5").select("turn_id", "constraint_id")

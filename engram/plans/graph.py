@@ -25,20 +25,20 @@ def edge_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.with_trust(edges(spark, sf_dir).where(g.valid_at(None)), ORDERS_NOW_US).select("edge_id", F.round("trust", 6).alias("trust"))
 
 
-@add(f"""WITH {EDGES_SQL}, a AS (SELECT c_custkey AS anchor, CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS asked FROM customer WHERE c_custkey % 10 = 0),
+@add(f"""WITH {EDGES_SQL}, a AS (SELECT c_custkey AS anchor, CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS asked FROM customer),
 r AS (SELECT anchor, e.*, row_number() OVER (PARTITION BY anchor ORDER BY strength DESC, edge_id)::INT AS rank FROM edges e JOIN a ON source = anchor AND relation = asked),
 t AS (SELECT anchor, edge_id, {TRUST.format(now=ORDERS_NOW_US)} AS trust, rank FROM r WHERE rank <= 10) SELECT anchor, edge_id, round(trust, 6) AS trust, rank FROM t WHERE trust >= 0.5""")
 def relation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("anchor"), F.when(F.col("c_custkey") % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("asked"))
+    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("anchor"), F.when(F.col("c_custkey") % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("asked"))
     return g.relation_facts(edges(spark, sf_dir), a, ORDERS_NOW_US)
 
 
 # vertices of the traversal: suppliers and parts, so that both directions are used and hops stay meaningful
 HOPS_SQL = f"""e AS (SELECT l_suppkey AS source, 1000000 + l_partkey AS target, l_quantity / 10 AS strength, CASE WHEN l_discount > 0 THEN 1 - l_discount END AS confidence, epoch_us(l_shipdate) AS valid_from
-FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'R' AND l_orderkey % 40 = 0),
+FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'R'),
 b AS (SELECT source, target, strength, {TRUST.format(now=ORDERS_NOW_US)} AS trust FROM e), both_ AS (SELECT * FROM b UNION ALL SELECT target, source, strength, trust FROM b),
 d1 AS (SELECT DISTINCT source, target FROM both_ WHERE trust >= 0.5), d2 AS (SELECT DISTINCT source, target FROM both_ WHERE strength >= 1.0),
-s AS (SELECT s_suppkey AS seed, s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey < 5),
+s AS (SELECT s_suppkey AS seed, s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey % 100 = 0),
 h1 AS (SELECT DISTINCT seed, d1.target AS node, 1 AS depth FROM s JOIN d1 ON s.node = d1.source),
 n1 AS (SELECT * FROM h1 WHERE (seed, node) NOT IN (SELECT seed, node FROM s)),
 h2 AS (SELECT DISTINCT seed, d2.target AS node, 2 AS depth FROM n1 JOIN d2 ON n1.node = d2.source),
@@ -51,12 +51,12 @@ n3 AS (SELECT * FROM h3 WHERE (seed, node) NOT IN (SELECT seed, node FROM s UNIO
 def graph_bfs_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.sources.driver import micros
 
-    lines = read(spark, sf_dir, "lineitem").where("l_linestatus = 'O' and l_returnflag <> 'R' and l_orderkey % 40 = 0").select(
+    lines = read(spark, sf_dir, "lineitem").where("l_linestatus = 'O' and l_returnflag <> 'R'").select(
         F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1_000_000).alias("target"), (F.col("l_quantity") / 10).alias("strength"),
         F.when(F.col("l_discount") > 0, 1 - F.col("l_discount")).alias("confidence"), F.lit(False).alias("negated"), micros("l_shipdate").alias("valid_from"),
         F.lit(None).cast("long").alias("valid_until"),
     )
-    seeds = read(spark, sf_dir, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("seed"))
+    seeds = read(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(F.col("s_suppkey").alias("seed"))
     return g.traverse(lines, seeds, ORDERS_NOW_US)
 
 
@@ -88,21 +88,16 @@ def duplicate_pairs_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.duplicate_names(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
-@add("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 200)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.6""")
+@add("""WITH RECURSIVE v AS (SELECT vec_id AS id, label AS grp, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.grp = b.grp AND a.id <> b.id WHERE list_dot_product(a.e, b.e) >= 0.3),
+r(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a), l AS (SELECT a, count(*) AS links FROM p GROUP BY 1)
+SELECT v.grp::BIGINT AS "group", v.id, coalesce(l.links, 0)::BIGINT AS links, min(r.b) AS component FROM v JOIN r ON r.a = v.id LEFT JOIN l ON l.a = v.id GROUP BY ALL""")
 def duplicate_pairs_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposals between 200 entities of one type: a matrix product a type, only pairs over the threshold leave it."""
-    import numpy as np
-    import pandas as pd
-
-    def near(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id")
-        m, ids = np.stack(frame["embedding"].map(np.asarray)).astype(float), frame["vec_id"].to_numpy()
-        scores = m @ m.T
-        i, j = np.nonzero(np.triu(scores >= 0.6, 1))
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "score": np.round(scores[i, j], 6)})
-
-    return read(spark, sf_dir, "embeddings").where("vec_id < 200").groupBy("label").applyInPandas(near, "a long, b long, score double")
+    """Proposals to merge entities of one type: each entity with its number of similar ones and the class they form."""
+    from engram.operators.similar import linked_groups
+
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return linked_groups(rows, 0.3, normalise=False)
 
 
 @add(f"""WITH {EDGES_SQL} SELECT source, count(DISTINCT CASE WHEN strength < 2 THEN target END) AS n_pending, count(DISTINCT CASE WHEN strength >= 2 THEN target END) AS n_active

@@ -14,16 +14,17 @@ from engram.sources.driver import DAY_US, NOW_US, TURNS_SQL, read, turns
 PLANS = Plans()
 add = PLANS.add
 WS = r"[ \t\n\r\f\x0B]+"
-N_QUERIES = 10
+#: Every vector whose id is divisible by this asks.
+EVERY = 100
 
-V_SQL = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe, label AS qlabel FROM v WHERE vec_id < 10)"
+V_SQL = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe, label AS qlabel FROM v WHERE vec_id % 100 = 0)"
 SIM = "round(list_dot_product(qe, e), 6)"
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank"
 
 
 def _vectors(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
-    return v, v.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
+    return v, v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
 
 
 @add(f"WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, {SIM} AS score FROM q, v), r AS (SELECT *, {RANK} FROM s) SELECT * FROM r WHERE rank <= 20")
@@ -46,13 +47,14 @@ def vector_topk_decay_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.block_topk(weighted, q, 20, "vec_id", "embedding", "w")
 
 
-TERMS_SQL = f"""q AS (SELECT DISTINCT item_id AS query_id, w AS term FROM (SELECT item_id, unnest(string_split_regex(lower(text), '{WS}')) AS w FROM benchmark WHERE item_id < 10) WHERE length(w) >= 7),
-d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{WS}'), lambda w: w <> '') AS w FROM documents)"""
+STOP_SQL = ", ".join(f"'{w}'" for w in tx.SEARCH_STOP_WORDS)
+TERMS_SQL = f"""q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(list_filter(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) > 2)[1:30], lambda w: w NOT IN ({STOP_SQL}))) AS term FROM benchmark)),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM documents)"""
 
 
 def _asked(spark, sf_dir):
-    words = read(spark, sf_dir, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), F.explode(tx.words(F.lower("text"))).alias("term"))
-    return words.where(F.length("term") >= 7).distinct()
+    """Every item asks with its first terms."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.search_terms(F.col("text"))).alias("term")).distinct()
 
 
 @add(f"""WITH {TERMS_SQL}, t AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM d), h AS (SELECT query_id, doc_id, count(*) AS hits FROM q JOIN t USING (term) GROUP BY ALL),
@@ -71,13 +73,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.bm25(read(spark, sf_dir, "documents"), _asked(spark, sf_dir), 20)
 
 
-@add(f"""WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, vec_id % 37 AS parent, {SIM} AS score FROM q, v WHERE vec_id >= 10),
+@add(f"""WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, vec_id % 37 AS parent, {SIM} AS score FROM q, v),
 t AS (SELECT *, {RANK} FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY score DESC, id) AS nth FROM t WHERE rank <= 30)
 SELECT query_id, id, parent, score FROM c WHERE nth <= 3""")
 def chunk_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as chunks of parents: at most 30 candidates, three a parent."""
     v, q = _vectors(spark, sf_dir)
-    found = vectors.block_topk(v.where(F.col("vec_id") >= N_QUERIES), q, 30, "vec_id", "embedding").withColumn("parent", F.col("id") % 37)
+    found = vectors.block_topk(v, q, 30, "vec_id", "embedding").withColumn("parent", F.col("id") % 37)
     return rt.cap_per(found, ["query_id", "parent"], [F.desc("score"), F.asc("id")], 3).select("query_id", "id", "parent", "score")
 
 
@@ -205,21 +207,16 @@ def cold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("conversation_id", "turn_id", F.lit(0.6).alias("score"), "rank")
 
 
-@add(f"""WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, label = qlabel AS own, {SIM} AS score FROM q, v WHERE vec_id >= 10),
+@add(f"""WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, label = qlabel AS own, {SIM} AS score FROM q, v),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, id) AS nth FROM s)
 SELECT query_id, id, CASE WHEN own THEN 'own' ELSE 'others' END AS half, score FROM r WHERE (own AND nth <= 3) OR (NOT own AND nth <= 2)""")
 def batch_summary_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as batch summaries, labels as conversations: three of one's own, two of others."""
     v, q = _vectors(spark, sf_dir)
-    v = v.where(F.col("vec_id") >= N_QUERIES)
-    out = None
-    # one pass a label of the query set: own summaries and the others are ranked apart
-    for label in sorted(r[0] for r in q.select("qlabel").distinct().collect()):
-        part = q.where(F.col("qlabel") == label)
-        own = vectors.block_topk(v.where(F.col("label") == label), part, 3, "vec_id", "embedding").withColumn("half", F.lit("own"))
-        rest = vectors.block_topk(v.where(F.col("label") != label), part, 2, "vec_id", "embedding").withColumn("half", F.lit("others"))
-        both = own.unionByName(rest)
-        out = both if out is None else out.unionByName(both)
+    asked, rows = q.withColumnRenamed("qlabel", "conv"), v.withColumnRenamed("label", "conv")
+    own = vectors.block_topk(rows, asked, 3, "vec_id", "embedding", group="conv").withColumn("half", F.lit("own"))
+    others = vectors.block_topk(rows, asked, 2, "vec_id", "embedding", group="conv", same=False).withColumn("half", F.lit("others"))
+    out = own.unionByName(others)
     return out.select("query_id", "id", "half", "score")
 
 

@@ -111,20 +111,26 @@ def prompt_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(tx.prompt_keywords(F.col("text")), " ").alias("keywords"))
 
 
-@add(f"""WITH q AS (SELECT item_id, unnest(list_filter(list_distinct(string_split_regex(lower(text), '{WS}')), lambda w: length(w) >= 9)) AS w FROM benchmark WHERE item_id < 10),
-d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '{WS}')) AS w FROM documents)
-SELECT item_id, doc_id, count(*) AS hits FROM q JOIN d USING (w) GROUP BY ALL""")
+@add(f"""WITH q AS (SELECT item_id, unnest(list_filter(list_distinct(string_split_regex(lower(text), '{WS}')), lambda w: length(w) > 2 AND w NOT IN ({_in(tx.PROMPT_STOP_WORDS)}))) AS w FROM benchmark),
+d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '{WS}')) AS w FROM documents), h AS (SELECT item_id, doc_id, count(*) AS hits FROM q JOIN d USING (w) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS nth FROM h) SELECT item_id, doc_id, hits FROM r WHERE nth <= 50""")
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ask = read(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.explode(F.array_distinct(tx.words(F.lower("text")))).alias("w")).where(F.length("w") >= 9)
+    """The fifty documents that hold most of an item's words."""
+    from engram.operators.retrieve import cap_per
+
+    ask = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tx.words(F.lower("text")))).alias("w"))
+    ask = ask.where((F.length("w") > 2) & ~F.col("w").isin(tx.PROMPT_STOP_WORDS))
     held = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.words(F.lower("text")))).alias("w"))
-    return held.join(ask, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    hits = held.join(ask, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    return cap_per(hits, ["item_id"], [F.desc("hits"), F.asc("doc_id")], 50)
 
 
 WORDS = f"list_filter(string_split_regex(text, '{WS}'), lambda w: w <> '')"
 ASCII = r"regexp_replace(text, '[^\x00-\x7F]', ' ', 'g')"
+ASCII_UNITS = r"regexp_replace(text, '[^\x00-\x7F€₹]', ' ', 'g')"
 DENSITY_SQL = rf"""w AS (SELECT doc_id, text, {WORDS} AS words, list_distinct(regexp_extract_all({ASCII}, '\b([A-Z][a-zA-Z]{{2,}})\b', 1)) AS ents,
-list_distinct(list_filter(regexp_extract_all({ASCII}, '\b(\d+(?:[.,:]\d+)*)', 1), lambda x: length(x) > 1)) AS figs,
-list_distinct(regexp_extract_all({ASCII}, '\b([a-z0-9]+_[a-z0-9_]+|[a-z]+[A-Z][A-Za-z0-9]+|[A-Z]{{2,}}[0-9]*)\b', 1)) AS idents FROM documents WHERE lang = 'en'),
+list_distinct(list_filter(list_transform(regexp_extract_all({ASCII_UNITS}, '{tx.FIGURE}', 0), lambda x: trim(x)), lambda x: length(x) > 1)) AS figs,
+list_distinct(regexp_extract_all({ASCII}, '{tx.IDENTIFIER}', 0)) AS idents FROM documents),
 p AS (SELECT *, greatest(len(words), 1) / 100.0::DOUBLE AS per100, list_transform(words[1:300], lambda w: lower(w)) AS win FROM w),
 dens AS (SELECT doc_id, len(words) AS n_words, contains(text, '```') AS code, round(least(1.0, 0.45 * least(1.0, least(len(ents), 25) / per100 / 6)
  + 0.25 * least(1.0, (least(len(figs), 15) + least(len(idents), 15)) / per100 / 6) + 0.2 * contains(text, '```')::INT
@@ -133,7 +139,7 @@ dens AS (SELECT doc_id, len(words) AS n_words, contains(text, '```') AS code, ro
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select(
+    return read(spark, sf_dir, "documents").select(
         "doc_id", F.size(tx.words(t)).cast("long").alias("n_words"), F.contains(t, F.lit("```")).alias("code"), tx.density(t).alias("density")
     )
 
@@ -150,13 +156,12 @@ def representation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir).select("doc_id", made.alias("representation"))
 
 
-@add(rf"""WITH t AS (SELECT doc_id, left(text, 400) AS summary, list_distinct(regexp_extract_all({ASCII}, '\b([A-Z][a-zA-Z]{{2,}})\b', 1)) AS terms FROM documents WHERE lang = 'en' AND doc_id % 3 = 0)
+@add(rf"""WITH t AS (SELECT doc_id, left(text, 400) AS summary, regexp_extract_all({ASCII}, '\b([A-Z][a-zA-Z]{{2,}})\b', 1) AS found FROM documents),
+f AS (SELECT doc_id, summary, list_filter(found, lambda x, i: list_position(found, x) = i)[1:25] AS terms FROM t)
 SELECT doc_id, len(terms) AS n_terms, CASE WHEN len(terms) = 0 THEN 1.0 ELSE
- round(len(list_filter(terms, lambda t: contains(lower(summary), lower(t)))) / len(terms), 4) END AS coverage FROM t WHERE len(terms) <= 25""")
+ round(len(list_filter(terms, lambda t: contains(lower(summary), lower(t)))) / len(terms), 4) END AS coverage FROM f""")
 def summary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where("lang = 'en' and doc_id % 3 = 0")
-    found = F.array_distinct(F.regexp_extract_all(tx.plain_ascii(F.col("text")), F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1)))
-    made = docs.select("doc_id", F.substr("text", F.lit(1), F.lit(400)).alias("summary"), found.alias("terms")).where(F.size("terms") <= 25)
+    made = read(spark, sf_dir, "documents").select("doc_id", F.substr("text", F.lit(1), F.lit(400)).alias("summary"), tx.entities(F.col("text")).alias("terms"))
     return made.select("doc_id", F.size("terms").cast("long").alias("n_terms"), tx.summary_coverage(F.col("summary"), F.col("terms")).alias("coverage"))
 
 
