@@ -27,7 +27,17 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "chunk", F.sha2("text", 256).alias("sha"), "tokens")
 
 
-@add()
+#: What the phrases of ``timescope_detect`` mean on the day of NOW, worked out by hand: (mode, start, end, words that say so).
+TIMES_SQL = """VALUES (0, 'as_of', '2025-02-15 00:00:00', '2025-04-15 00:00:00', 'march 2025'), (1, 'as_of', '2026-06-11 02:24:00', '2026-06-27 21:36:00', '3 weeks ago'),
+(2, 'as_of', '2026-07-06 00:00:00', '2026-07-10 12:00:00', 'yesterday'), (3, 'range', '2022-12-02 00:00:00', '2026-07-10 12:00:00', 'since 2023'),
+(4, 'range', '2023-12-18 00:00:00', '2024-04-15 00:00:00', 'between january 2024 and march 2024'), (5, 'range', '2025-11-10 00:00:00', '2026-03-22 00:00:00', 'last winter'),
+(6, 'evolution', NULL, NULL, 'over time'), (7, 'current', NULL, NULL, ''), (8, 'range', '2024-03-11 00:00:00', '2024-07-22 00:00:00', 'Q2 2024'), (9, 'as_of', '2026-05-18 00:00:00', '2026-06-04 00:00:00', 'late may')"""
+
+
+@add(f"""WITH p(phrase, mode, t0, t1, matched) AS ({TIMES_SQL}), e AS (SELECT event_id, event_id % 4 AS head, user_id % 10 AS phrase FROM events)
+SELECT event_id, CASE head WHEN 1 THEN 'current' WHEN 2 THEN 'evolution' ELSE mode END AS mode, CASE WHEN head <> 1 THEN epoch_us(t0::TIMESTAMP) END AS t0, CASE WHEN head <> 1 THEN epoch_us(t1::TIMESTAMP) END AS t1,
+CASE head WHEN 1 THEN '' WHEN 2 THEN CASE WHEN phrase = 6 THEN 'how has it changed; over time' WHEN phrase = 7 THEN 'how has it changed' ELSE matched || '; how has it changed' END ELSE matched END AS matched
+FROM e JOIN p USING (phrase)""")
 def timescope_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = ("in march 2025", "3 weeks ago", "yesterday", "since 2023", "between january 2024 and march 2024", "last winter", "over time", "in the code", "Q2 2024", "late may")
     heads = ("what did we plan", "we planned", "how has it changed", "show me the notes from")

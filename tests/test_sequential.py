@@ -34,12 +34,30 @@ NOW = datetime(2026, 7, 10, 12)
         ("what did I cook last winter?", "range", datetime(2025, 11, 10), datetime(2026, 3, 22)),
         ("spring cleaning, what now?", "current", None, None),
         (None, "current", None, None),
+        ("we stopped in. march was fine, what now?", "current", None, None),
+        ("what did we do in, march?", "as_of", datetime(2026, 2, 15), datetime(2026, 4, 15)),
+        ("compare january 2024 vs march 2024?", "evolution", datetime(2023, 12, 18), datetime(2024, 4, 15)),
+        ("what was said before 2024?", "range", datetime(2000, 1, 1), datetime(2023, 12, 2)),
     ],
 )
 def test_timescope(prompt, mode, t0, t1):
     assert timescope.detect(prompt, NOW)[:3] == (mode, t0, t1)
 
 
+def test_timescope_evidence():
+    got = timescope.detect("how did the plan change over time since 2023", NOW)
+    assert got.mode == "evolution" and got.evidence == ("expr:2023", "cue:how did the plan change", "cue:over time", "gate:interrogative")
+    assert got.matched == "since 2023; how did the plan change; over time"
+    assert timescope.detect("march 2025", NOW, p_ltm=0.6).evidence == ("expr:march 2025", "gate:p_ltm")
+
+
+def test_chunks_follow_sections_and_carry_words():
+    text = "# One\nFirst sentence here. Second sentence here.\n# Two\nThird sentence.\n```\ncode line\n\nother line\n```"
+    assert chunking.chunks(text, 10, 2) == ["# One\nFirst sentence here.", "sentence here.\nSecond sentence here.", "# Two\nThird sentence.\n```\ncode line", "code line\nother line\n```"]
+    assert chunking.chunks("a" * 100 + " b c", 5, 3) == [*["a" * 20] * 5, "b c"]
+    assert chunking.chunks(None) == [] and chunking.chunks(" \n ") == []
+
+
 def test_timescope_column(spark):
     df = spark.createDataFrame([("what did I say in march 2025?",), (None,)], "p string")
     got = [r.t for r in df.select(timescope.timescope(F.col("p"), NOW).alias("t")).collect()]
@@ -50,7 +68,10 @@ def test_timescope_column(spark):
 @given(st.text(alphabet="ab .!?\n#`x", max_size=300), st.integers(4, 40))
 def test_chunks_hold_the_budget_and_lose_no_word(text, budget):
     made = chunking.chunks(text, budget, 2)
-    assert all(chunking.quarter(c) <= budget + 1 for c in made)
+    carried = [c for c in made if chunking.quarter(c) > budget + 1]
+    # beyond the budget only by the words that a chunk takes over from the one before
+    assert all(chunking.quarter(c.split("\n", 1)[-1]) <= budget for c in carried)
+    assert all(chunking.quarter(c) <= budget + 1 for c in chunking.chunks(text, budget, 0))
     squeezed = "".join("".join(made).split())
     at = 0
     for letter in "".join(text.replace("```", "").split()):
