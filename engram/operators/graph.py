@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from engram.lineage import cut
 from engram.config import DEFAULTS, Defaults
 from engram.functions.scalars import edge_trust
+from engram.functions.relations import MULTI_VALUED, PROPERTIES
 
 ANTONYMS = (("1-URGENT", "5-LOW"), ("2-HIGH", "4-NOT SPECIFIED"))
 
@@ -155,40 +156,45 @@ def merge_entities(edges: DataFrame, remap: DataFrame) -> DataFrame:
     )
 
 
-MULTI_VALUED, PROPERTY = frozenset(("knows", "uses", "likes")), frozenset(("status", "role"))
-
-
-def upsert_subject(triples: pd.DataFrame, multi=MULTI_VALUED, properties=PROPERTY) -> pd.DataFrame:
+def upsert_subject(triples: pd.DataFrame, multi=MULTI_VALUED, properties=PROPERTIES) -> pd.DataFrame:
     """The edges of one subject after its triples (relation, target, negated, confidence, us), in order.
 
     A negation expires the positive edge and is stored; a property expires all live
     edges of its relation; a repeated fact gains 1 and is promoted at 2; a
-    single-valued relation expires its first live predecessor.
+    single-valued relation expires its first live predecessor.  Live edges are kept by
+    relation and target, so a triple costs what it touches.
     """
     rows: list[dict] = []
+    live: dict[str, dict[tuple, dict]] = {}
+
+    def expire(held: dict[tuple, dict], key: tuple, us: int) -> None:
+        held.pop(key)["valid_until"] = us
+
     for t in triples.sort_values(["us", "relation", "target"]).itertuples():
-        live = [r for r in rows if r["valid_until"] is None]
-        same = [r for r in live if r["target"] == t.target and r["relation"] == t.relation]
-        new = {"relation": t.relation, "target": t.target, "negated": bool(t.negated), "confidence": t.confidence, "valid_from": t.us, "valid_until": None}
+        held = live.setdefault(t.relation, {})
+        new = {"relation": t.relation, "target": t.target, "negated": bool(t.negated), "confidence": t.confidence, "valid_from": t.us, "valid_until": None, "strength": 1.0, "state": "active"}
+        known = held.get((t.target, False))
         if t.negated:
-            for r in same:
-                if not r["negated"]:
-                    r["valid_until"] = t.us
-            rows.append(new | {"strength": 1.0, "state": "active"})
-        elif same_positive := [r for r in same if not r["negated"]]:
-            r = same_positive[0]
-            r["strength"], r["confidence"] = r["strength"] + 1, max(r["confidence"], t.confidence)
-            r["state"] = "active" if r["strength"] >= 2 else r["state"]
+            if known:
+                expire(held, (t.target, False), t.us)
+        elif known:
+            known["strength"], known["confidence"] = known["strength"] + 1, max(known["confidence"], t.confidence)
+            known["state"] = "active" if known["strength"] >= 2 else known["state"]
+            continue
         elif t.relation in properties:
-            for r in live:
-                if r["relation"] == t.relation:
-                    r["valid_until"] = t.us
-            rows.append(new | {"strength": 3.0, "state": "active"})
+            for key in list(held):
+                expire(held, key, t.us)
+            new["strength"] = 3.0
         else:
-            before = [r for r in live if r["relation"] == t.relation and not r["negated"]] if t.relation not in multi else []
+            before = next((key for key in held if not key[1]), None) if t.relation not in multi else None
             if before:
-                before[0]["valid_until"] = t.us
-            rows.append(new | {"strength": 3.0 if before else 1.0, "state": "active" if before else "pending"})
+                expire(held, before, t.us)
+                new["strength"] = 3.0
+            else:
+                new["state"] = "pending"
+        rows.append(new)
+        # of several negations of one fact each stays, under a key of its own
+        held[(t.target, True, len(rows)) if t.negated else (t.target, False)] = new
     return pd.DataFrame(rows)
 
 

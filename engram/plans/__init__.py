@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from engram.plans import evaluate, extra, graph, lifecycle, records, retrieve, sequential, text
+from engram.plans import assemble, evaluate, extra, graph, lifecycle, records, retrieve, sequential, text
 
-FAMILIES = (text.PLANS, retrieve.PLANS, graph.PLANS, lifecycle.PLANS, evaluate.PLANS, records.PLANS, extra.PLANS, sequential.PLANS)
+FAMILIES = (text.PLANS, retrieve.PLANS, graph.PLANS, lifecycle.PLANS, evaluate.PLANS, records.PLANS, extra.PLANS, sequential.PLANS, assemble.PLANS)
 QUERIES = {name: f for plans in FAMILIES for name, f in plans.queries.items()}
 ORACLES = {name: sql for plans in FAMILIES for name, sql in plans.oracles.items()}

@@ -174,7 +174,7 @@ def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add()
 def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*map(F.lit, ("knows", "uses", "status", "lives", "works")))
+    names = F.array(*map(F.lit, ("knows", "uses", "status", "lives_in", "works_at")))
     rows = turns(spark, sf_dir).select(
         (F.col("conversation_id") % 40).alias("subject"), F.element_at(names, (F.col("k") % 5 + 1).cast("int")).alias("relation"), (F.col("turn_id") % 4).alias("target"),
         (F.col("turn_id") % 9 == 0).alias("negated"), (F.col("k") / 100).alias("confidence"), "us",

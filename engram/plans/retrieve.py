@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions import scalars, vectors
 from engram.functions import text as tx
 from engram.operators import retrieve as rt
+from engram.operators.assemble import fuse
 from engram.plans.base import Plans
 from engram.sources.driver import DAY_US, NOW_US, TURNS_SQL, read, turns
 
@@ -101,31 +102,45 @@ def cluster_preselect_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.preselect_clusters(scored)
 
 
-RRF_SQL = f"""WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, {SIM} AS score, qlabel, label FROM q, v),
-a AS (SELECT query_id, id, {RANK} FROM s), b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank FROM s WHERE qlabel = label),
-u AS (SELECT query_id, id, rank, 0.8 AS w, 'bm25' AS leg, 0 AS nth FROM b WHERE rank <= 100 UNION ALL SELECT query_id, id, rank, 1.0, 'vector', 1 FROM a WHERE rank <= 100),
-f AS (SELECT query_id, id, round(sum(w::DOUBLE / (60 + rank)), 9) AS score, arg_min(leg, nth) AS leg FROM u GROUP BY ALL), r AS (SELECT *, {RANK} FROM f)"""
+RRF_SQL = f"""WITH {V_SQL}, qt AS (SELECT query_id, text FROM q JOIN documents ON doc_id = query_id),
+ask AS (SELECT DISTINCT query_id, unnest(list_filter(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) > 2)[1:30], lambda w: w NOT IN ({STOP_SQL}))) AS term FROM qt),
+dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM documents), dn AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM dw),
+dt AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM dw), tf AS (SELECT doc_id, size, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM ask) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bp AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS part FROM tf JOIN df USING (term), dn),
+bs AS (SELECT query_id, doc_id AS id, round(sum(part), 6) AS score FROM bp JOIN ask USING (term) GROUP BY ALL), bk AS (SELECT *, {RANK} FROM bs), br AS (SELECT bk.*, md5(text) AS key FROM bk JOIN documents ON doc_id = id WHERE rank <= 100),
+vs AS (SELECT query_id, vec_id AS id, {SIM} AS score FROM q, v), vk AS (SELECT *, {RANK} FROM vs), vr AS (SELECT vk.*, coalesce(md5(text), id::VARCHAR) AS key FROM vk LEFT JOIN documents ON doc_id = id WHERE rank <= 100),
+u AS (SELECT query_id, id, rank, key, 0.8 AS w, 'bm25' AS leg, 0 AS nth FROM br UNION ALL SELECT query_id, id, rank, key, 1.0, 'vector', 1 FROM vr),
+f AS (SELECT query_id, arg_min(id, (nth, rank, id)) AS id, round(sum(w::DOUBLE / (60 + rank)), 9) AS score, arg_min(leg, (nth, rank, id)) AS leg FROM u GROUP BY query_id, key), r AS (SELECT *, {RANK} FROM f)"""
 
 
-def _legs(spark, sf_dir):
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text, source, vector): the documents of the asking vectors are the prompts."""
     v, q = _vectors(spark, sf_dir)
-    near = vectors.block_topk(v, q, 100, "vec_id", "embedding").select("query_id", "id", "rank")
-    labelled = v.join(q.select("query_id", "qlabel"), F.col("label") == F.col("qlabel")).select("query_id", F.col("vec_id").alias("id"), F.lit(0.0).alias("score"))
-    from pyspark.sql import Window
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text", "source")
+    return docs.join(q.select("query_id", "vector"), "query_id")
+
 
-    by_label = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("rank <= 100").select("query_id", "id", "rank")
-    return {"bm25": by_label, "vector": near}
+def legs_by_text(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The lexical and the vector leg of every prompt: (query_id, id, score, rank, key), the key a hash of the text."""
+    v, q = _vectors(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents")
+    asked = prompts(spark, sf_dir).select("query_id", F.explode(tx.search_terms(F.col("text"))).alias("term"))
+    lexical = rt.bm25(docs, asked, 100).withColumnRenamed("doc_id", "id")
+    near = vectors.block_topk(v, q, 100, "vec_id", "embedding")
+    key = docs.select(F.col("doc_id").alias("id"), F.md5(F.col("text")).alias("key"))
+    keyed = lambda leg: leg.join(key, "id", "left").select("query_id", "id", "score", "rank", F.coalesce("key", F.col("id").cast("string")).alias("key"))
+    return {"bm25": keyed(lexical), "vector": keyed(near)}
 
 
 @add(RRF_SQL + " SELECT * FROM r WHERE rank <= 10")
 def rrf_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.rrf(_legs(spark, sf_dir), rt.BASE_WEIGHTS, 10)
+    return fuse(legs_by_text(spark, sf_dir), rt.BASE_WEIGHTS, 10)
 
 
 @add(RRF_SQL + """, c AS (SELECT *, id % 13 AS conv, row_number() OVER (PARTITION BY query_id, id % 13 ORDER BY score DESC, id) AS nth FROM r WHERE rank <= 60)
 SELECT query_id, id, conv, score FROM c WHERE nth <= 3 OR conv = query_id % 13""")
 def session_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = rt.rrf(_legs(spark, sf_dir), rt.BASE_WEIGHTS, 60).withColumn("conv", F.col("id") % 13)
+    fused = fuse(legs_by_text(spark, sf_dir), rt.BASE_WEIGHTS, 60).withColumn("conv", F.col("id") % 13)
     own = F.col("conv") == F.col("query_id") % 13
     return rt.cap_per(fused, ["query_id", "conv"], [F.desc("score"), F.asc("id")], 3, own).select("query_id", "id", "conv", "score")
 
@@ -134,7 +149,7 @@ def session_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS nth FROM c)
 SELECT query_id, id, source, score FROM n WHERE nth <= 2 OR source IS NULL""")
 def provenance_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = rt.rrf(_legs(spark, sf_dir), rt.BASE_WEIGHTS, 60).withColumn("source", F.when(F.col("id") % 5 > 0, F.col("id") % 29))
+    fused = fuse(legs_by_text(spark, sf_dir), rt.BASE_WEIGHTS, 60).withColumn("source", F.when(F.col("id") % 5 > 0, F.col("id") % 29))
     return rt.cap_per(fused, ["query_id", "source"], [F.desc("score"), F.asc("id")], 2, F.col("source").isNull()).select("query_id", "id", "source", "score")
 
 

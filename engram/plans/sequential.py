@@ -11,8 +11,9 @@ from engram.functions.chunking import chunk_documents
 from engram.functions.timescope import timescope
 from engram.operators import retrieve as rt
 from engram.operators import select
+from engram.operators.assemble import fuse
 from engram.plans.base import Plans
-from engram.plans.retrieve import _legs, _vectors
+from engram.plans.retrieve import _vectors, legs_by_text
 from engram.sources import store
 from engram.sources.driver import read
 
@@ -49,7 +50,7 @@ def timescope_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add()
 def token_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = rt.rrf(_legs(spark, sf_dir), rt.BASE_WEIGHTS, 60)
+    fused = fuse(legs_by_text(spark, sf_dir), rt.BASE_WEIGHTS, 60)
     size = (F.col("id") % 17 + 1) * 40
     rows = fused.select(
         "query_id", "id", "leg", "score", size.alias("tokens"), F.when(F.col("id") % 3 > 0, F.floor(size / 4)).alias("summary_tokens"), F.when(F.col("id") % 2 > 0, F.lit(8)).alias("abstract_tokens")
@@ -60,7 +61,7 @@ def token_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add()
 def coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
-    fused = rt.rrf(_legs(spark, sf_dir), rt.BASE_WEIGHTS, 60)
+    fused = fuse(legs_by_text(spark, sf_dir), rt.BASE_WEIGHTS, 60)
     rows = fused.join(v.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 19 > 0, F.col("embedding")).alias("vector")), "id").join(q.select("query_id", F.col("vector").alias("query")), "query_id")
     return select.coverage(rows.select("query_id", "id", "score", "vector", "query"))
 
