@@ -20,15 +20,19 @@ def resolve_scope(mode: Column, manual: Column, attached: Column, project: Colum
 
 
 def payload_match(entities: DataFrame, words: DataFrame, per_word: int = 20, top: int = 2) -> DataFrame:
-    """(query_id, entity_id, hits): entities whose payload holds most of a query's words of four letters; twenty a word at most.
+    """(query_id, entity_id, hits): entities whose payload holds most of a query's words of four letters, also inside longer words; twenty a word at most.
 
-    ``entities`` has entity_id and payload; words are matched whole, through an equi-join on tokens.
+    ``entities`` has entity_id and payload.  The vocabulary of the payloads meets the asked words by
+    their first three letters, and only the words that hold them are looked up among the payloads.
     """
-    tokens = entities.select("entity_id", F.explode(F.array_distinct(tx.words(F.lower("payload")))).alias("word"))
+    tokens = entities.select("entity_id", F.explode(F.array_distinct(tx.words(F.lower("payload")))).alias("token"))
     asked = words.where(F.length("word") >= 4)
-    each = Window.partitionBy("query_id", "word").orderBy("entity_id")
-    hits = tokens.join(asked, "word").withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= per_word)
-    counts = hits.groupBy("query_id", "entity_id").agg(F.count("*").alias("hits"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda n: F.substr("token", n, F.lit(3)))
+    vocabulary = tokens.select("token").distinct().where(F.length("token") >= 4).select("token", F.explode(F.array_distinct(starts)).alias("start"))
+    holds = vocabulary.join(asked.select("word", F.substr("word", F.lit(1), F.lit(3)).alias("start")).distinct(), "start").where(F.contains("token", F.col("word")))
+    found = tokens.join(holds.select("token", "word"), "token").select("entity_id", "word").distinct()
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy("entity_id"))).where(F.col("nth") <= per_word)
+    counts = first.join(asked, "word").groupBy("query_id", "entity_id").agg(F.count("*").alias("hits"))
     best = Window.partitionBy("query_id").orderBy(F.desc("hits"), "entity_id")
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).drop("rank")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.lineage import cut
+
 
 def pair_turns(messages: DataFrame) -> DataFrame:
     """(conv_id, pair, prompt, response) of messages (conv_id, turn, role, text).
@@ -115,6 +117,22 @@ def top_values(rows: DataFrame, column: str, k: int = 5) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), column)))
 
 
+def sums_before(rows: DataFrame, order: list[str], n: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``n`` over all rows before them in a global order.
+
+    Rows are dealt by ranges; sums inside a range and the totals of the ranges (one number each) make the result, so no task sees all rows.
+    """
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("__part", F.shiftright("__at", 33))
+    starts, total = [], 0
+    for part, size in sorted(tuple(r) for r in dealt.groupBy("__part").agg(F.sum(n)).collect()):
+        starts.append(F.struct(F.lit(part).cast("long"), F.lit(total).cast("long")))
+        total += size
+    start = F.element_at(F.map_from_entries(F.array(*starts)), F.col("__part")) if starts else F.lit(0)
+    inside = F.sum(n).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("before", (start + F.coalesce(inside, F.lit(0))).cast("long")).drop("__at", "__part")
+
+
 def lowest(rows: DataFrame, digest: Column, id_col: str, n: int) -> DataFrame:
     """The n rows with the lowest (hexadecimal digest, id), without a sort of all rows.
 

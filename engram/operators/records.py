@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.operators.ingest import sums_before
+
 from engram.config import DEFAULTS, Defaults
 from engram.functions import text as tx
 from engram.sources.driver import DAY_US
@@ -122,9 +124,8 @@ def keyword_density(text: Column, weights: dict[str, float]) -> Column:
 def stitch(rows: DataFrame) -> DataFrame:
     """(conv, turn, position): whole conversations one after the other, by creation; positions are running sums, not a global sort of turns."""
     sizes = rows.groupBy("conv").agg(F.count("*").alias("n"), F.min("us").alias("created"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("created", "conv").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local = F.row_number().over(Window.partitionBy("conv").orderBy("us", "turn"))
-    return rows.withColumn("local", local).join(sizes.withColumn("before", before).select("conv", "before"), "conv").select("conv", "turn", (F.col("before") + F.col("local")).alias("position"))
+    return rows.withColumn("local", local).join(sums_before(sizes, ["created", "conv"], "n").select("conv", "before"), "conv").select("conv", "turn", (F.col("before") + F.col("local")).alias("position"))
 
 
 def decide_duplicates(pairs: DataFrame) -> DataFrame:

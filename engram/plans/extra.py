@@ -32,8 +32,8 @@ def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add(f"""WITH q AS (SELECT DISTINCT item_id AS query_id, w AS word FROM (SELECT item_id, unnest(string_split_regex(lower(text), '{WS}')) AS w FROM benchmark) WHERE length(w) >= 4),
-t AS (SELECT DISTINCT doc_id AS entity_id, unnest(string_split_regex(lower(text), '{WS}')) AS word FROM documents),
-h AS (SELECT query_id, word, entity_id, row_number() OVER (PARTITION BY query_id, word ORDER BY entity_id) AS nth FROM q JOIN t USING (word)), c AS (SELECT query_id, entity_id, count(*) AS hits FROM h WHERE nth <= 20 GROUP BY ALL),
+w AS (SELECT DISTINCT word FROM q), f AS (SELECT word, doc_id AS entity_id FROM w JOIN documents ON contains(lower(text), word)),
+h AS (SELECT query_id, word, entity_id, nth FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY word ORDER BY entity_id) AS nth FROM f) USING (word)), c AS (SELECT query_id, entity_id, count(*) AS hits FROM h WHERE nth <= 20 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, entity_id) AS rank FROM c) SELECT query_id, entity_id, hits FROM r WHERE rank <= 2""")
 def entity_match_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.functions import text as tx

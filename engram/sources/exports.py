@@ -154,10 +154,24 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 LINE = "role string, content string, timestamp string, conversation string, conversation_id string, title string, prompt string, response string"
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of the lines that are no JSON objects, counted from 1; a file is a row here, so this is for files that did not parse."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "text"))
+    broken = (F.trim("text") != "") & (F.get_json_object("text", "$").isNull() | ~F.startswith(F.trim("text"), F.lit("{")))
+    return files.where(broken).select("file", (F.col("at") + 1).alias("line"))
+
+
 def read_jsonl(spark: SparkSession, path: str, salvage: bool = False) -> DataFrame:
-    """Turns of JSON lines, as messages (role, content) or pairs (prompt, response); a bad line is an error, or dropped when salvaging."""
-    raw = spark.read.option("mode", "DROPMALFORMED" if salvage else "FAILFAST").schema(LINE).json(path)
-    rows = raw.withColumn("line", F.monotonically_increasing_id())
+    """Turns of JSON lines, as messages (role, content) or pairs (prompt, response); a bad line is an error that names it.
+
+    When salvaging, bad lines are dropped, and ``skipped`` holds their number.
+    """
+    raw = spark.read.schema(LINE + ", bad string").option("columnNameOfCorruptRecord", "bad").json(path)
+    skipped = raw.agg(F.count_if(F.col("bad").isNotNull() & (F.col("role").isNull() | F.col("role").isNotNull()))).first()[0]
+    if skipped and not salvage:
+        file, line = bad_lines(spark, path).orderBy("file", "line").first()
+        raise ValueError(f"line {line} of {file} is no JSON object")
+    rows = raw.where(F.col("bad").isNull()).withColumn("line", F.monotonically_increasing_id())
     conv = F.coalesce("conversation", "conversation_id", F.lit("default"))
     pair = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("text")), F.struct(F.lit("assistant").alias("role"), F.coalesce("response", F.lit("")).alias("text")))
     one = F.array(F.struct("role", F.col("content").alias("text")))
@@ -168,5 +182,5 @@ def read_jsonl(spark: SparkSession, path: str, salvage: bool = False) -> DataFra
     order = Window.partitionBy("source_id").orderBy("line", "n")
     return kept.select(
         F.lit("jsonl").alias("provider"), "source_id", "title", (F.row_number().over(order) - 1).alias("pos"), F.col("x.role").alias("role"), F.col("x.text").alias("text"), "us",
-        F.lit(0).alias("skipped"),
+        F.lit(skipped).cast("int").alias("skipped"),
     )

@@ -1,11 +1,13 @@
 """Whole-store export and import, and guards on what is read."""
 
-from __future__ import annotations
 
 import re
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 FORMAT = 1
 
@@ -50,18 +52,25 @@ def new_documents(found: DataFrame, registry: DataFrame) -> DataFrame:
     return found.withColumn("sha256", F.sha2(F.col("text"), 256)).join(registry.select("sha256"), "sha256", "left_anti")
 
 
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references of HTML decoded, named and numbered; the no-break space becomes a space.  Arrow-batched: the table of names is Python's."""
+    return text.map(lambda t: None if t is None else unescape(t).replace("\xa0", " "))
+
+
 def page_lines(html: str = "html"):
     """Text of a page by lines, as a column: scripts, styles and tags dropped, blank lines stripped."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?(</\1\s*>|$)", "\n")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?(-->|$)", "\n"), r"(?s)<[^>]*(>|$)", "\n")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(char))
-    lines = F.transform(F.split(bare, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(unescaped(bare), "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def page_title(html: str = "html"):
-    return F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)
+    """The title element, decoded; without one the first heading's text."""
+    title = F.trim(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1))
+    heading = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1), r"(?s)<[^>]*>", ""))
+    return unescaped(F.when(title != "", title).otherwise(heading))
 
 
 def file_kind(path: str = "path"):

@@ -45,6 +45,11 @@ def decay_ticks(events: DataFrame, every: str = "90 minutes", late: str = "1 hou
     )
 
 
+def session_bursts(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(user_id, session, due): one row a sitting that has ended, which calls for the heavy jobs; a sitting is a burst once."""
+    return session_windows(events, gap, late).select("user_id", "start", F.col("end").alias("due"))
+
+
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """The first event of each idempotency key within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
@@ -69,12 +74,16 @@ def fact_strength(events: DataFrame) -> DataFrame:
     )
 
 
-def post_turn(turns: DataFrame, stages, checkpoint: str) -> StreamingQuery:
-    """Run chained, idempotent stages (functions of a batch frame) on each micro-batch of turns."""
+def post_turn(turns: DataFrame, stages, checkpoint: str, out: str) -> StreamingQuery:
+    """Run chained, idempotent stages (functions of a batch frame) on each micro-batch of turns.
+
+    A batch's result is the folder ``out``/batch=<id>, replaced as a whole when the batch is run
+    again, so a restart neither loses nor doubles rows.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         for stage in stages:
             batch = stage(batch)
-        batch.write.format("noop").mode("overwrite").save()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return turns.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

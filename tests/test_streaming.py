@@ -53,7 +53,8 @@ def test_fact_strength(spark, folder, tmp_path):
 
 def test_post_turn_and_watch(spark, folder, tmp_path):
     seen = []
-    jobs.post_turn(stream(spark, folder), [lambda b: b.where("value > 1"), lambda b: seen.append(b.count()) or b], str(tmp_path / "post")).awaitTermination()
+    jobs.post_turn(stream(spark, folder), [lambda b: b.where("value > 1"), lambda b: seen.append(b.count()) or b], str(tmp_path / "post"), str(tmp_path / "out")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == sum(seen)
     assert sum(seen) == spark.read.parquet(folder).where("value > 1").count()
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("hello")
