@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.lineage import cut, ensure_checkpoint_dir  # noqa: F401  (the operators import them from here)
+
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -17,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a session of one machine may do without, and gets its own folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="engram-checkpoint-")
-    context.setCheckpointDir(where)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that outlives a lost executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this run wrote and no longer reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

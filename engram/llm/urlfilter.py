@@ -123,8 +123,10 @@ def filter_urls(
 
     rule, verdict = stated_rule(F.col("host"), F.col("path"), rules)
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("stated"))
+    # only urls that no stated rule settles are looked up; null and foreign ones (all alike) meet no join
+    open_ = F.col("stated").isNull() & (F.col("host") != "")
     open_urls = (
-        parsed.where("stated is null and host <> ''")
+        parsed.where(open_)
         .select("url", url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
         .distinct()
     )
@@ -135,7 +137,9 @@ def filter_urls(
         .groupBy("url")
         .agg(F.max("confidence").alias("confidence"))
     )
-    return parsed.join(blocked, "url", "left").select(
+    settled = parsed.where(~open_).withColumn("confidence", F.lit(None).cast("double"))
+    looked_up = parsed.where(open_).join(blocked, "url", "left").select(*settled.columns)
+    return settled.unionByName(looked_up).select(
         "page_id", "host", "path", "rule",
         F.coalesce("stated", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "confidence",
