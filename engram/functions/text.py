@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Word lists and cue phrases that decide results.
@@ -137,31 +137,49 @@ def units_ascii(text: Column) -> Column:
 
 def figures(text: Column) -> Column:
     """Distinct figures with their units, of more than one character, at most 15, in order."""
-    found = F.transform(F.regexp_extract_all(units_ascii(text), F.lit(FIGURE), F.lit(0)), lambda x: F.trim(x))
+    return _figures(units_ascii(text))
+
+
+def _figures(plain: Column) -> Column:
+    found = F.transform(F.regexp_extract_all(plain, F.lit(FIGURE), F.lit(0)), lambda x: F.trim(x))
     return F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) > 1)), 1, 15)
 
 
 def identifiers(text: Column) -> Column:
     """Distinct snake_case, camelCase, file.ext and capital identifiers, at most 15, in order."""
-    found = F.regexp_extract_all(plain_ascii(text), F.lit(IDENTIFIER), F.lit(0))
+    return _identifiers(plain_ascii(text))
+
+
+def _identifiers(plain: Column) -> Column:
+    found = F.regexp_extract_all(plain, F.lit(IDENTIFIER), F.lit(0))
     return F.slice(F.array_distinct(found), 1, 15)
 
 
 def entities(text: Column) -> Column:
     """The fallback entity finder: distinct capitalised words of three letters or more, at most 25, in order."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(plain_ascii(text), F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1))), 1, 25)
+    return _entities(plain_ascii(text))
 
 
-def density(text: Column) -> Column:
-    """Facts per token: entities .45, figures and identifiers .25, code .20, type-token ratio of 300 words .10."""
-    split = words(text)
-    per100 = F.greatest(F.size(split), F.lit(1)) / F.lit(100.0)
-    named = F.least(F.lit(1.0), F.size(entities(text)) / per100 / 6)
-    exact = F.least(F.lit(1.0), (F.size(figures(text)) + F.size(identifiers(text))) / per100 / 6)
-    window = F.transform(F.slice(split, 1, 300), lambda w: F.lower(w))
-    varied = F.size(F.array_distinct(window)) / F.greatest(F.size(window), F.lit(1))
-    code = F.contains(text, F.lit("```")).cast("double")
-    return F.round(F.least(F.lit(1.0), 0.45 * named + 0.25 * exact + 0.2 * code + 0.1 * varied), 4)
+def _entities(plain: Column) -> Column:
+    return F.slice(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1))), 1, 25)
+
+
+def with_density(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with n_words, code and density: facts per token: entities .45, figures and identifiers .25, code .20, type-token ratio of 300 words .10.
+
+    What several parts need (words, plain text, counts) is projected once, so no scan of a text is repeated.
+    """
+    text = F.col(text_col)
+    read = rows.withColumns({"__words": words(text), "__plain": plain_ascii(text), "__units": units_ascii(text), "code": F.contains(text, F.lit("```"))})
+    counted = read.withColumns({
+        "n_words": F.size("__words").cast("long"), "__window": F.array_distinct(F.transform(F.slice("__words", 1, 300), lambda w: F.lower(w))),
+        "__named": F.size(_entities(F.col("__plain"))), "__exact": F.size(_figures(F.col("__units"))) + F.size(_identifiers(F.col("__plain"))),
+    })
+    per100 = F.greatest(F.col("n_words"), F.lit(1)) / F.lit(100.0)
+    share = lambda n: F.least(F.lit(1.0), F.col(n) / per100 / 6)
+    varied = F.size("__window") / F.greatest(F.least(F.col("n_words"), F.lit(300)), F.lit(1))
+    score = 0.45 * share("__named") + 0.25 * share("__exact") + 0.2 * F.col("code").cast("double") + 0.1 * varied
+    return counted.withColumn("density", F.round(F.least(F.lit(1.0), score), 4)).drop("__words", "__plain", "__units", "__window", "__named", "__exact")
 
 
 def representation(n_words: Column, score: Column, code: Column, creative: Column, document: Column, keep: int, lossless: float) -> Column:

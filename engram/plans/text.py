@@ -138,10 +138,7 @@ dens AS (SELECT doc_id, len(words) AS n_words, contains(text, '```') AS code, ro
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return read(spark, sf_dir, "documents").select(
-        "doc_id", F.size(tx.words(t)).cast("long").alias("n_words"), F.contains(t, F.lit("```")).alias("code"), tx.density(t).alias("density")
-    )
+    return tx.with_density(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 @add(f"WITH {DENSITY_SQL} SELECT doc_id, n_words, density FROM dens")

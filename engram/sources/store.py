@@ -39,6 +39,21 @@ def import_store(spark: SparkSession, path: str, schemas: dict, existing: dict[s
     return out
 
 
+def backup(tables: dict[str, DataFrame], folder: str, stamp: str, keep: int = 7) -> list[str]:
+    """Export all tables below ``folder``/``stamp`` and delete the oldest backups beyond ``keep``; returns the stamps that stay.
+
+    Stamps sort by time; an export without its manifest did not end, and does not count.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    export_store(tables, f"{folder}/{stamp}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = sorted(s.getPath().getName() for s in files.listStatus(root) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{s.getPath().getName()}/manifest/_SUCCESS")))
+    for old in whole[:-keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), True)
+    return whole[-keep:]
+
+
 def check_vectors(df: DataFrame, column: str, width: int) -> DataFrame:
     """``df``, refused if any vector has another width; the check reads the column's sizes only."""
     bad = df.where(F.col(column).isNotNull() & (F.size(column) != width)).limit(1).count()
@@ -76,7 +91,7 @@ def page_title(html: str = "html"):
 def file_kind(path: str = "path"):
     """Parser family of a file name; null for formats that are refused."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
-    kinds = {"text": ("txt", "md", "rst", "log"), "html": ("html", "htm"), "table": ("csv", "tsv"), "source": ("py", "js", "ts", "java", "go", "rs", "c", "cpp"), "json": ("json", "jsonl")}
+    kinds = {"text": ("txt", "md", "rst", "log"), "html": ("html", "htm"), "table": ("csv", "tsv"), "document": ("docx", "pptx"), "sheet": ("xlsx",), "source": ("py", "js", "ts", "java", "go", "rs", "c", "cpp"), "json": ("json", "jsonl")}
     out = F.lit(None).cast("string")
     for kind, exts in kinds.items():
         out = F.when(ext.isin(*exts), F.lit(kind)).otherwise(out)

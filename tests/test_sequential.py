@@ -1,6 +1,8 @@
 """Sequential operators, sources and readers against hand-made cases."""
 
+import io
 import json
+import zipfile
 from datetime import datetime
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from engram.functions import chunking, scalars, timescope
 from engram.functions import text as tx
 from engram.operators import evaluate, graph, ingest, lifecycle, select
-from engram.sources import exports, store
+from engram.sources import exports, office, store
 
 NOW = datetime(2026, 7, 10, 12)
 
@@ -197,3 +199,40 @@ def test_store_round_trip(spark, tmp_path):
         store.check_vectors(df, "embedding", 2)
     (tmp_path / "t.csv").write_text("a;b\n1;x\n2;y\n")
     assert store.read_table(spark, str(tmp_path / "t.csv")).columns == ["a", "b"]
+
+
+def _package(files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, text in files.items():
+            archive.writestr(name, text)
+    return out.getvalue()
+
+
+def test_office_files(spark, tmp_path):
+    w = 'xmlns:w="http://x/w"'
+    (tmp_path / "a.docx").write_bytes(_package({"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two &amp; three</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>End</w:t></w:r></w:p></w:body></w:document>"}))
+    slide = lambda t: f'<p:sld xmlns:p="http://x/p" xmlns:a="http://x/a"><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:sld>'
+    (tmp_path / "b.pptx").write_bytes(_package({f"ppt/slides/slide{n}.xml": slide(f"slide {n}") for n in (1, 10, 2)}))
+    (tmp_path / "c.docx").write_bytes(b"not a zip")
+    got = {(r.path.rsplit("/", 1)[-1], r.part): (r.text, r.error is not None) for r in office.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {("a.docx", 0): ("One\ttwo & three\nEnd", False), ("b.pptx", 0): ("slide 1", False), ("b.pptx", 1): ("slide 2", False), ("b.pptx", 2): ("slide 10", False), ("c.docx", 0): (None, True)}
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>1</v></c><c r="C1"><v>2.5</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>'
+    (tmp_path / "d.xlsx").write_bytes(_package({"xl/workbook.xml": '<workbook><sheets><sheet name="First"/></sheets></workbook>', "xl/sharedStrings.xml": "<sst><si><t>no</t></si><si><r><t>ye</t></r><r><t>s</t></r></si></sst>", "xl/worksheets/sheet1.xml": sheet}))
+    rows = [(r.sheet, r.row, r.cells) for r in office.read_sheets(spark, str(tmp_path)).collect()]
+    assert sorted(rows) == [("First", 1, ["yes", None, "2.5"]), ("First", 3, [None, "in"])]
+
+
+def test_backups_keep_the_newest(spark, tmp_path):
+    tables = {"t": spark.range(3)}
+    for n in range(4):
+        kept = store.backup(tables, str(tmp_path / "b"), f"2024-01-0{n + 1}", keep=2)
+    assert kept == ["2024-01-03", "2024-01-04"]
+    assert store.import_store(spark, str(tmp_path / "b" / kept[-1]), {"t": "id long"})["t"].count() == 3
+
+
+def test_bad_lines_are_named_and_counted(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"role": "user", "content": "a"}\nnot json\n{"role": "assistant", "content": "b"}\n{"role":\n')
+    with pytest.raises(ValueError, match="line 2 of x.jsonl"):
+        exports.read_jsonl(spark, str(tmp_path / "x.jsonl"))
+    assert {r.skipped for r in exports.read_jsonl(spark, str(tmp_path / "x.jsonl"), salvage=True).collect()} == {2}
