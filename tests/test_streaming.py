@@ -30,6 +30,13 @@ def test_session_windows(spark, folder, tmp_path):
     assert got <= want and len(got) >= 0.9 * len(want)  # the last sittings are still open
 
 
+def test_session_bursts_come_once(spark, folder, tmp_path):
+    got = [(r.user_id, r.due) for r in drain(jobs.session_bursts(stream(spark, folder)), "bursts", tmp_path).collect()]
+    batch = spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    want = {(r.user_id, r.due) for r in jobs.session_bursts(batch).collect()}
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.9 * len(want)
+
+
 def test_decay_ticks(spark, folder, tmp_path):
     got = {(r.user_id, r.tick): r.n for r in drain(jobs.decay_ticks(stream(spark, folder)), "ticks", tmp_path).collect()}
     batch = spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
