@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.relations import cardinality, normalised
+from engram.functions.text import slug
 
 DEFAULT_KIND = "document"
 
@@ -140,3 +141,54 @@ def claims(tasks: DataFrame, now_us: int, lease_us: int) -> DataFrame:
     """(task, worker): open tasks, or those whose lease ran out, each to the asking worker that comes first."""
     free = tasks.where((F.col("state") == "open") | ((F.col("state") == "leased") & (F.col("leased_us") + lease_us < now_us)))
     return free.groupBy("task").agg(F.min_by("worker", F.struct("asked_us", "worker")).alias("worker"))
+
+
+def nearest_above(near: DataFrame, floor: float, most: int) -> DataFrame:
+    """(query_id, id, score, rank): finds (query_id, id, score, rank) that reach the floor, ``most`` a query."""
+    return near.where((F.col("score") >= floor) & (F.col("rank") <= most)).select("query_id", "id", "score", "rank")
+
+
+def forgotten(turns: DataFrame, edges: DataFrame, chosen: DataFrame, now_us: int) -> tuple[DataFrame, DataFrame]:
+    """(turns to hide, edges to expire) for the confirmed choices (kind, id): a turn by itself, an entity by its live edges on either side."""
+    hidden = turns.join(chosen.where("kind = 'turn'").select(F.col("id").alias("turn_id")), "turn_id", "left_semi").select("turn_id", F.lit(True).alias("is_private"))
+    entities = chosen.where("kind = 'entity'").select(F.col("id").alias("entity")).distinct()
+    live = edges.where("valid_until is null")
+    of = lambda side: live.join(entities, F.col(side) == F.col("entity"), "left_semi").select("edge_id")
+    return hidden, of("source").unionByName(of("target")).distinct().withColumn("valid_until", F.lit(now_us).cast("long"))
+
+
+def overridden(automatic: DataFrame, manual: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, is_manual): what a user set stands in place of what was derived; a null set by hand is an answer too."""
+    m = manual.select(key, F.col(value).alias("__set"), F.lit(True).alias("is_manual"))
+    rows = automatic.select(key, value).join(m, key, "left")
+    return rows.select(key, F.when(F.col("is_manual"), F.col("__set")).otherwise(F.col(value)).alias(value), F.coalesce("is_manual", F.lit(False)).alias("is_manual"))
+
+
+def stale(rows: DataFrame, done: DataFrame, key: str, now_us: int, age_us: int) -> DataFrame:
+    """(key, age_us): rows older than ``age_us`` that nothing in ``done`` has settled since."""
+    last = done.groupBy(key).agg(F.max("us").alias("__last"))
+    open_ = rows.join(last, key, "left").where(F.col("__last").isNull() | (F.col("__last") < F.col("us")))
+    return open_.select(key, (F.lit(now_us) - F.col("us")).alias("age_us")).where(F.col("age_us") > age_us)
+
+
+def journal(edits: DataFrame, keep: int = 5) -> DataFrame:
+    """(entity, version, text, is_current): the last ``keep`` versions of each description; equal successive texts are one version."""
+    order = Window.partitionBy("entity").orderBy("us", "edit")
+    changed = edits.withColumn("__before", F.lag("text").over(order)).where(~F.col("text").eqNullSafe(F.col("__before")) | F.col("__before").isNull())
+    placed = changed.withColumn("version", F.row_number().over(order)).withColumn("__last", F.count("*").over(Window.partitionBy("entity")))
+    kept = placed.where(F.col("version") > F.col("__last") - keep)
+    return kept.select("entity", "version", "text", (F.col("version") == F.col("__last")).alias("is_current"))
+
+
+def registry(seen: DataFrame) -> DataFrame:
+    """(slug, name, first_us, last_us, n): projects by the slug of their name; the newest spelling names them."""
+    rows = seen.select(slug(F.col("name")).alias("slug"), "name", "us").where("slug <> ''")
+    return rows.groupBy("slug").agg(F.max_by("name", F.struct("us", "name")).alias("name"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
+
+
+def outline(symbols: DataFrame) -> DataFrame:
+    """(module, outline): each module's symbols as indented lines, by name; the depth is the number of dots below the module."""
+    below = F.substr("symbol", F.length("module") + 2)
+    line = F.concat(F.repeat(F.lit("  "), F.size(F.split(below, r"\.")) - 1), F.element_at(F.split(below, r"\."), -1))
+    lines = F.transform(F.array_sort(F.collect_set(F.struct("symbol", line.alias("line")))), lambda x: x["line"])
+    return symbols.where(F.col("symbol") != F.col("module")).groupBy("module").agg(F.array_join(lines, "\n").alias("outline"))

@@ -185,3 +185,20 @@ def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     covered = select.coverage(with_vectors.select("query_id", "id", "score", F.col("found").alias("vector"), F.col("vector").alias("query")))
     sized = covered.join(kept, ["query_id", "id"]).select("query_id", "id", "leg", "score", tx.token_estimate(F.col("text")).alias("tokens"), F.lit(200).alias("summary_tokens"), F.lit(40).alias("abstract_tokens"))
     return select.token_budget(sized, 8000)
+
+
+def _ablated_sql() -> str:
+    part = "SELECT '{off}' AS off, query_id, arg_min(id, (nth, rank, id)) AS id, round(sum(w::DOUBLE / (60 + rank)), 9) AS score FROM u WHERE leg <> '{off}' GROUP BY query_id, key"
+    return RRF_SQL + ", a AS (" + " UNION ALL ".join(part.format(off=off) for off in ("none", "bm25", "vector")) + """),
+x AS (SELECT *, row_number() OVER (PARTITION BY off, query_id ORDER BY score DESC, id)::INT AS rank FROM a) SELECT * FROM x WHERE rank <= 10"""
+
+
+@add(_ablated_sql())
+def ablation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best with all legs, and with each leg switched off."""
+    legs, out = legs_by_text(spark, sf_dir), None
+    for off in ("none", *legs):
+        kept = {name: leg for name, leg in legs.items() if name != off}
+        made = asm.fuse(kept, rt.BASE_WEIGHTS, 10).select(F.lit(off).alias("off"), "query_id", "id", "score", "rank")
+        out = made if out is None else out.unionByName(made)
+    return out

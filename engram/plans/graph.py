@@ -182,7 +182,9 @@ def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.upsert(rows)
 
 
-@add()
+@add("""WITH b AS (SELECT lower(replace(p_brand, '#', '_')) AS module, 'C' || p_size AS cls, 'part_' || p_partkey AS fn, 'class C' || p_size || ':' || chr(10) || '    def part_' || p_partkey || '(self)' AS body FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY body) AS nth FROM b)
+SELECT DISTINCT module || '.py' AS path, module AS symbol, 'module' AS kind, 1 AS line FROM b UNION ALL SELECT module || '.py', module || '.' || cls, 'class', (4 * nth - 3)::INT FROM n UNION ALL SELECT module || '.py', module || '.' || cls || '.' || fn, 'function', (4 * nth - 2)::INT FROM n""")
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of generated sources: a module a brand, with a class a type and a function a part."""
     body = F.concat(F.lit("class C"), "p_size", F.lit(":\n    def part_"), "p_partkey", F.lit("(self):\n        return 1\n"))

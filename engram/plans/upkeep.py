@@ -185,3 +185,65 @@ def lease_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conversation_id").alias("task"), F.col("turn_id").alias("worker"), F.col("us").alias("asked_us"), F.when(k == 0, "open").when(k == 1, "leased").otherwise("done").alias("state"), (F.col("us") - DAY_US).alias("leased_us")
     )
     return mt.claims(rows, NOW_US, 2 * DAY_US)
+
+
+@add(f"""WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, round(list_dot_product(qe, e), 6) AS score FROM q, v WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s)
+SELECT * FROM r WHERE rank <= 3 AND score >= 0.25""")
+def entity_match_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as entities: the three nearest of a prompt, if they are near enough; a vector is no find of itself."""
+    from engram.functions import vectors
+
+    v, q = _vectors(spark, sf_dir)
+    asked = q.withColumn("own", F.col("query_id"))
+    near = vectors.block_topk(v.withColumn("own", F.col("vec_id")), asked, 3, "vec_id", "embedding", group="own", same=False)
+    return mt.nearest_above(near, 0.25, 3)
+
+
+CHOSEN = "SELECT 'turn' AS kind, turn_id AS id FROM turns WHERE k % 25 = 0 UNION ALL SELECT 'entity', c_custkey FROM customer WHERE c_acctbal < 0"
+
+
+@add(f"""WITH {TURNS_SQL}, {EDGES_SQL}, c AS ({CHOSEN}) SELECT 'turn' AS kind, id FROM c WHERE kind = 'turn'
+UNION ALL SELECT 'edge', edge_id FROM edges WHERE valid_until IS NULL AND (source IN (SELECT id FROM c WHERE kind = 'entity') OR target IN (SELECT id FROM c WHERE kind = 'entity'))""")
+def forget_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    chosen = t.where("k % 25 = 0").select(F.lit("turn").alias("kind"), F.col("turn_id").alias("id")).unionByName(read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("entity").alias("kind"), F.col("c_custkey").alias("id")))
+    hidden, expired = mt.forgotten(t, edges(spark, sf_dir), chosen, NOW_US)
+    return hidden.select(F.lit("turn").alias("kind"), F.col("turn_id").alias("id")).unionByName(expired.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")))
+
+
+@add(f"""WITH {TURNS_SQL}, m AS (SELECT turn_id, CASE WHEN turn_id % 14 = 0 THEN NULL ELSE turn_id % 5 END AS cluster_id FROM turns WHERE turn_id % 7 = 0)
+SELECT t.turn_id, CASE WHEN m.turn_id IS NOT NULL THEN m.cluster_id ELSE t.cluster_id END::BIGINT AS cluster_id, m.turn_id IS NOT NULL AS is_manual FROM turns t LEFT JOIN m ON t.turn_id = m.turn_id""")
+def manual_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+    manual = t.where("turn_id % 7 = 0").select("turn_id", F.when(F.col("turn_id") % 14 > 0, F.col("turn_id") % 5).alias("cluster_id"))
+    return mt.overridden(t, manual, "turn_id", "cluster_id")
+
+
+@add(f"""WITH {TURNS_SQL}, d AS (SELECT conversation_id, max(us) AS last FROM turns WHERE topic = 'view' GROUP BY 1), r AS (SELECT conversation_id, max(us) AS us FROM turns WHERE topic = 'error' GROUP BY 1)
+SELECT r.conversation_id, {NOW_US} - us AS age_us FROM r LEFT JOIN d ON r.conversation_id = d.conversation_id WHERE (last IS NULL OR last < us) AND {NOW_US} - us > {DAY_US}""")
+def stale_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose last error is a day old and was never looked at since."""
+    t = turns(spark, sf_dir)
+    return mt.stale(t.where("topic = 'error'").groupBy("conversation_id").agg(F.max("us").alias("us")), t.where("topic = 'view'").select("conversation_id", "us"), "conversation_id", NOW_US, DAY_US)
+
+
+@add(f"""WITH {TURNS_SQL}, b AS (SELECT conversation_id AS entity, turn_id, us, topic AS text, lag(topic) OVER (PARTITION BY conversation_id ORDER BY us, turn_id) AS before FROM turns), c AS (SELECT * FROM b WHERE before IS NULL OR text <> before),
+p AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us, turn_id)::INT AS version, count(*) OVER (PARTITION BY entity) AS n FROM c) SELECT entity, version, text, version = n AS is_current FROM p WHERE version > n - 5""")
+def description_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir).select(F.col("conversation_id").alias("entity"), F.col("turn_id").alias("edit"), "us", F.col("topic").alias("text"))
+    return mt.journal(rows)
+
+
+@add("""WITH s AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, name, us FROM (SELECT p_type || ' ' || p_brand AS name, p_partkey AS us FROM part))
+SELECT slug, arg_max(name, (us, name)) AS name, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM s WHERE slug <> '' GROUP BY 1""")
+def project_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.registry(read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name"), F.col("p_partkey").alias("us")))
+
+
+@add("""WITH s AS (SELECT DISTINCT replace(p_brand, '#', '') AS module, replace(p_brand, '#', '') || '.' || p_type AS symbol, p_type AS line FROM part UNION SELECT DISTINCT replace(p_brand, '#', ''), replace(p_brand, '#', '') || '.' || p_type || '.f' || p_size, '  f' || p_size FROM part)
+SELECT module, string_agg(line, chr(10) ORDER BY symbol) AS outline FROM s GROUP BY 1""")
+def architecture_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    module = F.replace("p_brand", F.lit("#"), F.lit(""))
+    names = F.array(module, F.concat_ws(".", module, "p_type"), F.concat(module, F.lit("."), "p_type", F.lit(".f"), F.col("p_size").cast("string")))
+    return mt.outline(p.select(module.alias("module"), F.explode(names).alias("symbol")))
