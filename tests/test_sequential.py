@@ -236,3 +236,21 @@ def test_bad_lines_are_named_and_counted(spark, tmp_path):
     with pytest.raises(ValueError, match="line 2 of x.jsonl"):
         exports.read_jsonl(spark, str(tmp_path / "x.jsonl"))
     assert {r.skipped for r in exports.read_jsonl(spark, str(tmp_path / "x.jsonl"), salvage=True).collect()} == {2}
+
+
+def test_seams_of_models(spark):
+    from engram.operators import seams as sm
+
+    prompts = spark.createDataFrame([(1, "who inspired it"), (2, ""), (3, None)], "prompt_id long, text string")
+    near = spark.createDataFrame([(1, "inspired_by", 0.9), (1, "uses", 0.5), (1, "knows", 0.44), (2, "knows", 0.45)], "prompt_id long, relation string, score double")
+    found = sorted(map(tuple, sm.detected_relations(prompts, near).collect()))
+    assert found == [(1, "inspired_by", "words"), (1, "uses", "gloss"), (2, "knows", "gloss")]
+
+    replies = spark.createDataFrame([(1, '[{"subject": "A", "relation": "uses"}]', None), (2, "[1, 2]", ["a"]), (3, None, None)], "id long, reply string, entities array<string>")
+    facts, gaps = sm.triples(replies)
+    assert facts.count() == gaps.count() == 0
+
+    edges = spark.createDataFrame([(7, 1, "friend", 2), (8, 1, "uses", 3), (9, 1, "uses", 4)], "edge_id long, source long, relation string, target long")
+    new = spark.createDataFrame([(1, 1, "enemy", 2, False), (2, 1, "uses", 3, True), (3, 1, "uses", 5, True), (4, 1, "uses", 5, False), (5, 1, "enemy", 3, True)], "id long, source long, relation string, target long, cue boolean")
+    assert sorted(map(tuple, sm.conflicts(new, edges).collect())) == [(1, "antonym", 7), (2, "supersession", 9), (3, "supersession", 8)]
+    assert sm.conflicts(new.limit(0), edges).count() == 0 and sm.conflicts(new, edges.limit(0)).count() == 0
