@@ -179,3 +179,26 @@ def test_large_near_copies_equal_an_exact_join(spark, monkeypatch):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     same(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), con, neardup.ORACLE_SQL)
+
+
+def test_adam_in_place_against_the_formula():
+    import numpy as np
+
+    from engram.llm import lmscore
+
+    rng = np.random.default_rng(1)
+    start = {"a": rng.standard_normal((300, 70)).astype("f4"), "b": rng.standard_normal(5).astype("f4")}
+    weights = {k: v.copy() for k, v in start.items()}
+    adam, want = lmscore.Adam(weights, 0.003), {k: v.astype(float) for k, v in start.items()}
+    first, second = ({k: np.zeros(v.shape) for k, v in start.items()} for _ in range(2))
+    for step in range(1, 6):
+        for k, v in start.items():
+            slope = rng.standard_normal(v.shape) * 20
+            adam.slopes[k][:] = slope
+            slope = np.clip(slope / 16, -1, 1)
+            first[k], second[k] = 0.9 * first[k] + 0.1 * slope, 0.99 * second[k] + 0.01 * slope * slope
+            want[k] -= 0.003 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+        adam.step(16)
+        assert not any(v.any() for v in adam.slopes.values())
+    for k in start:
+        assert np.allclose(weights[k], want[k], atol=1e-5)
