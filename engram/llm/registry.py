@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engram.llm import chatformat, htmltext, lmscore, media, mixing, neardup, packing, topk, toxicity, urlfilter
+from engram.llm import chatformat, htmltext, lmscore, media, mixing, neardup, packing, retention, tokencount, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_html_lstm": htmltext.query,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_cube_mixing": mixing.query,
     "op9_chat_format": chatformat.query,
     "op10_exact_topk": topk.query,
+    "op12_token_counts": tokencount.query,
+    "op13_cohort_retention": retention.query,
 }
 #: Where SQL can't express an operator, tests hold it against a brute-force version.
 ORACLES = {
     "op2_minhash_neardup": neardup.ORACLE_SQL,
     "op9_chat_format": chatformat.ORACLE_SQL,
     "op10_exact_topk": topk.ORACLE_SQL,
+    "op13_cohort_retention": retention.ORACLE_SQL,
 }
