@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engram.llm import chatformat, htmltext, lmscore, media, mixing, neardup, packing, retention, tokencount, topk, toxicity, urlfilter
+from engram.llm import chatformat, htmltext, lmscore, media, mixing, neardup, packing, retention, tokenalign, tokencount, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_html_lstm": htmltext.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cube_mixing": mixing.query,
     "op9_chat_format": chatformat.query,
     "op10_exact_topk": topk.query,
+    "op11_token_alignment": tokenalign.query,
     "op12_token_counts": tokencount.query,
     "op13_cohort_retention": retention.query,
 }

@@ -21,7 +21,7 @@ import numpy as np
 KEPT_WORDS = 300_000
 #: Words that are encoded in one call.
 JOINED = 512
-_RUN = re.compile(r"\s*\S+")
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def blank_split(text: str) -> list[str]:
@@ -30,17 +30,19 @@ def blank_split(text: str) -> list[str]:
 
 
 def is_plain(word: str) -> bool:
-    """Whether a part of ``blank_split`` is a word: something with no white space at its ends but one line feed before it."""
+    """Whether a string is a word as ``blank_split`` gives it: no blanks, and no white space at its ends but one line feed before it."""
     core = word[1:] if word[:1] == "\n" else word
-    return bool(core) and not core[0].isspace() and not core[-1].isspace()
+    return core != "" and core == core.strip() and " " not in core and "\n" not in core
 
 
 def runs(text: str) -> list[str]:
-    """Words of any text, each with the white space before it; what is left at the end goes with the last one."""
-    found = _RUN.findall(text)
-    rest = len(text) - sum(map(len, found))
-    if rest:
-        found[-1:] = [(found[-1] if found else "") + text[len(text) - rest :]]
+    """Words of any text, each with the white space before it: cut where a blank or line feed follows something else.
+
+    White space at the end goes with the last word.
+    """
+    found = _CUT.split(text) if text else []
+    if len(found) > 1 and not found[-1].strip():
+        found[-2:] = [found[-2] + found[-1]]
     return found
 
 

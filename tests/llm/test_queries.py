@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_cube_mixing": ("documents", "doc_id bigint, size bigint, source_size bigint, target double, taken bigint"),
     "op9_chat_format": (None, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"),
     "op10_exact_topk": (None, "query_id bigint, rank int, vec_id bigint, score bigint"),
+    "op11_token_alignment": ("documents", "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"),
+    "op12_token_counts": ("documents", "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"),
+    "op13_cohort_retention": (None, "state int, segment string, cohort bigint, period bigint, users bigint, users_crc32 bigint, moved bigint, cents bigint"),
 }
 
 
@@ -39,7 +42,7 @@ def test_contract(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_empty_tables(spark, sf, tmp_path, name):
-    for table in ("documents", "pages", "labels", "conversations", "embeddings"):
+    for table in ("documents", "pages", "labels", "conversations", "embeddings", "clicks", "clients"):
         spark.read.parquet(f"{sf}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     # conversation -1 is there in any case
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == (1 if name == "op9_chat_format" else 0)
