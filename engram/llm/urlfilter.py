@@ -19,11 +19,14 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import cut, table
+from engram.llm.neardup import split_join
 
 #: Stated rules: (verdict, host, path prefix).
 RULES = (
@@ -37,7 +40,8 @@ MIN_SUPPORT = 0.002
 MIN_COUNT = 4
 MIN_CONFIDENCE = 0.6
 BLOCK_ITEM = "label=block"
-ALLOW_ITEM = "label=allow"
+#: Tables of rules and of frequent tokens are broadcast up to this many (counted) rows.
+BROADCAST_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,28 +84,49 @@ def stated_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return text, verdict
 
 
+def folded(transactions: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """((items) over classes of tokens, classes (token, members, freq)) of ``transactions`` (tokens, bad).
+
+    Tokens of exactly the same transactions (the words of one long path, say) are one class, named by
+    its least token: a url with n such words has one itemset of them instead of 2^n.  A token
+    is told by the number and two sums over hashes of its transactions.  Tokens of fewer than
+    ``least`` transactions are in no rule and are left out.
+    """
+    rows = cut(transactions.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"))
+    held = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    told = held.groupBy("token").agg(
+        F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")).alias("y")
+    )
+    classes = told.where(F.col("freq") >= least).groupBy("freq", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    classes = cut(classes.select(F.element_at("members", 1).alias("token"), "members", "freq"))
+    # few tokens are that frequent: no more than the mean number of tokens over the least support
+    named = classes.select("token", F.lit(True).alias("named"))
+    kept = held.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "token", "left")
+    items = F.collect_list(F.when(F.col("named"), F.col("token")))
+    return kept.groupBy("row", "bad").agg(items.alias("items")).select(F.when(F.col("bad"), F.array_append("items", BLOCK_ITEM)).otherwise(F.col("items")).alias("items")), classes
+
+
 def mine_rules(
     transactions: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
-    """(rule_id, antecedent, index_token, confidence) of the rules that conclude "block"."""
+    """(rule_id, antecedent, index_token, confidence) of the rules that conclude "block", from ``transactions`` (tokens, bad).
+
+    An antecedent is a list of classes of tokens; it fits a url that holds any token of each.  A rule
+    stands in the index under every token of its rarest class.
+    """
     n = transactions.count()
-    spark = transactions.sparkSession
     if not n:
-        return spark.createDataFrame([], "rule_id long, antecedent array<string>, index_token string, confidence double")
-    model = FPGrowth(
-        itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence
-    ).fit(transactions)
+        return transactions.sparkSession.createDataFrame([], "rule_id long, antecedent array<array<string>>, index_token string, confidence double")
+    support = min(1.0, max(min_support, min_count / n))
+    items, classes = folded(transactions, math.ceil(support * n))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCK_ITEM).select(
-        F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), "antecedent", "confidence"
+        F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.explode("antecedent").alias("token"), "confidence"
     )
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    rarest = (
-        rules.select("rule_id", F.explode("antecedent").alias("token"))
-        .join(single, "token")
-        .groupBy("rule_id")
-        .agg(F.min_by("token", F.struct("freq", "token")).alias("index_token"))
+    unfolded = rules.join(classes, "token").groupBy("rule_id", "confidence").agg(
+        F.collect_list("members").alias("antecedent"), F.min_by("members", F.struct("freq", "token")).alias("rarest")
     )
-    return rules.join(rarest, "rule_id").select("rule_id", "antecedent", "index_token", "confidence")
+    return unfolded.select("rule_id", "antecedent", F.explode("rarest").alias("index_token"), "confidence")
 
 
 def filter_urls(
@@ -113,33 +138,31 @@ def filter_urls(
     ``labelled`` holds (url, bad): the urls that train, with a boolean label.
     """
     host, path = url_parts(F.col("url"))
-    item = F.when(F.col("bad"), F.lit(BLOCK_ITEM)).otherwise(F.lit(ALLOW_ITEM))
-    transactions = cut(
-        labelled.where("bad is not null")
-        .select(F.array_append(url_tokens(F.col("url"), host, path), item).alias("items"))
-        .where(F.size("items") > 1)
-    )
+    transactions = cut(labelled.where("bad is not null").select(url_tokens(F.col("url"), host, path).alias("tokens"), "bad").where(F.size("tokens") > 0))
     mined = cut(mine_rules(transactions, min_support, min_count, min_confidence))
+    entries = mined.count()
 
     rule, verdict = stated_rule(F.col("host"), F.col("path"), rules)
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("stated"))
     # only urls that no stated rule settles are looked up; null and foreign ones (all alike) meet no join
     open_ = F.col("stated").isNull() & (F.col("host") != "")
-    open_urls = (
-        parsed.where(open_)
-        .select("url", url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-        .distinct()
-    )
-    blocked = (
-        open_urls.select("url", "tokens", F.explode("tokens").alias("index_token"))
-        .join(mined, "index_token")
-        .where(F.size(F.array_except("antecedent", "tokens")) == 0)
-        .groupBy("url")
-        .agg(F.max("confidence").alias("confidence"))
-    )
-    settled = parsed.where(~open_).withColumn("confidence", F.lit(None).cast("double"))
-    looked_up = parsed.where(open_).join(blocked, "url", "left").select(*settled.columns)
-    return settled.unionByName(looked_up).select(
+    settled = (parsed.where(~open_) if entries else parsed).withColumn("confidence", F.lit(None).cast("double"))
+    out = settled
+    if entries:
+        open_rows = cut(parsed.where(open_))
+        open_urls = open_rows.select("url", url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")).distinct()
+        fits = F.forall("antecedent", lambda members: F.arrays_overlap(members, F.col("tokens")))
+        blocked = (
+            open_urls.select("url", "tokens", F.explode("tokens").alias("index_token"))
+            .join(F.broadcast(mined) if entries <= BROADCAST_ROWS else mined, "index_token")
+            .where(fits)
+            .groupBy("url")
+            .agg(F.max("confidence").alias("confidence"))
+        )
+        told = open_urls.select("url").join(blocked, "url", "left")
+        # one url may have very many pages
+        out = settled.unionByName(split_join(open_rows, told, "url").select(*settled.columns))
+    return out.select(
         "page_id", "host", "path", "rule",
         F.coalesce("stated", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "confidence",
