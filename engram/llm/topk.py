@@ -3,12 +3,13 @@
 Tiled matrix products: queries are packed into tiles, and the tasks that read the
 vectors pack them into shards; every (tile, shard) pair is one matrix product.  What
 reaches a query's k-th best score so far is selected from the product and merged into
-the task's lists, and the lists of all tasks are merged per query.
+the task's lists.  The lists of the tasks are the leaves of a tree: ``FAN_IN`` lists of a
+query at a time are merged into one, level by level, so that no step holds more
+than ``FAN_IN * k`` rows of a query, whatever the number of tasks.
 
 Queries travel to the shards, so no vector is ever shuffled: a pass broadcasts tiles
 of ``PASS_BYTES`` at most, whatever the number of queries, and reads the vectors once.
-Tasks are no more than ``TASKS`` times the shuffle partitions, so the lists that meet
-are bounded by queries x tasks x k.
+Tasks are no more than ``TASKS`` times the shuffle partitions, which bounds the leaves.
 
 Defined results
 ---------------
@@ -32,15 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import ensure_checkpoint_dir, give_back, parallelism, table
+from engram.llm.common import cut, ensure_checkpoint_dir, give_back, parallelism, table
 
 SHARD_ROWS = 2048
 TILE_ROWS = 1024
 #: Bytes of the queries that a pass broadcasts, and tasks of a pass for each shuffle partition.
 PASS_BYTES, TASKS = 32 << 20, 2
+#: Lists of a query that meet in one step of the tree.
+FAN_IN = 8
 
 
 class Best:
@@ -88,7 +92,7 @@ def _by_length(frame: pd.DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.
 
 def exact_topk(
     vectors: DataFrame, k: int = 5, query_modulus: int = 50, scale: int = 256,
-    id_col: str = "vec_id", vector_col: str = "embedding", pass_bytes: int = PASS_BYTES,
+    id_col: str = "vec_id", vector_col: str = "embedding", pass_bytes: int = PASS_BYTES, fan_in: int = FAN_IN,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query's k best candidates."""
     spark = vectors.sparkSession
@@ -101,7 +105,8 @@ def exact_topk(
         .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf))))
         .select("vec_id", F.transform("v", floor).alias("q"))
     )
-    queries = quantised.where(F.pmod("vec_id", F.lit(query_modulus)) == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
+    # every pass reads the queries
+    queries = cut(quantised.where(F.pmod("vec_id", F.lit(query_modulus)) == 0).groupBy("vec_id").agg(F.min("q").alias("q")))
     size = queries.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
     passes = max(1, -(-size // pass_bytes))
     tasks = quantised.coalesce(TASKS * parallelism(spark))
@@ -117,11 +122,12 @@ def exact_topk(
                     for tile in tiles:
                         if tile.matrix.shape[1] == shard.shape[1]:
                             tile.merge(ids, shard)
+            leaf = TaskContext.get().partitionId()
             for tile in tiles:
-                yield tile.frame()
+                yield tile.frame().assign(node=leaf)
             give_back()
 
-        return tasks.mapInPandas(products, "query_id long, vec_id long, score long")
+        return tasks.mapInPandas(products, "query_id long, vec_id long, score long, node int")
 
     if passes == 1:
         partial = searched(0)
@@ -131,12 +137,19 @@ def exact_topk(
         for turn in range(passes):
             searched(turn).write.mode("append").parquet(folder)
         partial = spark.read.parquet(folder)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return (
-        partial.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return merged(partial, k, TASKS * parallelism(spark), fan_in)
+
+
+def merged(lists: DataFrame, k: int, nodes: int, fan_in: int = FAN_IN) -> DataFrame:
+    """(query_id, rank, vec_id, score): the lists (query_id, vec_id, score, node) of all nodes, ``fan_in`` at a time, until one is left."""
+    while True:
+        nodes = -(-nodes // fan_in)
+        parent = lists.withColumn("node", F.floor(F.col("node") / fan_in).cast("int"))
+        order = Window.partitionBy("query_id", "node").orderBy(F.desc("score"), F.asc("vec_id"))
+        lists = parent.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if nodes <= 1:
+            return lists.select("query_id", "rank", "vec_id", "score")
+        lists = lists.drop("rank")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
