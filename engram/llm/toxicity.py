@@ -336,12 +336,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     for label in (0, 1):
         part = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 * sample_rows small rows: a proven bound for the broadcast
+    # at most 2 * sample_rows small rows: a proven bound for the broadcast; of the rows of one id the text
+    # with the least digest trains, so the sample is bounded however often an id is repeated
+    raw = F.col("text").cast("binary")
     rows = (
         docs.select(F.col("doc_id").cast("long"), "text")
         .where(F.length("text") <= sample_chars)
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "toxic", F.col("text").cast("binary").alias("text"))
+        .join(F.broadcast(chosen.distinct()), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min(F.struct(F.crc32(raw).alias("crc"), raw.alias("text"))).alias("least"))
+        .select("doc_id", "toxic", F.col("least.text").alias("text"))
     )
 
     # one task sees the bounded sample and returns weights, so the driver never holds texts
