@@ -56,6 +56,8 @@ BROADCAST_SOURCES = 10_000
 #: A document of more than one in LONG_SHARE of the words of a block is decided before all others.
 LONG_SHARE = 16
 TINY = 1e-9
+#: Copies of one row that a task writes out at once.
+COPY_RUN = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -134,6 +136,19 @@ def landing(chances: list[float], sizes: list[float]) -> list[float]:
     return out
 
 
+def numbered_copies(rows: DataFrame, run: int = COPY_RUN) -> DataFrame:
+    """``rows`` with ``copy``, from 0 among equal rows, so that equal rows are dealt over blocks as others are.
+
+    Equal rows are counted (within tasks first) and written out again; one with very many copies is written out by several tasks.
+    """
+    counted = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
+    runs = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / run))).alias("nth"))
+    if (counted.agg(F.max("copies")).first()[0] or 0) > run:
+        runs = runs.repartition(*rows.columns, "nth")
+    first, last = F.col("nth") * run, F.least(F.col("copies"), (F.col("nth") + 1) * run) - 1
+    return runs.select(*rows.columns, F.explode(F.sequence(first, last)).alias("copy"))
+
+
 UNIT_COLUMNS = "doc_id long, source string, size long, source_size long, target double, blocks long, place long, chance double"
 
 
@@ -141,7 +156,7 @@ def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = REPEAT_CAP, block_rows: int = BLOCK_ROWS, seed: int = 8, fan_in: int = FAN_IN,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row of ``docs`` (doc_id, text, source)."""
-    sizes = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")))
+    sizes = cut(numbered_copies(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))))
     targets = cut(source_targets(sizes, weights, cap))
     shape = targets.agg(F.count("*"), F.max("units")).first()
     if shape[0] <= BROADCAST_SOURCES:
@@ -153,7 +168,7 @@ def mix(
         .select(
             "s.doc_id", "s.source", "s.size", "t.source_size", "t.target",
             F.greatest(F.lit(1), F.ceil(F.col("t.units") / block_rows)).cast("long").alias("blocks"),
-            F.xxhash64("s.doc_id", "s.size", F.lit(seed)).alias("place"),
+            F.when(F.col("s.copy") == 0, F.xxhash64("s.doc_id", "s.size", F.lit(seed))).otherwise(F.xxhash64("s.doc_id", "s.size", F.lit(seed), "s.copy")).alias("place"),
             F.least(F.lit(float(cap)), rate).alias("rate"),
         )
         .withColumn("whole", F.when(F.col("size") > 0, F.floor("rate")).otherwise(0).cast("long"))
