@@ -81,6 +81,8 @@ class Encoder:
             and parts[0].get("behavior") == "Removed"
             and model.get("end_of_word_suffix") == "</w>"
             and not made.get("post_processor")
+            and [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and all(x["content"].startswith("<|") and x["content"].endswith("|>") and not x["lstrip"] and not x["rstrip"] for x in made.get("added_tokens", []))
         )
         if self.by_word:
             self.words: dict[bytes, bytes] = {}

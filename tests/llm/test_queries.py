@@ -96,6 +96,59 @@ def test_urls_of_any_length_and_repeated(spark):
     assert got == [("1", "allow"), ("1", "allow"), ("2", "allow"), ("2", "allow"), ("None", "block")]
 
 
+def test_labelled_urls_of_many_words_are_mined_in_seconds(spark):
+    """Forty words that always come together are one item: a page with any of them is blocked."""
+    long = "http://w.bad.tld/" + "/".join(f"word{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(40))
+    labelled = spark.createDataFrame([(long, True)] * 4 + [(f"http://fine{n}.tld/x", False) for n in range(30)], "url string, bad boolean")
+    pages = spark.createDataFrame([(1, long), (2, "http://else.org/wordab"), (3, "http://else.org/x"), (4, "http://fine3.tld/wordaa/y")] + [(5, long)] * 30, "page_id long, url string")
+    got = {(g.page_id, g.verdict) for g in urlfilter.filter_urls(pages, labelled, rules=()).collect()}
+    assert got == {(1, "block"), (2, "block"), (3, "allow"), (4, "block"), (5, "block")}
+
+
+def test_a_label_that_equals_a_token_is_not_folded(spark):
+    labelled = spark.createDataFrame([("http://a.bad.tld/k", True)] * 6 + [("http://b.fine.tld/k", False)] * 6, "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://z.bad.tld/q"), (2, "http://z.fine.tld/k")], "page_id long, url string")
+    assert {(g.page_id, g.verdict) for g in urlfilter.filter_urls(pages, labelled, rules=()).collect()} == {(1, "block"), (2, "allow")}
+
+
+def test_lists_of_many_tasks_merge_as_a_tree(spark, monkeypatch):
+    from engram.llm import topk
+
+    r = random.Random(9)
+    rows = [(n, [float(r.randrange(3)) / 256 for _ in range(4)]) for n in range(400)] + [(7, [0.5] * 3), (50, [0.5] * 3), (9, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(23)
+    monkeypatch.setattr(topk, "parallelism", lambda _: 12)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = [tuple(x) for x in con.execute(topk.ORACLE_SQL + " AND query_id <> 50 ORDER BY query_id, rank").fetchall()]
+    for settings in ({}, {"fan_in": 2}, {"fan_in": 3, "pass_bytes": 150}):
+        got = topk.exact_topk(vectors, **settings).where("query_id <> 50").orderBy("query_id", "rank")
+        assert [tuple(x) for x in got.collect()] == want
+
+
+def test_equal_rows_without_ids_are_dealt_over_blocks(spark, monkeypatch):
+    from engram.llm import mixing
+
+    monkeypatch.setattr(mixing, "COPY_RUN", 100)
+    rows = [(None, "a b c", "s")] * 1500 + [(n, "a b", "t") for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = mixing.numbered_copies(docs.select("doc_id", "source", F.length("text").alias("size")))
+    assert copies.where("source = 's'").select("copy").distinct().count() == 1500 and copies.count() == 1900
+    mixed = mixing.mix(docs, block_rows=64)
+    assert mixed.count() == 1900
+    taken = {r["source"]: (r["n"], r["t"]) for r in mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.max("target").alias("t")).collect()}
+    assert all(abs(n - t) <= 3 for n, t in taken.values())
+
+
+def test_rows_of_one_labelled_id_train_once(spark):
+    docs = spark.createDataFrame([(1, f"vile word{n}") for n in range(3000)] + [(n, "fine words here") for n in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(n, 0) for n in range(2, 60)], "doc_id long, toxic int")
+    chain = toxicity.fit(docs, labels)
+    once = toxicity.fit(docs.where("doc_id <> 1").unionByName(docs.where("doc_id = 1").orderBy(F.crc32(F.col("text").cast("binary"))).limit(1)), labels)
+    assert chain.dumps() == once.dumps()
+
+
 def test_gru_against_a_plain_loop():
     net = lmscore.Network.start(np.arange(90, 0, -1).astype(float), np.arange(1, lmscore.FORM_CLASSES + 1).astype(float), seed=2)
     rng = np.random.default_rng(5)
