@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from engram.lineage import cut
 from engram.config import DEFAULTS, Defaults
 from engram.functions.scalars import edge_trust
-from engram.functions.relations import MULTI_VALUED, PROPERTIES
 
 ANTONYMS = (("1-URGENT", "5-LOW"), ("2-HIGH", "4-NOT SPECIFIED"))
 
@@ -156,63 +155,6 @@ def merge_entities(edges: DataFrame, remap: DataFrame) -> DataFrame:
     )
 
 
-def upsert_subject(triples: pd.DataFrame, multi=MULTI_VALUED, properties=PROPERTIES) -> pd.DataFrame:
-    """The edges of one subject after its triples (relation, target, negated, confidence, us), in order.
-
-    A negation expires the positive edge and is stored; a property expires all live
-    edges of its relation; a repeated fact gains 1 and is promoted at 2; a
-    single-valued relation expires its first live predecessor.  Live edges are kept by
-    relation and target, so a triple costs what it touches.
-    """
-    rows: list[dict] = []
-    live: dict[str, dict[tuple, dict]] = {}
-
-    def expire(held: dict[tuple, dict], key: tuple, us: int) -> None:
-        held.pop(key)["valid_until"] = us
-
-    for t in triples.sort_values(["us", "relation", "target"]).itertuples():
-        held = live.setdefault(t.relation, {})
-        new = {"relation": t.relation, "target": t.target, "negated": bool(t.negated), "confidence": t.confidence, "valid_from": t.us, "valid_until": None, "strength": 1.0, "state": "active"}
-        known = held.get((t.target, False))
-        if t.negated:
-            if known:
-                expire(held, (t.target, False), t.us)
-        elif known:
-            known["strength"], known["confidence"] = known["strength"] + 1, max(known["confidence"], t.confidence)
-            known["state"] = "active" if known["strength"] >= 2 else known["state"]
-            continue
-        elif t.relation in properties:
-            for key in list(held):
-                expire(held, key, t.us)
-            new["strength"] = 3.0
-        else:
-            before = next((key for key in held if not key[1]), None) if t.relation not in multi else None
-            if before:
-                expire(held, before, t.us)
-                new["strength"] = 3.0
-            else:
-                new["state"] = "pending"
-        rows.append(new)
-        # of several negations of one fact each stays, under a key of its own
-        held[(t.target, True, len(rows)) if t.negated else (t.target, False)] = new
-    return pd.DataFrame(rows)
-
-
-UPSERT_SCHEMA = "subject long, relation string, target long, negated boolean, confidence double, valid_from long, valid_until long, strength double, state string"
-
-
-def upsert(triples: DataFrame) -> DataFrame:
-    """All subjects' edges; the state machine is sequential within a subject, so it is a grouped map."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = upsert_subject(frame)
-        out.insert(0, "subject", key[0])
-        out["valid_until"] = out["valid_until"].astype("Int64")
-        return out
-
-    return triples.groupBy("subject").applyInPandas(run, UPSERT_SCHEMA)
-
-
 def code_symbols(files: DataFrame) -> DataFrame:
     """(path, symbol, kind, line) of Python sources (path, text): modules, classes and functions by the parser; broken files give their module only."""
     import ast

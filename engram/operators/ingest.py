@@ -158,18 +158,14 @@ def lowest(rows: DataFrame, digest: Column, id_col: str, n: int) -> DataFrame:
 def stride_sample(rows: DataFrame, order_col: str, head: int = 25, total: int = 50) -> DataFrame:
     """The first ``head`` rows and evenly spaced others, ``total`` at most.
 
-    Positions come from counts by range partition, so no task sorts the whole table.
+    Positions come from one dealing by ranges that is written before anything is counted, so no task
+    sorts the whole table and all that is joined agrees, whatever columns are carried along.
     """
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order_col).withColumn("part", F.spark_partition_id())
-    local = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(order_col)))
-    counts = local.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    size = counts.agg(F.sum("n").alias("size"))
-    placed = local.join(F.broadcast(before.select("part", "before")), "part").join(F.broadcast(size)).withColumn("nth", F.col("before") + F.col("at"))
-    step = F.greatest(F.lit(1), F.floor((F.col("size") - head) / (total - head)))
-    pick = (F.col("nth") <= head) | (((F.col("nth") - head - 1) % step == 0) & ((F.col("nth") - head - 1) / step < total - head))
-    return placed.where(pick).drop("part", "at", "before", "size")
+    placed = sums_before(rows.withColumn("__one", F.lit(1)), [order_col], "__one").withColumn("__nth", F.col("before") + 1)
+    size = placed.agg(F.count("*").alias("__size"))
+    step = F.greatest(F.lit(1), F.floor((F.col("__size") - head) / (total - head)))
+    pick = (F.col("__nth") <= head) | (((F.col("__nth") - head - 1) % step == 0) & ((F.col("__nth") - head - 1) / step < total - head))
+    return placed.join(F.broadcast(size)).where(pick).select(*rows.columns, F.col("__nth").alias("nth"))  # size is one row
 
 
 def context_rows(pairs: DataFrame, back: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.operators import facts
 from engram.operators import graph as g
 from engram.plans.base import Plans
 from engram.sources.driver import DAY_US, EDGES_SQL, ORDERS_NOW_US, TURNS_SQL, edges, read, turns
@@ -172,14 +173,44 @@ def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.merge_entities(merged, none)
 
 
-@add()
-def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as triples: relations of all three kinds, a ninth of them negations."""
     names = F.array(*map(F.lit, ("knows", "uses", "status", "lives_in", "works_at")))
-    rows = turns(spark, sf_dir).select(
+    return turns(spark, sf_dir).select(
         (F.col("conversation_id") % 40).alias("subject"), F.element_at(names, (F.col("k") % 5 + 1).cast("int")).alias("relation"), (F.col("turn_id") % 4).alias("target"),
         (F.col("turn_id") % 9 == 0).alias("negated"), (F.col("k") / 100).alias("confidence"), "us",
     )
-    return g.upsert(rows)
+
+
+# the same rule by windows over the whole log: what an event meets, where its edge begins and where it ends
+EVENTS_SQL = f"""WITH {TURNS_SQL}, t AS (SELECT conversation_id % 40 AS subject, ['knows', 'uses', 'status', 'lives_in', 'works_at'][k % 5 + 1] AS relation, turn_id % 4 AS target, turn_id % 9 = 0 AS negated, k / 100 AS confidence, us, turn_id FROM turns),
+l AS (SELECT *, CASE WHEN relation IN ('knows', 'uses') THEN target ELSE -1 END AS slot, row_number() OVER (ORDER BY us, target, negated, confidence, turn_id) AS pos FROM t),
+d AS (SELECT *, min(CASE WHEN negated THEN pos END) OVER (PARTITION BY subject, relation, target ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS denied FROM l),
+p AS (SELECT *, max(CASE WHEN NOT negated THEN pos END) OVER (PARTITION BY subject, relation, slot ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d),
+h AS (SELECT p.*, b.pos IS NOT NULL AND (b.denied IS NULL OR b.denied >= p.pos) AS holds, b.target AS held FROM p LEFT JOIN d b ON b.pos = p.before),
+o AS (SELECT *, NOT negated AND NOT (holds AND held = target) AS opens FROM h),
+e AS (SELECT *, min(CASE WHEN opens THEN pos END) OVER (PARTITION BY subject, relation, slot ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS replaced,
+  CASE WHEN opens OR negated THEN pos ELSE max(CASE WHEN opens THEN pos END) OVER (PARTITION BY subject, relation, slot ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS edge,
+  CASE WHEN relation = 'status' OR (opens AND holds) THEN 3.0 ELSE 1.0 END AS start FROM o),
+m AS (SELECT m.*, CASE WHEN NOT m.negated THEN least(m.denied, m.replaced) WHEN m.relation = 'status' THEN m.replaced END AS ended FROM e m),
+g AS (SELECT edge, count(*) - 1 AS again, max(confidence) AS confidence FROM m GROUP BY edge)"""
+
+
+@add(EVENTS_SQL + """ SELECT m.subject, m.relation, m.target, m.negated, g.confidence, m.us AS valid_from, x.us AS valid_until, (CASE WHEN m.negated THEN 1 ELSE start END + again)::DOUBLE AS strength,
+CASE WHEN m.negated OR start >= 3 OR again > 0 THEN 'active' ELSE 'pending' END AS state FROM m JOIN g ON m.edge = g.edge AND m.pos = m.edge LEFT JOIN l x ON x.pos = m.ended""")
+def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all triples; a subject's log is dealt over tasks by time."""
+    return facts.upsert(triples(spark, sf_dir))[0]
+
+
+@add(EVENTS_SQL + """, a AS (SELECT m.*, f.before = f.edge AND o.start < 3 AS first_again FROM m LEFT JOIN m f ON f.pos = m.pos LEFT JOIN m o ON o.pos = m.edge)
+SELECT subject, relation, action, count(*) AS n, max(us) AS last FROM (
+  SELECT subject, relation, us, CASE WHEN negated THEN 'negated' WHEN opens THEN 'added' WHEN first_again THEN 'promoted' ELSE 'reinforced' END AS action FROM a
+  UNION ALL SELECT m.subject, m.relation, x.us, 'expired' FROM m JOIN l x ON x.pos = m.ended WHERE m.pos = m.edge) GROUP BY ALL""")
+def fact_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal of the upsert by subject, relation and action."""
+    journal = facts.upsert(triples(spark, sf_dir))[1]
+    return journal.groupBy("subject", "relation", "action").agg(F.count("*").alias("n"), F.max("us").alias("last"))
 
 
 @add("""WITH b AS (SELECT lower(replace(p_brand, '#', '_')) AS module, 'C' || p_size AS cls, 'part_' || p_partkey AS fn, 'class C' || p_size || ':' || chr(10) || '    def part_' || p_partkey || '(self)' AS body FROM part),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.config import DEFAULTS
 from engram.functions import scalars, vectors
 from engram.functions import text as tx
 from engram.operators import retrieve as rt
@@ -95,10 +96,11 @@ def cluster_preselect_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     v, q = _vectors(spark, sf_dir)
     centres = centroids(v, "label", "embedding").withColumnRenamed("label", "cluster_id")
-    near = vectors.block_topk(centres, q.select("query_id", "vector"), 1_000, "cluster_id", "centroid", digits=12)
-    labels = q.select("query_id", "qlabel")
-    bonus = F.when(F.col("qlabel") == F.col("id"), 0.3).otherwise(0.0)
-    scored = near.join(labels, "query_id").select("query_id", F.col("id").cast("int").alias("cluster_id"), F.round(F.col("score") + bonus, 6).alias("score"))
+    # what the bonus can lift into the first places is the cluster of the query's own label, so it is scored besides the nearest
+    near = vectors.block_topk(centres, q.select("query_id", "vector"), DEFAULTS.cluster_top, "cluster_id", "centroid", digits=12).select("query_id", F.col("id").alias("cluster_id"), "score")
+    own = q.join(centres, F.col("qlabel") == F.col("cluster_id")).select("query_id", F.col("cluster_id").cast("long"), F.round(vectors.dot(F.col("vector"), F.col("centroid")), 12).alias("score"), F.lit(True).alias("own"))
+    both = near.join(own.select("query_id", "cluster_id", "own"), ["query_id", "cluster_id"], "left_anti").withColumn("own", F.lit(False)).unionByName(own)
+    scored = both.select("query_id", F.col("cluster_id").cast("int"), F.round(F.col("score") + F.when(F.col("own"), 0.3).otherwise(0.0), 6).alias("score"))
     return rt.preselect_clusters(scored)
 
 

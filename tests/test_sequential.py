@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import chunking, scalars, timescope
 from engram.functions import text as tx
-from engram.operators import evaluate, graph, ingest, lifecycle, select
+from engram.operators import evaluate, facts, graph, ingest, lifecycle, select
 from engram.sources import exports, office, store
 
 NOW = datetime(2026, 7, 10, 12)
@@ -103,11 +103,11 @@ def test_coverage_stops():
 
 def test_upsert_rules():
     t = lambda *rows: pd.DataFrame([dict(zip(("relation", "target", "negated", "confidence", "us"), r)) for r in rows])
-    out = graph.upsert_subject(t(("lives", 1, False, 0.5, 1), ("lives", 2, False, 0.5, 2)))
+    out = facts.upsert_subject(t(("lives", 1, False, 0.5, 1), ("lives", 2, False, 0.5, 2)))
     assert out["valid_until"].tolist()[0] == 2 and out["strength"].tolist() == [1.0, 3.0]
-    out = graph.upsert_subject(t(("knows", 1, False, 0.5, 1), ("knows", 2, False, 0.5, 2), ("knows", 1, False, 0.9, 3)))
+    out = facts.upsert_subject(t(("knows", 1, False, 0.5, 1), ("knows", 2, False, 0.5, 2), ("knows", 1, False, 0.9, 3)))
     assert out["valid_until"].isna().all() and out["strength"].tolist() == [2.0, 1.0] and out["state"].tolist() == ["active", "pending"]
-    out = graph.upsert_subject(t(("status", 1, False, 0.5, 1), ("status", 2, False, 0.5, 2), ("status", 2, True, 0.5, 3)))
+    out = facts.upsert_subject(t(("status", 1, False, 0.5, 1), ("status", 2, False, 0.5, 2), ("status", 2, True, 0.5, 3)))
     assert out["negated"].tolist() == [False, False, True] and out["valid_until"].tolist()[:2] == [2, 3]
 
 
