@@ -30,6 +30,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.llm.common import ensure_checkpoint_dir, give_back, table
-from engram.llm.words import ByteLevel, blank_split, is_plain, runs, visible_bytes
+from engram.llm.words import ByteLevel, blank_split, is_plain, is_simple, runs, visible_bytes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Aligned words that a worker remembers; when there are more, the earliest half (mostly frequent words) stays.
-KEPT_WORDS = 300_000
-DUCKDB_MEMORY = "700MB"
+KEPT_WORDS = 200_000
+#: Words that are aligned together.
+LEARNT_WORDS = 40_000
+DUCKDB_MEMORY = "500MB"
 #: SentencePiece shows a blank by this character.
 BLANK = "▁"
 
@@ -77,12 +80,12 @@ class LevelSide:
             tokens[n] = bytes(shown[c] for c in token) if all(c in shown for c in token) else token.encode()
         self.bytes, self.by_word = BytesOf(tokens), self.level.by_word
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, how many each has) of words with the white space before them."""
+    def encode(self, words: list[str], plain_words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many each has) of words with the white space before them; ``plain_words``: all are of simple texts."""
         short = [w[1:] if w[0] == " " and w[1:2] != "\n" else w for w in words]
-        plain = np.array([is_plain(s) and (w[0] in " \n") for w, s in zip(words, short, strict=True)], bool)
-        if plain.all():
+        if plain_words:
             return self.level.word_ids(short)
+        plain = np.array([is_plain(s) and (w[0] in " \n") for w, s in zip(words, short, strict=True)], bool)
         counts, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.int64)] * len(words)
         ids, counts[plain] = self.level.word_ids([s for s, p in zip(short, plain.tolist(), strict=True) if p])
         for n, own in zip(np.flatnonzero(plain).tolist(), np.split(ids, np.cumsum(counts[plain])[:-1]), strict=False):
@@ -107,12 +110,14 @@ class PieceSide:
         self.by_word = not any(y in (BLANK, "\n") and not x.isspace() and x != BLANK for p in pieces for x, y in zip(p, p[1:], strict=False))
         self.blank = self.model.piece_to_id(BLANK)
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: list[str], plain_words: bool) -> tuple[np.ndarray, np.ndarray]:
         """As above; a word that does not begin with a blank is encoded behind the added one, which goes, if it stands for itself."""
         found = self.model.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        found = [ids[1:] if w[0] != " " and ids[:1] == [self.blank] else ids for w, ids in zip(words, found, strict=True)]
-        counts = np.array([len(ids) for ids in found], np.int64)
-        return np.fromiter((n for ids in found for n in ids), np.int64, int(counts.sum())), counts
+        for n, word in enumerate(words):
+            if word[0] != " " and found[n][:1] == [self.blank]:
+                found[n] = found[n][1:]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
 
 
 #: Groups of tokens: A tokens that end where a B token ends close one.
@@ -151,11 +156,12 @@ class Aligner:
 
         self.a, self.b = LevelSide(a_path), PieceSide(b_path)
         self.by_word = self.a.by_word and self.b.by_word
+        self.names = [str(n) for n in range(max(len(self.a.bytes.tokens), len(self.b.bytes.tokens)))]
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         self.clear()
 
     def clear(self) -> None:
-        #: Numbers of words as ``blank_split`` gives them (-1: no plain word), and of any others.
+        #: Numbers of words as ``blank_split`` gives them, and of any others.
         self.plain: dict[str, int] = {}
         self.other: dict[str, int] = {}
         self.texts: list[str] = []
@@ -177,13 +183,15 @@ class Aligner:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], plain: bool = False) -> None:
         """Align words (each with its white space) and give them the next numbers."""
-        if not words:
-            return
+        for at in range(0, len(words), LEARNT_WORDS):
+            self._learn(words[at : at + LEARNT_WORDS], plain)
+
+    def _learn(self, words: list[str], plain: bool) -> None:
         raw = [w.encode() for w in words]
         lengths = np.array([len(x) for x in raw], np.int64)
-        sides = [(side, *side.encode(words)) for side in (self.a, self.b)]
+        sides = [(side, *side.encode(words, plain)) for side in (self.a, self.b)]
         good = np.ones(len(words), bool)
         whole = b"".join(raw)
         for side, ids, counts in sides:
@@ -194,7 +202,6 @@ class Aligner:
         texts, at = [""] * len(words), len(self.texts)
         if good.any():
             kept = [ids[np.repeat(good, counts)] for _, ids, counts in sides]
-            ends = np.cumsum(np.where(good, lengths, 0))
             for name, (side, _, _), ids in zip("ab", sides, kept, strict=True):
                 self._interval_table(name, ids, side.bytes.sizes[ids])
             self._interval_table("u0", np.flatnonzero(good), lengths[good])
@@ -203,17 +210,19 @@ class Aligner:
             own, n_a, n_b = found["word"], found["n_a"].astype(np.int64), found["n_b"].astype(np.int64)
             for n, values in enumerate((n_a, n_b, np.ones_like(n_a), n_a * n_b)):
                 np.add.at(sizes[n], own, values)
-            shown = [list(map(str, ids.tolist())) for ids in kept]
-            stops = np.cumsum(n_a).tolist(), np.cumsum(n_b).tolist()
-            i = j = 0
-            written: list[list[str]] = [[] for _ in words]
-            for word, to, until in zip(own.tolist(), *stops, strict=True):
-                written[word].append(",".join(shown[0][i:to]) + "|" + ",".join(shown[1][j:until]))
-                i, j = to, until
-            texts = [";".join(x) for x in written]
+            shown = [list(map(self.names.__getitem__, ids.tolist())) for ids in kept]
+            i, j = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+            groups = [x + "|" + y for x, y in zip(map(shown[0].__getitem__, i.tolist()), map(shown[1].__getitem__, j.tolist()), strict=True)]
+            wide = np.flatnonzero((n_a > 1) | (n_b > 1))
+            for g, x, n, y, m in zip(wide.tolist(), i[wide].tolist(), n_a[wide].tolist(), j[wide].tolist(), n_b[wide].tolist(), strict=True):
+                groups[g] = ",".join(shown[0][x : x + n]) + "|" + ",".join(shown[1][y : y + m])
+            at_group = 0
+            for word, n in enumerate(sizes[2].tolist()):
+                texts[word] = ";".join(groups[at_group : at_group + n])
+                at_group += n
             pairs = self.db.execute(_PAIRS).fetchnumpy()
             self.pairs = np.concatenate((self.pairs, np.stack([pairs["word"].astype(np.int64) + at, pairs["a"], pairs["b"], pairs["times"]])), axis=1)
-            assert int(ends[-1]) == int(sides[0][0].bytes.sizes[kept[0]].sum())
+            self.db.execute("DROP TABLE a; DROP TABLE b; DROP TABLE u0 CASCADE; DROP TABLE grouped_a; DROP TABLE grouped_b; DROP TABLE groups")
         self.texts += texts
         self.sizes = np.concatenate((self.sizes, sizes), axis=1)
 
@@ -223,14 +232,13 @@ class Aligner:
             self.learn(own := list(dict.fromkeys(" " + t for t in texts)))
             place = {w: len(self.texts) - len(own) + n for n, w in enumerate(own)}
             return [np.array([place[" " + t]]) for t in texts]
-        split = [blank_split(t) for t in texts]
+        simple = [is_simple(t) for t in texts]
+        split = [blank_split(t) if own else [] for t, own in zip(texts, simple, strict=True)]
         new = list(set().union(*split).difference(self.plain))
-        plain = [w for w in new if is_plain(w)]
-        self.plain.update(dict.fromkeys(new, -1))
-        self.plain.update(zip(plain, range(len(self.texts), len(self.texts) + len(plain)), strict=True))
-        self.learn([w if w[0] == "\n" else " " + w for w in plain])
+        self.plain.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
+        self.learn([w if w[0] == "\n" else " " + w for w in new], plain=True)
         found = [np.fromiter(map(self.plain.__getitem__, words), np.int64, len(words)) for words in split]
-        odd = {n: runs(" " + texts[n]) for n, x in enumerate(found) if (x < 0).any()}
+        odd = {n: runs(" " + texts[n]) for n, own in enumerate(simple) if not own}
         # a word behind other white space than a blank must stand alone on the pieces' side
         for n, words in odd.items():
             if any(w[0] != " " and self.b.model.encode(w)[:1] != [self.b.blank] for w in words):
@@ -271,6 +279,7 @@ class Aligner:
         distinct = self.db.execute("SELECT a, b, held FROM distinct_pairs ORDER BY pair").fetchnumpy()
         for name in given:
             self.db.unregister(name)
+        self.db.execute("DROP TABLE linked; DROP TABLE distinct_pairs")
         cuts = np.searchsorted(linked["doc"], np.arange(1, len(words)))
         for n, own, pair, times in zip(range(len(words)), words, np.split(linked["pair"], cuts), np.split(linked["times"], cuts), strict=True):
             doc = filled[n]

@@ -21,6 +21,7 @@ import numpy as np
 KEPT_WORDS = 300_000
 #: Words that are encoded in one call.
 JOINED = 512
+_ODD = re.compile(r"\s(?:\s|\Z)|\A\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -29,6 +30,11 @@ def blank_split(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+def is_simple(text: str) -> bool:
+    """Whether ``blank_split`` gives words: no white space at the ends, none next to other white space."""
+    return text != "" and _ODD.search(text) is None
+
+
 def is_plain(word: str) -> bool:
     """Whether a string is a word as ``blank_split`` gives it: no blanks, and no white space at its ends but one line feed before it."""
     core = word[1:] if word[:1] == "\n" else word
@@ -53,6 +59,26 @@ def visible_bytes() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+#: Fixed value: the split that a byte-level pre-tokenizer makes.
+LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def by_rank(made: dict):
+    """The same merges as ranks for ``tiktoken``, which encodes plain words faster; None unless ids rise with the merges."""
+    model, shown = made["model"], {c: b for b, c in enumerate(visible_bytes())}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    merged = [model["vocab"].get("".join(x if isinstance(x, list) else x.split(" "))) for x in model["merges"]]
+    if not plain or None in merged or any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or not all(c in model["vocab"] for c in shown):
+        return None
+    import tiktoken
+
+    own = {t: n for t, n in model["vocab"].items() if all(c in shown for c in t)}
+    if len(own) != 256 + len(merged) or sorted(own.values()) != list(range(len(own))):
+        own = {t: n for t, n in own.items() if n in set(merged) or len(t) == 1}
+    ranks = {bytes(shown[c] for c in t): n for t, n in own.items()}
+    return tiktoken.Encoding("level", pat_str=LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class ByteLevel:
     """A ``tokenizers`` file; ``special`` tells whether the strings of special tokens inside texts are those tokens."""
 
@@ -74,6 +100,9 @@ class ByteLevel:
             and not made.get("normalizer")
             and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in made.get("added_tokens", []))
         )
+        # plain words hold no special tokens where their strings are text
+        ranks = by_rank(made) if self.by_word and not special else None
+        self.plain_ids = ranks.encode_ordinary if ranks else self.ids
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         shown = visible_bytes()
         opens = shown[0x20], shown[0x0A]
@@ -88,7 +117,7 @@ class ByteLevel:
         """(ids one after another, how many each has) of plain words as ``blank_split`` gives them, each with its blank or line feed."""
         ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), JOINED):
-            own = np.array(self.ids("".join([w if w[0] == "\n" else " " + w for w in words[at : at + JOINED]])), np.int64)
+            own = np.array(self.plain_ids("".join([w if w[0] == "\n" else " " + w for w in words[at : at + JOINED]])), np.int64)
             first = np.flatnonzero(self.starts[own])
             ids.append(own)
             counts.append(np.diff(first, append=len(own)))
