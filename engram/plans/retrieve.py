@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.config import DEFAULTS
 from engram.functions import scalars, vectors
 from engram.functions import text as tx
+from engram.operators import lexical
 from engram.operators import retrieve as rt
 from engram.operators.assemble import fuse
 from engram.plans.base import Plans
@@ -72,7 +73,19 @@ p AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 s AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM p JOIN q USING (term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 20""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.bm25(read(spark, sf_dir, "documents"), _asked(spark, sf_dir), 20)
+    return lexical.search(lexical.index_of(read(spark, sf_dir, "documents")), _asked(spark, sf_dir), 20)
+
+
+@add(f"""WITH q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(list_filter(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) > 2)[1:3], lambda w: w NOT IN ({STOP_SQL}))) AS term FROM benchmark)),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM d),
+t AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d), tf AS (SELECT doc_id, size, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+p AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS part FROM tf JOIN df USING (term), st), n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM p JOIN q USING (term) JOIN n USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) = n),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 20""")
+def bm25_every_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search falls back to: documents that hold all of an item's first terms."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.search_terms(F.col("text"), 3)).alias("term")).distinct()
+    return lexical.search(lexical.index_of(read(spark, sf_dir, "documents")), asked, 20, every=True)
 
 
 @add(f"""WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, vec_id % 37 AS parent, {SIM} AS score FROM q, v),
@@ -127,11 +140,11 @@ def legs_by_text(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     v, q = _vectors(spark, sf_dir)
     docs = read(spark, sf_dir, "documents")
     asked = prompts(spark, sf_dir).select("query_id", F.explode(tx.search_terms(F.col("text"))).alias("term"))
-    lexical = rt.bm25(docs, asked, 100).withColumnRenamed("doc_id", "id")
+    worded = lexical.search(lexical.index_of(docs), asked, 100).withColumnRenamed("doc_id", "id")
     near = vectors.block_topk(v, q, 100, "vec_id", "embedding")
     key = docs.select(F.col("doc_id").alias("id"), F.md5(F.col("text")).alias("key"))
     keyed = lambda leg: leg.join(key, "id", "left").select("query_id", "id", "score", "rank", F.coalesce("key", F.col("id").cast("string")).alias("key"))
-    return {"bm25": keyed(lexical), "vector": keyed(near)}
+    return {"bm25": keyed(worded), "vector": keyed(near)}
 
 
 @add(RRF_SQL + " SELECT * FROM r WHERE rank <= 10")
