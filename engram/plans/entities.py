@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.lineage import cut
+from engram.operators import clusters as cl
 from engram.operators import duplicates as dup
 from engram.plans.base import Plans
 from engram.sources.driver import micros, read
@@ -64,3 +65,33 @@ def merge_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir)
     mentions = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.min(micros("ts")).alias("first"))
     return dup.merge_proposals(e, dup.name_links(e).where("(a + b) % 97 <> 0"), mentions)
+
+
+@add()
+def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as clusters of one turn each, oldest first: where each one ends.  Rounds to a fixpoint are tested against a plain version."""
+    e = entities(spark, sf_dir)
+    return cl.merge_clusters(e.select("group", "id", F.col("id").alias("age"), F.lit(1).alias("n"), "vector", F.col("names").alias("cast")))
+
+
+# the mentions of a prompt one after another: the nearest entity that is free, else the first of the name if it is free
+_TAKE = """coalesce((SELECT arg_min(id, (-score, id)) FROM near n WHERE n.prompt = m.prompt AND n.nth = {0} AND NOT list_contains({1}, id)),
+  (SELECT id FROM named d WHERE d.name = m.name AND NOT list_contains({1}, id)))"""
+
+
+@add(f"""WITH v AS (SELECT vec_id AS id, 'e' || vec_id % 7 AS name, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 100 = 0),
+m AS (SELECT id AS prompt, 1 AS nth, name, e FROM q UNION ALL SELECT id, 2, 'e' || (id + 1) % 7, e FROM q UNION ALL SELECT id, 3, 'e' || (id + 2) % 7, NULL FROM q),
+near AS (SELECT m.prompt, m.nth, v.id, round(list_dot_product(m.e, v.e), 9) AS score FROM m, v WHERE m.e IS NOT NULL AND round(list_dot_product(m.e, v.e), 9) >= 0.85), named AS (SELECT name, min(id) AS id FROM v GROUP BY name),
+t1 AS (SELECT prompt, {_TAKE.format(1, "[]::BIGINT[]")} AS x FROM m WHERE nth = 1),
+t2 AS (SELECT m.prompt, t1.x AS x, {_TAKE.format(2, "[t1.x]")} AS y FROM m JOIN t1 ON t1.prompt = m.prompt WHERE nth = 2),
+t3 AS (SELECT m.prompt, t2.x AS x, t2.y AS y, {_TAKE.format(3, "[t2.x, t2.y]")} AS z FROM m JOIN t2 ON t2.prompt = m.prompt WHERE nth = 3),
+u AS (SELECT prompt, 1 AS nth, x AS entity FROM t3 UNION ALL SELECT prompt, 2, y FROM t3 UNION ALL SELECT prompt, 3, z FROM t3)
+SELECT u.prompt, u.nth::BIGINT AS nth, u.entity, round(near.score, 6) AS score FROM u LEFT JOIN near ON near.prompt = u.prompt AND near.nth = u.nth AND near.id = u.entity WHERE entity IS NOT NULL""")
+def entity_match_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three mentions a prompt: an entity's own vector, the same again, which must find another, and a name without a vector."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(F.concat(F.lit("E"), (F.col("vec_id") % 7).cast("string"))).alias("names"), F.col("embedding").alias("vector"))
+    name = lambda n: F.concat(F.lit("e"), ((F.col("id") + n) % 7).cast("string")).alias("name")
+    asked = v.where("id % 100 = 0")
+    said = [asked.select(F.col("id").alias("prompt"), F.lit(n + 1).alias("nth"), name(n), F.when(F.lit(n < 2), F.col("vector")).alias("vector")) for n in range(3)]
+    found = cl.match_mentions(said[0].unionByName(said[1]).unionByName(said[2]), v)
+    return found.select("prompt", "nth", "entity", F.round("score", 6).alias("score"))

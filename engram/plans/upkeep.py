@@ -187,18 +187,6 @@ def lease_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.claims(rows, NOW_US, 2 * DAY_US)
 
 
-@add(f"""WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, round(list_dot_product(qe, e), 6) AS score FROM q, v WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s)
-SELECT * FROM r WHERE rank <= 3 AND score >= 0.25""")
-def entity_match_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as entities: the three nearest of a prompt, if they are near enough; a vector is no find of itself."""
-    from engram.functions import vectors
-
-    v, q = _vectors(spark, sf_dir)
-    asked = q.withColumn("own", F.col("query_id"))
-    near = vectors.block_topk(v.withColumn("own", F.col("vec_id")), asked, 3, "vec_id", "embedding", group="own", same=False)
-    return mt.nearest_above(near, 0.25, 3)
-
-
 CHOSEN = "SELECT 'turn' AS kind, turn_id AS id FROM turns WHERE k % 25 = 0 UNION ALL SELECT 'entity', c_custkey FROM customer WHERE c_acctbal < 0"
 
 
