@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.lineage import cut
 from engram.operators import clusters as cl
 from engram.operators import duplicates as dup
+from engram.operators import joins
 from engram.plans.base import Plans
-from engram.sources.driver import micros, read
+from engram.sources.driver import NOW_US, micros, read
 
 PLANS = Plans()
 add = PLANS.add
@@ -95,3 +96,35 @@ def entity_match_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [asked.select(F.col("id").alias("prompt"), F.lit(n + 1).alias("nth"), name(n), F.when(F.lit(n < 2), F.col("vector")).alias("vector")) for n in range(3)]
     found = cl.match_mentions(said[0].unionByName(said[1]).unionByName(said[2]), v)
     return found.select("prompt", "nth", "entity", F.round("score", 6).alias("score"))
+
+
+# slices of six turns that overlap in two; the last turn of a slice is cut off in the middle
+SLICE, STEP = 6, 4
+
+
+@add(f"""WITH t AS (SELECT conv_id AS title, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT title, pos::INT AS pos, role, text, {NOW_US} - (n - pos) * 60000000 AS us FROM t""")
+def seam_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations cut into overlapping slices and joined again at the seams: the conversations as they were."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("title"), "role", F.coalesce("text", F.lit("")).alias("text"), (F.row_number().over(order) - 1).alias("at"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
+    of = F.explode(F.filter(F.array(F.floor(F.col("at") / STEP), F.floor(F.col("at") / STEP) - 1), lambda s: (s >= 0) & (F.col("at") - s * STEP < SLICE) & ((s == 0) | (s * STEP + SLICE - STEP < F.col("n"))))).alias("slice")
+    rows = t.select("*", of).withColumn("nth", F.col("at") - F.col("slice") * STEP)
+    cut_off = (F.col("nth") == SLICE - 1) & (F.col("at") < F.col("n") - 1) & (F.length("text") > 20)
+    return joins.joined_at_seams(rows.select("title", "slice", "nth", "role", F.when(cut_off, F.substr("text", F.lit(1), F.length("text") - 5)).otherwise(F.col("text")).alias("text"), F.lit(NOW_US).alias("mtime_us")))
+
+
+@add(r"""WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), s AS (
+  SELECT id, text, greatest(0, x.s) AS s, least(x.e, length(text)) AS e, x.l AS label, x.p AS score FROM (SELECT id, text, unnest([{'s': id % 40, 'e': id % 40 + 9, 'l': 'A', 'p': (id % 10) / 10}, {'s': id % 40 + 6, 'e': id % 40 + 20, 'l': 'B', 'p': 0.45}, {'s': id % 90 + 30, 'e': id % 90 + 33, 'l': 'C', 'p': 0.7}]) AS x FROM d)),
+f AS (SELECT *, s - CASE WHEN regexp_matches(substr(text, s + 1, 1), '[\p{L}\p{N}]') THEN length(regexp_extract(substr(text, 1, s), '([\p{L}\p{N}]*)$', 1)) ELSE 0 END AS f, e + CASE WHEN regexp_matches(substr(text, e, 1), '[\p{L}\p{N}]') THEN length(regexp_extract(substr(text, e + 1), '^([\p{L}\p{N}]*)', 1)) ELSE 0 END AS t FROM s WHERE s < e),
+p AS (SELECT id, f + length(regexp_extract(substr(text, f + 1, t - f), '^([^\p{L}\p{N}]*)', 1)) AS s, t - length(regexp_extract(substr(text, f + 1, t - f), '([^\p{L}\p{N}]*)$', 1)) AS e, label, score FROM f),
+o AS (SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY id ORDER BY s, e, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS opens FROM p WHERE s < e),
+c AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY s, e, label ROWS UNBOUNDED PRECEDING) AS chain FROM o)
+SELECT c.id, min(s)::INT AS start, max(e)::INT AS stop, arg_max(label, (score, e - s, label)) AS label, max(score)::DOUBLE AS score FROM c GROUP BY c.id, chain""")
+def span_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of three taggers over every text, as one."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    i = F.col("id")
+    span = lambda start, width, label, score: F.struct((start).cast("int").alias("start"), (start + width).cast("int").alias("stop"), F.lit(label).alias("label"), score.cast("double").alias("score"))
+    told = F.array(span(i % 40, 9, "A", i % 10 / 10), span(i % 40 + 6, 14, "B", F.lit(0.45)), span(i % 90 + 30, 3, "C", F.lit(0.7)))
+    return joins.united_spans(docs, docs.select("id", F.inline(told))).drop("text")
