@@ -102,22 +102,6 @@ def visible(turns: DataFrame, mode: str, t0: int, t1: int, is_scoped: bool, floo
     return turns.where(private & (F.col("us") >= t0) & (F.col("us") < t1))
 
 
-def deletion_manifest(turns: DataFrame, edges: DataFrame, doomed: Column) -> DataFrame:
-    """(store, n): what deleting the doomed conversations removes; edges go only if nothing else supports them."""
-    gone = turns.where(doomed)
-    support = edges.groupBy("source", "target").agg(F.bool_and("doomed").alias("only"), F.count("*").alias("n"))
-    parts = [
-        gone.agg(F.count("*").alias("n")).select(F.lit("turns").alias("store"), "n"),
-        gone.agg(F.count_distinct("conversation_id").alias("n")).select(F.lit("conversations").alias("store"), "n"),
-        gone.agg(F.count_if("is_bookmarked").alias("n")).select(F.lit("bookmarks").alias("store"), "n"),
-        support.agg(F.coalesce(F.sum(F.when(F.col("only"), F.col("n"))), F.lit(0)).alias("n")).select(F.lit("sole_support_edges").alias("store"), "n"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def document_visibility(docs: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, shared, status): a document enabled by two conversations is shared for good."""
     counts = links.groupBy("doc_id").agg(F.count_distinct(F.when(F.col("enabled"), F.col("conv_id"))).alias("n"), F.bool_or("enabled").alias("any"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import scalars
+from engram.operators import deletion
 from engram.operators import lifecycle as lc
 from engram.plans.base import Plans
 from engram.sources.driver import DAY_US, EDGES_SQL, NOW_US, TURNS_SQL, edges, read, turns
@@ -121,11 +122,37 @@ def recurring_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.recurring(members)
 
 
-@add(f"""WITH {TURNS_SQL}, {EDGES_SQL}, g AS (SELECT * FROM turns WHERE conversation_id % 10 = 0), s AS (SELECT source, target, bool_and(batch % 10 = 0) AS only_, count(*) AS n FROM edges GROUP BY 1, 2)
-SELECT 'turns' AS store, count(*) AS n FROM g UNION ALL SELECT 'conversations', count(DISTINCT conversation_id) FROM g UNION ALL SELECT 'bookmarks', count(*) FROM g WHERE is_bookmarked
-UNION ALL SELECT 'sole_support_edges', coalesce(sum(n), 0)::BIGINT FROM s WHERE only_""")
+def store_of(spark: SparkSession, sf_dir: str) -> deletion.Store:
+    """Events and orders as a store: edges are stated by turns, some of them twice; patterns rest on three turns, every fourth also on another pattern."""
+    t = turns(spark, sf_dir).select("turn_id", "conversation_id", F.col("turn_id").alias("batch"), "k", "cluster_id")
+    e = edges(spark, sf_dir).select("edge_id", "source", (-F.col("target")).alias("target"), ((F.col("source") * 7 + F.col("target")) % 1000).alias("batch"), "valid_until", (F.col("edge_id") % 19 == 0).alias("derived"))
+    added = e.select("edge_id", "batch").unionByName(e.where("edge_id % 3 = 0").select("edge_id", ((F.col("batch") + 1) % 1000).alias("batch")))
+    nodes = e.select(F.explode(F.array("source", "target")).alias("entity")).distinct()
+    pattern = F.floor(F.col("turn_id") / 3).alias("pattern_id")
+    evidence = t.select(pattern, F.lit("turn").alias("kind"), F.col("turn_id").alias("id"))
+    evidence = evidence.unionByName(t.select(pattern).distinct().where("pattern_id % 4 = 0").select("pattern_id", F.lit("pattern").alias("kind"), (F.col("pattern_id") - 1).alias("id")))
+    return deletion.Store(
+        t.select("turn_id", "conversation_id", "batch"), e, added, nodes.select("entity", (F.col("entity") % 11 == 0).alias("derived"), (F.col("entity") % 13 == 0).alias("authored")),
+        t.where("cluster_id is not null").select((F.col("conversation_id") * 10 + F.col("cluster_id") % 3).alias("cluster_id"), "turn_id").unionByName(t.where("k % 50 = 0").select(F.col("k").cast("long").alias("cluster_id"), "turn_id")),
+        t.select(F.explode(F.array(F.col("turn_id") * 2, F.col("turn_id") * 2 + 1)).alias("chunk_id"), "turn_id"), evidence,
+    )
+
+
+@add(f"""WITH {TURNS_SQL}, {EDGES_SQL}, x AS (SELECT edge_id, source, -target AS target, (source * 7 + target) % 1000 AS batch, edge_id % 19 = 0 AS derived FROM edges WHERE valid_until IS NULL),
+y AS (SELECT edge_id, (source * 7 + target) % 1000 AS batch FROM edges UNION ALL SELECT edge_id, (source * 7 + target) % 1000 + 1 FROM edges WHERE edge_id % 3 = 0), a AS (SELECT edge_id, batch % 1000 AS batch FROM y),
+g AS (SELECT turn_id FROM turns WHERE conversation_id % 10 = 0), st AS (SELECT * FROM x WHERE NOT derived AND batch IN (FROM g)), e AS (SELECT * FROM st WHERE edge_id NOT IN (SELECT edge_id FROM a WHERE batch NOT IN (FROM g))),
+lv AS (SELECT * FROM x WHERE edge_id NOT IN (SELECT edge_id FROM e)), n AS (SELECT source AS n FROM e UNION SELECT target FROM e), h AS (SELECT source AS n FROM lv UNION SELECT target FROM lv),
+m AS (SELECT conversation_id * 10 + cluster_id % 3 AS c, turn_id FROM turns WHERE cluster_id IS NOT NULL UNION ALL SELECT k, turn_id FROM turns WHERE k % 50 = 0), ml AS (SELECT DISTINCT c, turn_id FROM m WHERE turn_id IN (FROM g)),
+p AS (SELECT turn_id // 3 AS p, 'turn' AS kind, turn_id AS id FROM turns UNION SELECT turn_id // 3, 'pattern', turn_id // 3 - 1 FROM turns WHERE (turn_id // 3) % 4 = 0),
+f1 AS (SELECT p FROM p GROUP BY p HAVING bool_and(kind = 'turn' AND id IN (FROM g))), f AS (SELECT p FROM p GROUP BY p HAVING bool_and(CASE WHEN kind = 'turn' THEN id IN (FROM g) ELSE id IN (FROM f1) END))
+SELECT 'turns' AS store, count(*) AS n FROM g UNION ALL SELECT 'chunks', 2 * count(*) FROM g UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'kept_edges', (SELECT count(*) FROM st) - (SELECT count(*) FROM e)
+UNION ALL SELECT 'entities', count(*) FROM n WHERE n NOT IN (FROM h) AND n % 11 <> 0 AND n % 13 <> 0 UNION ALL SELECT 'cluster_links', count(*) FROM ml
+UNION ALL SELECT 'clusters', count(DISTINCT c) FROM ml WHERE c NOT IN (SELECT c FROM m WHERE turn_id NOT IN (FROM g)) UNION ALL SELECT 'patterns', count(*) FROM f
+UNION ALL SELECT 'evidence', count(*) FROM p WHERE CASE WHEN kind = 'turn' THEN id IN (FROM g) ELSE id IN (FROM f) END""")
 def deletion_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lc.deletion_manifest(turns(spark, sf_dir), edges(spark, sf_dir).withColumn("doomed", F.col("batch") % 10 == 0), F.col("conversation_id") % 10 == 0)
+    """What goes with a tenth of the conversations, by table; the deletion uses the same frames."""
+    doomed = turns(spark, sf_dir).where("conversation_id % 10 = 0").select("conversation_id")
+    return deletion.manifest(deletion.plan(store_of(spark, sf_dir), doomed))
 
 
 @add(f"""WITH {TURNS_SQL}, l AS (SELECT turn_id % 1500 AS doc_id, conversation_id AS conv_id, k % 3 > 0 AS enabled FROM turns WHERE turn_id % 4 = 0),
