@@ -179,6 +179,8 @@ def named_in(texts: DataFrame, names: DataFrame) -> DataFrame:
     A first word must begin at a word's border.
     """
     first = F.element_at(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), 1)
-    words = texts.select("query_id", F.lower("text").alias("low")).withColumn("word", F.explode(F.array_distinct(F.split("low", r"[^\p{L}\p{N}]+"))))
+    # words travel without their texts; a text comes back for the names it met
+    words = texts.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
     asked = names.select("entity_id", F.lower("name").alias("name"), first.alias("word")).where("length(word) > 0")
-    return words.join(asked, "word").where(F.contains("low", F.col("name"))).select("query_id", "entity_id").distinct()
+    met = words.join(asked, "word").select("query_id", "entity_id", "name")
+    return met.join(texts.select("query_id", F.lower("text").alias("low")), "query_id").where(F.contains("low", F.col("name"))).select("query_id", "entity_id").distinct()

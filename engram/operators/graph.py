@@ -49,7 +49,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, now_us: int, depth: int = 3, cf
     kept = live.select("source", "target", "trust", "strength")
     both = kept.unionByName(kept.select(F.col("target").alias("source"), F.col("source").alias("target"), "trust", "strength"))
     direct = both.where(F.col("trust") >= cfg.direct_trust).select("source", "target").distinct()
-    deep = both.where(F.col("strength") >= cfg.deep_trust).select("source", "target").distinct()
+    deep = cut(both.where(F.col("strength") >= cfg.deep_trust).select("source", "target").distinct())  # every later hop reads it
     seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
     for n in range(1, depth + 1):

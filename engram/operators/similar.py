@@ -65,7 +65,7 @@ def linked_groups(rows: DataFrame, threshold: float, normalise: bool, block_rows
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", "id", F.col("vector").cast("array<double>").alias("vector"), "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
-    def product(frame: pd.DataFrame) -> pd.DataFrame:
+    def product(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         m, ids = np.stack(frame["vector"].map(np.asarray)), frame["id"].to_numpy()
         if normalise:
@@ -78,12 +78,15 @@ def linked_groups(rows: DataFrame, threshold: float, normalise: bool, block_rows
         joins = np.array(_forest(np.argwhere(near)), np.int64).reshape(-1, 2)
         some = np.flatnonzero(counts)
         return pd.DataFrame({
-            "a": np.concatenate((ids[some], ids[joins[:, 0]])), "b": pd.array([None] * len(some) + ids[joins[:, 1]].tolist(), "Int64"),
+            "group": [key[0]] * (len(some) + len(joins)), "a": np.concatenate((ids[some], ids[joins[:, 0]])), "b": pd.array([None] * len(some) + ids[joins[:, 1]].tolist(), "Int64"),
             "n": np.concatenate((counts[some], np.zeros(len(joins), np.int64))),
         })
 
-    found = cut(dealt.groupBy("group", "x", "y").applyInPandas(product, "a long, b long, n long"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-    roots = components(found.where("b is not null").select("a", "b"))
-    named = rows.select("group", "id").join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
+    kind = rows.schema["group"].dataType.simpleString()
+    found = cut(dealt.groupBy("group", "x", "y").applyInPandas(product, f"group {kind}, a long, b long, n long"))
+    # an id stands for a row of its group only
+    counts = found.where("b is null").groupBy("group", F.col("a").alias("id")).agg(F.sum("n").alias("links"))
+    node = lambda side: F.struct("group", F.col(side).alias("id")).alias(side)
+    roots = components(found.where("b is not null").select(node("a"), node("b"))).select("node.group", "node.id", F.col("root.id").alias("root"))
+    named = rows.select("group", "id").join(counts, ["group", "id"], "left").join(roots, ["group", "id"], "left")
     return named.select("group", "id", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("root", "id").alias("component"))

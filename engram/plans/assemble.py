@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
+from engram.lineage import cut
 from engram.operators import assemble as asm
 from engram.operators import retrieve as rt
 from engram.operators import select
@@ -181,6 +182,7 @@ def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rows.withColumn("score", F.round(F.col("score") * (1 + raised), 9))
     kept = rt.cap_per(scored, ["query_id", "conv"], [F.desc("score"), F.asc("id")], 3, F.col("conv") == F.col("own"))
     kept = rt.cap_per(kept.withColumn("origin", F.floor(F.col("id") / 4)), ["query_id", "origin"], [F.desc("score"), F.asc("id")], 2)
+    kept = cut(kept)  # coverage and budget both read it
     with_vectors = kept.join(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("found")), "id", "left")
     covered = select.coverage(with_vectors.select("query_id", "id", "score", F.col("found").alias("vector"), F.col("vector").alias("query")))
     sized = covered.join(kept, ["query_id", "id"]).select("query_id", "id", "leg", "score", tx.token_estimate(F.col("text")).alias("tokens"), F.lit(200).alias("summary_tokens"), F.lit(40).alias("abstract_tokens"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.config import DEFAULTS
 from engram.functions import scalars, vectors
 from engram.functions import text as tx
+from engram.lineage import cut
 from engram.operators import lexical
 from engram.operators import retrieve as rt
 from engram.operators.assemble import fuse
@@ -144,7 +145,8 @@ def legs_by_text(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     near = vectors.block_topk(v, q, 100, "vec_id", "embedding")
     key = docs.select(F.col("doc_id").alias("id"), F.md5(F.col("text")).alias("key"))
     keyed = lambda leg: leg.join(key, "id", "left").select("query_id", "id", "score", "rank", F.coalesce("key", F.col("id").cast("string")).alias("key"))
-    return {"bm25": keyed(worded), "vector": keyed(near)}
+    # a leg is small, and is read by the fusion and by what comes after it
+    return {"bm25": cut(keyed(worded)), "vector": cut(keyed(near))}
 
 
 @add(RRF_SQL + " SELECT * FROM r WHERE rank <= 10")

@@ -54,3 +54,11 @@ def test_proposals_leave_out_what_was_decided(spark):
     pairs = {tuple(sorted(p)) for p in got}
     assert got[0] == (11, 10) and len(got) == 1 + 15 - 2 and not pairs & {(0, 1), (2, 3)} and (4, 5) in got
     assert [tuple(r) for r in dup.merge_proposals(table, decided, mentions, limit=3).orderBy("rank").select("keep", "absorb").collect()] == got[:3]
+
+
+def test_ids_that_several_groups_have_are_told_apart(spark):
+    from engram.operators.similar import linked_groups
+
+    rows = [(g, n, [1.0, 0.0] if (n < 3) == (g == 1) else [0.0, 1.0 + n]) for g in (1, 2) for n in range(6)]
+    got = {(r["group"], r["id"]): (r["links"], r["component"]) for r in linked_groups(spark.createDataFrame(rows, "group long, id long, vector array<double>"), 0.9, True, 2).collect()}
+    assert all(got[g, n] == (2, 0 if n < 3 else 3) for g in (1, 2) for n in range(6))
