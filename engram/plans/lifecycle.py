@@ -9,6 +9,7 @@ from engram.functions import scalars
 from engram.operators import deletion
 from engram.operators import lifecycle as lc
 from engram.plans.base import Plans
+from engram.sources import store
 from engram.sources.driver import DAY_US, EDGES_SQL, NOW_US, TURNS_SQL, edges, read, turns
 
 PLANS = Plans()
@@ -186,3 +187,13 @@ def recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return lc.assign_clusters(v)
+
+
+@add(f"""WITH RECURSIVE {TURNS_SQL}, m AS (SELECT max(turn_id) AS top FROM turns), t AS (SELECT turn_id, CASE WHEN turn_id < top THEN top - (top - turn_id) // 3 END AS parent FROM turns, m),
+d(turn_id, depth) AS (SELECT turn_id, 0::BIGINT FROM t WHERE parent IS NULL OR parent NOT IN (SELECT turn_id FROM t) UNION ALL SELECT t.turn_id, d.depth + 1 FROM t JOIN d ON t.parent = d.turn_id) SELECT turn_id, depth FROM d""")
+def store_load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that answer later ones: how many rows a load must have before each."""
+    t = turns(spark, sf_dir).select("turn_id")
+    top = t.agg(F.max("turn_id").alias("top"))
+    rows = t.join(F.broadcast(top)).select("turn_id", F.when(F.col("turn_id") < F.col("top"), F.col("top") - F.floor((F.col("top") - F.col("turn_id")) / 3)).alias("parent"))  # top is one row
+    return store.load_order(rows, "turn_id", "parent")

@@ -9,29 +9,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from engram.lineage import cut
+
 FORMAT = 1
 
 
-def export_store(tables: dict[str, DataFrame], path: str, vectors: bool = True, vector_columns: tuple[str, ...] = ("embedding",)) -> DataFrame:
-    """Write each table as JSON lines and a manifest (table, n, format); returns the manifest."""
+def export_store(tables: dict[str, DataFrame], path: str, vectors: bool = True, vector_columns: tuple[str, ...] = ("embedding",), model: str | None = None) -> DataFrame:
+    """Write each table as JSON lines and a manifest (table, n, format, model, width); returns the manifest.
+
+    ``model`` names what made the vectors; ``width`` is theirs, null for a table without any.
+    """
     manifest = None
     for name, df in tables.items():
         kept = df if vectors else df.drop(*vector_columns)
         kept.write.mode("errorifexists").json(f"{path}/{name}")
-        line = kept.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n", F.lit(FORMAT).alias("format"))
+        wide = [F.max(F.size(c)) for c in vector_columns if c in kept.columns]
+        width = (F.greatest(*wide) if len(wide) > 1 else wide[0]) if wide else F.lit(None)
+        line = kept.agg(F.count("*").alias("n"), width.cast("int").alias("width")).select(F.lit(name).alias("table"), "n", F.lit(FORMAT).alias("format"), F.lit(model).cast("string").alias("model"), "width")
         manifest = line if manifest is None else manifest.unionByName(line)
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
     return manifest
 
 
-def import_store(spark: SparkSession, path: str, schemas: dict, existing: dict[str, tuple[DataFrame, str]] | None = None) -> dict[str, DataFrame]:
-    """Tables of an export; another format is refused.  Where a table exists already, (frame, key), only new keys are added."""
-    manifest = spark.read.json(f"{path}/manifest")
-    if manifest.where(F.col("format") != FORMAT).limit(1).count():
+MANIFEST = "table string, n long, format int, model string, width int"
+
+
+def import_store(
+    spark: SparkSession, path: str, schemas: dict, existing: dict[str, tuple[DataFrame, str]] | None = None, model: str | None = None, width: int | None = None,
+    reembed: bool = False, vector_columns: tuple[str, ...] = ("embedding",),
+) -> dict[str, DataFrame]:
+    """Tables of an export; another format is refused.  Where a table exists already, (frame, key), only new keys are added.
+
+    With ``model`` or ``width``, vectors of another are refused, or, with ``reembed``, left null: rows without a vector are those to embed.
+    """
+    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    if manifest.where(~F.col("format").eqNullSafe(F.lit(FORMAT))).limit(1).count():
         raise ValueError("this store was written in another format")
+    foreign = F.lit(False)
+    if model is not None:
+        foreign = foreign | (F.col("model") != model)
+    if width is not None:
+        foreign = foreign | (F.col("width") != width)
+    foreign = {r["table"] for r in manifest.where(F.col("width").isNotNull() & foreign).select("table").collect()}  # one row a table
+    if foreign and not reembed:
+        raise ValueError(f"vectors of another model or width: {', '.join(sorted(foreign))}")
     out = {}
     for name, schema in schemas.items():
         df = spark.read.schema(schema).json(f"{path}/{name}")
+        if name in foreign:
+            df = df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in vector_columns if c in df.columns})
         if existing and name in existing:
             old, key = existing[name]
             df = old.unionByName(df.join(old.select(key), key, "left_anti").select(old.columns))
@@ -39,6 +65,35 @@ def import_store(spark: SparkSession, path: str, schemas: dict, existing: dict[s
     return out
 
 
+def in_two_passes(rows: DataFrame, key: str, parent: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to insert with no parent, (key, parent) to set afterwards): a self-referring table loads in any order of its rows.
+
+    A parent that is neither among the rows nor in ``known`` (key) is not set.
+    """
+    there = rows.select(F.col(key).alias(parent))
+    if known is not None:
+        there = there.unionByName(known.select(F.col(key).alias(parent)))
+    links = rows.where(F.col(parent).isNotNull()).select(key, parent).join(there.distinct(), parent, "left_semi").select(key, parent)
+    return rows.withColumn(parent, F.lit(None).cast(rows.schema[parent].dataType)), links
+
+
+def load_order(rows: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, depth): how many rows must be there before each one; null for rows on a circle of parents, or below one.
+
+    Every round doubles the way that a row looks up, so a chain of any length takes as many rounds as its length
+    has binary digits.  A parent that is not there ends a way.
+    """
+    links = in_two_passes(rows.select(key, parent), key, parent)[1].withColumnRenamed(parent, "up")
+    state = cut(rows.select(key).join(links, key, "left").select(F.col(key).alias("id"), "up", F.col("up").isNotNull().cast("long").alias("depth")))
+    most = state.count()
+    while most and state.where("up is not null").limit(1).count():
+        ahead = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        state = cut(state.join(ahead, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        if state.agg(F.max("depth")).first()[0] > 2 * most:  # only a circle makes a way longer than all rows
+            break
+    return state.select(F.col("id").alias(key), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+
+
 def backup(tables: dict[str, DataFrame], folder: str, stamp: str, keep: int = 7) -> list[str]:
     """Export all tables below ``folder``/``stamp`` and delete the oldest backups beyond ``keep``; returns the stamps that stay.
 
