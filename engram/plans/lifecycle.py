@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions import scalars
 from engram.operators import deletion
 from engram.operators import lifecycle as lc
+from engram.operators import summaries
 from engram.plans.base import Plans
 from engram.sources import store
 from engram.sources.driver import DAY_US, EDGES_SQL, NOW_US, TURNS_SQL, edges, read, turns
@@ -197,3 +198,25 @@ def store_load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = t.agg(F.max("turn_id").alias("top"))
     rows = t.join(F.broadcast(top)).select("turn_id", F.when(F.col("turn_id") < F.col("top"), F.col("top") - F.floor((F.col("top") - F.col("turn_id")) / 3)).alias("parent"))  # top is one row
     return store.load_order(rows, "turn_id", "parent")
+
+
+def _digest_fold(summary: str, chunk: str) -> str:
+    """A stand-in for the model: what it is given decides its answer."""
+    import hashlib
+
+    return hashlib.md5(f"{summary}\n{chunk}".encode()).hexdigest()
+
+
+@add("""WITH RECURSIVE t AS (SELECT conv_id AS c, turn, coalesce(text, '') AS text, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+  count(*) OVER (PARTITION BY conv_id) AS most, sum(floor(length(coalesce(text, '')) / 4)) OVER (PARTITION BY conv_id) AS tokens FROM conversations),
+r(c, n, summary, chunk, words, last, folded) AS (
+  SELECT c, 0::BIGINT, '', NULL::VARCHAR, 0::BIGINT, NULL::BIGINT, 0::BIGINT FROM t WHERE n = 1 AND tokens > 100
+  UNION ALL SELECT t.c, t.n, CASE WHEN r.words + t.words >= 60 OR t.n = most THEN md5(summary || chr(10) || coalesce(chunk || chr(10) || chr(10), '') || t.text) ELSE summary END,
+    CASE WHEN r.words + t.words >= 60 THEN NULL ELSE coalesce(chunk || chr(10) || chr(10), '') || t.text END, CASE WHEN r.words + t.words >= 60 THEN 0 ELSE r.words + t.words END, t.turn::BIGINT, t.n
+  FROM r JOIN t ON t.c = r.c AND t.n = r.n + 1)
+SELECT c AS conversation_id, summary, last AS covers_turn, folded FROM r WHERE n = (SELECT max(n) FROM t WHERE t.c = r.c)""")
+def conversation_summary_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First summaries of all conversations that outgrow 100 tokens, in chunks of 60 words."""
+    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conversation_id"), F.col("turn").cast("long").alias("turn_id"), F.col("turn").cast("long").alias("us"), "text")
+    none = t.limit(0).select("conversation_id", F.lit("").alias("summary"), F.col("us").alias("covers_us"), F.col("turn_id").alias("covers_turn"))
+    return summaries.fold_summaries(t, none, _digest_fold, 100, 60).select("conversation_id", "summary", "covers_turn", "folded")
