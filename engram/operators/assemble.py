@@ -105,19 +105,31 @@ def fragments(rows: DataFrame, cap: int = 500, keyword_cap: int = 1500, bookmark
     )
 
 
-def recent_window(turns: DataFrame, budget: int, share: float = 0.35) -> DataFrame:
-    """(conversation_id, turn_id, form, cost): the newest turns that fit, the newest always; a turn beyond its share shrinks first.
+#: A pause of this length ends a sitting; turns of the sitting before that come along; turns of a window at most.
+SITTING_US, BRIDGE_TURNS, WINDOW_TURNS = 1_800_000_000, 1, 40
 
-    ``turns`` has us, tokens, summary_tokens and abstract_tokens (null: none).
+
+def recent_window(turns: DataFrame, budget: int, share: float = 0.35, gap_us: int = SITTING_US, bridge: int = BRIDGE_TURNS, most: int = WINDOW_TURNS) -> DataFrame:
+    """(conversation_id, turn_id, nth, form, cost): the newest turns of the current sitting that fit, and the last of the sitting before.
+
+    ``turns`` has us, tokens, summary_tokens and abstract_tokens (null: none).  A sitting goes back from the newest turn as long as
+    no pause reaches ``gap_us``; ``bridge`` turns before it come along, so that a short break does not cut the thread.  A turn
+    beyond its share of the budget shrinks first; the newest always stays, and from the first turn on that doesn't fit
+    all older ones are left out.  ``nth`` counts from the newest.
     """
+    newest = Window.partitionBy("conversation_id").orderBy(F.desc("us"), F.desc("turn_id"))
+    last = turns.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= most)
+    pause = F.coalesce((F.lag("us").over(newest) - F.col("us") >= gap_us).cast("int"), F.lit(0))
+    until = newest.rowsBetween(Window.unboundedPreceding, 0)
+    sat = last.withColumn("pause", pause).withColumn("before", F.sum("pause").over(until))
+    sitting = F.sum((F.col("before") == 0).cast("int")).over(Window.partitionBy("conversation_id"))
+    kept = sat.withColumn("sitting", sitting).where(F.col("nth") <= F.col("sitting") + bridge)
     cap = max(64, int(budget * share))
     fits = lambda c: F.col(c).isNotNull() & (F.col(c) <= cap)
     form = F.when(F.col("tokens") <= cap, "raw").when(fits("summary_tokens"), "summary").when(fits("abstract_tokens"), "abstract").otherwise("cut")
     cost = F.when(F.col("form") == "raw", F.col("tokens")).when(F.col("form") == "summary", F.col("summary_tokens")).when(F.col("form") == "abstract", F.col("abstract_tokens")).otherwise(cap)
-    newest = Window.partitionBy("conversation_id").orderBy(F.desc("us"), F.desc("turn_id"))
-    used = F.sum("cost").over(newest.rowsBetween(Window.unboundedPreceding, 0))
-    placed = turns.withColumn("form", form).withColumn("cost", cost.cast("long")).withColumn("used", used).withColumn("nth", F.row_number().over(newest))
-    return placed.where((F.col("nth") == 1) | (F.col("used") <= budget)).select("conversation_id", "turn_id", "form", "cost")
+    placed = kept.withColumn("form", form).withColumn("cost", cost.cast("long")).withColumn("used", F.sum("cost").over(until))
+    return placed.where((F.col("nth") == 1) | (F.col("used") <= budget)).select("conversation_id", "turn_id", "nth", "form", "cost")
 
 
 # The order of a prompt's parts.

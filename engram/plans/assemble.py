@@ -80,15 +80,18 @@ def rows_to_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add(f"""WITH {TURNS_SQL}, t AS (SELECT conversation_id, turn_id, us, floor(value * 30)::BIGINT AS tokens, CASE WHEN k % 3 > 0 THEN floor(value * 6)::BIGINT END AS summary_tokens, CASE WHEN k % 2 = 0 THEN 20 END AS abstract_tokens FROM turns),
-f AS (SELECT *, CASE WHEN tokens <= 1400 THEN 'raw' WHEN summary_tokens <= 1400 THEN 'summary' WHEN abstract_tokens <= 1400 THEN 'abstract' ELSE 'cut' END AS form FROM t),
+o AS (SELECT *, row_number() OVER w AS nth, CASE WHEN lag(us) OVER w - us >= 7200000000 THEN 1 ELSE 0 END AS pause FROM t WINDOW w AS (PARTITION BY conversation_id ORDER BY us DESC, turn_id DESC)),
+g AS (SELECT *, sum(pause) OVER (PARTITION BY conversation_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS before FROM o WHERE nth <= 40), s AS (SELECT *, count(*) FILTER (before = 0) OVER (PARTITION BY conversation_id) AS sitting FROM g),
+f AS (SELECT *, CASE WHEN tokens <= 1400 THEN 'raw' WHEN summary_tokens <= 1400 THEN 'summary' WHEN abstract_tokens <= 1400 THEN 'abstract' ELSE 'cut' END AS form FROM s WHERE nth <= sitting + 1),
 c AS (SELECT *, CASE form WHEN 'raw' THEN tokens WHEN 'summary' THEN summary_tokens WHEN 'abstract' THEN abstract_tokens ELSE 1400 END::BIGINT AS cost FROM f),
-u AS (SELECT *, sum(cost) OVER w AS used, row_number() OVER w AS nth FROM c WINDOW w AS (PARTITION BY conversation_id ORDER BY us DESC, turn_id DESC ROWS UNBOUNDED PRECEDING))
-SELECT conversation_id, turn_id, form, cost FROM u WHERE nth = 1 OR used <= 4000""")
+u AS (SELECT *, sum(cost) OVER (PARTITION BY conversation_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS used FROM c)
+SELECT conversation_id, turn_id, nth::INT AS nth, form, cost FROM u WHERE nth = 1 OR used <= 4000""")
 def recent_window_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir).select(
         "conversation_id", "turn_id", "us", F.floor(F.col("value") * 30).alias("tokens"), F.when(F.col("k") % 3 > 0, F.floor(F.col("value") * 6)).alias("summary_tokens"), F.when(F.col("k") % 2 == 0, F.lit(20)).alias("abstract_tokens")
     )
-    return asm.recent_window(t, 4000)
+    # events are far apart, so a sitting here ends with two hours
+    return asm.recent_window(t, 4000, gap_us=7_200_000_000)
 
 
 @add("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS users FROM conversations),
