@@ -163,14 +163,14 @@ def note_regeneration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.notes(edges(spark, sf_dir))
 
 
-@add(f"""WITH {EDGES_SQL}, l AS (SELECT CASE WHEN source % 10 = 0 THEN source - source % 100 ELSE source END AS source, target, relation, negated, strength, confidence, valid_from FROM edges WHERE valid_until IS NULL)
+@add(f"""WITH {EDGES_SQL}, l AS (SELECT CASE WHEN source % 10 = 0 THEN source - source % 100 ELSE source END AS source, -1 - CASE WHEN target % 25 = 0 THEN target + 1 ELSE target END AS target, relation, negated, strength, confidence, valid_from FROM edges WHERE valid_until IS NULL)
 SELECT source, target, relation, negated, max(strength) AS strength, max(confidence) AS confidence, min(valid_from) AS valid_from FROM l WHERE source <> target GROUP BY 1, 2, 3, 4""")
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that end in 0 are merged into their hundred; parts keep their ids."""
-    e = edges(spark, sf_dir)
-    merged = e.withColumn("source", F.when(F.col("source") % 10 == 0, F.col("source") - F.col("source") % 100).otherwise(F.col("source")))
-    none = spark.createDataFrame([], "old long, new long")
-    return g.merge_entities(merged, none)
+    """Customers that end in 0 are merged into their hundred, and every 25th part (parts have negative ids) into the next one."""
+    e = edges(spark, sf_dir).withColumn("target", -1 - F.col("target"))
+    customers = e.where("source % 10 = 0").select(F.col("source").alias("old"), (F.col("source") - F.col("source") % 100).alias("new"))
+    parts = e.where("(-1 - target) % 25 = 0").select(F.col("target").alias("old"), (F.col("target") - 1).alias("new"))
+    return g.merge_entities(e, customers.unionByName(parts).where("old <> new").distinct())
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:

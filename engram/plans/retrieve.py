@@ -31,10 +31,10 @@ def _vectors(spark, sf_dir):
     return v, v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
 
 
-@add(f"WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, {SIM} AS score FROM q, v), r AS (SELECT *, {RANK} FROM s) SELECT * FROM r WHERE rank <= 20")
+@add(f"WITH {V_SQL}, s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(qe, e), 6) AS score FROM q, v), r AS (SELECT *, {RANK} FROM s) SELECT * FROM r WHERE rank <= 20")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
-    return vectors.block_topk(v, q, 20, "vec_id", "embedding")
+    return vectors.block_topk(v, q, 20, "vec_id", "embedding", cosine=True)
 
 
 DECAYED = "least(1.0, (vec_id % 10 + 1) / 10.0::DOUBLE) * (1 + 0.25 * exp(-(vec_id % 90) / 30.0::DOUBLE))"
