@@ -40,3 +40,15 @@ def test_every_term(spark, texts, tmp_path):
     mixed = {(r["query_id"], r["doc_id"]) for r in lexical.search_or_every(index, asked, 1000, some).collect()}
     assert {x for x in mixed if x[0] < 10} == {x for x in want if x[0] < 10} and {x for x in mixed if x[0] >= 10} >= {x for x in want if x[0] >= 10}
     assert lexical.search(index, asked.limit(0), 5).count() == 0
+
+
+def test_an_index_serves_later_searches_until_its_folder_is_gone(spark, sf, monkeypatch):
+    made = []
+    build = lexical.build
+    monkeypatch.setattr(lexical, "build", lambda docs, folder: made.append(folder) or build(docs, folder))
+    monkeypatch.setattr(lexical, "_BUILT", {})
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first, again = lexical.index_of(docs), lexical.index_of(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert made == [first.folder] == [again.folder]
+    lexical._BUILT.update(dict.fromkeys(lexical._BUILT, f"{first.folder}-gone"))
+    assert lexical.index_of(docs).folder == made[1] != made[0]
