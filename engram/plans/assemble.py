@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
-from engram.lineage import cut
 from engram.operators import assemble as asm
 from engram.operators import retrieve as rt
-from engram.operators import select
 from engram.plans.base import Plans
 from engram.plans.retrieve import RRF_SQL, V_SQL, WS, legs_by_text, prompts
 from engram.sources.driver import EDGES_SQL, TURNS_SQL, edges, read, turns
@@ -170,28 +168,6 @@ def forget_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("query_id", F.lit("turn").alias("kind"), "id").unionByName(named.select("query_id", F.lit("entity").alias("kind"), F.col("entity_id").alias("id")))
 
 
-@add()
-def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way of a prompt: legs, fusion by text, bonuses, three a conversation, two a source, coverage, budget.
-
-    Turns are documents (source: conversation, age by id); prompts are the documents of the asking vectors.
-    """
-    docs, v = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
-    q = prompts(spark, sf_dir)
-    fused = asm.fuse(legs_by_text(spark, sf_dir), rt.BASE_WEIGHTS, None)
-    rows = fused.join(docs.select(F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("")).alias("conv")), "id").join(q.select("query_id", F.col("text").alias("prompt"), F.coalesce("source", F.lit("")).alias("own"), "vector"), "query_id")
-    total = docs.count()
-    raised = rt.bonus(F.col("text"), tx.prompt_keywords(F.col("prompt")), 1 - F.col("id") / max(1, total), F.lit(False), F.lit(total))
-    scored = rows.withColumn("score", F.round(F.col("score") * (1 + raised), 9))
-    kept = rt.cap_per(scored, ["query_id", "conv"], [F.desc("score"), F.asc("id")], 3, F.col("conv") == F.col("own"))
-    kept = rt.cap_per(kept.withColumn("origin", F.floor(F.col("id") / 4)), ["query_id", "origin"], [F.desc("score"), F.asc("id")], 2)
-    kept = cut(kept)  # coverage and budget both read it
-    with_vectors = kept.join(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("found")), "id", "left")
-    covered = select.coverage(with_vectors.select("query_id", "id", "score", F.col("found").alias("vector"), F.col("vector").alias("query")))
-    sized = covered.join(kept, ["query_id", "id"]).select("query_id", "id", "leg", "score", tx.token_estimate(F.col("text")).alias("tokens"), F.lit(200).alias("summary_tokens"), F.lit(40).alias("abstract_tokens"))
-    return select.token_budget(sized, 8000)
-
-
 def _ablated_sql() -> str:
     part = "SELECT '{off}' AS off, query_id, arg_min(id, (nth, rank, id)) AS id, round(sum(w::DOUBLE / (60 + rank)), 9) AS score FROM u WHERE leg <> '{off}' GROUP BY query_id, key"
     return RRF_SQL + ", a AS (" + " UNION ALL ".join(part.format(off=off) for off in ("none", "bm25", "vector")) + """),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engram.functions import scalars, vectors
 from engram.functions import text as tx
-from engram.operators import legs
+from engram.lineage import cut
+from engram.operators import assemble as asm
+from engram.operators import legs, lexical, recall
+from engram.operators import retrieve as rt
 from engram.plans.base import Plans
+from engram.plans.retrieve import STOP_SQL
 from engram.sources.driver import DAY_US, EDGES_SQL, NOW_US, ORDERS_NOW_US, TURNS_SQL, edges, read, turns
 
 PLANS = Plans()
@@ -151,3 +156,79 @@ def graph_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and timelines of the same customers."""
     e, anchors, q, denied = _graph(spark, sf_dir)
     return legs.graph_fragments(e, anchors, q, legs.scoped_walk(e, anchors, q, ORDERS_NOW_US, denied), ORDERS_NOW_US)
+
+
+@add(f"""WITH {MEMORY_SQL}, qt AS (SELECT DISTINCT query_id, term FROM (SELECT doc_id AS query_id, unnest(list_filter(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) > 2)[1:30], lambda w: w NOT IN ({STOP_SQL}))) AS term FROM documents)),
+dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM dw),
+dt AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM dw), tf AS (SELECT doc_id, size, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM qt JOIN q USING (query_id)) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+p AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS part FROM tf JOIN df USING (term), st),
+s AS (SELECT query_id, doc_id AS id, round(sum(part), 6) AS score FROM p JOIN qt USING (term) JOIN q USING (query_id) GROUP BY ALL), v AS (SELECT s.* FROM s JOIN q USING (query_id) JOIN turns ON turn_id = s.id WHERE {SEEN_SQL}),
+r AS (SELECT *, {FIRST}::INT AS rank FROM v) SELECT * FROM r WHERE rank <= 100""")
+def scoped_lexical_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the asking turns' texts among the texts that each of them may see."""
+    docs = read(spark, sf_dir, "documents")
+    q = asked(memory(spark, sf_dir)).join(docs.select(F.col("doc_id").alias("query_id"), tx.search_terms(F.col("text")).alias("terms")), "query_id")
+    t = turns(spark, sf_dir).withColumn("clusters", F.array_compact(F.array("cluster_id"))).withColumnsRenamed({"turn_id": "id", "conversation_id": "conversation"})
+    return recall.lexical_leg(lexical.index_of(docs), t, q, NOW_US)
+
+
+INTENTS = ("Factual_Retrieval", "Ideation", "Code_Change", "Strategic_Planning")
+
+
+@add()
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of a prompt, each with its own scope, window, intents and budget; prompts that say nothing of their topic go by the wide net.
+
+    Turns are events with the document and the vector of their id; a conversation's entity is the customer of its number, and orders are its edges.
+    """
+    docs, v = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    text = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("raw"))
+    every = turns(spark, sf_dir).withColumn("clusters", F.array_compact(F.array("cluster_id"))).withColumnsRenamed({"turn_id": "id", "conversation_id": "conversation"}).join(text, "id")
+    every = every.withColumns({"summary": tx.truncate_words(F.col("raw"), 60), "abstract": tx.truncate_words(F.col("raw"), 12), "inject_raw": F.col("is_bookmarked")})
+    m = cut(memory(spark, sf_dir))
+    k = F.col("k")
+    said = docs.select(F.col("doc_id").alias("query_id"), tx.search_terms(F.col("text")).alias("terms"), tx.prompt_keywords(F.substr("text", F.lit(1), F.lit(200))).alias("keywords"))
+    length = every.groupBy(F.col("conversation").alias("own")).agg(F.count("*").alias("n"), F.sum(tx.token_estimate(F.col("raw"))).alias("tokens"))
+    marks = m.select(F.col("id").alias("query_id"), F.col("conversation").alias("own"), "k", F.array(F.element_at(F.array(*map(F.lit, INTENTS)), (k % 4 + 1).cast("int"))).alias("intents"), F.when(k % 3 == 0, F.array(F.lit("Software_&_Tech"))).otherwise(F.array().cast("array<string>")).alias("topics"))
+    q = asked(m).join(marks, "query_id").join(said, "query_id").join(length, "own")
+    whole = scalars.retrieval_budget(F.col("n"), F.col("tokens"), F.lit(23_000))["retrieval"]
+    net = asm.wide_net_budget(F.col("topic_confidence"), F.col("intent_confidence"), whole)
+    q = cut(q.withColumn("lost", net.isNotNull()).withColumn("budget", F.coalesce(net, whole)).withColumn("cold_words", F.slice(F.filter("keywords", lambda w: F.length(w) >= 3), 1, 6)))
+    sure = q.where("not lost")
+
+    near = cut(legs.turn_leg(m, sure, NOW_US))
+    lexical_finds = cut(recall.lexical_leg(lexical.index_of(docs), every, sure, NOW_US))
+    cold = every.where("is_archived").join(v, "id", "left").withColumn("text", F.col("raw"))
+    cold_finds = cut(legs.cold_leg(cold, sure.withColumn("keywords", F.col("cold_words")).withColumn("t0", F.when(F.col("mode") != "evolution", F.col("t0"))), NOW_US))
+    net_finds = cut(legs.wide_net(m, q, NOW_US))
+    # four chunks a turn: its first hundred words, the next hundred and so on, each with a vector of its own
+    chunks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 4).alias("parent"), F.col("embedding").alias("vector"))
+    words = tx.words(F.col("raw"))
+    part = F.array_join(F.slice(words, (F.col("id") % 4 * 100 + 1).cast("int"), 100), " ")
+    of_chunk = legs.chunk_leg(chunks, m, sure, near, NOW_US).drop("score").join(text.withColumnRenamed("id", "parent"), "parent").withColumn("text", part)
+    forms = cut(recall.turn_forms(near.select("query_id", "id").unionByName(lexical_finds.select("query_id", "id")).unionByName(cold_finds.select("query_id", "id")).unionByName(net_finds.select("query_id", "id")), every, q))
+
+    e = edges(spark, sf_dir).withColumn("target", F.col("target") + 1_000_000)
+    g = q.select("query_id", "mode", F.when(F.col("mode").isin("as_of", "range"), F.col("t0")).alias("t0"), F.when(F.col("mode").isin("as_of", "range"), F.col("t1")).alias("t1"), F.lit(None).cast("array<long>").alias("batches"), F.lit(None).cast("array<long>").alias("denied"))
+    anchors = q.select("query_id", F.col("own").alias("anchor"), F.lit(0).alias("nth"), F.when(k % 2 == 0, F.array(F.lit("1-URGENT"))).otherwise(F.array().cast("array<string>")).alias("relations"))
+    known = legs.graph_fragments(e, anchors, g, legs.scoped_walk(e, anchors, g, NOW_US), NOW_US).withColumnsRenamed({"anchor": "id", "leg": "of"})
+    known = cut(known.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "id"))))
+
+    patterns = vectors.block_topk(v.where("id % 4 > 0 and id % 10 >= 3"), sure, 5, "id", "vector", cosine=True).join(text, "id").withColumn("text", tx.truncate_words(F.col("raw"), 40))
+    fires = asm.holds_any(F.col("text"), F.col("keywords")) & ~F.coalesce(F.arrays_overlap("excluded", F.array("conversation")), F.lit(False))
+    gated = patterns.join(legs.small(sure.select("query_id", "keywords", "excluded")), "query_id").join(m.select("id", "conversation"), "id").where(fires)
+    summaries = m.select("id", "vector", "conversation")
+    brief = recall.summary_leg(summaries, sure).join(every.select("id", "summary", "conversation"), "id").withColumnRenamed("summary", "text")
+
+    finds = recall.turn_finds("bm25", lexical_finds, forms)
+    for part_ in (
+        recall.turn_finds("vector", near, forms), recall.turn_finds("cold", cold_finds, forms), recall.turn_finds("fallback", net_finds, forms),
+        recall.text_finds("vector", "chunk", of_chunk, origin=F.col("parent")),
+        recall.text_finds("codex", "codex", known.where("of = 'codex'").join(sure.select("query_id"), "query_id", "left_semi")), recall.text_finds("timeline", "timeline", known.where("of = 'timeline'").join(sure.select("query_id"), "query_id", "left_semi")),
+        recall.text_finds("fallback", "codex", known.where("of = 'codex'").join(q.where("lost"), "query_id", "left_semi")),
+        recall.text_finds("procedural", "pattern", gated), recall.text_finds("batch_summary", "summary", brief, conversation=F.col("conversation")),
+    ):
+        finds = finds.unionByName(part_)
+    shares = rt.newer_share(every.select("id", F.col("conversation").alias("conversation_id"), "us"))
+    kept = recall.chosen(cut(finds), q, shares)
+    return recall.within_budget(kept, q, v.select(F.col("id").alias("origin"), F.col("vector").alias("found")))
