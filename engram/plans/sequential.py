@@ -66,9 +66,16 @@ def coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.coverage(rows.select("query_id", "id", "score", "vector", "query"))
 
 
-@add(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<(script|style|noscript)\b.*?(</(script|style|noscript)\s*>|$)', chr(10), 'gis'), '<!--.*?(-->|$)', chr(10), 'gs'), '<[^>]*(>|$)', chr(10), 'gs') AS t,
+def _decoded(text: str) -> str:
+    """SQL of character references decoded: those that the pages hold, which HTML also reads without their semicolon; the ampersand last, so nothing is decoded twice."""
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{sign}', 'g')"
+    return text
+
+
+@add(rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<(script|style|noscript)\b.*?(</(script|style|noscript)\s*>|$)', chr(10), 'gis'), '<!--.*?(-->|$)', chr(10), 'gs'), '<[^>]*(>|$)', chr(10), 'gs') AS t,
  regexp_extract(html, '<title\b[^>]*>(.*?)</title>', 1, 'is') AS title, trim(regexp_replace(regexp_extract(html, '<h1\b[^>]*>(.*?)</h1>', 1, 'is'), '<[^>]*>', '', 'gs')) AS h1 FROM pages),
-r AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(CASE WHEN trim(title) <> '' THEN trim(title) ELSE h1 END, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS title, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b)
+r AS (SELECT page_id, {_decoded("CASE WHEN trim(title) <> '' THEN trim(title) ELSE h1 END")} AS title, {_decoded('t')} AS t FROM b)
 SELECT page_id, title, sha256(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))) AS text_sha FROM r""")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", store.page_title().alias("title"), F.sha2(store.page_lines(), 256).alias("text_sha"))
