@@ -58,8 +58,8 @@ def enumeration(prompt: Column, tags: Column, cues: tuple[str, ...] = ("list all
 
 
 def fit_blocks(blocks: DataFrame, window: int, margin: float = 1.2) -> DataFrame:
-    """(request, block, kept): blocks in order of importance stay while their running cost fits the window."""
-    order = Window.partitionBy("request").orderBy("priority", "block").rowsBetween(Window.unboundedPreceding, 0)
+    """(request, block, kept): blocks in order of importance, a block that is there twice from its smaller form, stay while their running cost fits the window."""
+    order = Window.partitionBy("request").orderBy("priority", "block", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     return blocks.select("request", "block", (F.sum(F.ceil(F.col("tokens") * margin)).over(order) <= window).alias("kept"))
 
 

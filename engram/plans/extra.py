@@ -69,7 +69,7 @@ def enumeration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", x.enumeration(prompt, tags).alias("enumerates"))
 
 
-@add("""SELECT request, block, sum(ceil(tokens * 1.2::DOUBLE)) OVER (PARTITION BY request ORDER BY priority, block ROWS UNBOUNDED PRECEDING) <= 300 AS kept
+@add("""SELECT request, block, sum(ceil(tokens * 1.2::DOUBLE)) OVER (PARTITION BY request ORDER BY priority, block, tokens ROWS UNBOUNDED PRECEDING) <= 300 AS kept
 FROM (SELECT l_orderkey AS request, l_linenumber * 100000 + l_partkey * 10 + l_suppkey % 10 AS block, l_linenumber AS priority, l_quantity * 2 AS tokens FROM lineitem)""")
 def context_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.col("l_linenumber").cast("long") * 100_000 + F.col("l_partkey") * 10 + F.col("l_suppkey") % 10

@@ -2,7 +2,9 @@
 
 import duckdb
 from compare import same
+from pyspark.sql import functions as F
 
+from engram.operators import extra
 from engram.plans import ORACLES, QUERIES
 
 
@@ -23,3 +25,13 @@ def test_html_extract_decodes_references_that_were_cut(spark, tmp_path):
     by_sql(spark, tmp_path, "html_extract", pages=spark.createDataFrame(pages, "page_id long, html string"))
     got = {r.page_id: r.title for r in QUERIES["html_extract"](spark, str(tmp_path)).collect()}
     assert got == {1: "und&&& ver&", 2: "ver&am", 3: 'T "q" >', 4: "&"}
+
+
+def test_context_ledger_orders_a_block_that_is_there_twice(spark, tmp_path):
+    rows = [(n, 7, 3, 1, float(q)) for n in range(40) for q in ((120, 20, 60) if n % 2 else (20, 60, 120))]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    by_sql(spark, tmp_path, "context_ledger", lineitem=lines)
+    got = QUERIES["context_ledger"](spark, str(tmp_path)).groupBy("request").agg(F.count_if("kept").alias("n"))
+    assert {r["n"] for r in got.collect()} == {2}
+    blocks = lines.select(F.col("l_orderkey").alias("request"), F.lit(1).alias("block"), F.lit(1).alias("priority"), F.col("l_quantity").alias("tokens"))
+    assert extra.fit_blocks(blocks, 72).where("kept").count() == 40
