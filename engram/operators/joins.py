@@ -69,8 +69,8 @@ def united_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """
     inside = F.least(F.col("stop"), F.length("text")).alias("stop")
     rows = spans.join(texts, "id").where("text is not null and start is not null and stop is not null").select("id", "text", F.greatest(F.lit(0), "start").alias("start"), inside, "label", "score").where("start < stop")
-    # what of a word lies before the start and after the stop
-    ahead = F.length(F.regexp_extract(F.substr("text", F.lit(1), F.col("start")), r"([\p{L}\p{N}]*)$", 1))
+    # what of a word lies before the start and after the stop; \z, since $ would also match before a last line feed
+    ahead = F.length(F.regexp_extract(F.substr("text", F.lit(1), F.col("start")), r"([\p{L}\p{N}]*)\z", 1))
     behind = F.length(F.regexp_extract(F.substr("text", F.col("stop") + 1), r"^([\p{L}\p{N}]*)", 1))
     first, last = F.substr("text", F.col("start") + 1, F.lit(1)), F.substr("text", F.col("stop"), F.lit(1))
     word = r"[\p{L}\p{N}]"
@@ -79,7 +79,7 @@ def united_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     })
     part = F.substr("text", F.col("from") + 1, F.col("to") - F.col("from"))
     trimmed = snapped.withColumns({
-        "start": F.col("from") + F.length(F.regexp_extract(part, r"^([^\p{L}\p{N}]*)", 1)), "stop": F.col("to") - F.length(F.regexp_extract(part, r"([^\p{L}\p{N}]*)$", 1)),
+        "start": F.col("from") + F.length(F.regexp_extract(part, r"^([^\p{L}\p{N}]*)", 1)), "stop": F.col("to") - F.length(F.regexp_extract(part, r"([^\p{L}\p{N}]*)\z", 1)),
     }).where("start < stop").select("id", "start", "stop", "label", "score")
     order = Window.partitionBy("id").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))

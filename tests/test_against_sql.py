@@ -4,7 +4,7 @@ import duckdb
 from compare import same
 from pyspark.sql import functions as F
 
-from engram.operators import extra
+from engram.operators import extra, joins
 from engram.plans import ORACLES, QUERIES
 
 
@@ -35,3 +35,11 @@ def test_context_ledger_orders_a_block_that_is_there_twice(spark, tmp_path):
     assert {r["n"] for r in got.collect()} == {2}
     blocks = lines.select(F.col("l_orderkey").alias("request"), F.lit(1).alias("block"), F.lit(1).alias("priority"), F.col("l_quantity").alias("tokens"))
     assert extra.fit_blocks(blocks, 72).where("kept").count() == 40
+
+
+def test_span_union_does_not_cross_a_line_feed(spark, tmp_path):
+    made = ["alpha beta\ngamma delta epsilon zeta", "one\r\ntwo three four five six seven", "x y z w v u t s r q p o n m", "word.\n", "a\n\nb c d e f g"]
+    docs = [(1000 * n + at, text) for n, text in enumerate(made) for at in range(40)]
+    by_sql(spark, tmp_path, "span_union", documents=spark.createDataFrame(docs, "doc_id long, text string"))
+    texts, spans = spark.createDataFrame([(1, made[0])], "id long, text string"), spark.createDataFrame([(1, 11, 13, "A", 0.5)], "id long, start int, stop int, label string, score double")
+    assert [(r.start, r.stop, r.text) for r in joins.united_spans(texts, spans).collect()] == [(11, 16, "gamma")]
