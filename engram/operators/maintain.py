@@ -44,16 +44,17 @@ def get_or_create(names: DataFrame, entities: DataFrame) -> tuple[DataFrame, Dat
     return all_.select("name", "entity_id"), all_.where("is_new").select("name", "entity_id")
 
 
-def entity_view(edges: DataFrame, most: int = 20, with_expired: bool = False) -> DataFrame:
-    """(entity, side, rank, edge_id, other, expired): the ``most`` strongest live edges of every entity on each side.
+def entity_view(edges: DataFrame, most: int | None = 20, with_expired: bool = False) -> DataFrame:
+    """(entity, side, rank, edge_id, other, expired): the ``most`` strongest live edges of every entity on each side, or, without ``most``, all of them.
 
-    With ``with_expired``, edges that have ended fill what room the live ones leave.  A task ranks no more than ``most`` rows an entity and side after its own first ones.
+    With ``with_expired``, edges that have ended come behind the live ones.  With ``most``, a task ranks no more than that many rows an entity and side after its own first ones.
     """
     both = F.array(F.struct(F.col("source").alias("entity"), F.lit("out").alias("side"), F.col("target").alias("other")), F.struct(F.col("target").alias("entity"), F.lit("in").alias("side"), F.col("source").alias("other")))
     rows = edges if with_expired else edges.where("valid_until is null")
     sides = rows.select("edge_id", "strength", F.col("valid_until").isNotNull().alias("expired"), F.inline(both))
     order = Window.partitionBy("entity", "side").orderBy("expired", F.desc("strength"), "edge_id")
-    return sides.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("entity", "side", "rank", "edge_id", "other", "expired")
+    ranked = sides.withColumn("rank", F.row_number().over(order))
+    return (ranked if most is None else ranked.where(F.col("rank") <= most)).select("entity", "side", "rank", "edge_id", "other", "expired")
 
 
 def latest_slots(slots: DataFrame) -> DataFrame:

@@ -70,10 +70,10 @@ def entities_to_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add(f"""WITH {EDGES_SQL}, b AS (SELECT source AS entity, 'out' AS side, edge_id, -target AS other, strength, valid_until FROM edges UNION ALL SELECT -target, 'in', edge_id, source, strength, valid_until FROM edges),
-r AS (SELECT *, valid_until IS NOT NULL AS expired, row_number() OVER (PARTITION BY entity, side ORDER BY valid_until IS NOT NULL, strength DESC, edge_id)::INT AS rank FROM b) SELECT entity, side, rank, edge_id, other, expired FROM r WHERE rank <= 20""")
+r AS (SELECT *, valid_until IS NOT NULL AS expired, row_number() OVER (PARTITION BY entity, side ORDER BY valid_until IS NOT NULL, strength DESC, edge_id)::INT AS rank FROM b) SELECT entity, side, rank, edge_id, other, expired FROM r""")
 def entity_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides of customers and parts (negative ids), with ended edges behind the live ones."""
-    return mt.entity_view(edges(spark, sf_dir).withColumn("target", -F.col("target")), with_expired=True)
+    """All edges on both sides of customers and parts (negative ids), ranked, with ended edges behind the live ones."""
+    return mt.entity_view(edges(spark, sf_dir).withColumn("target", -F.col("target")), most=None, with_expired=True)
 
 
 SLOT_SQL = f"""{TURNS_SQL}, s AS (SELECT ['global', 'project', 'conversation'][k % 3 + 1] AS tier, conversation_id % 20 AS owner, topic AS name, 'v' || turn_id AS text, turn_id AS version FROM turns),

@@ -43,3 +43,13 @@ def test_span_union_does_not_cross_a_line_feed(spark, tmp_path):
     by_sql(spark, tmp_path, "span_union", documents=spark.createDataFrame(docs, "doc_id long, text string"))
     texts, spans = spark.createDataFrame([(1, made[0])], "id long, text string"), spark.createDataFrame([(1, 11, 13, "A", 0.5)], "id long, start int, stop int, label string, score double")
     assert [(r.start, r.stop, r.text) for r in joins.united_spans(texts, spans).collect()] == [(11, 16, "gamma")]
+
+
+def test_entity_view_shows_every_edge(spark, tmp_path):
+    lines = [(n, 5, 1, 1, float(n % 7), 0.1 if n % 2 else 0.0, "N", "F" if n % 3 else "O", "2001-01-01 00:00:00") for n in range(60)]
+    line = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate string")
+    orders = spark.createDataFrame([(n, 9, "2000-01-01 00:00:00", "1-URGENT") for n in range(60)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string")
+    ntz = lambda df, c: df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    by_sql(spark, tmp_path, "entity_view", lineitem=ntz(line, "l_shipdate"), orders=ntz(orders, "o_orderdate"))
+    got = QUERIES["entity_view"](spark, str(tmp_path)).groupBy("entity", "side").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+    assert {(r.entity, r.side, r.n, r["last"]) for r in got} == {(9, "out", 60, 60), (-5, "in", 60, 60)}
