@@ -11,10 +11,9 @@ The output softmax is class-factored, P(word) = P(class | state) * P(word | clas
 
 Counts, totals and class totals are exact and cover all training documents (all
 that are not held out); they also set the biases the network starts from.  The
-network's weights are trained by truncated backpropagation on one in ``TRAIN_SHARE``
-of the training documents (in a small corpus on about ``SAMPLE_DOCS``, or all), of any
-length: whole texts are cut into pieces, and tasks that grow in number with the input
-train on some pieces each; their weights are averaged after each of a few rounds.
+network's weights are trained by truncated backpropagation on all training documents,
+of any length: whole texts are cut into pieces, and tasks that grow in number with the
+input train on some pieces each; their weights are averaged, by tasks, after each of a few rounds.
 
 Counts of the ``LOCAL_WORDS`` commonest words travel with the tasks (a fixed bound);
 the other words of a document meet their counts in a shuffled join.
@@ -51,10 +50,10 @@ SOFTMAX_WORDS, WORD_CLASSES, FORM_CLASSES = 4096, 32, 32
 LOCAL_WORDS = 131_072
 HIDDEN, LANES, WINDOW = 32, 256, 32
 TRAIN_LANES, TRAIN_WINDOW, RATE = 32, 16, 0.003
-#: One in TRAIN_SHARE training documents teaches the network, but no fewer than about SAMPLE_DOCS.
-TRAIN_SHARE, SAMPLE_DOCS = 32, 1500
 #: Words of a piece of a text, of a task in a round, and the rounds after which weights are averaged.
 PIECE_WORDS, TASK_WORDS, TRAIN_ROUNDS = 1024, 400_000, 4
+#: Weights that one task adds up.
+FAN_IN = 32
 SMOOTH = 0.1
 #: The end token; no word is empty.
 END = b""
@@ -350,7 +349,7 @@ def local_floor(counts: DataFrame, most: int) -> int:
     return int(held.iloc[-1]) if len(held) else 1 << 62
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the training rows of ``docs``, and their whole count table (word, n)."""
     training = docs.select(F.col("doc_id").cast("long"), "text").where(id_remainder(F.col("doc_id"), HELD_OUT_MODULUS) != 0)
     counts = cut(word_counts(training))
@@ -371,10 +370,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Model, DataFra
     net = Network.start(n[:soft].astype(float), form_totals)
     model = Model(net, {w: i for i, w in enumerate(words)}, n, least, total, distinct, form_totals, form_distinct)
 
-    ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("n").alias("n")).first()["n"] or 1
-    share = max((1 << 20) // TRAIN_SHARE, min(1 << 20, -(-sample_docs * (1 << 20) // ends)))
-    place = F.xxhash64("doc_id", "text")
-    learn(model, training.select(place.alias("place"), "text").where(F.pmod("place", F.lit(1 << 20)) < share))
+    learn(model, training.select(F.xxhash64("doc_id", "text").alias("place"), "text"))
     return model, counts
 
 
@@ -400,6 +396,22 @@ def pieces(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("place", F.col("text").cast("binary")).mapInArrow(split, "place long, n long, preceding int, ids binary")
 
 
+def summed(made: DataFrame, groups: int) -> tuple[np.ndarray, int]:
+    """(the sum of the weights times their words, the words) of rows (part, words, weights); tasks add up ``FAN_IN`` each, so the driver gets ``FAN_IN`` at most."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        words = int(frame["words"].sum())
+        mean = sum(n * np.frombuffer(w, "<f4").astype(float) for n, w in zip(frame["words"], frame["weights"], strict=True)) / max(words, 1)
+        return pd.DataFrame({"part": frame["part"].iloc[:1] // FAN_IN, "words": [words], "weights": [mean.astype("<f4").tobytes()]})
+
+    while groups > FAN_IN:
+        groups = -(-groups // FAN_IN)
+        made = made.groupBy(F.floor(F.col("part") / FAN_IN).alias("of")).applyInPandas(add, "part long, words long, weights binary")
+    rows = sorted(made.toLocalIterator(), key=lambda row: row["part"])
+    return sum((row["words"] * np.frombuffer(row["weights"], "<f4").astype(float) for row in rows), np.zeros(1)), sum(row["words"] for row in rows)
+
+
 def learn(model: Model, docs: DataFrame) -> None:
     """Train the network of ``model`` on every text of ``docs`` (place, text), by tasks whose weights are averaged."""
     context = docs.sparkSession.sparkContext
@@ -423,15 +435,12 @@ def learn(model: Model, docs: DataFrame) -> None:
         made = cut(
             dealt.where(F.col("part") % rounds == turn).repartitionByRange(groups, "part").groupBy("part").applyInPandas(work, "part long, words long, weights binary")
         )
-        # one task's weights at a time are on the driver
-        mean, total = 0.0, 0
-        for row in made.orderBy("part").toLocalIterator():
-            mean, total = mean + row["words"] * np.frombuffer(row["weights"], "<f4").astype(float), total + row["words"]
+        made, total = summed(made.withColumn("part", F.floor(F.col("part") / rounds)), groups)
         if not total:
             continue
         weights, at = {}, 0
         for k, v in net.weights.items():
-            weights[k], at = (mean[at : at + v.size] / total).astype("f4").reshape(v.shape), at + v.size
+            weights[k], at = (made[at : at + v.size] / total).astype("f4").reshape(v.shape), at + v.size
         net = replace(net, weights=weights)
     model.net = net
 
