@@ -95,14 +95,14 @@ def nearest(log: DataFrame, keys: list[str], value: Column, name: str, ahead: bo
     Windows stay inside (block, keys); the ends of the blocks of a key, one row each, carry over.
     """
     log = log.withColumn("__value", value)
-    first, last = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
-    pick = F.first if ahead else F.last
-    own = Window.partitionBy("block", *keys).orderBy("at").rowsBetween(first, last)
+    # looking ahead is looking back in the opposite order: a frame that ends with its partition would be read again for every row
+    to = F.desc if ahead else F.asc
+    before = lambda keys, place: Window.partitionBy(*keys).orderBy(to(place)).rowsBetween(Window.unboundedPreceding, -1)
+    own, across = before(["block", *keys], "at"), before(keys, "block")
     spread = (F.min_by if ahead else F.max_by)("__value", F.when(F.col("__value").isNotNull(), F.col("at")))
-    across = Window.partitionBy(*keys).orderBy("block").rowsBetween(first, last)
-    told = log.groupBy("block", *keys).agg(spread.alias("__end")).withColumn("__told", pick("__end", ignorenulls=True).over(across))
+    told = log.groupBy("block", *keys).agg(spread.alias("__end")).withColumn("__told", F.last("__end", ignorenulls=True).over(across))
     told = told.where("__told is not null").select("block", *keys, "__told")
-    found = log.withColumn("__near", pick("__value", ignorenulls=True).over(own)).join(told, ["block", *keys], "left")
+    found = log.withColumn("__near", F.last("__value", ignorenulls=True).over(own)).join(told, ["block", *keys], "left")
     return found.withColumn(name, F.coalesce("__near", "__told")).drop("__near", "__told", "__value")
 
 

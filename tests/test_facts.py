@@ -90,3 +90,17 @@ def test_stream_equals_the_batch_form_in_any_order_and_over_restarts(spark, tmp_
         assert key(got) == key(want)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_no_window_reads_the_rest_of_its_partition_for_every_row(spark):
+    """A frame that ends with its partition is read again for every row, which is quadratic; looking ahead goes by the opposite order."""
+    from pyspark.sql import functions as F
+
+    from engram.operators import facts
+
+    rows = [(key, at, at >> 3, at if at % 5 == 2 else None) for key in range(3) for at in range(24)]
+    log = spark.createDataFrame(rows, "key int, at long, block long, x long")
+    found = facts.nearest(log, ["key"], F.col("x"), "next", ahead=True)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    got = {(r["key"], r["at"]): r["next"] for r in found.collect()}
+    assert got == {(key, at): next((x for x in range(at + 1, 24) if x % 5 == 2), None) for key, at, _, _ in rows}
