@@ -36,12 +36,18 @@ def _absorbers(clusters: DataFrame, raw: float, adjusted: float, bonus_each: flo
         if frame["x"].iloc[0] != frame["y"].iloc[0]:
             side = frame["block"].to_numpy()
             near &= side[:, None] != side[None, :]
-        casts, ids, ages = [set(x) for x in frame["cast"]], frame["id"].to_numpy(), frame["age"].to_numpy()
-        found = {}
-        for older, newer in np.argwhere(near).tolist():  # oldest first
-            if newer not in found and cosine[older, newer] + min(bonus_most, bonus_each * len(casts[older] & casts[newer])) >= adjusted:
-                found[newer] = older
-        return pd.DataFrame([(ids[n], ages[o], ids[o]) for n, o in found.items()], columns=["id", "age", "into"]).astype("int64")
+        ids, ages, held = frame["id"].to_numpy(), frame["age"].to_numpy(), {}
+        for n, own in enumerate(frame["cast"]):
+            for name in set(own):
+                held.setdefault(name, []).append(n)
+        shared = np.zeros(cosine.shape, np.int32)
+        for of in held.values():
+            if len(of) > 1:
+                shared[np.ix_(of, of)] += 1
+        near &= cosine + np.minimum(bonus_most, bonus_each * shared) >= adjusted
+        newer = np.flatnonzero(near.any(0))
+        older = near[:, newer].argmax(0)  # rows lie oldest first
+        return pd.DataFrame({"id": ids[newer], "age": ages[older], "into": ids[older]}).astype("int64")
 
     found = dealt.groupBy("group", "x", "y").applyInPandas(product, "id long, age long, into long")
     return found.groupBy("id").agg(F.min(F.struct("age", "into")).alias("x")).select("id", "x.into")

@@ -71,3 +71,30 @@ def test_matching_equals_the_plain_version(spark):
     e = spark.createDataFrame(entities, "id long, names array<string>, vector array<double>")
     got = {tuple(r) for r in cl.match_mentions(m, e).collect()}
     assert {x[:3] for x in got} == {x[:3] for x in want} and len(want) > 20
+
+
+def test_entities_are_hashed_where_they_lie(spark, tmp_path):
+    """No word is shuffled on the way to a text's vector, which is the sum of its distinct words' places."""
+    import hashlib
+
+    from engram.plans import entities as en
+
+    docs = [(1, "en", "a b c d e f g h a"), (2, None, None), (3, "de", " 12 -"), (4, "en", "Äpfel sind GRÜN")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans = []
+    real, en.cut = en.cut, lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), df)[1]
+    try:
+        rows = {r["id"]: r for r in en.entities(spark, str(tmp_path)).collect()}
+    finally:
+        en.cut = real
+    assert plans and "Exchange" not in plans[0]
+
+    def vector(words):
+        v = [0.0] * en.WIDTH
+        for w in set(words):
+            d = hashlib.md5(w.encode()).hexdigest()
+            v[int(d[:4], 16) % en.WIDTH] += 1.0 if d[4] < "8" else -1.0
+        return v
+
+    assert rows[1]["vector"] == vector("abcdefgh") and rows[4]["vector"] == vector(["äpfel", "sind", "grün"])
+    assert rows[2]["vector"] is None and rows[3]["vector"] is None and rows[1]["names"] == ["a b c d", "f g h a"] and rows[4]["names"] == []
