@@ -67,13 +67,6 @@ def chunk_leg(chunks: DataFrame, turns: DataFrame, queries: DataFrame, hits: Dat
     return _ranked(kept.join(hits.select("query_id", F.col("id").alias("parent")), ["query_id", "parent"], "left_anti").select("query_id", "id", "parent", "score"), "id")
 
 
-def in_scope(asked: str = "") -> Column:
-    """May a query (columns with the prefix ``asked``) see a turn's conversation?  The door to private turns is an explicit scope."""
-    own, out = F.col(f"{asked}conversations"), F.col(f"{asked}excluded")
-    listed = F.when(own.isNull(), ~F.col("is_private")).otherwise(F.coalesce(F.array_contains(own, F.col("conversation")), F.lit(False)))
-    return listed & (out.isNull() | F.coalesce(~F.array_contains(out, F.col("conversation")), F.lit(False)))
-
-
 def cold_leg(cold: DataFrame, queries: DataFrame, now_us: int, limit: int = 5, score: float = 0.6, cfg: Defaults = DEFAULTS) -> DataFrame:
     """(query_id, id, distance, score, rank): rows of the cold store inside a query's window, nearest first, then newest; others than windowed queries find none.
 
@@ -89,10 +82,12 @@ def cold_leg(cold: DataFrame, queries: DataFrame, now_us: int, limit: int = 5, s
     order = [F.asc("distance"), F.desc("us"), F.asc("id")]
     near = vectors.scoped_topk(rows, probes, limit, "id", "vector", decayed=False, newest=True)
     met = near.join(rows.select("id", "us"), "id").select("query_id", "id", "us", F.round(1 - F.col("score"), 6).alias("distance"))
-    said = F.exists("keywords", lambda w: F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower(w))) | (F.size("keywords") == 0)
-    told = small(asked.select("query_id", "t0", "t1", "keywords", "conversations", "excluded"))
-    worded = rows.where("vector is null and us is not null").join(told, (F.col("us") >= F.col("t0")) & (F.col("us") < F.col("t1")) & in_scope() & said)
-    worded = rt.cap_per(worded.select("query_id", "id", "us", F.lit(1.0).alias("distance")), ["query_id"], order, limit)
+    # a mark that is not known hides a row without a vector
+    bare = rows.where("vector is null").withColumn("is_private", F.coalesce("is_private", F.lit(True))).withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
+    lower = F.transform(F.filter("keywords", lambda w: w.isNotNull()), lambda w: F.lower(w))
+    # of keywords that are all null none is held, which is not the same as having none
+    said = probes.where((F.size("keywords") == 0) | (F.size(lower) > 0)).withColumn("keywords", lower)
+    worded = vectors.scoped_newest(bare, said, limit, "id").select("query_id", "id", "us", F.lit(1.0).alias("distance"))
     ranked = met.unionByName(worded).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= limit).select("query_id", "id", "distance", F.lit(score).alias("score"), "rank")
 
