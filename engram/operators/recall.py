@@ -28,31 +28,10 @@ def ref(kind: str, id_: Column) -> Column:
     return id_.cast("long") * 8 + KINDS.index(kind)
 
 
-def seen(cfg: Defaults = DEFAULTS) -> Column:
-    """May the query of a row see its turn?  The rule of ``vectors.scoped_topk`` as an expression; the query's lists are in ``scope``."""
-    own, out, want, unwanted = (F.col(f"scope.{c}") for c in ("conversations", "excluded", "clusters", "excluded_clusters"))
-    current = F.col("scope.mode") == "current"
-    links = F.coalesce("clusters", F.array().cast("array<long>"))
-    fresh = F.when(current, ~F.coalesce("is_archived", F.lit(False)) & (F.col("decay") > cfg.visible_decay)).otherwise(F.col("decay") > 0)
-    inside = F.coalesce(F.col("us") >= F.col("scope.t0"), F.lit(True)) & F.coalesce(F.col("us") < F.col("scope.t1"), F.lit(True))
-    listed = F.when(own.isNull(), ~F.coalesce("is_private", F.lit(False))).otherwise(F.array_contains(own, F.col("conversation")))
-    cleared = out.isNull() | ~F.array_contains(out, F.col("conversation"))
-    linked = want.isNull() | (F.size(links) == 0) | F.arrays_overlap(want, links)
-    return F.col("us").isNotNull() & F.coalesce(fresh & inside & listed & cleared & linked, F.lit(False)) & ~F.coalesce(F.arrays_overlap(unwanted, links), F.lit(False))
-
-
 def lexical_leg(index: lexical.Index, turns: DataFrame, queries: DataFrame, now_us: int, cfg: Defaults = DEFAULTS) -> DataFrame:
     """(query_id, id, score, rank): the best turns by BM25 of a query's terms (array) among those it may see."""
-    asked = legs.scopes(queries, now_us, cfg)
-    lists = [F.col(c).cast("array<long>").alias(c) for c in ("conversations", "excluded", "clusters", "excluded_clusters")]
-    scope = legs.small(asked.select("query_id", F.struct("mode", "t0", "t1", *lists).alias("scope")))
-    marks = turns.select(F.col("id").alias("doc_id"), "us", "conversation", F.col("clusters").cast("array<long>").alias("clusters"), "decay", "is_archived", "is_private")
-
-    def keep(rows: DataFrame) -> DataFrame:
-        return rows.join(marks, "doc_id").join(scope, "query_id").where(seen(cfg)).select("query_id", "doc_id", "score")
-
     terms = queries.select("query_id", F.explode("terms").alias("term"))
-    return lexical.search(index, terms, cfg.lexical_limit, keep=keep).select("query_id", F.col("doc_id").alias("id"), "score", "rank")
+    return lexical.search(index, terms, cfg.lexical_limit, scope=(turns, legs.scopes(queries, now_us, cfg)), floor=cfg.visible_decay).select("query_id", F.col("doc_id").alias("id"), "score", "rank")
 
 
 def summary_leg(summaries: DataFrame, queries: DataFrame, cfg: Defaults = DEFAULTS) -> DataFrame:

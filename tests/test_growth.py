@@ -5,7 +5,7 @@ import random
 from test_legs import DAY, SCOPE, TURN, query, turn
 
 from engram.functions import vectors
-from engram.operators import legs
+from engram.operators import legs, lexical
 
 
 def test_newest_rows_with_a_keyword(spark, monkeypatch):
@@ -48,3 +48,35 @@ def test_the_cold_store_is_not_paired_with_all_queries(spark):
     found = legs.cold_leg(cold, asked, 1000)
     assert [(r.query_id, r.id, r.distance) for r in found.orderBy("query_id", "rank").collect()] == [(1, 2, 1.0), (1, 1, 1.0), (2, 4, 1.0), (5, 1, 1.0)]
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_lexical_search_shuffles_no_score_a_document(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    texts = [" ".join(rng.choice(words[: rng.choice((3, 24))]) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    turns, queries = [turn(rng, n) for n in range(390)], [(*query(rng, n), rng.sample(words, rng.randrange(1, 6))) for n in range(40)]
+    index = lexical.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"{tmp_path}/index", range_docs=40, buckets=3)
+    asked = spark.createDataFrame(queries, SCOPE + ", terms array<string>")
+    terms = asked.selectExpr("query_id", "explode(terms) as term")
+    every = {(r.query_id, r.doc_id): r.score for r in lexical.search(index, terms, 1000).collect()}
+    want = []
+    for q in queries:
+        _, _, mode, t0, t1, _, _, _, own, out, some, unwanted, _ = q
+        met = []
+        for n, _, us, c, clusters, decay, archived, private in turns:
+            clusters = clusters or []
+            ok = (q[0], n) in every and us is not None and decay is not None and (decay > 0.2 and not archived if mode == "current" else decay > 0)
+            ok = ok and (t0 is None or us >= t0) and (t1 is None or us < t1) and (not private if own is None else c is not None and c in own)
+            ok = ok and (out is None or (c is not None and c not in out)) and (some is None or not clusters or any(x in some for x in clusters))
+            if ok and not any(x in (unwanted or []) for x in clusters):
+                met.append((-every[q[0], n], n))
+        want += [(q[0], n, rank) for rank, (_, n) in enumerate(sorted(met)[:6], 1)]
+    monkeypatch.setattr(lexical, "QUERIES", 7)
+    for pairs in (1 << 20, 50):
+        monkeypatch.setattr(lexical, "PAIRS", pairs)
+        found = lexical.search(index, terms, 6, probes=1, scope=(spark.createDataFrame(turns, TURN), asked))
+        assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found.collect()) == sorted(want) and len(want) > 100
+    plain = lexical.search(index, terms, 6)
+    assert "Generate explode" not in plain._jdf.queryExecution().executedPlan().toString()
+    first = sorted(every, key=lambda x: (x[0], -every[x], x[1]))
+    assert sorted((r.query_id, r.doc_id) for r in plain.collect()) == sorted(x for q in range(40) for x in [y for y in first if y[0] == q][:6])
