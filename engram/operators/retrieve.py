@@ -156,10 +156,15 @@ def recency_params(mode: Column, t0: Column, t1: Column, now_us: int, cfg: Defau
 def route_models(queries: DataFrame, models: DataFrame) -> DataFrame:
     """The first model, in order of insertion, with most tags shared; models is a small registry."""
     shared = F.size(F.array_intersect("tags", "model_tags")) + F.col("priority")
-    # the registry holds one row a model and travels with the tasks only while it is small
-    small = models.count() <= 10_000
-    scored = queries.join(F.broadcast(models) if small else models, F.col("window") >= F.col("need")).withColumn("score", shared)
-    return scored.groupBy("query_id").agg(F.max_by(F.struct("model", "score"), F.struct(F.col("score"), -F.col("nth"))).alias("r")).select("query_id", "r.*")
+    best = lambda rows: rows.groupBy("query_id").agg(F.max_by(F.struct("model", "score"), F.struct("score", F.col("nth") * -1)).alias("r")).select("query_id", "r.*")
+    # the registry holds one row a model and travels with the tasks only while it is small; then a query meets it as one array and stays one row
+    if models.count() > 10_000:
+        return best(queries.join(models, F.col("window") >= F.col("need")).withColumn("score", shared))
+    registry = models.agg(F.collect_list(F.struct("model", "model_tags", "priority", "window", "nth")).alias("models"))
+    fits = F.filter("models", lambda m: m["window"] >= F.col("need"))
+    scored = F.transform(fits, lambda m: F.struct((F.size(F.array_intersect("tags", m["model_tags"])) + m["priority"]).alias("score"), (m["nth"] * -1).alias("last"), m["model"].alias("model")))
+    first = queries.join(F.broadcast(registry)).select("query_id", F.array_max(scored).alias("m")).where("m is not null")
+    return best(first.select("query_id", "m.model", "m.score", (F.col("m.last") * -1).alias("nth")))
 
 
 def symbol_lookup(symbols: DataFrame, name: Column, limit: int = 10) -> DataFrame:

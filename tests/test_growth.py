@@ -1,11 +1,15 @@
 """Steps whose work must not grow with the product of their tables, against plain Python."""
 
+import ast
 import random
 
+import numpy as np
 from test_legs import DAY, SCOPE, TURN, query, turn
 
 from engram.functions import vectors
-from engram.operators import legs, lexical
+from engram.operators import graph, legs, lexical
+from engram.operators import lifecycle as lc
+from engram.operators import retrieve as rt
 
 
 def test_newest_rows_with_a_keyword(spark, monkeypatch):
@@ -80,3 +84,11 @@ def test_a_lexical_search_shuffles_no_score_a_document(spark, tmp_path, monkeypa
     assert "Generate explode" not in plain._jdf.queryExecution().executedPlan().toString()
     first = sorted(every, key=lambda x: (x[0], -every[x], x[1]))
     assert sorted((r.query_id, r.doc_id) for r in plain.collect()) == sorted(x for q in range(40) for x in [y for y in first if y[0] == q][:6])
+
+
+def test_a_query_meets_the_models_as_one_row(spark):
+    queries = spark.createDataFrame([(1, ["a", "b"], 2), (2, ["c"], 9), (3, [], 0), (3, ["b"], 1)], "query_id long, tags array<string>, need int")
+    models = spark.createDataFrame([("x", ["a"], 0, 2, 0), ("y", ["a", "b"], 0, 1, 1), ("z", ["b"], 0, 5, 2), ("w", [], 1, 5, 3)], "model string, model_tags array<string>, priority int, window int, nth int")
+    routed = rt.route_models(queries, models)
+    assert sorted((r.query_id, r.model, r.score) for r in routed.collect()) == [(1, "x", 1), (3, "y", 1)]
+    assert "NestedLoopJoin BuildRight, Inner, (" not in routed._jdf.queryExecution().executedPlan().toString()
\ No newline at end of file
