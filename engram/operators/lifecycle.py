@@ -115,17 +115,20 @@ def assign_clusters(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        sums: list[np.ndarray] = []
         out = []
+        sums, sizes, held = np.zeros((16, len(frame["vector"].iloc[0]))), np.zeros(16), 0
         for v in frame["vector"]:
             v = np.asarray(v, float)
-            near = [float(s @ v / (np.linalg.norm(s) * np.linalg.norm(v) or 1)) for s in sums]
-            best = int(np.argmax(near)) if near else -1
+            # all centroids at once; both arrays double when they are full
+            scale = sizes[:held] * np.linalg.norm(v)
+            near = sums[:held] @ v / np.where(scale > 0, scale, 1)
+            best = int(np.argmax(near)) if held else -1
             if best < 0 or near[best] < threshold:
-                sums.append(v.copy())
-                best = len(sums) - 1
-            else:
-                sums[best] += v
+                if held == len(sums):
+                    sums, sizes = np.concatenate((sums, np.zeros_like(sums))), np.concatenate((sizes, np.zeros_like(sizes)))
+                best, held = held, held + 1
+            sums[best] += v
+            sizes[best] = np.linalg.norm(sums[best])
             out.append(best)
         return pd.DataFrame({"group": key[0], "id": frame["id"].to_numpy(), "cluster": out})
 

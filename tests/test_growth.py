@@ -91,4 +91,21 @@ def test_a_query_meets_the_models_as_one_row(spark):
     models = spark.createDataFrame([("x", ["a"], 0, 2, 0), ("y", ["a", "b"], 0, 1, 1), ("z", ["b"], 0, 5, 2), ("w", [], 1, 5, 3)], "model string, model_tags array<string>, priority int, window int, nth int")
     routed = rt.route_models(queries, models)
     assert sorted((r.query_id, r.model, r.score) for r in routed.collect()) == [(1, "x", 1), (3, "y", 1)]
-    assert "NestedLoopJoin BuildRight, Inner, (" not in routed._jdf.queryExecution().executedPlan().toString()
\ No newline at end of file
+    assert "NestedLoopJoin BuildRight, Inner, (" not in routed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moving_centroids_are_those_of_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    vectors_ = [np.zeros(4), *rng.integers(-3, 4, (120, 4)).astype(float)]
+    rows = spark.createDataFrame([(1, n, v.tolist()) for n, v in enumerate(vectors_)], "group long, id long, vector array<double>")
+    sums, want = [], []
+    for v in vectors_:
+        near = [float(s @ v / (np.linalg.norm(s) * np.linalg.norm(v) or 1)) for s in sums]
+        best = int(np.argmax(near)) if near else -1
+        if best < 0 or near[best] < 0.77:
+            sums.append(v.copy())
+            best = len(sums) - 1
+        else:
+            sums[best] += v
+        want.append(best)
+    assert [r.cluster for r in lc.assign_clusters(rows, 0.77).orderBy("id").collect()] == want and len(sums) > 16
\ No newline at end of file
