@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -155,27 +157,71 @@ def merge_entities(edges: DataFrame, remap: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a source that are parsed at once, as far as its statements allow, and symbols of a frame.
+PARSED, SYMBOLS = 1 << 18, 100_000
+_LINE = re.compile(r"\r\n|\r|\n")
+_OPENS = re.compile(r"(?:class|def|async)\b|@")
+
+
+def parsed_parts(text: str, size: int) -> Iterator[tuple[int, ast.Module]]:
+    """(lines before, syntax tree) of the parts of a source; the parts together are the source.
+
+    A part ends before a line that opens a class or function at the left margin, if what stands before parses by itself: such a line
+    continues no statement but one that is open, and an open one doesn't parse.  Else the part is made twice as long.
+    """
+    at = lines = 0
+    while at < len(text):
+        want, end = size, at
+        while True:
+            end, want = _margin(text, max(end, at + want)), want * 2
+            part = text[at:end]
+            try:
+                tree = ast.parse(part)
+                break
+            except SyntaxError:
+                if end == len(text):
+                    raise
+        yield lines, tree
+        lines += len(_LINE.findall(part))
+        at = end
+
+
+def _margin(text: str, at: int) -> int:
+    for found in _LINE.finditer(text, at):
+        if _OPENS.match(text, found.end()):
+            return found.end()
+    return len(text)
+
+
+def symbols_of(path: str, text: str, size: int = PARSED) -> list[tuple[str, str, str, int]]:
+    """(path, symbol, kind, line) of one source."""
+    module = path.removesuffix(".py").replace("/", ".")
+    out = [(path, module, "module", 1)]
+    try:
+        for lines, tree in parsed_parts(text, size):
+            stack = [(module, n) for n in tree.body]
+            while stack:
+                at, node = stack.pop()
+                if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                    name = f"{at}.{node.name}"
+                    out.append((path, name, "class" if isinstance(node, ast.ClassDef) else "function", lines + node.lineno))
+                    stack += [(name, n) for n in node.body]
+    except (SyntaxError, ValueError):
+        return out[:1]
+    return out
+
+
 def code_symbols(files: DataFrame) -> DataFrame:
-    """(path, symbol, kind, line) of Python sources (path, text): modules, classes and functions by the parser; broken files give their module only."""
-    import ast
+    """(path, symbol, kind, line) of Python sources (path, text): modules, classes and functions by the parser; broken files give their module only.
+
+    A source is parsed in parts, so a task holds the tree of a part and not that of a whole source.
+    """
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for path, text in zip(frame["path"], frame["text"], strict=True):
-                module = path.removesuffix(".py").replace("/", ".")
-                out.append((path, module, "module", 1))
-                try:
-                    tree = ast.parse(text)
-                except (SyntaxError, ValueError):
-                    continue
-                stack = [(module, n) for n in tree.body]
-                while stack:
-                    at, node = stack.pop()
-                    if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-                        name = f"{at}.{node.name}"
-                        out.append((path, name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno))
-                        stack += [(name, n) for n in node.body]
-            yield pd.DataFrame(out, columns=["path", "symbol", "kind", "line"])
+                found = symbols_of(path, text)
+                for at in range(0, len(found), SYMBOLS):
+                    yield pd.DataFrame(found[at : at + SYMBOLS], columns=["path", "symbol", "kind", "line"])
 
     return files.select("path", "text").mapInPandas(walk, "path string, symbol string, kind string, line int")

@@ -108,4 +108,19 @@ def test_moving_centroids_are_those_of_a_plain_loop(spark):
         else:
             sums[best] += v
         want.append(best)
-    assert [r.cluster for r in lc.assign_clusters(rows, 0.77).orderBy("id").collect()] == want and len(sums) > 16
\ No newline at end of file
+    assert [r.cluster for r in lc.assign_clusters(rows, 0.77).orderBy("id").collect()] == want and len(sums) > 16
+
+
+def test_a_long_source_is_parsed_in_parts(monkeypatch):
+    source = "x = 1\nclass A:\n    def f(self):\n        return '''\nclass No:\n    pass\n'''\n\n@dec(\n  1)\n@two\ndef g():\n    def h(): pass\r\nasync def k():\n    class In: pass\nif x:\n    class Not: pass\nelse:\n    pass\nclass Z: pass"
+    tree = ast.parse(source)
+    want = {("m", 1)} | {(f"m.{name}", line) for name, line in [("A", 2), ("A.f", 3), ("g", 12), ("g.h", 13), ("k", 14), ("k.In", 15), ("Z", 20)]}
+    assert {n.name for n in ast.walk(tree) if hasattr(n, "name")} == {"A", "f", "g", "h", "k", "In", "Not", "Z"}
+    for size in (1, 5, 40, 10_000):
+        assert {(s, line) for _, s, _, line in graph.symbols_of("m.py", source, size)} == want
+        for broken in (source + "\ndef (", "def (\n" + source, source.replace("class Z", "  class Z"), source + "\n'''\nclass Q: pass\n", source + "\0"):
+            assert graph.symbols_of("m.py", broken, size) == [("m.py", "m", "module", 1)]
+    longest, parse = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda text: longest.append(len(text)) or parse(text))
+    assert len(graph.symbols_of("m.py", "class A:\n    def f(self):\n        return 1\n\n" * 2000, 1000)) == 4001
+    assert max(longest) < 1100
