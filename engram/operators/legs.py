@@ -18,11 +18,13 @@ from engram.operators import retrieve as rt
 
 #: Queries are broadcast up to this many rows; beyond that both sides are shuffled.
 SMALL = 100_000
+#: Sets of one or two ids are broadcast up to this many rows.
+KEYS = 1_000_000
 WINDOWED = ("as_of", "range")
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    return F.broadcast(df) if df.count() <= (SMALL if most is None else most) else df
 
 
 def scopes(queries: DataFrame, now_us: int, cfg: Defaults = DEFAULTS) -> DataFrame:
@@ -101,12 +103,11 @@ def wide_net(turns: DataFrame, queries: DataFrame, now_us: int, threshold: float
     return vectors.scoped_topk(turns, scopes(lost, now_us, cfg), limit, "id", "vector", decayed=False, floor=cfg.visible_decay)
 
 
-def _live(asked: DataFrame, edges: DataFrame, on: Column | list[str], now_us: int, cfg: Defaults) -> DataFrame:
-    """Rows of ``asked`` with the edges they meet that are valid under the query's window and in its batches, with their trust there.
+def _scope(now_us: int, cfg: Defaults) -> tuple[Column, Column]:
+    """For an edge beside a query: whether it is valid under the query's window and in its batches, and its trust there.
 
     Windowed: valid at the window's end, and trust is fresh near it; else valid now.
     """
-    met = asked.join(edges, on)
     at = F.when(F.col("mode").isin(*WINDOWED), F.col("t1"))
     began = F.col("valid_from").isNull() | (F.col("valid_from") <= at)
     valid = F.when(at.isNull(), F.col("valid_until").isNull()).otherwise(began & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
@@ -114,15 +115,26 @@ def _live(asked: DataFrame, edges: DataFrame, on: Column | list[str], now_us: in
     open_ = (F.col("batches").isNull() | batch("batches", False)) & (F.col("denied").isNull() | ~batch("denied", True))
     # an edge of the future is as fresh as one of now; under a window nearness counts both ways
     start = F.when(at.isNull(), F.least("valid_from", F.lit(now_us))).otherwise(F.col("valid_from"))
-    trust = edge_trust(F.col("strength"), F.col("confidence"), start, F.coalesce(at, F.lit(now_us)), cfg)
-    return met.where(valid & open_).withColumn("trust", trust)
+    return valid & open_, edge_trust(F.col("strength"), F.col("confidence"), start, F.coalesce(at, F.lit(now_us)), cfg)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Each edge from either end: (node, other, outgoing) and what an edge carries."""
-    carried = ["edge_id", "relation", "strength", "confidence", "negated", "valid_from", "valid_until", "batch"]
-    out = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), F.lit(True).alias("outgoing"), *carried)
-    return out.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), F.lit(False).alias("outgoing"), *carried))
+    """Each edge from either end, in one pass: (node, other, outgoing) and what else an edge carries."""
+    end = lambda node, other, out: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(out).alias("outgoing"))
+    carried = [c for c in edges.columns if c not in ("source", "target")]
+    return edges.select(*carried, F.inline(F.array(end("source", "target", True), end("target", "source", False))))
+
+
+def _takable(edges: DataFrame, told: DataFrame, cfg: Defaults) -> DataFrame:
+    """The edges that at least one query's walk might take: positive, strong enough when fresh, not over before all windows' ends nor begun after them."""
+    lo, hi = told.agg(F.min(F.when(F.col("mode").isin(*WINDOWED), F.col("t1"))), F.max(F.when(F.col("mode").isin(*WINDOWED), F.col("t1")))).first()
+    base = F.coalesce("strength", F.lit(0.0)) * F.coalesce("confidence", F.lit(1.0))
+    most = F.greatest(base, base * (1 + cfg.edge_recency_boost))
+    kept = edges.where(~F.coalesce("negated", F.lit(False)) & (most >= min(cfg.direct_trust, cfg.deep_trust)))
+    live = F.col("valid_until").isNull()
+    if lo is None:
+        return kept.where(live)
+    return kept.where(live | (F.col("valid_until") > lo)).where(live | F.col("valid_from").isNull() | (F.col("valid_from") <= hi))
 
 
 def scoped_walk(edges: DataFrame, anchors: DataFrame, queries: DataFrame, now_us: int, denied: DataFrame | None = None, depth: int | None = None, cfg: Defaults = DEFAULTS) -> DataFrame:
@@ -130,21 +142,27 @@ def scoped_walk(edges: DataFrame, anchors: DataFrame, queries: DataFrame, now_us
 
     ``queries`` is (query_id, mode, t0, t1, batches, denied): only edges of the batches (null: all) that are not denied count.  The first hop
     asks for trust of ``direct_trust``, later ones for ``deep_trust``.  No walk enters an entity of ``denied`` (query_id, node) or another anchor
-    of its query, and none begins at a denied one.  Each frontier is cut, and meets the edges by an equi-join on its nodes.
+    of its query, and none begins at a denied one.  The edges that any walk may take are made once, with what a hop asks of them, and cut.  A hop shuffles
+    those of them that begin at its frontier, and frontiers without their scopes; what it reached is shuffled once.  Each frontier is cut.
     """
-    told = small(queries.select("query_id", "mode", "t0", "t1", "batches", "denied"))
-    ends = both_ways(edges.where(~F.coalesce("negated", F.lit(False))))
+    told = queries.select("query_id", "mode", "t1", "batches", "denied")
+    scopes_fit = told.count() <= SMALL
+    ends = cut(both_ways(_takable(edges, told, cfg).select("source", "target", "strength", "confidence", "valid_from", "valid_until", "batch")).drop("outgoing"))
     shut = anchors.select("query_id", F.col("anchor").alias("node"))
     begun = anchors.select("query_id", "anchor").distinct()
     if denied is not None:
         begun = begun.join(denied.select("query_id", F.col("node").alias("anchor")), ["query_id", "anchor"], "left_anti")
         shut = shut.unionByName(denied.select("query_id", "node"))
-    shut = cut(shut.distinct())
+    shut = small(cut(shut.distinct()), KEYS)
     seen = frontier = cut(begun.select("query_id", "anchor", F.col("anchor").alias("node"), F.lit(0).alias("depth")))
+    counts, trust = _scope(now_us, cfg)
     for n in range(1, (cfg.max_depth if depth is None else depth) + 1):
         floor = cfg.direct_trust if n == 1 else cfg.deep_trust
-        met = _live(frontier.drop("depth").join(told, "query_id"), ends, ["node"], now_us, cfg).where(F.col("trust") >= floor)
-        reached = met.select("query_id", "anchor", F.col("other").alias("node")).distinct()
+        nodes = frontier.select("node").distinct()
+        begin = ends.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= KEYS else ends
+        # a scope is as wide as its lists, so it meets what a frontier has met; scopes too many for that meet the frontier
+        met = frontier.drop("depth").join(begin, "node").join(F.broadcast(told), "query_id") if scopes_fit else frontier.drop("depth").join(told, "query_id").join(begin, "node")
+        reached = met.where(counts & (trust >= floor)).select("query_id", "anchor", F.col("other").alias("node")).distinct()
         fresh = reached.join(shut, ["query_id", "node"], "left_anti").join(seen, ["query_id", "anchor", "node"], "left_anti")
         frontier = cut(fresh.select("query_id", "anchor", "node", F.lit(n).alias("depth")))
         seen = seen.unionByName(frontier)
@@ -160,18 +178,27 @@ def graph_fragments(edges: DataFrame, anchors: DataFrame, queries: DataFrame, wa
     anchors with a closed edge (four under evolution) lend a timeline at .9 of that score: their last transitions that meet the window, oldest first.
     """
     told = small(queries.select("query_id", "mode", "t0", "t1", "batches", "denied"))
-    began = walk.where("depth = 0").select("query_id", "anchor")
-    asked = anchors.join(began, ["query_id", "anchor"]).join(told, "query_id").withColumn("node", F.col("anchor"))
-    ends = both_ways(edges)
-    live = cut(_live(asked, ends, ["node"], now_us, cfg))
-    trusted = F.col("trust") >= cfg.direct_trust
     key = ["query_id", "anchor"]
+    began = walk.where("depth = 0").select(*key)
+    asked = cut(anchors.join(began, key).join(told, "query_id"))
+    nodes = small(asked.select(F.col("anchor").alias("node")).distinct(), KEYS)
+    # the anchors' edges, met once: what each query's scope says of them stays, the scope itself doesn't
+    counts, trust = _scope(now_us, cfg)
+    listed = F.col("batches").isNull() | F.coalesce(F.array_contains("batches", F.col("batch")), F.lit(False))
+    meets = (F.col("t1").isNull() | F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("t1"))) & (F.col("t0").isNull() | F.col("valid_until").isNull() | (F.col("valid_until") > F.col("t0")))
+    own = asked.withColumn("node", F.col("anchor")).join(both_ways(edges).join(nodes, "node", "left_semi"), "node").select(
+        *key, "edge_id", "other", "outgoing", "relation", "strength", "negated", "valid_from", "valid_until", trust.alias("trust"),
+        F.coalesce(counts, F.lit(False)).alias("counts"), listed.alias("listed"), F.coalesce(meets, F.lit(False)).alias("meets"), F.coalesce(F.array_contains("relations", F.col("relation")), F.lit(False)).alias("wanted"),
+    )
+    own = cut(own.where("counts or listed"))
+    live = own.where("counts")
+    trusted = F.col("trust") >= cfg.direct_trust
     strongest = Window.partitionBy(*key).orderBy(F.desc("strength"), "edge_id", F.desc("outgoing"))
     arrow = F.when(F.col("outgoing"), F.concat(F.lit("-> "), F.col("relation"), F.lit(" "), F.col("other").cast("string"))).otherwise(F.concat(F.lit("<- "), F.col("relation"), F.lit(" "), F.col("other").cast("string")))
     line = F.concat(F.when(F.col("negated"), "not ").otherwise(""), arrow)
     ordered = lambda rows: rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth_line", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     note = ordered(live.withColumn("nth_line", F.row_number().over(strongest)).where(F.col("nth_line") <= links).withColumn("line", line))
-    wanted = live.where(F.array_contains("relations", F.col("relation"))).withColumn("nth_line", F.row_number().over(strongest))
+    wanted = live.where("wanted").withColumn("nth_line", F.row_number().over(strongest))
     fact = ordered(wanted.where((F.col("nth_line") <= facts) & trusted).withColumn("line", F.concat(F.lit("fact "), line)))
     mean = live.where(~F.col("negated") & trusted).groupBy(*key).agg(F.avg("trust").alias("mean"))
     count = walk.groupBy(*key).agg((F.count("*") - 1).alias("reached"))
@@ -179,15 +206,12 @@ def graph_fragments(edges: DataFrame, anchors: DataFrame, queries: DataFrame, wa
     score = F.round(1 + F.least(F.lit(0.5), 0.25 * F.coalesce("mean", F.lit(0.0))) + F.when(F.col("facts").isNotNull(), 0.25).otherwise(0.0), 6)
     notes = cut(notes.withColumn("score", score).withColumn("text", F.concat_ws("\n", F.concat(F.lit("# "), F.col("anchor").cast("string")), "note", "facts")))
 
-    listed = (F.col("batches").isNull() | F.coalesce(F.array_contains("batches", F.col("batch")), F.lit(False)))
-    own = asked.join(ends, "node").where(listed)
-    past = own.groupBy(*key).agg(F.bool_or(F.col("valid_until").isNotNull()).alias("closed")).where("closed").select(*key)
+    past = own.where("listed").groupBy(*key).agg(F.bool_or(F.col("valid_until").isNotNull()).alias("closed")).where("closed").select(*key)
     order = Window.partitionBy("query_id").orderBy("nth", "anchor")
     cap = F.when(F.col("mode") == "evolution", 4).otherwise(2)
     chosen = notes.join(past, key).withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).select(*key, "score", "reached")
-    meets = (F.col("t1").isNull() | F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("t1"))) & (F.col("t0").isNull() | F.col("valid_until").isNull() | (F.col("valid_until") > F.col("t0")))
     newest = Window.partitionBy(*key).orderBy(F.desc_nulls_last("valid_from"), F.desc("edge_id"), "outgoing")
-    last = own.where(meets).join(chosen.select(*key), key, "left_semi").withColumn("back", F.row_number().over(newest)).where(F.col("back") <= transitions)
+    last = own.where("listed and meets").join(chosen.select(*key), key, "left_semi").withColumn("back", F.row_number().over(newest)).where(F.col("back") <= transitions)
     stamp = lambda c, none: F.coalesce(F.date_from_unix_date(F.floor(F.col(c) / DAY_US).cast("int")).cast("string"), F.lit(none))
     told_lines = ordered(last.withColumn("nth_line", -F.col("back")).withColumn("line", F.concat(stamp("valid_from", "?"), F.lit(" to "), stamp("valid_until", "now"), F.lit(" "), line)))
     timeline = chosen.join(told_lines, key).select("query_id", F.lit("timeline").alias("leg"), "anchor", F.round(0.9 * F.col("score"), 6).alias("score"), "reached", F.col("lines").alias("text"))
