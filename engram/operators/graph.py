@@ -17,6 +17,8 @@ from engram.lineage import cut
 from engram.config import DEFAULTS, Defaults
 from engram.functions.scalars import edge_trust
 
+#: Blocks of 64 seeds are broadcast up to this many.
+BLOCKS = 10_000
 ANTONYMS = (("1-URGENT", "5-LOW"), ("2-HIGH", "4-NOT SPECIFIED"))
 
 
@@ -44,22 +46,44 @@ def traverse(edges: DataFrame, seeds: DataFrame, now_us: int, depth: int = 3, cf
     """(seed, node, depth): nodes reached over live, positive edges in both directions.
 
     The first hop asks for trust of ``direct_trust``, later ones for strength of
-    ``deep_trust``.  A frontier loop with a visited anti-join; each frontier is cut, so no
-    hop is computed twice, and each hop is an equi-join that AQE may split.
+    ``deep_trust``.  Seeds go by 64, as the bits of a long: a row is (block, node, bits), so what a task holds for a node is one row for 64
+    seeds, and a hop joins once for all of them.  Each frontier is cut, so no hop is computed twice, and each hop is an equi-join that AQE may split.
     """
     live = with_trust(edges.where(valid_at(None) & ~F.col("negated")), now_us, cfg)
     kept = live.select("source", "target", "trust", "strength")
     both = kept.unionByName(kept.select(F.col("target").alias("source"), F.col("source").alias("target"), "trust", "strength"))
     direct = both.where(F.col("trust") >= cfg.direct_trust).select("source", "target").distinct()
     deep = cut(both.where(F.col("strength") >= cfg.deep_trust).select("source", "target").distinct())  # every later hop reads it
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
-    frontier = seen
+    # neighbours by number share a block; a partition's last block may have fewer
+    numbered = cut(seeds.where("seed is not null").select("seed").distinct().orderBy("seed").withColumn("n", F.monotonically_increasing_id()))
+    numbered = numbered.select("seed", F.shiftright("n", 6).alias("block"), (F.col("n") % 64).cast("int").alias("bit"))
+    met = numbered.groupBy("block", F.col("seed").alias("node")).agg(F.bit_or(_bit()).alias("bits"))
+    frontier = cut(met.withColumn("depth", F.lit(0)))
+    seen = frontier.select("block", "node", F.col("bits").alias("seen"))
+    walked = None
     for n in range(1, depth + 1):
         hop = direct if n == 1 else deep
-        reached = frontier.select("seed", F.col("node").alias("source")).join(hop, "source").select("seed", F.col("target").alias("node")).distinct()
-        frontier = cut(reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(n)))
-        seen = seen.unionByName(frontier)
-    return seen
+        met = frontier.select("block", F.col("node").alias("source"), "bits").join(hop.where("target is not null"), "source")
+        reached = met.groupBy("block", F.col("target").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        known = seen.groupBy("block", "node").agg(F.bit_or("seen").alias("seen"))
+        new = reached.join(known, ["block", "node"], "left").select("block", "node", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))).alias("bits"))
+        frontier = cut(new.where("bits <> 0").withColumn("depth", F.lit(n)))
+        seen = seen.unionByName(frontier.select("block", "node", F.col("bits").alias("seen")))
+        walked = frontier if walked is None else walked.unionByName(frontier)
+    begun = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
+    if walked is None:
+        return begun
+    # a bit names its seed through the block's list, which has 64 at most; few blocks are broadcast, many are shuffled
+    names = cut(numbered.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("bit", "seed"))).alias("names")))
+    names = F.broadcast(names) if names.count() <= BLOCKS else names
+    bits = F.filter(F.array([F.lit(b) for b in range(64)]), lambda b: F.getbit(F.col("bits"), b) == 1)
+    told = walked.join(names, "block").select(F.explode(F.transform(bits, lambda b: F.col("names")[b])).alias("seed"), "node", "depth")
+    return begun.unionByName(told)
+
+
+def _bit() -> Column:
+    """The long whose one set bit is ``bit``."""
+    return F.expr("shiftleft(1L, bit)")
 
 
 def entity_timeline(edges: DataFrame, t0: int, t1: int, last: int = 8) -> DataFrame:

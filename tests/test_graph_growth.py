@@ -6,7 +6,7 @@ import random
 import pytest
 from test_legs import DAY
 
-from engram.operators import legs
+from engram.operators import graph, legs
 
 NOW = 1000 * DAY
 EDGE = "edge_id long, source long, target long, relation string, strength double, confidence double, negated boolean, valid_from long, valid_until long, batch long"
@@ -78,3 +78,39 @@ def test_a_walk_reads_its_edges_once(spark, tmp_path, monkeypatch, most):
     notes = legs.graph_fragments(edges, begun.selectExpr("query_id", "anchor", "0 as nth", "array('x') as relations"), asked, walk, NOW)
     assert notes.where("leg = 'codex'").count() == sum(d == 0 for d in want.values()) and notes.where("leg = 'timeline'").count() > 5
     assert sum(map(bool, read)) == 1 and not notes.inputFiles()
+
+
+def test_a_traversal_holds_one_row_for_64_seeds(spark, monkeypatch):
+    rng = random.Random(9)
+    node = lambda: rng.choice((None, *range(-40, 160), *range(20)))
+    rows = [(e, node(), node(), "x", rng.choice((None, 0.3, 0.8, 2.0, 2.0)), rng.choice((None, 0.9)), rng.random() < 0.1, NOW, rng.choice((None, None, 5)), 1) for e in range(2500)]
+    seeds = [*range(-5, 125), 7, 999]
+    held, plain_cut = [], graph.cut
+
+    def cut(df):
+        out = plain_cut(df)
+        held.append(out.count() if "depth" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    frame = spark.createDataFrame([(s,) for s in seeds], "seed long").repartition(3)
+    got = sorted((r.seed, r.node, r.depth) for r in graph.traverse(spark.createDataFrame(rows, EDGE), frame, NOW).collect())
+    direct, deep = {}, {}
+    for _, a, b, _, strength, confidence, negated, _, until, _ in rows:
+        if until is None and not negated and strength is not None and a is not None and b is not None:
+            for x, y in ((a, b), (b, a)):
+                if strength * (confidence or 1.0) * 1.3 >= 0.5:
+                    direct.setdefault(x, set()).add(y)
+                if strength >= 1.0:
+                    deep.setdefault(x, set()).add(y)
+    want = [(7, 7, 0)]  # a seed that is asked twice
+    for seed in set(seeds):
+        seen, last = {seed}, {seed}
+        want.append((seed, seed, 0))
+        for n, ways in enumerate((direct, deep, deep), 1):
+            last = {y for x in last for y in ways.get(x, ())} - seen
+            seen |= last
+            want += [(seed, x, n) for x in last]
+    assert got == sorted(want)
+    most = len({x for _, x, _ in want})
+    assert max(held) <= most * 5 < max(sum(d == n for _, _, d in want) for n in (1, 2, 3))
