@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.lineage import cut
+from engram.operators.legs import KEYS, small
 
 
 @dataclass
@@ -38,37 +39,38 @@ class Store:
 def plan(store: Store, conversations: DataFrame) -> dict[str, DataFrame]:
     """The ids of what goes, by table: turns, batches, edges, entities, clusters, patterns, and links of the rest that go."""
     turns = cut(store.turns.join(conversations.select("conversation_id").distinct(), "conversation_id", "left_semi").select("turn_id", "batch"))
-    batches = cut(turns.where("batch is not null").select("batch").distinct())
     live = store.edges.where("valid_until is null")
-    stated = live.where("not derived").join(batches, "batch", "left_semi")
-    elsewhere = store.added.where("batch is not null").join(batches, "batch", "left_anti").select("edge_id").distinct()
-    edges = cut(stated.join(elsewhere, "edge_id", "left_anti").select("edge_id", "source", "target"))
+    # only batches that a statement names are held against statements, so rows are not shuffled by batch for those of all turns
+    named = live.select("batch").unionByName(store.added.select("batch")).distinct()
+    batches = small(cut(turns.select("batch").distinct().join(named, "batch", "left_semi")), KEYS)
+    stated = cut(live.where("not derived").join(batches, "batch", "left_semi").select("edge_id", "source", "target"))
+    elsewhere = store.added.where("batch is not null").join(batches, "batch", "left_anti").select("edge_id")
+    edges = cut(stated.join(elsewhere, "edge_id", "left_anti"))
 
     ends = lambda e: e.select(F.explode(F.array("source", "target")).alias("entity")).distinct()
     touched = ends(edges)
     holding = ends(live.join(edges.select("edge_id"), "edge_id", "left_anti"))
     entities = cut(touched.join(holding, "entity", "left_anti").join(store.entities.where("not derived and not authored").select("entity"), "entity", "left_semi"))
 
-    gone = turns.select("turn_id")
+    gone = small(turns.select("turn_id"), KEYS)
     links = cut(store.members.join(gone, "turn_id", "left_semi").select("cluster_id", "turn_id").distinct())
     kept = store.members.join(gone, "turn_id", "left_anti").select("cluster_id").distinct()
     clusters = cut(links.select("cluster_id").distinct().join(kept, "cluster_id", "left_anti"))
 
-    # patterns fall with the last of their evidence, level by level
-    evidence = cut(store.evidence.select("pattern_id", "kind", "id").distinct())
-    fallen = gone.select(F.lit("turn").alias("kind"), F.col("turn_id").alias("id"))
-    patterns = None
-    while True:
-        left = evidence.join(fallen, ["kind", "id"], "left_anti").select("pattern_id").distinct()
-        empty = evidence.select("pattern_id").distinct().join(left, "pattern_id", "left_anti")
-        new = cut(empty if patterns is None else empty.join(patterns, "pattern_id", "left_anti"))
-        if new.isEmpty():
-            break
-        patterns = new if patterns is None else cut(patterns.unionByName(new))
-        fallen = cut(fallen.unionByName(new.select(F.lit("pattern").alias("kind"), F.col("pattern_id").alias("id"))))
-    if patterns is None:
-        patterns = evidence.select("pattern_id").limit(0)
-    lost = cut(evidence.join(fallen, ["kind", "id"], "left_semi").select("pattern_id", "kind", "id"))
+    # patterns fall with the last of their evidence, level by level; one that a turn or anything else but patterns still bears is left out of the levels
+    evidence = store.evidence.select("pattern_id", "kind", "id")
+    fell = small(turns.select(F.lit("turn").alias("kind"), F.col("turn_id").alias("id"), F.lit(True).alias("fell")), KEYS)
+    marked = evidence.join(fell, ["kind", "id"], "left").withColumn("fell", F.coalesce("fell", F.lit(False)))
+    borne = cut(marked.groupBy("pattern_id").agg(F.bool_and("fell").alias("falls"), F.bool_and(F.col("fell") | F.coalesce(F.col("kind") == "pattern", F.lit(False))).alias("may")).where("may"))
+    of_patterns = lambda ids: ids.select(F.col("pattern_id").alias("id"))
+    patterns = new = cut(borne.where("falls").select("pattern_id"))
+    waiting = cut(evidence.where("kind = 'pattern'").join(borne.where("not falls").select("pattern_id"), "pattern_id", "left_semi").select("pattern_id", "id"))
+    while not new.isEmpty():
+        rest = cut(waiting.join(of_patterns(new), "id", "left_anti").select("pattern_id", "id"))
+        new = cut(waiting.select("pattern_id").distinct().join(rest, "pattern_id", "left_anti"))
+        patterns, waiting = cut(patterns.unionByName(new)), rest
+    lost = evidence.where("kind = 'turn'").join(fell, ["kind", "id"], "left_semi").unionByName(evidence.where("kind = 'pattern'").join(of_patterns(patterns), "id", "left_semi").select("kind", "id", "pattern_id"))
+    lost = cut(lost.select("pattern_id", "kind", "id").distinct())
     return {
         "turns": turns.select("turn_id"), "chunks": cut(store.chunks.join(gone, "turn_id", "left_semi").select("chunk_id")), "edges": edges.select("edge_id"), "entities": entities,
         "cluster_links": links, "clusters": clusters, "evidence": lost, "patterns": patterns,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import scalars
+from engram.lineage import cut
 from engram.operators import deletion
 from engram.operators import lifecycle as lc
 from engram.operators import summaries
@@ -127,7 +128,9 @@ def recurring_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_of(spark: SparkSession, sf_dir: str) -> deletion.Store:
     """Events and orders as a store: edges are stated by turns, some of them twice; patterns rest on three turns, every fourth also on another pattern."""
     t = turns(spark, sf_dir).select("turn_id", "conversation_id", F.col("turn_id").alias("batch"), "k", "cluster_id")
-    e = edges(spark, sf_dir).select("edge_id", "source", (-F.col("target")).alias("target"), ((F.col("source") * 7 + F.col("target")) % 1000).alias("batch"), "valid_until", (F.col("edge_id") % 19 == 0).alias("derived"))
+    # orders and lines meet once for edges, statements and entities
+    e = cut(edges(spark, sf_dir).select("edge_id", "source", "target", "valid_until"))
+    e = e.select("edge_id", "source", (-F.col("target")).alias("target"), ((F.col("source") * 7 + F.col("target")) % 1000).alias("batch"), "valid_until", (F.col("edge_id") % 19 == 0).alias("derived"))
     added = e.select("edge_id", "batch").unionByName(e.where("edge_id % 3 = 0").select("edge_id", ((F.col("batch") + 1) % 1000).alias("batch")))
     nodes = e.select(F.explode(F.array("source", "target")).alias("entity")).distinct()
     pattern = F.floor(F.col("turn_id") / 3).alias("pattern_id")

@@ -4,9 +4,12 @@ import math
 import random
 
 import pytest
+from test_deletion import SCHEMAS
+from test_deletion import plain as plain_deletion
+from test_deletion import rows as rows_of
 from test_legs import DAY
 
-from engram.operators import graph, legs
+from engram.operators import deletion, graph, legs
 
 NOW = 1000 * DAY
 EDGE = "edge_id long, source long, target long, relation string, strength double, confidence double, negated boolean, valid_from long, valid_until long, batch long"
@@ -114,3 +117,30 @@ def test_a_traversal_holds_one_row_for_64_seeds(spark, monkeypatch):
     assert got == sorted(want)
     most = len({x for _, x, _ in want})
     assert max(held) <= most * 5 < max(sum(d == n for _, _, d in want) for n in (1, 2, 3))
+
+
+def test_a_level_of_a_deletion_holds_only_what_waits(spark, monkeypatch):
+    t = rows_of(4)
+    # patterns on patterns, a chain of 12 levels and a ring that nothing bears
+    turn = next(n for n, c, _ in t["turns"] if c == 1)
+    t["evidence"] += [(100, "turn", turn), *((p, "pattern", p - 1) for p in range(101, 112)), (120, "pattern", 121), (121, "pattern", 120), (130, None, 3), (131, "turn", None), (111, "turn", turn), (100, "turn", turn)]
+    frames = {name: spark.createDataFrame(t[name], schema) for name, schema in SCHEMAS.items()}
+    held, plain_cut = [], deletion.cut
+
+    def cut(df):
+        out = plain_cut(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(deletion, "cut", cut)
+    doomed = spark.createDataFrame([(1,), (3,), (4,)], "conversation_id long")
+    planned = deletion.plan(deletion.Store(**frames), doomed)
+    want = plain_deletion(t, {1, 3, 4})
+    assert {name: {tuple(x) if len(x) > 1 else x[0] for x in ids.collect()} for name, ids in planned.items()} == want
+    assert {x["store"]: x["n"] for x in deletion.manifest(planned).collect()} == {name: len(x) for name, x in want.items()}
+    assert {*range(100, 112)} <= want["patterns"] and not want["patterns"] & {120, 121, 130, 131}
+    # frames as large as all turns that go: not one a level
+    assert sum(n >= len(want["turns"]) for n in held) <= 8 and len(held) > 30
+    monkeypatch.setattr(deletion, "KEYS", -1, raising=False)
+    again = deletion.plan(deletion.Store(**frames), doomed)
+    assert {name: {tuple(x) if len(x) > 1 else x[0] for x in ids.collect()} for name, ids in again.items()} == want
