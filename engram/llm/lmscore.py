@@ -32,13 +32,13 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,16 +48,21 @@ from engram.llm.common import cut, id_remainder, table
 HELD_OUT_MODULUS = 10
 SOFTMAX_WORDS, WORD_CLASSES, FORM_CLASSES = 4096, 32, 32
 LOCAL_WORDS = 131_072
-HIDDEN, LANES, WINDOW = 32, 256, 32
-TRAIN_LANES, TRAIN_WINDOW, RATE = 32, 16, 0.003
+HIDDEN, LANES, WINDOW = 32, 512, 32
+#: Lanes that train abreast, at most and at least, and the steps of a task that come before more lanes.
+TRAIN_LANES, FEW_LANES, TRAIN_WINDOW, TRAIN_STEPS, RATE = 1024, 32, 16, 60, 0.003
 #: Words of a piece of a text, of a task in a round, and the rounds after which weights are averaged.
-PIECE_WORDS, TASK_WORDS, TRAIN_ROUNDS = 1024, 400_000, 4
+PIECE_WORDS, TASK_WORDS, TRAIN_ROUNDS = 1024, 1_000_000, 4
 #: Weights that one task adds up.
 FAN_IN = 32
 SMOOTH = 0.1
 #: The end token; no word is empty.
 END = b""
-FLUSH_WORDS = 400_000
+#: Bytes of text that a task splits into words at once.
+SLICE_BYTES = 48_000_000
+#: Tokens whose softmax is made at once, so that it stays in a cache.
+BLOCK = 512
+REACH = 40
 
 
 def form_class(word: bytes) -> int:
@@ -68,37 +73,53 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` by at most ``SLICE_BYTES`` of their last column, or one row, at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def words_by_text(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all ``texts`` (binary), how many each has), as ``words_of`` tells them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    words, n = lists.flatten().view(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(full).as_py() and len(words):
+        number = np.repeat(np.arange(len(n)), n)
+        n = np.bincount(number[full.to_numpy(zero_copy_only=False)], minlength=len(n))
+        words = words.filter(full)
+    return words, n
+
+
 # --- corpus counts -------------------------------------------------------------------------------
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of ``docs``, the end token included; tasks count before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"]
+        for batch in slices(batches):
+            seen = pc.value_counts(words_by_text(batch.column(0))[0])
+            words, n = seen.field(0), seen.field(1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([batch.num_rows], pa.int64())])], names=["word", "n"]
             )
-            seen.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py()))
-                seen[END] += 1
-                if len(seen) > FLUSH_WORDS:
-                    yield flush()
-        if seen:
-            yield flush()
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 # --- the network ---------------------------------------------------------------------------------
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> None:
+    """1 / (1 + exp(-x)) in place, as 1 - 1 / (1 + exp(x))."""
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+    np.subtract(1, x, out=x)
 
 
 @dataclass
@@ -137,56 +158,81 @@ class Network:
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.words, ids // self.width, self.word_classes + ids - self.words)
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        x, n = self.weights["inputs"][ids], self.hidden
-        gates = _sigmoid(x[:, : 2 * n] + h @ self.weights["gates"])
-        z, r = gates[:, :n], gates[:, n:]
-        c = np.tanh(x[:, 2 * n :] + (r * h) @ self.weights["candidate"])
-        return h + z * (c - h), z, r, c
+    def step(self, x: np.ndarray, h: np.ndarray, gates: np.ndarray, rh: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+        """One step for the columns of ``h``, given their words' input columns; fills the gates (z above r), r * h, the candidate and the state."""
+        w, n = self.weights, self.hidden
+        np.matmul(w["gates"].T, h, out=gates)
+        gates += x[: 2 * n]
+        _sigmoid(gates)
+        np.multiply(gates[n:], h, out=rh)
+        np.matmul(w["candidate"].T, rh, out=c)
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        np.subtract(c, h, out=out)
+        out *= gates[:n]
+        out += h
 
     def output(self, h: np.ndarray, ids: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of ``ids`` (form classes: of the class alone); with ``slopes`` (empty, or zeros to fill), gradients too."""
-        w, n = self.weights, np.arange(len(ids))
-        classes = self.class_of(ids)
-        logits = h @ w["classes"] + w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        own = logits[n, classes]
-        chances = np.exp(logits, out=logits)
-        total = chances.sum(1)
-        out, d_h = own - np.log(total), None
+        w, classes = self.weights, self.class_of(ids)
         if slopes is not None:
-            chances /= total[:, None]
-            chances[n, classes] -= 1
             for k in ("classes", "class_bias", "words", "word_bias"):
                 if k not in slopes:
                     slopes[k] = np.zeros_like(w[k])
-            slopes["classes"][:], slopes["class_bias"][:] = h.T @ chances, chances.sum(0)
-            d_h = chances @ w["classes"].T
+
+        room = np.empty(BLOCK * max(self.width, len(w["class_bias"])), h.dtype)
+
+        def softmax(state: np.ndarray, own: np.ndarray, weights: np.ndarray, bias: np.ndarray, made: np.ndarray, back: np.ndarray | None, slope: tuple) -> None:
+            """Fill log-probabilities of ``own`` and slopes of the states; a column is a token, so that sums run along the tokens."""
+            # logits lie within ``REACH`` of their biases: one shift does for all, and no exponential leaves the range
+            far = np.abs(weights).sum(0).max() * most > REACH
+            bias = bias if far else bias - bias.max()
+            for at in range(0, len(own), BLOCK):
+                rows, mine = state[at : at + BLOCK], own[at : at + BLOCK]
+                n = np.arange(len(mine))
+                chances = np.matmul(weights.T, rows.T, out=room[: len(bias) * len(n)].reshape(len(bias), -1))
+                chances += bias[:, None]
+                if far:
+                    chances -= chances.max(0)
+                found = chances[mine, n]
+                np.exp(chances, out=chances)
+                total = chances.sum(0)
+                made[at : at + BLOCK] = found - np.log(total)
+                if back is not None:
+                    chances *= 1 / total
+                    chances[mine, n] -= 1
+                    slope[0][:] += rows.T @ chances.T
+                    slope[1][:] += chances.sum(1)
+                    np.matmul(chances.T, weights.T, out=back[at : at + BLOCK])
+
+        learns, most = slopes is not None, np.abs(h).max(initial=0)
+        out, d_h = np.empty(len(ids), h.dtype), np.empty(h.shape, h.dtype) if learns else None
+        softmax(h, classes, w["classes"], w["class_bias"], out, d_h, (slopes["classes"], slopes["class_bias"]) if learns else ())
         known = np.flatnonzero(ids < self.words)
-        known = known[np.argsort(classes[known], kind="stable")]
-        for part in np.split(known, np.flatnonzero(np.diff(classes[known])) + 1) if len(known) else ():
-            k, state, inside = classes[part[0]], h[part], ids[part] % self.width
-            logits = state @ w["words"][k] + w["word_bias"][k]
-            logits -= logits.max(1, keepdims=True)
-            m = np.arange(len(part))
-            own = logits[m, inside]
-            chances = np.exp(logits, out=logits)
-            total = chances.sum(1)
-            out[part] += own - np.log(total)
-            if slopes is not None:
-                chances /= total[:, None]
-                chances[m, inside] -= 1
-                slopes["words"][k], slopes["word_bias"][k] = state.T @ chances, chances.sum(0)
-                d_h[part] += chances @ w["words"][k].T
+        if len(known):
+            own = classes[known].astype(np.uint16)
+            order = np.argsort(own, kind="stable")
+            known, own = known[order], own[order]
+            states, inside = h[known], ids[known] % self.width
+            made, back = np.empty(len(known), h.dtype), np.empty_like(states) if learns else None
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                k = own[a]
+                softmax(
+                    states[a:b], inside[a:b], w["words"][k], w["word_bias"][k], made[a:b],
+                    back[a:b] if learns else None, (slopes["words"][k], slopes["word_bias"][k]) if learns else (),
+                )
+            out[known] += made
+            if learns:
+                d_h[known] += back
         return out, d_h
 
 
-def lanes_of(docs: list[np.ndarray], n: int, preceding: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lanes_of(docs: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Deal documents over lanes, longest first to the shortest lane.
 
     Returns the lanes end to end (inputs, ids, document numbers) and each lane's first
-    position and length, by falling length.  An input of -1 begins a document; one of
--2 - id (given in ``preceding``) begins a piece of a document whose last word was id.
+    position and length, by falling length.  An input of -1 begins a document.
     """
     heap = [(0, lane, []) for lane in range(max(1, min(n, len(docs))))]
     for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
@@ -199,7 +245,7 @@ def lanes_of(docs: list[np.ndarray], n: int, preceding: list[int] | None = None)
     number = np.repeat(order, [len(docs[d]) for d in order])
     inputs = np.empty_like(ids)
     inputs[1:] = ids[:-1]
-    inputs[np.cumsum([0] + [len(docs[d]) for d in order[:-1]])] = -1 if preceding is None else [preceding[d] for d in order]
+    inputs[np.cumsum([0] + [len(docs[d]) for d in order[:-1]])] = -1
     length = np.array([x[0] for x in lanes])
     return inputs, ids, number, np.cumsum(length) - length, length
 
@@ -210,22 +256,25 @@ def log_likelihoods(net: Network, docs: list[np.ndarray], begin: int) -> np.ndar
     if not docs:
         return out
     inputs, ids, number, first, length = lanes_of(docs, LANES)
-    h = np.zeros((len(length), net.hidden), "f4")
+    n, inputs_of = net.hidden, net.weights["inputs"]
+    h = np.zeros((n, len(length)), inputs_of.dtype)
     for at in range(0, int(length[0]), WINDOW):
         states, where = [], []
         for t in range(at, min(at + WINDOW, int(length[0]))):
             k = int(np.searchsorted(-length, -t, side="left"))
             spot = first[:k] + t
-            read, h = inputs[spot], h[:k]
+            read, h = inputs[spot], h[:, :k]
             new = read < 0
             if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
+                h = np.where(new, h.dtype.type(0), h)
                 read = np.where(new, begin, read)
-            h = net.step(read, h)[0]
+            gates, made = np.empty((2 * n, k), h.dtype), np.empty((3, n, k), h.dtype)
+            net.step(np.ascontiguousarray(inputs_of[read].T), h, gates, *made)
+            h = made[2]
             states.append(h)
             where.append(spot)
         where = np.concatenate(where)
-        made, _ = net.output(np.concatenate(states), ids[where])
+        made, _ = net.output(np.concatenate(states, axis=1).T, ids[where])
         out += np.bincount(number[where], made, len(docs))
     return out
 
@@ -257,7 +306,8 @@ class Adam:
         for at in range(0, len(self.flat), self.PART):
             w, g, m, v = (x[at : at + self.PART] for x in (self.flat, self.slope, self.first, self.second))
             a = self.spare[: len(w)]
-            np.minimum(np.maximum(g, -words, out=g), words, out=g)
+            if max(float(g.max()), -float(g.min())) > words:
+                np.minimum(np.maximum(g, -words, out=g), words, out=g)
             g *= 0.1 / words
             m *= 0.9
             m += g
@@ -273,43 +323,84 @@ class Adam:
 
 
 def train(net: Network, docs: list[np.ndarray], begin: int, rate: float = RATE, preceding: list[int] | None = None) -> Network:
-    """One pass of truncated backpropagation through time, with Adam."""
+    """One pass of truncated backpropagation through time, with Adam.
+
+    The documents lie end to end and are cut into lanes of equal length, of which more go abreast where there
+    are more words (the rate grows with their root); a lane that begins inside a document begins with the word before and an empty state.  ``preceding`` has
+    -1 for a document's begin and -2 - id for a piece of one whose last word was id.
+    """
     if not docs:
         return net
-    inputs, ids, _, first, length = lanes_of(docs, TRAIN_LANES, preceding)
+    ids = np.concatenate(docs).astype(np.int32)
+    reads = np.empty_like(ids)
+    reads[1:] = ids[:-1]
+    starts = np.cumsum([0] + [len(d) for d in docs[:-1]])
+    fresh = np.zeros(len(ids), bool)
+    fresh[starts] = True
+    known = np.full(len(docs), -1) if preceding is None else np.array(preceding)
+    reads[starts] = np.where(known == -1, begin, -2 - known)
+    lanes = min(max(len(ids) // (TRAIN_WINDOW * TRAIN_STEPS), FEW_LANES), TRAIN_LANES, len(ids))
+    first = np.linspace(0, len(ids), lanes + 1).astype(np.int64)
+    length = np.diff(first)
+    order = np.argsort(-length, kind="stable")
+    first, length = first[:-1][order], length[order]
+    fresh[first] = True
     w, n = net.weights, net.hidden
-    adam = Adam(w, rate)
-    slopes = adam.slopes
-    h = np.zeros((len(length), n), "f4")
+    adam = Adam(w, rate * (lanes / FEW_LANES) ** 0.5)
+    slopes, kind = adam.slopes, w["gates"].dtype
+    h, sums = np.zeros((n, lanes), kind), np.zeros(w["inputs"].shape[::-1], kind)
     for at in range(0, int(length[0]), TRAIN_WINDOW):
-        tape, targets = [], []
-        for t in range(at, min(at + TRAIN_WINDOW, int(length[0]))):
-            k = int(np.searchsorted(-length, -t, side="left"))
-            spot = first[:k] + t
-            read, h = inputs[spot], h[:k]
-            keep = (read >= 0)[:, None].astype("f4")
-            before = h * keep
-            read = np.where(read == -1, begin, np.where(read < -1, -2 - read, read))
-            h, z, r, c = net.step(read, before)
-            tape.append((read, keep, before, z, r, c, h))
-            targets.append(ids[spot])
-        _, d_out = net.output(np.concatenate([x[-1] for x in tape]), np.concatenate(targets), slopes)
-        stop = len(d_out)
-        carried = np.zeros((0, n), "f4")
-        for read, keep, before, z, r, c, after in reversed(tape):
-            d_h = d_out[stop - len(after) : stop]
-            stop -= len(after)
-            d_h[: len(carried)] += carried
-            d_c = d_h * z * (1 - c * c)
-            d_z = d_h * (c - before) * z * (1 - z)
-            d_rh = d_c @ w["candidate"].T
-            d_r = d_rh * before * r * (1 - r)
-            d_gates = np.concatenate((d_z, d_r), 1)
-            slopes["candidate"] += (r * before).T @ d_c
-            slopes["gates"] += before.T @ d_gates
-            np.add.at(slopes["inputs"], read, np.concatenate((d_gates, d_c), 1))
-            carried = (d_h * (1 - z) + d_rh * r + d_gates @ w["gates"].T) * keep
-        adam.step(len(d_out))
+        spot = first + np.arange(at, min(at + TRAIN_WINDOW, int(length[0])))[:, None]
+        live = (spot < first + length).ravel()
+        spot = np.minimum(spot, len(ids) - 1)
+        read, keep, steps = reads[spot], ~fresh[spot], len(spot)
+        x = np.ascontiguousarray(w["inputs"][read].transpose(0, 2, 1))
+        before, rh, c, after = np.empty((4, steps, n, lanes), kind)
+        gates = np.empty((steps, 2 * n, lanes), kind)
+        for t in range(steps):
+            np.multiply(h, keep[t], out=before[t])
+            net.step(x[t], before[t], gates[t], rh[t], c[t], after[t])
+            h = after[t]
+        states, wanted = after.transpose(0, 2, 1).reshape(-1, n), ids[spot].ravel()
+        if live.all():
+            d_h = net.output(states, wanted, slopes)[1]
+        else:
+            d_h = np.zeros_like(states)
+            d_h[live] = net.output(states[live], wanted[live], slopes)[1]
+        d_h = np.ascontiguousarray(d_h.reshape(steps, lanes, n).transpose(0, 2, 1))
+        carried = None
+        for t in reversed(range(steps)):
+            own, z, r, made = d_h[t], gates[t, :n], gates[t, n:], x[t]  # the inputs' room takes their slopes
+            if carried is not None:
+                own += carried
+            shut = 1 - z
+            stays = own * shut
+            own *= z
+            d_z = np.subtract(c[t], before[t], out=made[:n])
+            d_z *= own
+            d_z *= shut
+            d_c = np.multiply(c[t], c[t], out=made[2 * n :])
+            np.subtract(1, d_c, out=d_c)
+            d_c *= own
+            d_rh = w["candidate"] @ d_c
+            d_r = np.subtract(1, r, out=made[n : 2 * n])
+            d_r *= r
+            d_r *= before[t]
+            d_r *= d_rh
+            carried = w["gates"] @ made[: 2 * n]
+            d_rh *= r
+            carried += d_rh
+            carried += stays
+            carried *= keep[t]
+            slopes["candidate"] += rh[t] @ d_c.T
+            slopes["gates"] += before[t] @ made[: 2 * n].T
+        # a row of sums for each input column fits a cache, and all columns share the places
+        sums.fill(0)
+        places = read.ravel().astype(np.intp)
+        for column in range(3 * n):
+            np.add.at(sums[column], places, x[:, column].ravel())
+        slopes["inputs"] += sums.T
+        adam.step(int(live.sum()))
     return net
 
 
@@ -375,23 +466,26 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 
 
 def pieces(docs: DataFrame, model: Model) -> DataFrame:
-    """(place, n, preceding, ids) of the pieces of every text of ``docs`` (place, text); ``preceding`` as in ``lanes_of``."""
+    """(place, n, preceding, ids) of the pieces of every text of ``docs`` (place, text); ``preceding`` as in ``train``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = reader(shipped.value)
-        for batch in batches:
-            for place, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = read(text.as_py())[0].astype("<i4")
-                at = range(0, len(ids), PIECE_WORDS)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([place] * len(at), pa.int64()), pa.array(range(len(at)), pa.int64()),
-                        pa.array([-2 - int(ids[n - 1]) if n else -1 for n in at], pa.int32()),
-                        pa.array([ids[n : n + PIECE_WORDS].tobytes() for n in at], pa.binary()),
-                    ],
-                    names=["place", "n", "preceding", "ids"],
-                )
+        read = reader_of_many(shipped.value)
+        for batch in slices(batches):
+            ids, ends = read(batch.column(1))[:2]
+            ids, size = ids.astype("<i4"), np.diff(ends, prepend=-1)
+            many = -(-size // PIECE_WORDS)  # pieces of each text
+            n = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            first = np.repeat(ends + 1 - size, many) + n * PIECE_WORDS
+            stop = np.minimum(first + PIECE_WORDS, np.repeat(ends + 1, many))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column(0).to_numpy(), many), pa.int64()), pa.array(n, pa.int64()),
+                    pa.array(np.where(n > 0, -2 - ids[first - 1], -1), pa.int32()),
+                    pa.array([ids[a:b].tobytes() for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary()),
+                ],
+                names=["place", "n", "preceding", "ids"],
+            )
 
     return docs.select("place", F.col("text").cast("binary")).mapInArrow(split, "place long, n long, preceding int, ids binary")
 
@@ -450,23 +544,37 @@ def begin_id(model: Model) -> int:
     return at if at < model.net.words else model.net.words + form_class(END)
 
 
-def reader(model: Model):
-    """A function from a text to (network ids, places in the local table or -1, words); the end token comes last."""
-    soft, known = model.net.words, model.local
+def reader_of_many(model: Model):
+    """A function from texts to (network ids, the end token after each text; where those are; places in the local table or -1; the words without a place)."""
+    soft, begin, end = model.net.words, begin_id(model), model.local.get(END, -1)
+    known = pa.array(list(model.local), pa.binary())
+    # a local word beyond the softmax stands for its form class
+    forms = np.array([n if n < soft else soft + form_class(w) for w, n in model.local.items()] or [0], np.int32)
+
+    def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+        words, n = words_by_text(texts)
+        ends = np.cumsum(n + 1) - 1
+        inside = np.ones(len(words) + len(n), bool)
+        inside[ends] = False
+        found = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+        far = np.flatnonzero(found < 0)
+        rare = words.take(pa.array(far)).dictionary_encode()
+        own = forms[np.maximum(found, 0)]
+        own[far] = np.array([soft + form_class(w) for w in rare.dictionary.to_pylist()] or [0], np.int32)[rare.indices.to_numpy()]
+        ids, place = np.full(len(inside), begin, np.int32), np.full(len(inside), end, np.int32)
+        ids[inside], place[inside] = own, found
+        return ids, ends, place, rare
 
-    class Places(dict):
-        def __missing__(self, word: bytes) -> int:
-            return -1 - form_class(word)
+    return read
 
-    places = Places(known)
-    # a local word beyond the softmax stands for its form class
-    forms = np.array([n if n < soft else soft + form_class(w) for w, n in known.items()] or [0], np.int32)
+
+def reader(model: Model):
+    """A function from a text to (network ids, places in the local table or -1, words); the end token comes last."""
+    many = reader_of_many(model)
 
     def read(text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        words = words_of(text)
-        words.append(END)
-        place = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-        return np.where(place >= 0, forms[np.maximum(place, 0)], soft - 1 - place), place, words
+        ids, _, place, _ = many(pa.array([text], pa.binary()))
+        return ids, place, [*words_of(text), END]
 
     return read
 
@@ -479,35 +587,42 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shipped.value
-        read, begin = reader(made), begin_id(made)
+        read, begin = reader_of_many(made), begin_id(made)
         form_floor, base_floor = made.form_floor(), made.base_floor()
-        log_counts = np.log10(made.counts + SMOOTH) if len(made.counts) else np.zeros(1)
-        local_forms = np.array([form_class(w) for w in made.local] or [0])
+        log_counts = np.log10(made.counts + SMOOTH)
+        local_forms = np.array([form_class(w) for w in made.local], int)
         form_terms = np.where(np.arange(len(log_counts)) < soft, 0.0, log_counts - form_floor[local_forms])
+        # a place of -1 is the last one
+        log_counts, form_terms = np.append(log_counts, 0.0), np.append(form_terms, 0.0)
+        end_is_far = END not in made.local
         row = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        for batch in batches:
-            docs_ids, columns = [], tuple([] for _ in types)
-            heads: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, place, words = read(text.as_py())
-                docs_ids.append(ids)
-                near = place[place >= 0]
-                heads.append((row, doc_id, len(words), len(near), float(log_counts[near].sum()) - base_floor * len(near), float(form_terms[near].sum())))
-                for word, times in Counter([words[n] for n in np.flatnonzero(place < 0).tolist()]).items():
-                    for column, value in zip(columns, (word, row, None, times, 0, 0.0, 0.0), strict=True):
-                        column.append(value)
-                row += 1
-            network = log_likelihoods(made.net, docs_ids, begin) / np.log(10)
-            for (at, doc_id, tokens, known, base, forms), extra in zip(heads, network.tolist(), strict=True):
-                # a key no word can have, so that rows spread evenly and match nothing
-                key = b" " + at.to_bytes(8, "little")
-                for column, value in zip(columns, (key, at, doc_id, tokens, known, base, forms + extra), strict=True):
-                    column.append(value)
+        for batch in slices(batches):
+            ids, ends, place, rare = read(batch.column(1))
+            many, size = batch.num_rows, np.diff(ends, prepend=-1)
+            number = np.repeat(np.arange(many), size)
+            known = np.bincount(number, place >= 0, many).astype(np.int64)
+            base = np.bincount(number, log_counts[place], many) - base_floor * known
+            network = log_likelihoods(made.net, np.split(ids, ends[:-1] + 1), begin) / np.log(10)
+            full = np.bincount(number, form_terms[place], many) + network
+            # a key no word can have, so that rows spread evenly and match nothing
+            keys = [b" " + at.to_bytes(8, "little") for at in range(row, row + many)]
+            far = place < 0
+            far[ends] = False
+            distinct = max(1, len(rare.dictionary))
+            pairs, times = np.unique(number[far] * distinct + rare.indices.to_numpy(), return_counts=True)
+            words, of = [rare.dictionary.take(pa.array(pairs % distinct))], [row + pairs // distinct]
+            if end_is_far:
+                words, of, times = [*words, pa.array([END] * many, pa.binary())], [*of, row + np.arange(many)], np.append(times, np.ones(many, int))
+            of, none = np.concatenate(of), np.zeros(len(times))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                [
+                    pa.concat_arrays([pa.array(keys, pa.binary()), *words]), pa.array(np.append(row + np.arange(many), of), pa.int64()),
+                    pa.concat_arrays([batch.column(0), pa.nulls(len(times), pa.int64())]), pa.array(np.append(size, times), pa.int64()),
+                    pa.array(np.append(known, none.astype(int)), pa.int64()), pa.array(np.append(base, none)), pa.array(np.append(full, none)),
+                ],
                 names=["word", "row", "doc_id", "times", "known", "base", "full"],
             )
+            row += many
 
     parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
         read_all, "word binary, row long, doc_id long, times long, known long, base double, full double"
