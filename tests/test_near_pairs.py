@@ -71,3 +71,16 @@ def test_joining_joins_what_a_walk_joins():
         kept += list(zip(p.tolist(), q.tolist(), strict=True))
     assert label.tolist() == [top(n) for n in range(400)]
     assert len(kept) == 400 - len(set(label.tolist()))
+
+
+def test_proposals_take_every_pair(spark, monkeypatch):
+    """Of all pairs, also those without a group; and the best ones of buckets."""
+    m = pairs_at(0.9001, 700, seed=8)
+    table = spark.createDataFrame([(n, None if n % 4 < 2 else "t", [], v.tolist()) for n, v in enumerate(m)], ENTITIES)
+    none, mentions = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, n long, first long")
+    want = sorted((-round(float(m[n] @ m[n + 1]), 9), n, n + 1) for n in range(0, 1400, 2))
+    told = lambda limit: [(-r["cosine"], r["keep"], r["absorb"]) for r in dup.merge_proposals(table, none, mentions, limit=limit).orderBy("rank").collect()]
+    assert told(1000) == want
+    for name, value in (("EXACT_PAIRS", 0), ("BUCKET_ROWS", 60), ("BLOCK_ROWS", 50)):
+        monkeypatch.setattr(dup, name, value)
+    assert told(5) == want[:5]
