@@ -3,54 +3,94 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.vectors import block_topk
 from engram.lineage import cut
+from engram.operators.similar import counted, matrix, near_pairs
 
-BLOCK_ROWS = 512
+#: Rows of a block, if they have 64 components or fewer; less of longer ones.
+BLOCK_ROWS = 32_768
 RAW, ADJUSTED, BONUS_EACH, BONUS_MOST = 0.82, 0.90, 0.04, 0.12
 MATCH_FLOOR = 0.85
 
 
-def _absorbers(clusters: DataFrame, raw: float, adjusted: float, bonus_each: float, bonus_most: float, block_rows: int) -> DataFrame:
-    """(id, into): for each cluster the oldest older one of its group that would absorb it.
-
-    A group is dealt into blocks and every two of them meet in one product, which gives one row a newer
-    cluster at most, so a large group is shared by many tasks.
+class _Names:
+    """How many names two rows share: each row's distinct names as sorted numbers."""
+
+    def __init__(self, casts: pa.ChunkedArray):
+        flat = [pc.list_flatten(x) for x in casts.chunks]
+        of = np.concatenate([pc.list_parent_indices(x).to_numpy() + n for x, n in zip(casts.chunks, np.cumsum([0] + [len(x) for x in casts.chunks]).tolist(), strict=False)])
+        coded = pc.dictionary_encode(pa.chunked_array(flat, flat[0].type).combine_chunks(), null_encoding="encode")
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        self.kinds = max(1, len(coded.dictionary))
+        met = np.sort(of.astype(np.int64) * self.kinds + coded.indices.to_numpy())
+        self.met = met[np.diff(met, prepend=-1) > 0]
+        self.held = np.bincount(self.met // self.kinds, minlength=len(casts))
+        self.start = np.cumsum(self.held) - self.held
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        few = self.held[a] <= self.held[b]
+        a, b = np.where(few, a, b), np.where(few, b, a)
+        pair = np.repeat(np.arange(len(a)), self.held[a])
+        if not len(pair):
+            return np.zeros(len(a), np.int64)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(self.held[a]) - self.held[a], self.held[a])
+        wanted = b[pair] * self.kinds + self.met[self.start[a][pair] + nth] % self.kinds
+        at = np.minimum(np.searchsorted(self.met, wanted), len(self.met) - 1)
+        return np.bincount(pair[self.met[at] == wanted], minlength=len(a))
+
+
+def _absorbers(live: DataFrame, first: bool, raw: float, adjusted: float, bonus_each: float, bonus_most: float, block_rows: int) -> DataFrame:
+    """(id, age, into): for each cluster the oldest older one of its group that would absorb it, of the pairs that hold one that ``asks``.
+
+    A group is dealt into blocks and every two of them meet in one task, which gives one row a newer
+    cluster at most, so a large group is shared by many tasks.  Where all of them ask (the ``first`` time), two blocks meet once;
+    later on the blocks of those that ask, which are few, meet all blocks.
     """
-    sizes = clusters.groupBy("group").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("held")).where("held > 1").drop("held")
-    own = clusters.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = lambda n: F.ceil(n * F.greatest(F.max(F.size("sums")), F.lit(64)) / (64 * block_rows)).cast("int")
+    sizes = live.groupBy(F.col("group").alias("of")).agg(blocks(F.count("*")).alias("blocks"), blocks(F.count_if("asks")).alias("asking"), F.count("*").alias("held"))
+    sizes = counted(sizes.where("held > 1 and asking > 0").drop("held"))
     size = F.sqrt(F.aggregate("sums", F.lit(0.0), lambda s, x: s + x * x))
-    dealt = dealt.where(size > 0).select("group", "id", "age", "sums", "cast", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-
-    def product(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["age", "id"])
-        m = np.stack(frame["sums"].to_numpy())
+    rows = live.where(size > 0).join(sizes, F.col("group") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda x, y, left, right: F.struct(x.alias("x"), y.alias("y"), left.alias("left"), right.alias("right"))
+    own, yes, no = F.col("block"), F.lit(True), F.lit(False)
+    if first:
+        places = F.transform(every("blocks"), lambda o: place(F.least(own, o), F.greatest(own, o), own <= o, own >= o))
+    else:
+        met = F.transform(every("asking"), lambda x: place(x, own, no, yes))
+        asked = F.transform(every("blocks"), lambda y: place(F.pmod(F.xxhash64("id"), F.col("asking")).cast("int"), y, yes, no))
+        places = F.when(F.col("asks"), F.concat(met, asked)).otherwise(met)
+    dealt = rows.select("group", "id", "age", "sums", "cast", F.inline(places))
+
+    def product(table: pa.Table) -> pa.Table:
+        ids, ages = table["id"].to_numpy(), table["age"].to_numpy()
+        order = np.lexsort((ids, ages))
+        names = _Names(table["cast"])
+        m = matrix(table["sums"])
         m = m / np.linalg.norm(m, axis=1, keepdims=True)
-        cosine = np.round(m @ m.T, 9)
-        near = np.triu(cosine >= raw, 1)
-        if frame["x"].iloc[0] != frame["y"].iloc[0]:
-            side = frame["block"].to_numpy()
-            near &= side[:, None] != side[None, :]
-        ids, ages, held = frame["id"].to_numpy(), frame["age"].to_numpy(), {}
-        for n, own in enumerate(frame["cast"]):
-            for name in set(own):
-                held.setdefault(name, []).append(n)
-        shared = np.zeros(cosine.shape, np.int32)
-        for of in held.values():
-            if len(of) > 1:
-                shared[np.ix_(of, of)] += 1
-        near &= cosine + np.minimum(bonus_most, bonus_each * shared) >= adjusted
-        newer = np.flatnonzero(near.any(0))
-        older = near[:, newer].argmax(0)  # rows lie oldest first
-        return pd.DataFrame({"id": ids[newer], "age": ages[older], "into": ids[older]}).astype("int64")
-
-    found = dealt.groupBy("group", "x", "y").applyInPandas(product, "id long, age long, into long")
-    return found.groupBy("id").agg(F.min(F.struct("age", "into")).alias("x")).select("id", "x.into")
+        left, right = (order[table[c].to_numpy()[order]] for c in ("left", "right"))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        into = np.full(len(order), len(order))  # by rank: oldest first
+        for i, j, cosine in near_pairs(m[left], m[right], raw, len(left) == len(right) == len(order)):
+            a, b = left[i], right[j]
+            good = (cosine + bonus_most >= adjusted) & (ids[a] != ids[b])
+            a, b, cosine = a[good], b[good], cosine[good]
+            good = cosine >= adjusted
+            unsure = np.flatnonzero(~good)
+            good[unsure] = cosine[unsure] + np.minimum(bonus_most, bonus_each * names.shared(a[unsure], b[unsure])) >= adjusted
+            a, b = rank[a[good]], rank[b[good]]
+            np.minimum.at(into, np.maximum(a, b), np.minimum(a, b))
+        newer = np.flatnonzero(into < len(order))
+        older = order[into[newer]]
+        return pa.table({"id": ids[order[newer]], "age": ages[older], "into": ids[older]})
+
+    return dealt.groupBy("group", "x", "y").applyInArrow(product, "id long, age long, into long")
 
 
 def merge_clusters(
@@ -62,16 +102,21 @@ def merge_clusters(
     (cosine ``raw``, and ``adjusted`` with a bonus for shared recurring names), if that one
     stays itself in this round; then centroids are the means of all members and casts their union.  Ids are unique.
     A null or zero vector, or one of another length than its group's oldest, takes no part.
+
+    All clusters ask in the first round.  Later only those ask that took others, or whose choice has gone; what
+    the others would choose is known, but for those that took others.
     """
     rows = clusters.where("vector is not null").select(
         F.coalesce(F.col("group").cast("string"), F.lit("\0")).alias("group"), F.col("id").cast("long"), F.col("age").cast("long"), "n", F.coalesce("cast", F.array().cast("array<string>")).alias("cast"),
-        F.transform("vector", lambda x: x.cast("double") * F.col("n")).alias("sums"),
+        F.transform("vector", lambda x: x.cast("double") * F.col("n")).alias("sums"), F.lit(True).alias("asks"),
     )
-    width = rows.groupBy(F.col("group").alias("of")).agg(F.min_by(F.size("sums"), F.struct("age", "id")).alias("width"))
+    width = counted(rows.groupBy(F.col("group").alias("of")).agg(F.min_by(F.size("sums"), F.struct("age", "id")).alias("width")))
     usable = rows.join(width, F.col("group") == F.col("of")).where(F.size("sums") == F.col("width")).drop("of", "width")
-    live, moved = cut(usable), None
+    live, moved, known = cut(usable), None, None
     while True:
-        wants = cut(_absorbers(live, raw, adjusted, bonus_each, bonus_most, block_rows))
+        found = _absorbers(live, known is None, raw, adjusted, bonus_each, bonus_most, block_rows)
+        found = found if known is None else found.unionByName(known)
+        wants = cut(found.groupBy("id").agg(F.min(F.struct("age", "into")).alias("x")).select("id", "x.age", "x.into"))
         if wants.isEmpty():
             break
         # who wants to go does not take others in this round; the oldest of a chain always stays, so every round moves some
@@ -79,11 +124,20 @@ def merge_clusters(
         moved = goes if moved is None else cut(
             moved.join(goes.select(F.col("id").alias("into"), F.col("into").alias("on")), "into", "left").select("id", F.coalesce("on", "into").alias("into")).unionByName(goes)
         )
-        placed = live.join(goes, "id", "left").withColumn("own", F.coalesce("into", "id"))
+        gone = goes.select(F.col("id").alias("into"))
+        stay = wants.join(goes, "id", "left_anti")
+        known = cut(stay.join(gone, "into", "left_anti").select("id", "age", "into"))
+        lost = stay.join(gone, "into", "left_semi").select("id", F.lit(None).cast("long").alias("own"))
+        takers = goes.select(F.col("into").alias("id"), F.col("into").alias("own")).distinct()
+        fate = counted(goes.select("id", F.col("into").alias("own")).unionByName(takers).unionByName(lost).select(F.col("id").alias("of"), "own"))
+        placed = live.join(fate, F.col("id") == F.col("of"), "left")
+        rest = placed.where("own is null").withColumn("asks", F.col("of").isNotNull()).select("group", "id", "age", "n", "cast", "sums", "asks")
+        placed = placed.where("own is not null")
         at = placed.select("own", F.posexplode("sums").alias("at", "x")).groupBy("own", "at").agg(F.sum("x").alias("x"))
         sums = at.groupBy("own").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).select("own", F.transform("s", lambda s: s["x"]).alias("sums"))
         heads = placed.groupBy("own").agg(F.min(F.struct("age", "id", "group")).alias("h"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("cast"))).alias("cast"))
-        live = cut(heads.join(sums, "own").select("h.group", F.col("own").alias("id"), "h.age", "n", "cast", "sums"))
+        took = heads.join(sums, "own").select("h.group", F.col("own").alias("id"), "h.age", "n", "cast", "sums", F.lit(True).alias("asks"))
+        live = cut(rest.unionByName(took))
     ids = clusters.select(F.col("id").cast("long"))
     return ids.select("id", F.col("id").alias("into")) if moved is None else ids.join(moved, "id", "left").select("id", F.coalesce("into", "id").alias("into"))
 
