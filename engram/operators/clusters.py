@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.vectors import block_topk
 from engram.lineage import cut
-from engram.operators.similar import counted, matrix, near_pairs
+from engram.operators.similar import counted, matrix, near_pairs, spread
 
 #: Rows of a block, if they have 64 components or fewer; less of longer ones.
 BLOCK_ROWS = 32_768
@@ -90,6 +90,7 @@ def _absorbers(live: DataFrame, first: bool, raw: float, adjusted: float, bonus_
         older = order[into[newer]]
         return pa.table({"id": ids[order[newer]], "age": ages[older], "into": ids[older]})
 
+    dealt = spread(dealt, "group", "x", "y") if first else dealt
     return dealt.groupBy("group", "x", "y").applyInArrow(product, "id long, age long, into long")
 
 
