@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.vectors import block_topk
 from engram.lineage import cut
-from engram.operators.similar import counted, matrix, near_pairs, spread
+from engram.operators.similar import BROADCAST_ROWS, counted, matrix, near_pairs, spread
 
 #: Rows of a block, if they have 64 components or fewer; less of longer ones.
 BLOCK_ROWS = 32_768
@@ -118,19 +118,21 @@ def merge_clusters(
         found = _absorbers(live, known is None, raw, adjusted, bonus_each, bonus_most, block_rows)
         found = found if known is None else found.unionByName(known)
         wants = cut(found.groupBy("id").agg(F.min(F.struct("age", "into")).alias("x")).select("id", "x.age", "x.into"))
-        if wants.isEmpty():
+        held = wants.count()
+        if not held:
             break
+        few = F.broadcast if held <= BROADCAST_ROWS else lambda df: df
         # who wants to go does not take others in this round; the oldest of a chain always stays, so every round moves some
-        goes = cut(wants.join(wants.select(F.col("id").alias("into")), "into", "left_anti").select("id", "into"))
+        goes = cut(wants.join(few(wants.select(F.col("id").alias("into"))), "into", "left_anti").select("id", "into"))
         moved = goes if moved is None else cut(
-            moved.join(goes.select(F.col("id").alias("into"), F.col("into").alias("on")), "into", "left").select("id", F.coalesce("on", "into").alias("into")).unionByName(goes)
+            moved.join(few(goes.select(F.col("id").alias("into"), F.col("into").alias("on"))), "into", "left").select("id", F.coalesce("on", "into").alias("into")).unionByName(goes)
         )
-        gone = goes.select(F.col("id").alias("into"))
-        stay = wants.join(goes, "id", "left_anti")
+        gone = few(goes.select(F.col("id").alias("into")))
+        stay = wants.join(few(goes.select("id")), "id", "left_anti")
         known = cut(stay.join(gone, "into", "left_anti").select("id", "age", "into"))
         lost = stay.join(gone, "into", "left_semi").select("id", F.lit(None).cast("long").alias("own"))
         takers = goes.select(F.col("into").alias("id"), F.col("into").alias("own")).distinct()
-        fate = counted(goes.select("id", F.col("into").alias("own")).unionByName(takers).unionByName(lost).select(F.col("id").alias("of"), "own"))
+        fate = few(cut(goes.select("id", F.col("into").alias("own")).unionByName(takers).unionByName(lost).select(F.col("id").alias("of"), "own")))
         placed = live.join(fate, F.col("id") == F.col("of"), "left")
         rest = placed.where("own is null").withColumn("asks", F.col("of").isNotNull()).select("group", "id", "age", "n", "cast", "sums", "asks")
         placed = placed.where("own is not null")
